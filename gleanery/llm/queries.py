@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.llm._common import table
+from gleanery.llm.media import store_texts
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
 
 
@@ -22,6 +23,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text stored as a PPM image and read back, with features."""
+    return store_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and whether they are over 4096."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
@@ -29,6 +35,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_media": op3_media,
     "op9_token_counts": op9_token_counts,
 }
 
