@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleanery.llm._common import table
 from gleanery.llm.media import store_texts
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
+from gleanery.llm.simhash import near_duplicates
+from gleanery.llm.topk import search
 
 
 def vocabulary(name: str = "piece_bpe_32k.model") -> bytes:
@@ -28,15 +31,27 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_texts(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and the near-duplicate component of each."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and whether they are over 4096."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows of each vector whose id is divisible by 100."""
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_media": op3_media,
+    "op4_simhash": op4_simhash,
     "op9_token_counts": op9_token_counts,
+    "op10_topk": op10_topk,
 }
 
 ORACLE_SQL: dict[str, str] = {}
