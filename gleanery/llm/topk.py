@@ -52,7 +52,8 @@ class _Block:
     def __init__(self, ids: np.ndarray, queries: np.ndarray, bound: int):
         self.ids, self.queries, self.exact = ids, queries, bound < 1 << 53
         self.low = np.full(len(ids), -bound, np.int64)
-        self.width = max(1, -(-(2 * bound + 1) // BINS))
+        self.span = 2 * bound + 1  # of the range, in which bins of the width lie
+        self.width = max(1, -(-self.span // BINS))
         self.above = np.zeros(len(ids), np.int64)
 
     def scores(self, keys: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -96,7 +97,7 @@ def _search(rows: DataFrame, length: int, block: _Block, k: int, scale: int) ->
         _refine(rows, length, block, k, scale)
         if block.width == 1:
             return _kept(rows, length, block, k, scale)
-        block.width = max(1, -(-block.width // BINS))
+        block.span, block.width = block.width, max(1, -(-block.width // BINS))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], length: int, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -116,8 +117,9 @@ def _refine(rows: DataFrame, length: int, block: _Block, k: int, scale: int) ->
         counts = np.zeros(n * BINS, np.int64)
         for keys, vectors in _batches(batches, length, scale):
             for _, s, other in b.scores(keys, vectors):
-                at = (s - b.low) // b.width
-                take = other & (at >= 0) & (at < BINS)
+                s -= b.low
+                take = other & (s >= 0) & (s < b.span)
+                at = s // b.width
                 counts += np.bincount((at + np.arange(n) * BINS)[take], minlength=n * BINS)
         counts = counts.reshape(n, BINS)
         # down to the task's own k-th score of the range
