@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm._common import table
 from gleanery.llm.media import store_texts
+from gleanery.llm.pii import detect
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
 from gleanery.llm.simhash import near_duplicates
 from gleanery.llm.topk import search
@@ -36,6 +37,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every whole text, plain and disguised."""
+    return detect(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text, and whether they are over 4096."""
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary())
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
+    "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
 }
