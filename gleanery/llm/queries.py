@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm._common import table
+from gleanery.llm import langid, quality
 from gleanery.llm.media import store_texts
 from gleanery.llm.pii import detect
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
@@ -37,6 +38,17 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from two thirds of the labels."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text, plain and disguised."""
     return detect(table(spark, sf_dir, "documents"))
@@ -56,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
+    "op5_quality": op5_quality,
+    "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
