@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.llm._common import table
 from gleanery.llm import langid, quality
 from gleanery.llm.media import store_texts
+from gleanery.llm.mixing import mix
 from gleanery.llm.pii import detect
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
 from gleanery.llm.simhash import near_duplicates
@@ -43,6 +44,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all documents takes of each."""
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every whole text, learned from four fifths of the documents."""
     docs = table(spark, sf_dir, "documents")
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
     "op7_language": op7_language,
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
