@@ -14,6 +14,7 @@ from gleanery.llm.mixing import mix
 from gleanery.llm.pii import detect
 from gleanery.llm.sentencepiece_codec import count_tokens, digests
 from gleanery.llm.simhash import near_duplicates
+from gleanery.llm.substring import substring_dedup
 from gleanery.llm.topk import search
 
 
@@ -24,6 +25,11 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every whole text without stretches of 50 words and more that a smaller doc_id holds."""
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded with begin and end ids and decoded again, as digests."""
     return digests(table(spark, sf_dir, "documents"), vocabulary())
@@ -71,6 +77,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring": op1_substring,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_media": op3_media,
     "op4_simhash": op4_simhash,
