@@ -143,6 +143,24 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = 4, blocks: in
     least = firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
     # fingerprints without links keep their own first; the others take their component's
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    component = firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # read back from files, it is dealt anew for the last join, which adaptive execution can then split
+    component = checkpointed(firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     # copies by the thousand share a fingerprint: a hot key, met by one row of the other side
     return prints.join(component.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def representatives(df: DataFrame, width: int = 4, distance: int = 4, blocks: int = 8) -> DataFrame:
+    """documents with one of each group: the one that names its component. Rows that repeat an id are one document. Rows
+    without an id go where a member has one; of others one stays for each fingerprint."""
+    docs = df.select("doc_id", "text", "lang", "source", "n_chars")
+    found = checkpointed(near_duplicates(docs, width, distance, blocks))
+    named = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        prints = [f"{fingerprint(t, width):016x}" for t in rows.column("text").to_pylist()]
+        return rows.append_column("fingerprint", pa.array(prints, pa.string()))
+
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    nameless = map_batches(docs.where("doc_id is null"), batch, f"{kinds}, fingerprint string")
+    alone = found.where("component_id is null").select("fingerprint").distinct()
+    return named.union(nameless.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns))
