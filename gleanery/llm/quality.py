@@ -118,6 +118,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, step
     prior = len(positive) / (len(positive) + len(negative)) if len(negative) else _prior(p, u, seed)
     first, second = [np.zeros_like(w) for w in scorer.weights], [np.zeros_like(w) for w in scorer.weights]
     rng = np.random.default_rng(seed)
+    decay = 1e-4 + 0.5 / len(p)  # few positives are soon learned by heart
     for step in range(1, steps + 1):
         bp, bu = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 1024)]
         fp, fu = (1 / (1 + np.exp(-np.clip(scorer.margin(x), -30, 30))) for x in (bp, bu))
@@ -130,7 +131,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, step
             up_p, up_u = prior * slope_p, -slope_u
         gradient = [x + y for x, y in zip(scorer.gradient(bp, up_p.astype(np.float32)), scorer.gradient(bu, up_u.astype(np.float32)), strict=True)]
         for i, (w, g) in enumerate(zip(scorer.weights, gradient, strict=True)):
-            g = g + 1e-4 * w
+            g = g + decay * w
             first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
             w -= 0.01 * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
     if len(negative):
@@ -148,18 +149,19 @@ def _calibrate(scorer: Scorer, positive: np.ndarray, negative: np.ndarray) -> No
     m = np.concatenate([positive, negative]).astype(np.float64)
     # targets drawn in a little, so that separable margins don't run away
     t = np.concatenate([np.full(len(positive), 1 - 1 / (len(positive) + 2)), np.full(len(negative), 1 / (len(negative) + 2))])
-    a, b = 1.0, 0.0
-    for _ in range(50):  # Newton
+    spread = float(m.std()) + 1e-9
+    m, a, b = m / spread, 1.0, 0.0
+    for _ in range(50):  # Newton, the slope drawn to 1
         s = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
         v = s * (1 - s) + 1e-9
-        g = np.array([((s - t) * m).sum() + 1e-3 * a, (s - t).sum()])
-        h = np.array([[(v * m * m).sum() + 1e-3, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-3]])
+        g = np.array([((s - t) * m).sum() + (a - 1), (s - t).sum()])
+        h = np.array([[(v * m * m).sum() + 1, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-3]])
         da, db = np.linalg.solve(h, g)
         a, b = a - da, b - db
         if abs(da) + abs(db) < 1e-9:
             break
     if a > 0:  # else the labels contradict the order; leave the margin as it is
-        scorer.slope, scorer.offset = float(a), float(b)
+        scorer.slope, scorer.offset = float(a) / spread, float(b)
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
