@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.plans.registry import ORACLE_SQL, QUERIES
 
-for _name in ("reports",):
+for _name in ("reports", "audits"):
     import_module(f"gleanery.plans.{_name}")
 
 
