@@ -25,6 +25,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -196,13 +197,31 @@ def encode_decode(df: DataFrame, model: bytes, id_column: str = "doc_id", text_c
     corrected the agenda in its Arrow batch (0 where they agree, as they do)."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model_of(shared.value)
-        texts = [t or "" for t in rows.column(1).to_pylist()]
-        blobs, ids, decoded, wrong = _round_trip(m, texts)
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array([wrong] * len(texts), pa.int64())], ["doc_id", "ids", "decoded", "n_corrected"])
+        edges = array("I", [m.begin]).tobytes(), array("I", [m.end]).tobytes()
+        for rows in batches:
+            for part, texts in _pieces(rows):
+                blobs, _, decoded, wrong = _round_trip(m, texts)
+                offsets = np.cumsum([0, *(len(b) // 4 + 2 for b in blobs)], dtype=np.int32)
+                flat = np.frombuffer(b"".join(edges[0] + b + edges[1] for b in blobs), np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, pa.array(decoded, pa.string()), pa.array([wrong] * len(texts), pa.int64())], ["doc_id", "ids", "decoded", "n_corrected"])
 
-    return map_batches(df.select(id_column, text_column), batch, "doc_id long, ids array<int>, decoded string, n_corrected long")
+    return df.select(id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>, decoded string, n_corrected long")
+
+
+def _pieces(rows: pa.RecordBatch, characters: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch whose texts hold about so many characters: ids as Python lists are large."""
+    start = 0
+    while start < rows.num_rows:
+        texts: list[str] = []
+        size = 0
+        while start + len(texts) < rows.num_rows and size < characters:
+            texts.append(rows.column(1)[start + len(texts)].as_py() or "")
+            size += len(texts[-1])
+        yield rows.slice(start, len(texts)), texts
+        start += len(texts)
 
 
 def _round_trip(m: MergeModel, texts: list[str]) -> tuple[list[bytes], list[list[int]], list[str], int]:
@@ -225,10 +244,9 @@ def digests(df: DataFrame, model: bytes) -> DataFrame:
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         m = model_of(shared.value)
         out: tuple[list, ...] = ([], [], [], [])
-        texts = [t or "" for t in rows.column(1).to_pylist()]
         begin, end = array("I", [m.begin]).tobytes(), array("I", [m.end]).tobytes()
-        for at in range(0, len(texts), 256):  # ids as Python lists are large
-            blobs, _, decoded, wrong = _round_trip(m, texts[at : at + 256])
+        for _, texts in _pieces(rows):
+            blobs, _, decoded, wrong = _round_trip(m, texts)
             for b, d in zip(blobs, decoded, strict=True):
                 out[0].append(len(b) // 4 + 2)
                 out[1].append(hashlib.sha256(begin + b + end).hexdigest())
