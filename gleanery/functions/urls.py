@@ -63,8 +63,7 @@ def _crawl_key(url: str | None) -> str:
     return f"{kind}://{name}{s.path or '/'}{'?' + q if q else ''}".rstrip("/")
 
 
-@F.pandas_udf("string")
-def _crawl_key_udf(urls: pd.Series) -> pd.Series:
+def _crawl_keys(urls: pd.Series) -> pd.Series:
     return urls.map(_crawl_key)
 
 
@@ -78,12 +77,10 @@ def crawl_key(c) -> Column:
     q = F.concat_ws("&", F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])))
     native = F.regexp_replace(F.concat(kind, F.lit("://"), name, F.when(path(c) == "", F.lit("/")).otherwise(path(c)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))), "/+$", "")
     odd = query(c).rlike("=[^&]*=|[^A-Za-z0-9_.~=&-]")
-    return F.when(plain & ~odd, native).otherwise(_crawl_key_udf(F.when(~plain | odd, text(c))))
+    return F.when(plain & ~odd, native).otherwise(F.pandas_udf(_crawl_keys, "string")(F.when(~plain | odd, text(c))))
 
 
-@F.pandas_udf("string")
-def link_norm(links: pd.Series, bases: pd.Series) -> pd.Series:
-    """A link resolved against its page, without fragment and final slash."""
+def _resolved(links: pd.Series, bases: pd.Series) -> pd.Series:
     out = []
     for link, base in zip(links, bases, strict=True):
         try:
@@ -93,6 +90,11 @@ def link_norm(links: pd.Series, bases: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
+def link_norm(link: Column, base: Column) -> Column:
+    """A link resolved against its page, without fragment and final slash."""
+    return F.pandas_udf(_resolved, "string")(link, base)
+
+
 # Extensions that are no pages, and their categories.
 ASSET_CATEGORIES = {
     ".pdf": "pdf",
