@@ -25,7 +25,7 @@ def parsed(s: Site) -> DataFrame:
 
 @query(
     "page_inventory",
-    f"SELECT page_id, {_SQL_TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST({_SQL_WORDS} AS VARCHAR) AS word_count, CAST(len(regexp_extract_all({_SQL_NAV}, '<a ')) AS VARCHAR) AS nav_link_count, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS VARCHAR) AS link_count_total FROM pages",
+    f"SELECT page_id, {_SQL_TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST({_SQL_WORDS} AS VARCHAR) AS word_count, CAST(len(list_distinct(regexp_extract_all({_SQL_NAV}, 'href=\"([^\"]*)\"', 1))) AS VARCHAR) AS nav_link_count, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS VARCHAR) AS link_count_total FROM pages",
 )
 def page_inventory(s: Site) -> DataFrame:
     return parsed(s).select("page_id", "title", "lang", "word_count", "nav_link_count", "link_count_total")
