@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,27 +187,27 @@ _SQL_NONE = lambda c: f"{integer(c)} = 0"
 _one = lambda c: text(c) == "1"
 _no = lambda c: as_int(c) == 0
 #: Criterion: principle, level, test of a page, and the test in SQL.
-CRITERIA: dict[str, tuple[str, str, Column, str]] = {
-    "1.1.1": ("perceivable", "A", (as_float("wcag_img_alt_pct") >= 1.0) | _no("img_count"), f"({real('wcag_img_alt_pct')} >= 1.0 OR {_SQL_NONE('img_count')})"),
-    "1.3.1a": ("perceivable", "A", _one("wcag_heading_order_valid"), _SQL_ONE("wcag_heading_order_valid")),
-    "1.3.1b": ("perceivable", "A", as_float("wcag_form_labels_pct") >= 1.0, f"{real('wcag_form_labels_pct')} >= 1.0"),
-    "1.3.1c": ("perceivable", "A", _no("wcag_tables_no_headers"), _SQL_NONE("wcag_tables_no_headers")),
-    "1.3.5": ("perceivable", "AA", as_float("wcag_autocomplete_pct") >= 1.0, f"{real('wcag_autocomplete_pct')} >= 1.0"),
-    "2.4.1": ("operable", "A", _one("wcag_landmarks_present"), _SQL_ONE("wcag_landmarks_present")),
-    "2.4.2": ("operable", "A", _one("wcag_title_present"), _SQL_ONE("wcag_title_present")),
-    "2.4.4": ("operable", "A", as_float("wcag_vague_link_pct") <= 0.05, f"{real('wcag_vague_link_pct')} <= 0.05"),
-    "2.4.5": ("operable", "AA", _one("wcag_has_nav") | _one("wcag_has_search"), f"({_SQL_ONE('wcag_has_nav')} OR {_SQL_ONE('wcag_has_search')})"),
-    "2.4.6": ("operable", "AA", _no("wcag_empty_headings"), _SQL_NONE("wcag_empty_headings")),
-    "3.1.1": ("understandable", "A", _one("wcag_lang_valid"), _SQL_ONE("wcag_lang_valid")),
-    "4.1.1": ("robust", "A", _no("wcag_duplicate_ids"), _SQL_NONE("wcag_duplicate_ids")),
-    "4.1.2": ("robust", "A", _no("wcag_empty_buttons") & _no("wcag_empty_links"), f"({_SQL_NONE('wcag_empty_buttons')} AND {_SQL_NONE('wcag_empty_links')})"),
+CRITERIA: dict[str, tuple[str, str, Callable[[], Column], str]] = {
+    "1.1.1": ("perceivable", "A", lambda: (as_float("wcag_img_alt_pct") >= 1.0) | _no("img_count"), f"({real('wcag_img_alt_pct')} >= 1.0 OR {_SQL_NONE('img_count')})"),
+    "1.3.1a": ("perceivable", "A", lambda: _one("wcag_heading_order_valid"), _SQL_ONE("wcag_heading_order_valid")),
+    "1.3.1b": ("perceivable", "A", lambda: as_float("wcag_form_labels_pct") >= 1.0, f"{real('wcag_form_labels_pct')} >= 1.0"),
+    "1.3.1c": ("perceivable", "A", lambda: _no("wcag_tables_no_headers"), _SQL_NONE("wcag_tables_no_headers")),
+    "1.3.5": ("perceivable", "AA", lambda: as_float("wcag_autocomplete_pct") >= 1.0, f"{real('wcag_autocomplete_pct')} >= 1.0"),
+    "2.4.1": ("operable", "A", lambda: _one("wcag_landmarks_present"), _SQL_ONE("wcag_landmarks_present")),
+    "2.4.2": ("operable", "A", lambda: _one("wcag_title_present"), _SQL_ONE("wcag_title_present")),
+    "2.4.4": ("operable", "A", lambda: as_float("wcag_vague_link_pct") <= 0.05, f"{real('wcag_vague_link_pct')} <= 0.05"),
+    "2.4.5": ("operable", "AA", lambda: _one("wcag_has_nav") | _one("wcag_has_search"), f"({_SQL_ONE('wcag_has_nav')} OR {_SQL_ONE('wcag_has_search')})"),
+    "2.4.6": ("operable", "AA", lambda: _no("wcag_empty_headings"), _SQL_NONE("wcag_empty_headings")),
+    "3.1.1": ("understandable", "A", lambda: _one("wcag_lang_valid"), _SQL_ONE("wcag_lang_valid")),
+    "4.1.1": ("robust", "A", lambda: _no("wcag_duplicate_ids"), _SQL_NONE("wcag_duplicate_ids")),
+    "4.1.2": ("robust", "A", lambda: _no("wcag_empty_buttons") & _no("wcag_empty_links"), f"({_SQL_NONE('wcag_empty_buttons')} AND {_SQL_NONE('wcag_empty_links')})"),
 }
 _SQL_CRITERIA = "wc AS (" + " UNION ALL ".join(f"SELECT '{k}' AS criterion, '{p}' AS principle, '{lv}' AS level, domain, final_url AS url, {q} AS passed FROM pages_raw" for k, (p, lv, _, q) in CRITERIA.items()) + ")"
 
 
 def checked(s: Site) -> DataFrame:
     """A row for each page and criterion, in one pass."""
-    facts = F.array(*(F.struct(F.lit(k).alias("criterion"), F.lit(p).alias("principle"), F.lit(lv).alias("level"), test.alias("passed")) for k, (p, lv, test, _) in CRITERIA.items()))
+    facts = F.array(*(F.struct(F.lit(k).alias("criterion"), F.lit(p).alias("principle"), F.lit(lv).alias("level"), test().alias("passed")) for k, (p, lv, test, _) in CRITERIA.items()))
     return s.estate.pages_raw.select("domain", F.col("final_url").alias("url"), F.explode(facts).alias("c")).select("domain", "url", "c.*")
 
 

@@ -3,6 +3,8 @@ then by name."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,27 +17,32 @@ from gleanery.plans.registry import Site, host, integer, near, pct, query, real
 from gleanery.plans.registry import norm_date as sql_date
 from gleanery.plans.registry import parts as sql_parts
 
-PAGE = F.coalesce(F.when(F.trim("final_url") != "", F.trim("final_url")), F.trim("requested_url"))
+
+def page_url() -> Column:
+    """The final URL, else the one requested."""
+    return F.coalesce(F.when(F.trim("final_url") != "", F.trim("final_url")), F.trim("requested_url"))
+
+
 SQL_PAGE = "CASE WHEN trim(final_url) <> '' THEN trim(final_url) ELSE trim(requested_url) END"
 
 #: Signals of a page, by report name: presence of a cell, or a test.
-SIGNALS: dict[str, tuple[Column, str]] = {
-    "json_ld": (filled("json_ld_types"), "trim(json_ld_types) <> ''"),
-    "microdata": (filled("microdata_types"), "trim(microdata_types) <> ''"),
-    "rdfa": (filled("rdfa_types"), "trim(rdfa_types) <> ''"),
-    "hreflang": (filled("hreflang_links"), "trim(hreflang_links) <> ''"),
-    "feed": (filled("feed_urls"), "trim(feed_urls) <> ''"),
-    "pagination": (filled("pagination_next") | filled("pagination_prev"), "(trim(pagination_next) <> '' OR trim(pagination_prev) <> '')"),
-    "breadcrumb_schema": (filled("breadcrumb_schema"), "trim(breadcrumb_schema) <> ''"),
-    "noindex": (F.contains(F.lower("robots_directives"), F.lit("noindex")), "contains(lower(robots_directives), 'noindex')"),
+SIGNALS: dict[str, tuple[Callable[[], Column], str]] = {
+    "json_ld": (lambda: filled("json_ld_types"), "trim(json_ld_types) <> ''"),
+    "microdata": (lambda: filled("microdata_types"), "trim(microdata_types) <> ''"),
+    "rdfa": (lambda: filled("rdfa_types"), "trim(rdfa_types) <> ''"),
+    "hreflang": (lambda: filled("hreflang_links"), "trim(hreflang_links) <> ''"),
+    "feed": (lambda: filled("feed_urls"), "trim(feed_urls) <> ''"),
+    "pagination": (lambda: filled("pagination_next") | filled("pagination_prev"), "(trim(pagination_next) <> '' OR trim(pagination_prev) <> '')"),
+    "breadcrumb_schema": (lambda: filled("breadcrumb_schema"), "trim(breadcrumb_schema) <> ''"),
+    "noindex": (lambda: F.contains(F.lower("robots_directives"), F.lit("noindex")), "contains(lower(robots_directives), 'noindex')"),
 }
-MORE_SIGNALS: dict[str, tuple[Column, str]] = {
-    "canonical": (filled("canonical_url"), "trim(canonical_url) <> ''"),
-    "description": (filled("meta_description"), "trim(meta_description) <> ''"),
-    "title": (filled("title"), "trim(title) <> ''"),
-    "viewport": (F.col("has_viewport_meta") == "1", "has_viewport_meta = '1'"),
-    "author": (filled("author"), "trim(author) <> ''"),
-    "privacy": (filled("privacy_policy_url"), "trim(privacy_policy_url) <> ''"),
+MORE_SIGNALS: dict[str, tuple[Callable[[], Column], str]] = {
+    "canonical": (lambda: filled("canonical_url"), "trim(canonical_url) <> ''"),
+    "description": (lambda: filled("meta_description"), "trim(meta_description) <> ''"),
+    "title": (lambda: filled("title"), "trim(title) <> ''"),
+    "viewport": (lambda: F.col("has_viewport_meta") == "1", "has_viewport_meta = '1'"),
+    "author": (lambda: filled("author"), "trim(author) <> ''"),
+    "privacy": (lambda: filled("privacy_policy_url"), "trim(privacy_policy_url) <> ''"),
 }
 
 
@@ -92,7 +99,7 @@ def domains_summary(s: Site) -> DataFrame:
         # blank shares count as 0 here
         rounded(F.avg(as_float("wcag_form_labels_pct")) * 100).alias("wcag_form_labels_pct"),
         rounded(F.avg(as_float("wcag_vague_link_pct")) * 100).alias("wcag_vague_link_pct"),
-        *(share(F.count_if(c), n).alias(f"{k}_pct") for k, (c, _) in SIGNALS.items()),
+        *(share(F.count_if(c()), n).alias(f"{k}_pct") for k, (c, _) in SIGNALS.items()),
         mean_above_zero("extraction_coverage_pct").alias("avg_coverage"),
         mean_above_zero("extraction_coverage_core_pct").alias("avg_coverage_core"),
     )
@@ -263,7 +270,7 @@ def cms_top_domains(s: Site) -> DataFrame:
 
 @query("schema_adoption", " UNION ALL ".join(f"SELECT '{k}' AS signal, count(*) FILTER ({c}) AS pages, count(*) AS total FROM p" for k, (_, c) in SIGNALS.items()))
 def schema_adoption(s: Site) -> DataFrame:
-    wide = s.pages.agg(F.count("*").alias("total"), *(F.count_if(c).alias(k) for k, (c, _) in SIGNALS.items()))
+    wide = s.pages.agg(F.count("*").alias("total"), *(F.count_if(c()).alias(k) for k, (c, _) in SIGNALS.items()))
     return wide.unpivot(["total"], list(SIGNALS), "signal", "pages").select("signal", "pages", "total")
 
 
@@ -279,7 +286,7 @@ ALL_SIGNALS = SIGNALS | MORE_SIGNALS
 
 @query("seo_readiness", f"SELECT domain, count(*) AS pages, {', '.join(f'count(*) FILTER ({ALL_SIGNALS[k][1]}) AS {k}' for k in READY)} FROM p GROUP BY 1")
 def seo_readiness(s: Site) -> DataFrame:
-    return s.pages.groupBy("domain").agg(F.count("*").alias("pages"), *(F.count_if(ALL_SIGNALS[k][0]).alias(k) for k in READY))
+    return s.pages.groupBy("domain").agg(F.count("*").alias("pages"), *(F.count_if(ALL_SIGNALS[k][0]()).alias(k) for k in READY))
 
 
 @query("coverage_histogram", f"SELECT b AS bucket, count(x) AS n FROM (SELECT unnest(range(0, 100, 10)) AS b) LEFT JOIN (SELECT CAST(least(floor({real('extraction_coverage_pct')} / 10) * 10, 90) AS BIGINT) AS x FROM p) ON x = b GROUP BY 1")
@@ -314,13 +321,12 @@ def author_network(s: Site) -> DataFrame:
 
 #: Items of a kind, by what marks them; a summary needs three.
 ITEMS = {"products": ("schema_price", "product"), "events": ("schema_event_date", "event"), "jobs": ("schema_job_title", "job"), "recipes": ("schema_recipe_time", "recipe")}
-_PRICE = as_float("schema_price")
 _SQL_PRICE = f"CASE WHEN {real('schema_price')} > 0 THEN {real('schema_price')} END"
 
 
 @query("products_summary", f"SELECT count(*) AS n, min({_SQL_PRICE}) AS min_price, max({_SQL_PRICE}) AS max_price, {near(f'avg({_SQL_PRICE})', 2)} AS avg_price FROM p WHERE trim(schema_price) <> '' HAVING count(*) >= 3")
 def products_summary(s: Site) -> DataFrame:
-    price = F.when(_PRICE > 0, _PRICE)
+    price = F.when(as_float("schema_price") > 0, as_float("schema_price"))
     return s.pages.where(filled("schema_price")).agg(F.count("*").alias("n"), F.min(price).alias("min_price"), F.max(price).alias("max_price"), rounded(F.avg(price), 2).alias("avg_price")).where("n >= 3")
 
 
@@ -388,7 +394,7 @@ _SQL_HEALTH = "hl AS (" + " UNION ALL ".join(f"SELECT domain, '{k}' AS signal, {
 @query("content_health", "SELECT * FROM hl", _SQL_BIGGEST, _SQL_HEALTH)
 def content_health(s: Site) -> DataFrame:
     biggest = top(counts(s.pages, "domain"), 40, "n", "domain").select("domain")
-    wide = s.pages.join(F.broadcast(biggest), "domain", "left_semi").groupBy("domain").agg(*(share(F.count_if(c), F.count("*")).alias(k) for k, (c, _) in ALL_SIGNALS.items()))
+    wide = s.pages.join(F.broadcast(biggest), "domain", "left_semi").groupBy("domain").agg(*(share(F.count_if(c()), F.count("*")).alias(k) for k, (c, _) in ALL_SIGNALS.items()))
     return wide.unpivot(["domain"], list(ALL_SIGNALS), "signal", "pct")
 
 
@@ -409,12 +415,12 @@ def ci_top_tags(s: Site) -> DataFrame:
 
 @query("ci_top_pages", f"SELECT {SQL_PAGE} AS url, {integer('word_count')} AS words, {real('extraction_coverage_pct')} AS coverage FROM p ORDER BY words DESC, coverage DESC, url LIMIT 40")
 def ci_top_pages(s: Site) -> DataFrame:
-    return s.pages.select(PAGE.alias("url"), as_int("word_count").alias("words"), as_float("extraction_coverage_pct").alias("coverage")).orderBy(F.desc("words"), F.desc("coverage"), "url").limit(40)
+    return s.pages.select(page_url().alias("url"), as_int("word_count").alias("words"), as_float("extraction_coverage_pct").alias("coverage")).orderBy(F.desc("words"), F.desc("coverage"), "url").limit(40)
 
 
 @query("ci_price_by_domain", f"SELECT domain, count(*) AS n, min(x) AS min_price, max(x) AS max_price, {near('avg(x)', 2)} AS avg_price FROM (SELECT domain, {_SQL_PRICE} AS x FROM p) WHERE x IS NOT NULL GROUP BY 1 ORDER BY n DESC, domain LIMIT 25")
 def ci_price_by_domain(s: Site) -> DataFrame:
-    prices = s.pages.select("domain", _PRICE.alias("x")).where("x > 0")
+    prices = s.pages.select("domain", as_float("schema_price").alias("x")).where("x > 0")
     return top(prices.groupBy("domain").agg(F.count("*").alias("n"), F.min("x").alias("min_price"), F.max("x").alias("max_price"), rounded(F.avg("x"), 2).alias("avg_price")), 25, "n", "domain")
 
 
@@ -423,7 +429,7 @@ _PROMO = "(sale|offer|discount|deal|promo|save|free|home)"
 
 @query("ci_promos", f"SELECT {SQL_PAGE} AS url, title FROM p WHERE regexp_matches(lower(concat(title, ' ', schema_availability)), '\\b{_PROMO}\\b') ORDER BY url, title LIMIT 30")
 def ci_promos(s: Site) -> DataFrame:
-    return s.pages.where(F.lower(F.concat_ws(" ", "title", "schema_availability")).rlike(rf"\b{_PROMO}\b")).select(PAGE.alias("url"), "title").orderBy("url", "title").limit(30)
+    return s.pages.where(F.lower(F.concat_ws(" ", "title", "schema_availability")).rlike(rf"\b{_PROMO}\b")).select(page_url().alias("url"), "title").orderBy("url", "title").limit(30)
 
 
 @query("ci_pairs", "SELECT src, tgt, count(*) AS n FROM lk WHERE src <> tgt AND src <> '' AND tgt <> '' GROUP BY ALL ORDER BY n DESC, src, tgt LIMIT 40", SQL_LINKS)
@@ -450,13 +456,13 @@ def ci_outbound(s: Site) -> DataFrame:
 
 @query("thin_content_report", f"SELECT {SQL_PAGE} AS url, domain, {integer('word_count')} AS words FROM p WHERE {integer('word_count')} <= 250 ORDER BY words, url LIMIT 80")
 def thin_content_report(s: Site, most: int = 250, cap: int | None = 80) -> DataFrame:
-    out = s.pages.select(PAGE.alias("url"), "domain", as_int("word_count").alias("words")).where(F.col("words") <= most).orderBy("words", "url")
+    out = s.pages.select(page_url().alias("url"), "domain", as_int("word_count").alias("words")).where(F.col("words") <= most).orderBy("words", "url")
     return out.limit(cap) if cap else out
 
 
 @query("dup_hash_clusters", f"SELECT trim(content_hash) AS hash, count(*) AS n_rows, count(DISTINCT {SQL_PAGE}) AS n_urls, min({SQL_PAGE}) AS first_url FROM p WHERE trim(content_hash) <> '' GROUP BY 1 HAVING count(*) > 1")
 def dup_hash_clusters(s: Site) -> DataFrame:
-    return s.pages.where(filled("content_hash")).groupBy(F.trim("content_hash").alias("hash")).agg(F.count("*").alias("n_rows"), F.count_distinct(PAGE).alias("n_urls"), F.min(PAGE).alias("first_url")).where("n_rows > 1")
+    return s.pages.where(filled("content_hash")).groupBy(F.trim("content_hash").alias("hash")).agg(F.count("*").alias("n_rows"), F.count_distinct(page_url()).alias("n_urls"), F.min(page_url()).alias("first_url")).where("n_rows > 1")
 
 
 _SQL_CANON = f"rtrim(trim(canonical_url), '/') <> rtrim({SQL_PAGE}, '/')"
@@ -465,7 +471,7 @@ _SQL_CANON = f"rtrim(trim(canonical_url), '/') <> rtrim({SQL_PAGE}, '/')"
 @query("dup_canonical", f"SELECT trim(canonical_url) AS canonical, count(*) AS n FROM p WHERE trim(canonical_url) <> '' AND {_SQL_CANON} GROUP BY 1")
 def dup_canonical(s: Site) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    return counts(s.pages.where(filled("canonical_url") & (bare(F.trim("canonical_url")) != bare(PAGE))), F.trim("canonical_url").alias("canonical"))
+    return counts(s.pages.where(filled("canonical_url") & (bare(F.trim("canonical_url")) != bare(page_url()))), F.trim("canonical_url").alias("canonical"))
 
 
 _SQL_INTERNAL = f"il AS (SELECT from_url, to_url, {host('from_url')} AS domain FROM ed WHERE {host('from_url')} = {host('to_url')} AND {host('from_url')} <> '')"
@@ -576,7 +582,7 @@ def noindex_summary(s: Site) -> DataFrame:
 @query("noindex_pages", f"SELECT domain, {SQL_PAGE} AS url, by_meta, by_header FROM nf WHERE by_meta OR by_header ORDER BY domain, url, by_meta, by_header LIMIT 500", _SQL_NOINDEX)
 def noindex_pages(s: Site, cap: int | None = 500) -> DataFrame:
     meta, header = rules.noindex_sources("robots_directives")
-    out = s.pages.select("domain", PAGE.alias("url"), meta.alias("by_meta"), header.alias("by_header")).where("by_meta or by_header").orderBy("domain", "url", "by_meta", "by_header")
+    out = s.pages.select("domain", page_url().alias("url"), meta.alias("by_meta"), header.alias("by_header")).where("by_meta or by_header").orderBy("domain", "url", "by_meta", "by_header")
     return out.limit(cap) if cap else out
 
 

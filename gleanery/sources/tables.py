@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gleanery.functions.scalars import sanitised
 
 #: Quotes doubled, line feeds within quotes, blanks as blanks.
-_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\\N"}
+_CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 FIELDS: dict[str, tuple[str, ...]] = {
     "edges": ("from_url", "to_url", "link_text", "discovered_at"),
@@ -42,7 +42,7 @@ def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None)
     """Cells sanitised, every one quoted; further columns are dropped."""
     names = columns or tuple(df.columns)
     rows = df.select(*((sanitised(F.col(c).cast("string")) if c in df.columns else F.lit("")).alias(c) for c in names))
-    rows.write.mode("overwrite").options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="").csv(path)
+    rows.write.mode("overwrite").options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def append_run(df: DataFrame, path: str, run: str, by: tuple[str, ...] = ()) -> None:
