@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanery.functions import urls
-from gleanery.functions.scalars import text
+from gleanery.functions.scalars import rounded, text
 
 # A path that holds the token gives the label, once for each token.
 PATH_HINTS = (
@@ -123,6 +123,16 @@ LOW_VALUE_PATHS = ("/tag/", "/tags/", "/page/", "/wp-content/", "/wp-includes/",
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "your", "our", "are", "was", "has", "have", "been", "will", "can", "all", "not", "but", "you", "more", "page", "home", "site", "www", "com")
 
 
+# What a page's body shows of its system.
+BODY_MARKERS = (
+    ("WordPress", ("wp-content", "wp-includes", "wp-block-", "wp-json")),
+    ("Drupal", ("drupal", "/sites/default/files/", "views-row", "drupal.js")),
+    ("SharePoint", ("sharepoint", "s4-workspace", "ms-webpart", "_layouts/", "/_catalogs/", "x-sharepointheealthscore")),
+    ("Next.js", ("__next", "_next/static", "_next/data")),
+    ("Gatsby", ("__gatsby", "gatsby-")),
+)
+
+
 def first_of(cases: list[tuple[Column, Column | str]], otherwise: Column | str) -> Column:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     out = F.when(cases[0][0], lit(cases[0][1]))
@@ -248,6 +258,7 @@ def tech_stack(html, generator, powered_by) -> Column:
             (has(gen, "silverstripe"), "SilverStripe"),
             (has(gen, "concrete5", "concrete cms"), "Concrete5"),
             (has(gen, "typo3"), "TYPO3"),
+            *((any_in(body, marks), name) for name, marks in BODY_MARKERS),
             (has(power, "asp.net"), "ASP.NET"),
             (has(power, "express"), "Express/Node"),
             (has(power, "php"), "PHP"),
@@ -263,3 +274,24 @@ def tech_stack(html, generator, powered_by) -> Column:
         ],
         "static/unknown",
     )
+
+
+def tokens_found(c, tokens) -> Column:
+    """Those of the tokens that a cell holds, whatever the case, joined by pipes: analytics in HTML, topics in titles."""
+    low = F.lower(F.substring(text(c), 1, 500_000))
+    return F.concat_ws("|", *(F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in tokens))
+
+
+def run_status(status: Column, pages: Column) -> Column:
+    """Of a run: without a state, or a new one, pages show that it was interrupted."""
+    return F.when((status.isNull() | (status == "new")) & (pages > 0), F.lit("interrupted")).otherwise(F.coalesce(status, F.lit("new")))
+
+
+def readability(visible) -> Column:
+    """Flesch-Kincaid grade, null below 30 words. Syllables are approximated by runs of vowels, without a final silent e."""
+    t = F.lower(text(visible))
+    count = lambda pattern: F.size(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    words = F.size(F.filter(F.split(t, "\\s+"), lambda x: x != ""))
+    sentences = F.greatest(F.lit(1), count("[.!?]+(?:\\s|$)"))
+    syllables = F.greatest(words, count("[aeiouy]+") - count("[^aeiouyl]e\\b"))
+    return F.when(words >= 30, rounded(0.39 * words / sentences + 11.8 * syllables / words - 15.59))

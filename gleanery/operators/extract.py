@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.robotparser import RobotFileParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,12 +39,55 @@ def parse(captures: DataFrame, url: str = "url", html: str = "html") -> DataFram
     return captures.mapInArrow(run, schema)
 
 
+def signals(captures: DataFrame, url: str = "url", html: str = "html", headers: str | None = None) -> DataFrame:
+    """A row of signals for each page; headers, if a column of maps is named, come too."""
+    names = list(Page("", "").signals())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            given = [dict(h or ()) for h in rows.column(headers).to_pylist()] if headers else [{}] * rows.num_rows
+            cells = [Page(h, u).signals(g) for h, u, g in zip(rows.column(html).to_pylist(), rows.column(url).to_pylist(), given, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([c[n] for c in cells], pa.string()) for n in names], names)
+
+    return captures.select(url, html, *([headers] if headers else [])).mapInArrow(run, ", ".join(f"{n} string" for n in names))
+
+
+def robots_allowed(targets: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
+    """targets with `allowed` and the longest rule that denies. robots has origin and txt, one row for each origin; origins
+    without one allow everything. The join is by origin, of which each has one row on the robots' side."""
+    def judge(links: pd.Series, texts: pd.Series) -> pd.DataFrame:
+        parsers: dict[str, RobotFileParser] = {}
+        allowed, rules_ = [], []
+        for link, txt in zip(links, texts, strict=True):
+            if txt is None:
+                allowed.append(True)
+                rules_.append("")
+                continue
+            if txt not in parsers:
+                parsers[txt] = RobotFileParser()
+                parsers[txt].parse(txt.splitlines())
+            p = parsers[txt]
+            ok = p.can_fetch(agent, link or "")
+            hit = ""
+            if not ok:
+                entries = [e for e in p.entries if e.applies_to(agent)] or [e for e in (p.default_entry,) if e]
+                path = "/" + (link or "").partition("//")[2].partition("/")[2]
+                hit = max((r.path for e in entries for r in e.rulelines if not r.allowance and r.applies_to(path)), key=len, default="")
+            allowed.append(ok)
+            rules_.append(hit)
+        return pd.DataFrame({"allowed": allowed, "rule": rules_})
+
+    judged = F.pandas_udf(judge, "allowed boolean, rule string")
+    joined = targets.withColumn("_o", urls.origin(url)).join(robots.select(F.col("origin").alias("_o"), F.col("txt").alias("_t")), "_o", "left")
+    return joined.withColumn("_j", judged(F.col(url), F.col("_t"))).select(*targets.columns, "_j.allowed", "_j.rule")
+
+
 def page_rows(parsed: DataFrame, url: str = "url") -> DataFrame:
     """The pages table's rows: parsed cells and what follows from them natively."""
     rows = parsed.drop("anchors", "nav", "tags", "phones", "asset_urls")
     hints = rules.path_hints(url)
     kind = rules.content_kind(hints, F.col("json_ld_types"), F.col("og_type"), urls.path(url), F.col("breadcrumb_schema"), F.lit(""))
-    return rows.withColumns({"domain": urls.netloc(url), "url_content_hint": hints, "content_kind_guess": kind, "content_hash": content_hash("visible_text")})
+    return rows.withColumns({"domain": urls.netloc(url), "url_content_hint": hints, "content_kind_guess": kind, "content_hash": content_hash("visible_text"), "readability_fk_grade": F.coalesce(rules.readability("visible_text").cast("string"), F.lit(""))})
 
 
 def edges(parsed: DataFrame, url: str = "url") -> DataFrame:

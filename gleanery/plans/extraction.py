@@ -156,3 +156,16 @@ def content_changed(s: Site) -> DataFrame:
 def keyword_log(s: Site) -> DataFrame:
     terms = s.spark.createDataFrame([("the",), ("tion",), ("ing ",)], "term string")
     return extract.keyword_log(s.table("documents"), terms, "text", "doc_id")
+
+
+@query("signals_summary", "SELECT url, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<meta [^>]*name=\"([^\"]*)\"', 1))), '|') AS meta_names, '' AS link_rels, '0' AS has_json_ld FROM pages")
+def signals_summary(s: Site) -> DataFrame:
+    rows = extract.signals(s.table("pages"))
+    return rows.select("url", "meta_names", "link_rels", "has_json_ld")
+
+
+@query("run_status", "SELECT run, CASE WHEN run = 'run_2024-02-01' THEN 'interrupted' ELSE 'completed' END AS status FROM pages_raw GROUP BY 1")
+def run_status(s: Site) -> DataFrame:
+    pages = s.estate.pages_raw.groupBy("run").agg(F.count("*").alias("n"))
+    state = F.when(F.col("run") == "run_2024-01-01", "completed").otherwise("new")
+    return pages.select("run", rules.run_status(state, F.col("n")).alias("status"))

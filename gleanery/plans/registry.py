@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,40 +12,52 @@ from gleanery.sources import estate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The same by name over any Site.
+REPORTS: dict[str, Callable[[Site], DataFrame]] = {}
 
 
 class Site:
-    """An estate's tables with its two runs merged."""
+    """An estate as reports see it: its runs merged, its pages filtered after that. `filters` are filter_pages' own."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self.estate = spark, sf_dir, estate.load(spark, sf_dir)
+    def __init__(self, tables: estate.Estate, runs: Sequence[str] = (), filters: dict | None = None, spark: SparkSession | None = None, folder: str = ""):
+        self.estate = tables.of_runs(*runs) if runs else tables
+        self.merging = 1 if len(runs) == 1 else 2
+        self.filters, self.spark, self.folder = filters or {}, spark, folder
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+    @cached_property
+    def all_pages(self) -> DataFrame:
+        return frames.merge_pages(self.estate.pages_raw, self.merging)
 
     @cached_property
     def pages(self) -> DataFrame:
-        return frames.merge_pages(self.estate.pages_raw)
+        return frames.filter_pages(self.all_pages, **self.filters)
+
+    def _of_pages(self, df: DataFrame, column: str) -> DataFrame:
+        """Rows of the pages that the filters leave, where there are filters."""
+        return frames.restrict(df, column, self.pages) if self.filters else df
 
     @cached_property
     def edges(self) -> DataFrame:
-        return frames.merge_edges(self.estate.edges)
+        return self._of_pages(frames.merge_edges(self.estate.edges, self.merging), "from_url")
 
     @cached_property
     def tags(self) -> DataFrame:
-        return frames.merge_tags(self.estate.tags)
+        return self._of_pages(frames.merge_tags(self.estate.tags, self.merging), "page_url")
 
     @cached_property
     def nav(self) -> DataFrame:
-        return frames.merge_nav(self.estate.nav_links)
+        return frames.merge_nav(self.estate.nav_links, self.merging)
 
     @cached_property
     def assets(self) -> DataFrame:
-        return frames.merge_assets(self.estate.assets)
+        return self._of_pages(frames.merge_assets(self.estate.assets, self.merging), "referrer_page_url")
 
     @cached_property
     def errors(self) -> DataFrame:
-        return frames.merge_errors(self.estate.errors, self.pages)
+        return frames.merge_errors(self.estate.errors, self.all_pages, self.merging)
 
 
 def key(u: str) -> str:
@@ -104,7 +116,8 @@ def query(name: str, sql: str | None, *ctes: str):
     """Registers a query over a Site. Its SQL may use the engine's tables, their merged forms and further statements."""
 
     def register(function: Callable[[Site], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: function(Site(spark, sf_dir))
+        REPORTS[name] = function
+        QUERIES[name] = lambda spark, sf_dir: function(Site(estate.load(spark, sf_dir), spark=spark, folder=sf_dir))
         if sql is not None:
             ORACLE_SQL[name] = estate.oracle_with(*(f"{k} AS ({v})" for k, v in MERGED.items()), *ctes) + "\n" + sql
         return function

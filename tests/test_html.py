@@ -78,3 +78,21 @@ def test_frames(spark):
     assert [(r.raw_href, r.phone_number) for r in extract.phones(parsed).collect()] == [("tel:+44 20 1", "+44201")]
     assert sorted(r.tag_value for r in extract.tags(parsed).collect()) == ["B", "a"]
     assert sorted((r.asset_url, r.category) for r in extract.assets(parsed).collect()) == [("https://a.com/a.png", "image"), ("https://a.com/dir/b.jpg", "image"), ("https://a.com/doc.pdf", "pdf")]
+
+
+def test_signals_and_dates(spark):
+    html = """<html><body class="x y" data-app="1"><p>Last updated: 9 May 2023</p><span class="post-date">June 3, 2024</span><meta name="a" content="1"><meta property="og:title" content="t"><time datetime="2024-01-01">then</time></body></html>"""
+    page = Page(html, "https://a.com/")
+    assert page.row()["visible_dates"] == "9 May 2023|June 3, 2024"
+    got = page.signals({"server": "nginx", "X-Other": "no", "VIA": "proxy"})
+    assert got["meta_names"] == "a" and got["og_properties"] == "og:title" and got["headers"] == "Server=nginx|Via=proxy"
+    assert got["data_attributes"] == "data-app" and got["body_classes"] == "x y" and got["times"] == "2024-01-01" and got["has_json_ld"] == "0"
+    df = spark.createDataFrame([("https://a.com/", html, {"Server": "s"})], "url string, html string, h map<string,string>")
+    assert extract.signals(df, headers="h").first().headers == "Server=s"
+
+
+def test_robots(spark):
+    targets = spark.createDataFrame([("https://a.com/x",), ("https://a.com/private/y",), ("https://a.com/private/deep/z",), ("https://b.com/private/",)], "url string")
+    robots = spark.createDataFrame([("https://a.com", "User-agent: *\nDisallow: /private/\nDisallow: /private/deep/\n")], "origin string, txt string")
+    got = {r.url: (r.allowed, r.rule) for r in extract.robots_allowed(targets, robots, "Bot").collect()}
+    assert got == {"https://a.com/x": (True, ""), "https://a.com/private/y": (False, "/private/"), "https://a.com/private/deep/z": (False, "/private/deep/"), "https://b.com/private/": (True, "")}
