@@ -89,3 +89,22 @@ def sitemap_entries(sitemaps: DataFrame, url: str = "url", xml: str = "xml") ->
             yield pd.DataFrame(out, columns=["url", "kind", "loc", "lastmod"])
 
     return sitemaps.select(url, xml).mapInPandas(parse, "url string, kind string, loc string, lastmod string")
+
+
+def expand_sitemaps(documents: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
+    """loc and lastmod of all that the roots' sitemaps list, through indexes of indexes: documents has url and xml. Each
+    sitemap is read once, whatever indexes name it; levels are checkpointed in the shared folder."""
+    from gleanery.session import shared_folder
+
+    shared_folder(documents.sparkSession)
+    entries = sitemap_entries(documents).checkpoint()
+    seen = roots.select("url").distinct().checkpoint()
+    level = seen
+    for _ in range(depth):
+        named = entries.where("kind = 'index'").join(level, "url", "left_semi").select(F.col("loc").alias("url")).distinct()
+        level = named.join(seen, "url", "left_anti").checkpoint()
+        if level.isEmpty():
+            break
+        seen = seen.union(level)
+    listed = entries.where("kind = 'urlset'").join(seen, "url", "left_semi")
+    return listed.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))

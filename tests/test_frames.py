@@ -82,6 +82,14 @@ def test_sitemaps_and_robots(spark):
     assert [tuple(r) for r in tables.robots_sitemaps(robots).collect()] == [("o", "https://a/s.xml")]
 
 
+def test_sitemaps_through_indexes(spark):
+    index = lambda *x: "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in x) + "</sitemapindex>"
+    urlset = lambda *x: "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in x) + "</urlset>"
+    docs = [("r", index("s1", "r2", "r")), ("r2", index("s2", "r")), ("s1", urlset("p1", "p2")), ("s2", urlset("p2", "p3")), ("other", urlset("p9"))]
+    got = tables.expand_sitemaps(spark.createDataFrame(docs, "url string, xml string"), spark.createDataFrame([("r",)], "url string"))
+    assert sorted(r["loc"] for r in got.collect()) == ["p1", "p2", "p3"]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type").write.parquet(f"{tmp_path}/in")
