@@ -39,6 +39,9 @@ FILLS = 3
 WEIGHTS = (5, 2, 1)
 #: Times that a source, and so a document, is taken at most.
 MOST = 3
+#: Output shards, at least, and the words that each holds from there on.
+SHARDS = 64
+SHARD_WORDS = 20_000_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> list[Fraction]:
@@ -73,6 +76,7 @@ class Plan:
     below: list[int]
     fills: list[list[int]]
     borders: list[list[int]]
+    n_shards: int
 
     def shards(self, i: int, h: int) -> list[int]:
         """Where each copy of a document of source i lies."""
@@ -96,7 +100,7 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn("h", F.shiftrightunsigned(_hash(seed), 64 - BITS * LEVELS))
 
 
-def plan(rows: DataFrame, shards: int, seed: int, most_sources: int = 20_000) -> Plan:
+def plan(rows: DataFrame, shards: int | None, seed: int, most_sources: int = 20_000) -> Plan:
     """From sized() rows."""
     totals = rows.groupBy("source").agg(F.sum("size").alias("size"))
     found = totals.limit(most_sources + 1).collect()
@@ -104,6 +108,7 @@ def plan(rows: DataFrame, shards: int, seed: int, most_sources: int = 20_000) ->
         raise ValueError(f"more than {most_sources} sources; raise most_sources if the driver can hold {BLOCKS} sums for each")
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
     sources, sizes = [r.source for r in found], [r["size"] for r in found]
+    shards = shards or max(SHARDS, -(-sum(sizes) // SHARD_WORDS))
     wanted = targets(sizes)
     epochs = [int(t // s) if s else 0 for t, s in zip(wanted, sizes, strict=True)]
     rest = {i: wanted[i] - epochs[i] * sizes[i] for i in range(len(sources)) if sizes[i] and wanted[i] > epochs[i] * sizes[i]}
@@ -140,7 +145,7 @@ def plan(rows: DataFrame, shards: int, seed: int, most_sources: int = 20_000) ->
     fills = _fills(rows, sources, rest, below)
     quotas = [e * BLOCKS + (b >> (BITS * (LEVELS - 1))) + (b & ((1 << (BITS * (LEVELS - 1))) - 1) > 0) for e, b in zip(epochs, below, strict=True)]
     borders = [np.cumsum(x).tolist() for x in np.array(list(deal(quotas, shards, seed)), np.int64).reshape(shards, -1).T]
-    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, borders)
+    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, borders, shards)
 
 
 def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> list[list[int]]:
@@ -187,7 +192,7 @@ def deal(quotas: list[int], shards: int, seed: int, node: int = 1) -> Iterator[n
     yield from deal((have - drawn).tolist(), shards - left, seed, 2 * node + 1)
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = 20) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (those that hold the document's copies, by epoch) for every row."""
     rows = checkpointed(sized(docs, seed))
     return _taken(rows, plan(rows, shards, seed))
@@ -211,12 +216,13 @@ def _taken(rows: DataFrame, p: Plan) -> DataFrame:
     return map_batches(rows, batch, "doc_id long, size long, source_size long, target double, taken long, shards array<int>")
 
 
-def mixed(docs: DataFrame, shards: int = 64, seed: int = 20) -> DataFrame:
+def mixed(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFrame:
     """documents as the mix holds them: each row as often as it is taken. Copies lie in their shards' partitions, shuffled
     there by a hash."""
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     sizes = checkpointed(sized(rows, seed))
-    shared = rows.sparkSession.sparkContext.broadcast(plan(sizes, shards, seed))
+    planned = plan(sizes, shards, seed)
+    shared = rows.sparkSession.sparkContext.broadcast(planned)
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p: Plan = shared.value
@@ -233,4 +239,4 @@ def mixed(docs: DataFrame, shards: int = 64, seed: int = 20) -> DataFrame:
 
     hashed = rows.withColumn("h", F.shiftrightunsigned(_hash(seed), 64 - BITS * LEVELS))
     dealt = hashed.mapInArrow(copies, "doc_id long, text string, lang string, source string, n_chars long, shard int")
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "doc_id")).drop("shard")
+    return dealt.repartition(planned.n_shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "doc_id")).drop("shard")
