@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import mixing, pii, quality, sentencepiece_codec, simhash
+from gleanery.llm import copies, mixing, pii, quality, sentencepiece_codec
 from gleanery.llm._common import table
 from gleanery.llm.queries import vocabulary
 from gleanery.session import shared_folder, ship_package
@@ -24,9 +24,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
+    """One document of each group of near copies, of five-word shingles alike by 0.8 or more: the one of the smallest id."""
     ship_package(spark)
-    return simhash.representatives(docs)
+    return copies.representatives(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
