@@ -3,8 +3,10 @@
 A source's documents fall, by a hash of source and id, into `BLOCKS` blocks: a random permutation, cut into blocks. A
 source whose target is e times its size and a rest gives each block e times, and of one more epoch the first blocks of
 the permutation that make up the rest. So each source has an exact quota of blocks; the block where the rest ends is
-opened, and its documents are taken in the order of the permutation while they fit whole. What is left then is filled by
-`FILLS` documents at most from further on, each the one whose size is nearest to what is left.
+opened, and its documents are taken in the order of the permutation while they fit whole. From the first that doesn't fit
+on, what is left is filled along the permutation by all documents that fit, round by round: each ends at a document that
+fitted what was left when it began. At last one document more is taken where that brings the source nearer. So a gap is
+never larger than half of any document that could have filled it.
 
 The tree deals the quotas to output shards: a node with so many blocks of each source splits them between its halves by
 a multivariate hypergeometric draw, down to single shards, whose quotas add up exactly. Shards then own disjoint runs of
@@ -12,10 +14,11 @@ each source's sequence of blocks, and shuffle within themselves. Draws are seede
 
 Nothing is gathered but one row for each source and sums for its blocks: `most_sources` bounds both, and a table with more
 sources raises. The opened block is found level by level by its documents' hashes, each level an aggregation to BLOCKS
-sums for each source, so that neither a hot source nor a long one lands in one task.
+sums for each source, so that neither a hot source nor a long one lands in one task. A block of BLOCKS documents at most
+is opened at once.
 
 A null source is a source, the last in order. Null text has size 0. A null id counts as an id of its own; rows that agree
-in source and id are taken together.
+in source, id and size are taken together.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ from gleanery.llm._common import checkpointed, encoded, map_batches
 BITS = 10
 BLOCKS = 1 << BITS
 LEVELS = 5
-FILLS = 3
 WEIGHTS = (5, 2, 1)
 #: Times that a source, and so a document, is taken at most.
 MOST = 3
@@ -66,21 +68,21 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 @dataclass
 class Plan:
-    """For each source: whole epochs, the hash below which documents are taken once more, and the hashes of those that
-    fill it up; the shard borders of its sequence of blocks."""
+    """For each source: whole epochs, the hash below which documents are taken once more, and the runs that fill it up; the
+    shard borders of its sequence of blocks. A run takes sizes above `least`, up to `most`, in hashes from `start` to `end`."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
     epochs: list[int]
     below: list[int]
-    fills: list[list[int]]
+    fills: list[list[tuple[int, int, int, int]]]
     borders: list[list[int]]
     n_shards: int
 
-    def shards(self, i: int, h: int) -> list[int]:
+    def shards(self, i: int, h: int, size: int) -> list[int]:
         """Where each copy of a document of source i lies."""
-        copies = self.epochs[i] + (h < self.below[i] or h in self.fills[i])
+        copies = self.epochs[i] + (h < self.below[i] or any(start <= h < end and least < size <= most for start, end, least, most in self.fills[i]))
         last = self.borders[i][-1] - 1  # a filling document goes with the last block
         return [bisect_right(self.borders[i], min(last, e * BLOCKS + (h >> (BITS * (LEVELS - 1))))) if last >= 0 else 0 for e in range(copies)]
 
@@ -112,69 +114,88 @@ def plan(rows: DataFrame, shards: int | None, seed: int, most_sources: int = 20_
     wanted = targets(sizes)
     epochs = [int(t // s) if s else 0 for t, s in zip(wanted, sizes, strict=True)]
     rest = {i: wanted[i] - epochs[i] * sizes[i] for i in range(len(sources)) if sizes[i] and wanted[i] > epochs[i] * sizes[i]}
-    below, blocks = [0] * len(sources), [0] * len(sources)
-    opened = {i: 0 for i in rest}  # the block's path so far
+    ends = _border(rows, sources, rest)
+    below = [ends.get(i, 0) for i in range(len(sources))]
+    fills = _fills(rows, sources, rest, below)
+    quotas = [e * BLOCKS + (b >> (BITS * (LEVELS - 1))) + (b & ((1 << (BITS * (LEVELS - 1))) - 1) > 0) for e, b in zip(epochs, below, strict=True)]
+    borders = [np.cumsum(x).tolist() for x in np.array(list(deal(quotas, shards, seed)), np.int64).reshape(shards, -1).T]
+    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, borders, shards)
+
+
+def _border(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction]) -> dict[int, int]:
+    """For each source with rows among these, the hash of the first document that is too much for its rest, or one above
+    all. What lies before is taken off its rest."""
+    out: dict[int, int] = {}
     place = {s: i for i, s in enumerate(sources)}
-    for level in range(1, LEVELS + 1):
-        if not opened:
-            break
-        shift = BITS * (LEVELS - level)
-        within = rows if level == 1 else rows.join(F.broadcast(_paths(rows, sources, opened)), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("path")), "left_semi")
-        sums: dict[int, dict[int, int]] = {}
-        for r in within.groupBy("source", F.shiftright("h", shift).alias("path")).agg(F.sum("size").alias("size")).toLocalIterator():
-            if (i := place[r.source]) in opened:
-                sums.setdefault(i, {})[r.path] = r["size"]
-        for i in list(opened):
+    at = {i: (0, 0) for i in rest}  # level and path of the block that is open
+    level_of = {i: 1 for i in rest}
+    while level_of:
+        within = None
+        for level in sorted(set(level_of.values())):
+            for above in sorted({at[i][0] for i, n in level_of.items() if n == level}):
+                some = {i: at[i][1] for i, n in level_of.items() if n == level and at[i][0] == above}
+                shift = BITS * (LEVELS - level)
+                held = F.broadcast(_frame(rows, "s string, path long", [(sources[i], p) for i, p in some.items()]))
+                part = rows.join(held, F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", BITS * (LEVELS - above)) == F.col("path")), "left_semi")
+                part = part.groupBy("source", F.shiftright("h", shift).alias("path")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+                within = part if within is None else within.union(part)
+        sums: dict[int, dict[int, tuple[int, int]]] = {}
+        for r in within.toLocalIterator():
+            sums.setdefault(place[r.source], {})[r.path] = (r["size"], r.n)
+        for i, level in list(level_of.items()):
             border = None
             for path in sorted(sums.get(i, {})):
-                size = sums[i][path]
+                size, n = sums[i][path]
                 if size > rest[i] or (size == rest[i] and level < LEVELS):
                     border = path
                     break
                 rest[i] -= size
-                if level == 1:
-                    blocks[i] = path + 1
-            if border is None:
-                below[i] = (max(sums.get(i, {0: 0})) + 1) << shift
-                del opened[i]
-            elif level < LEVELS:
-                opened[i] = border
-            else:
-                below[i] = border
-                del opened[i]
-    fills = _fills(rows, sources, rest, below)
-    quotas = [e * BLOCKS + (b >> (BITS * (LEVELS - 1))) + (b & ((1 << (BITS * (LEVELS - 1))) - 1) > 0) for e, b in zip(epochs, below, strict=True)]
-    borders = [np.cumsum(x).tolist() for x in np.array(list(deal(quotas, shards, seed)), np.int64).reshape(shards, -1).T]
-    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, borders, shards)
+            if border is not None and level < LEVELS:
+                at[i], level_of[i] = (level, border), LEVELS if n <= BLOCKS else level + 1
+                continue
+            if border is not None:
+                out[i] = border
+            elif i in sums:
+                out[i] = (max(sums[i]) + 1) << (BITS * (LEVELS - level))
+            del level_of[i]
+    return out
 
 
-def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> list[list[int]]:
-    """Documents from beyond the border that bring each source nearer to its target."""
-    out: list[list[int]] = [[] for _ in sources]
+def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> list[list[tuple[int, int, int, int]]]:
+    """Runs from the border on that bring each source nearer to its target, until no document of it would."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in sources]
     place = {s: i for i, s in enumerate(sources)}
-    left = {i: float(r) for i, r in rest.items() if r >= 1}
-    for _ in range(FILLS):
-        if not left:
-            break
-        wanted = rows.sparkSession.createDataFrame([(sources[i], r, below[i], out[i]) for i, r in left.items()], "s string, rest double, below long, had array<long>")
-        far = F.abs(F.col("size") - F.col("rest"))
-        near = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("s"))).where((F.col("h") >= F.col("below")) & ~F.array_contains("had", F.col("h")) & (far < F.col("rest")))
-        found = near.groupBy("source").agg(F.min(F.struct(far.alias("far"), "h", "size")).alias("x")).collect()
-        went = {place[r.source]: r.x for r in found}
-        for i in list(left):
-            if i not in went:
-                del left[i]
+    start = {i: below[i] for i, r in rest.items() if r > 0}
+    left = {i: rest[i] for i in start}
+    while going := {i: int(r) for i, r in left.items() if i in start and r >= 1}:
+        wanted = _frame(rows, "t string, start long, most long", [(sources[i], start[i], m) for i, m in going.items()])
+        fit = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > 0) & (F.col("size") <= F.col("most"))).select("source", "h", "size")
+        now = {i: left[i] for i in going}
+        ends = _border(fit, sources, now)
+        for i, most in going.items():
+            if i not in ends:
+                del start[i]
                 continue
-            out[i].append(went[i].h)
-            left[i] -= went[i]["size"]
-            if left[i] < 1:
-                del left[i]
+            if now[i] < left[i]:
+                out[i].append((start[i], ends[i], 0, most))
+            # rows of one id may fit one by one and not together: they are passed over
+            start[i] = ends[i] + (now[i] == left[i])
+            left[i] = now[i]
+    over = [(sources[i], below[i], int(r), float(r)) for i, r in left.items() if r > 0]
+    if over:
+        held = F.broadcast(_frame(rows, "t string, start long, least long, rest double", over))
+        near = rows.join(held, F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > F.col("least")) & (F.col("size") < 2 * F.col("rest")))
+        whole = near.groupBy("source", "h", "rest").agg(F.sum("size").alias("size"), F.max("size").alias("most"))
+        far = F.abs(F.col("size") - F.col("rest"))
+        for r in whole.where(far < F.col("rest")).groupBy("source").agg(F.min(F.struct(far.alias("far"), "h", "most")).alias("x")).collect():
+            i = place[r.source]
+            out[i].append((r.x.h, r.x.h + 1, int(left[i]), r.x.most))
     return out
 
 
-def _paths(rows: DataFrame, sources: list[str | None], opened: dict[int, int]) -> DataFrame:
-    """A row for each source whose block is open: as many as sources at most."""
-    return rows.sparkSession.createDataFrame([(sources[i], p) for i, p in opened.items()], "s string, path long")
+def _frame(rows: DataFrame, schema: str, values: list[tuple]) -> DataFrame:
+    """A row for each source that is still open: as many as sources at most."""
+    return rows.sparkSession.createDataFrame(values, schema)
 
 
 def deal(quotas: list[int], shards: int, seed: int, node: int = 1) -> Iterator[np.ndarray]:
@@ -207,7 +228,7 @@ def _taken(rows: DataFrame, p: Plan) -> DataFrame:
         out: tuple[list, ...] = ([], [], [], [])
         for source, size, h in zip(*(part.column(c).to_pylist() for c in ("source", "size", "h")), strict=True):
             i = place[source]
-            held = p.shards(i, h)
+            held = p.shards(i, h, size)
             for column, value in zip(out, (p.sizes[i], p.targets[i], len(held) * size, held), strict=True):
                 column.append(value)
         arrays = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.int32())), strict=True)]
@@ -230,7 +251,9 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFra
         for part in batches:
             row, shard = [], []
             for j, (source, h) in enumerate(zip(part.column("source").to_pylist(), part.column("h").to_pylist(), strict=True)):
-                held = p.shards(place[source], h)
+                i = place[source]
+                filling = h >= p.below[i] and any(start <= h < end for start, end, _, _ in p.fills[i])
+                held = p.shards(i, h, len(encoded(part.column("text")[j].as_py()).split()) if filling else 0)
                 row += [j] * len(held)
                 shard += held
             for at in range(0, len(row), 1000):
