@@ -5,7 +5,9 @@ from each at sign outwards, IPv4 addresses in chains of dotted numbers, cards an
 don't backtrack over what they have read.
 
 Disguises are undone by a transducer: it rewrites homoglyphs, widths, invisible characters, spelled digits and at/dot
-words, and notes for every rewritten stretch where it came from. The same patterns run over the rewritten text, and what
+words, and notes for every rewritten stretch where it came from. Brackets are undone before plain words: those count where
+another part of the address is clear, which is an at sign (in brackets or not), a dot in brackets, or for a plain at word a
+dot word after it. Numbers are addresses where a dot between them is a word or stood in brackets. The same patterns run over the rewritten text, and what
 they find is mapped back to the source characters. Such spans are added where a rewritten stretch is part of them and no
 base span of their kind holds them already. Base spans stay as they are.
 
@@ -17,7 +19,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -124,8 +127,13 @@ _SPELLED = re.compile(rf"(?<!\w)(?:plus[ -]{{1,3}})?{_ONE}(?:[ ,-]{{1,3}}(?:(?:{
 _SPELLED_PART = re.compile(rf"(?P<plus>plus)|(?P<dot>{_DOT})|(?P<word>{_WORD})|(?P<digit>[0-9])|[ ,-]+", re.I)
 _SPACED_WORDS = tuple(w + c for w in _VALUE for c in " -,")
 _BRACKETED = re.compile(rf" {{0,2}}[\[({{<] {{0,2}}(?:(?P<at>{_AT}|@)|(?P<dot>{_DOT}|\.)) {{0,2}}[\])}}>] {{0,2}}", re.I)
-_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]) (?P<at>{_AT}) (?=[A-Za-z0-9-]{{1,63}}(?P<rest>(?: (?:{_DOT}) [A-Za-z0-9-]{{1,63}})+))", re.I)
+_LABELS = rf"[A-Za-z0-9-]{{1,63}}(?:(?:\.| (?:{_DOT}) )[A-Za-z0-9-]{{1,63}})+"
+_PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-]) (?P<at>{_AT}) (?=(?P<rest>{_LABELS}))", re.I)
+_AT_SIGN = re.compile(rf"(?<=[A-Za-z0-9_%+-])@(?=(?P<rest>{_LABELS}))", re.I)
 _PLAIN_DOT = re.compile(rf" (?:{_DOT}) ", re.I)
+_NAME_DOT = re.compile(rf" (?:{_DOT}) (?=[A-Za-z0-9._%+-]{{1,64}}$)", re.I)
+_NUMBER = rf"(?:[0-9]{{1,3}}(?![0-9])|(?:{_WORD})(?:[ -]{{1,3}}(?:{_WORD})){{0,2}}(?![^\W_]))"
+_DOTTED = re.compile(rf"(?<![\w.]){_NUMBER}(?:(?:\.| {{1,3}}(?:{_DOT}) {{1,3}}){_NUMBER}){{3,}}", re.I)
 
 Edit = tuple[int, int, str]  # start, end, what stands there instead
 
@@ -151,27 +159,40 @@ def _characters(text: str) -> list[Edit]:
     return [(m.start(), m.end(), new) for m in _ODD.finditer(text) if (new := _folded(m.group())) is not None]
 
 
-def _words(text: str) -> list[Edit]:
+def _brackets(text: str) -> list[Edit]:
+    if "[" in text or "(" in text or "{" in text or "<" in text:
+        return [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
+    return []
+
+
+def _words(text: str, bare: list[int]) -> list[Edit]:
+    """bare: where dots stand that were in brackets, in order."""
     out: list[Edit] = []
     low = text.lower()
-    if "[" in text or "(" in text or "{" in text or "<" in text:
-        out += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _BRACKETED.finditer(text)]
-    spaced = any(f" {w} " in low for w in AT_WORDS) and any(f" {w} " in low for w in DOT_WORDS)
-    for m in _PLAIN_AT.finditer(text) if spaced else ():
-        out.append((m.start(), m.end(), "@"))
-        out += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, m.start("rest"), m.end("rest"))]
-        # the name may hold dots in words too
-        start = m.start()
-        while d := re.search(rf" (?:{_DOT}) (?=[A-Za-z0-9_%+-]{{1,64}}$)", text[max(0, start - 80) : start], re.I):
-            at = max(0, start - 80) + d.start()
-            out.append((at, at + len(d.group()), "."))
-            start = at
+    dotted = any(f" {w} " in low for w in DOT_WORDS)
+
+    def cleared(start: int, end: int) -> bool:
+        return bisect_left(bare, start) < bisect_left(bare, end)
+
+    if dotted or bare:
+        ats = [(m, "@") for m in _PLAIN_AT.finditer(text) if _PLAIN_DOT.search(m["rest"]) or cleared(*m.span("rest"))] if any(f" {w} " in low for w in AT_WORDS) else []
+        ats += [(m, None) for m in _AT_SIGN.finditer(text)] if dotted and "@" in text else []
+        for m, new in ats:
+            if new:
+                out.append((m.start(), m.end(), new))
+            out += [(d.start(), d.end(), ".") for d in _PLAIN_DOT.finditer(text, *m.span("rest"))]
+            # the name may hold dots in words too
+            start = m.start()
+            while d := _NAME_DOT.search(text[max(0, start - 80) : start]):
+                at = max(0, start - 80) + d.start()
+                out.append((at, at + len(d.group()), "."))
+                start = at
+        for m in _DOTTED.finditer(text):
+            if _PLAIN_DOT.search(m.group()) or cleared(*m.span()):
+                out += _digits(text, *m.span())
     if sum(map(low.count, _SPACED_WORDS)) > 0:
         for m in _SPELLED.finditer(text):
-            for part in _SPELLED_PART.finditer(text, m.start(), m.end()):
-                new = "+" if part["plus"] else "." if part["dot"] else _VALUE.get(part["word"].lower(), "") if part["word"] else part["digit"] or ""
-                if new != part.group():
-                    out.append((part.start(), part.end(), new))
+            out += _digits(text, *m.span())
     kept: list[Edit] = []
     for edit in sorted(out):
         if not kept or edit[0] >= kept[-1][1]:
@@ -179,6 +200,13 @@ def _words(text: str) -> list[Edit]:
     return kept
 
 
+def _digits(text: str, start: int, end: int) -> Iterator[Edit]:
+    for part in _SPELLED_PART.finditer(text, start, end):
+        new = "+" if part["plus"] else "." if part["dot"] else _VALUE.get(part["word"].lower(), "") if part["word"] else part["digit"] or ""
+        if new != part.group():
+            yield part.start(), part.end(), new
+
+
 class Rewritten:
     """A text after edits, with the way back."""
 
@@ -209,18 +237,21 @@ class Rewritten:
 def find_disguised(text: str, base: list[Span]) -> list[Span]:
     """Spans that show only after rewriting."""
     first = Rewritten(text, _characters(text))
-    second = Rewritten(first.text, _words(first.text))
+    middle = Rewritten(first.text, _brackets(first.text))
+    bare = [at for at, changed in zip(middle.at, middle.edited, strict=True) if changed and middle.text[at] == "."]
+    second = Rewritten(middle.text, _words(middle.text, bare))
     if second.text == text:
         return []
     out = []
     for start, end, kind in find(second.text):
         a, b, changed = second.back(start, end)
+        a, b, cleared = middle.back(a, b)
         a, b, before = first.back(a, b)
         while a < b and text[b - 1] == " ":
             b -= 1
         while a < b and text[a] == " ":
             a += 1
-        if (changed or before) and not any(k == kind and s <= a and b <= e for s, e, k in base):
+        if (changed or cleared or before) and not any(k == kind and s <= a and b <= e for s, e, k in base):
             out.append((a, b, kind))
     return out
 
