@@ -1,17 +1,19 @@
 """Exact top-k search by distributed histogram selection.
 
-Vectors are scaled to integers, so that scores are exact. For each block of queries every row is scored; tasks count
-scores in global bins, the counts are summed, and the bin that holds a query's k-th score becomes its next range, until a
-bin is one value wide: that value is the query's k-th score. A last pass keeps what reaches it, at most k rows of each
-task and query by (score, id), and ranks them with ties to the smaller id.
-
-A task hands on a query's bins from the highest down to where its own k-th score lies: the global k-th score isn't lower.
-So what is shuffled is bounded by tasks, queries and k, whatever scores repeat. Queries are taken in blocks of about
-`block` rows, which bounds what is broadcast; each block scans the table anew.
-
-A vector that is null, or holds a null or a component that isn't finite, takes no part, nor does a null id. Vectors of
-another length than a query's are no candidates of it. Rows with the query's own id aren't either, and a repeated query
-row counts once. Scores must fit a long: a table whose scores could be beyond that raises OverflowError.
+Vectors are scaled to integers, so that scores are exact. Queries go in waves of about `block` rows; for each wave every row
+is scored once, and each task writes its own k best of each query, by (score, id), to the shared folder: the global k best are
+among them. From these lists score histograms are counted in global bins and summed, and the bin that holds a query's k-th
+score becomes its next range, until a bin is one value wide: that value is the query's k-th score. What reaches it is ranked,
+with ties to the smaller id.
+
+Only histograms and the last rows are shuffled: k bins of each task and query at most, whatever scores repeat. A wave's
+queries and three numbers for each are all that the driver holds.
+
+A vector that is null, or holds a null or a component that isn't finite (scaled, as a double), takes no part, nor does a null
+id. Vectors of another length than a query's are no candidates of it. Rows with the query's own id aren't either; of rows that
+repeat a query's id the least vector asks. Scores are longs: sums wrap at 64 bits, and where a sum could be beyond them it is
+checked by its size as a double, or with integers of any size. A score above the greatest long raises OverflowError, and so
+does one below the least that is among a query's k best.
 """
 
 from __future__ import annotations
@@ -21,19 +23,25 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BINS = 2048
+from gleanery.llm._common import checkpointed
+
+BIN_BITS = 11
+BINS = 1 << BIN_BITS
 #: Scores held at a time.
 CELLS = 1 << 21
+LEAST = np.iinfo(np.int64).min
 
 
 def scaled(ids: pa.Array, vectors: pa.Array, scale: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """By length: ids, and floor(scale * x) as float64, of the rows that take part."""
     lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
+    with np.errstate(over="ignore"):
+        flat = np.floor(vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * scale)
     row = np.repeat(np.arange(len(lengths)), lengths)
     good = ~vectors.is_null().to_numpy(zero_copy_only=False) & ~ids.is_null().to_numpy(zero_copy_only=False)
     good[row[~np.isfinite(flat)]] = False
@@ -46,120 +54,167 @@ def scaled(ids: pa.Array, vectors: pa.Array, scale: int) -> dict[int, tuple[np.n
     return out
 
 
-class _Block:
-    """A block of queries with the range that each one's k-th score lies in."""
+def wrapped(values: np.ndarray) -> np.ndarray:
+    """Whole float64 numbers of any size modulo 2 ** 64, as int64."""
+    low = np.fmod(values, 2.0**64)  # exact
+    low = np.where(low < -(2.0**63), low + 2.0**64, np.where(low >= 2.0**63, low - 2.0**64, low))
+    return low.astype(np.int64)
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, bound: int):
-        self.ids, self.queries, self.exact = ids, queries, bound < 1 << 53
-        self.low = np.full(len(ids), -bound, np.int64)
-        self.span = 2 * bound + 1  # of the range, in which bins of the width lie
-        self.width = max(1, -(-self.span // BINS))
-        self.above = np.zeros(len(ids), np.int64)
 
-    def scores(self, keys: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Ids, scores (rows by queries), and which are another row's than the query's own."""
-        step = max(1, CELLS // max(1, len(self.ids)))
-        for at in range(0, len(keys), step):
-            part = vectors[at : at + step]
-            if self.exact:
-                s = (part @ self.queries.T).astype(np.int64)
-            else:
-                s = part.astype(np.int64) @ self.queries.T.astype(np.int64)
-            k = keys[at : at + step]
-            yield k, s, k[:, None] != self.ids[None, :]
+def _norms(values: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((values * values).sum(axis=1))
+
+
+class Wave:
+    """Queries of one length."""
 
+    def __init__(self, ids: np.ndarray, queries: np.ndarray):
+        self.ids, self.queries, self.norms = ids, queries, _norms(queries)
 
-def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int = 2048, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+    def scores(self, keys: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids, scores (queries by rows), and which are another row's than the query's own. A score below the least long is
+        held as the least."""
+        step = max(1, CELLS // max(1, len(self.ids)))
+        heavy = _norms(vectors) * self.norms.max(initial=0) >= 2.0**52
+        for rows in (np.flatnonzero(~heavy), np.flatnonzero(heavy)):
+            for at in range(0, len(rows), step):
+                part, k = vectors[rows[at : at + step]], keys[rows[at : at + step]]
+                other = self.ids[:, None] != k[None, :]
+                yield k, self._long(part, other) if heavy[rows[0]] else (self.queries @ part.T).astype(np.int64), other
+
+    def _long(self, part: np.ndarray, other: np.ndarray) -> np.ndarray:
+        s = wrapped(self.queries) @ wrapped(part).T
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = self.queries @ part.T
+            doubt = np.outer(self.norms, _norms(part)) * (2.0**-52 * (part.shape[1] + 1))
+            unsure = other & ~(np.abs(about) + doubt < 2.0**63)
+        for i, j in zip(*np.nonzero(unsure), strict=True):
+            whole = sum(int(a) * int(b) for a, b in zip(self.queries[i], part[j], strict=True))
+            if whole >= 1 << 63:
+                raise OverflowError("a score doesn't fit a long")
+            s[i, j] = max(whole, LEAST)
+        return s
+
+
+def search(df: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, block: int = 16_384, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k rows of highest integer inner product, all if fewer."""
     rows = df.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v"), is_query.alias("q"))
-    biggest = F.coalesce(F.max(F.when(F.aggregate("v", F.lit(True), lambda a, x: a & F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.array_max(F.transform("v", F.abs)))), F.lit(0.0))
-    facts = rows.agg(biggest.alias("most"), F.max(F.size("v")).alias("dims"), F.count_if("q").alias("n")).first()
-    bound = (facts.dims or 0) * (int(facts.most * scale) + 1) ** 2
-    if bound >= 1 << 63:
-        raise OverflowError("scores don't fit a long")
+    finite = F.col("v").isNotNull() & F.forall("v", lambda x: F.coalesce(F.abs(x.cast("double")) * F.lit(float(scale)) < float("inf"), F.lit(False)))
+    asking = rows.where("q and vec_id is not null").where(finite)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.pow(F.abs(x.cast("double")) * F.lit(float(scale)) + F.lit(1.0), F.lit(2.0))))
+    facts = rows.agg(F.max(F.when(finite, norm)).alias("norm"), F.approx_count_distinct(F.when(F.col("q") & finite, F.col("vec_id"))).alias("n")).first()
     parts = max(1, -(-facts.n // block))
     found = []
     for part in range(parts):
-        asked = rows.where("q and vec_id is not null").where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).select("vec_id", "v")
+        asked = asking.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part).groupBy("vec_id").agg(F.min("v").alias("v"))
         by_length: dict[int, list] = {}
         for batch in asked.toArrow().to_batches():
             for n, (ids, vectors) in scaled(batch.column(0), batch.column(1), scale).items():
                 by_length.setdefault(n, []).append((ids, vectors))
         for n, got in sorted(by_length.items()):
-            ids, first = np.unique(np.concatenate([x for x, _ in got]), return_index=True)
-            found.append(_search(rows.select("vec_id", "v"), n, _Block(ids, np.concatenate([x for _, x in got])[first], bound), k, scale))
+            wave = Wave(*map(np.concatenate, zip(*got, strict=True)))
+            found.append(_selected(_bests(rows.select("vec_id", "v"), n, wave, k, scale), wave, facts.norm, k))
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     return reduce(DataFrame.union, found) if found else empty
 
 
-def _search(rows: DataFrame, length: int, block: _Block, k: int, scale: int) -> DataFrame:
-    while True:
-        _refine(rows, length, block, k, scale)
-        if block.width == 1:
-            return _kept(rows, length, block, k, scale)
-        block.span, block.width = block.width, max(1, -(-block.width // BINS))
+def _bests(rows: DataFrame, length: int, wave: Wave, k: int, scale: int) -> DataFrame:
+    """Each task's k best of each query: q (the query's place in the wave), vec_id, score."""
+    shared = rows.sparkSession.sparkContext.broadcast(wave)
 
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w: Wave = shared.value
+        n = len(w.ids)
+        q = keys = scores = np.zeros(0, np.int64)
+        last_score, last_key = np.full(n, LEAST), np.full(n, np.iinfo(np.int64).max)  # of each query's k-th, or none yet
+        for batch in batches:
+            if not batch.num_rows or not (got := scaled(batch.column(0), batch.column(1), scale).get(length)):
+                continue
+            for ids, s, other in w.scores(*got):
+                better = other & ((s > last_score[:, None]) | ((s == last_score[:, None]) & (ids[None, :] <= last_key[:, None])))
+                at, row = np.nonzero(better)
+                q, keys, scores = np.concatenate([q, at]), np.concatenate([keys, ids[row]]), np.concatenate([scores, s[at, row]])
+                order = np.lexsort([keys, ~scores, q])
+                q, keys, scores = q[order], keys[order], scores[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+                q, keys, scores, place = (x[place < k] for x in (q, keys, scores, place))
+                full = place == k - 1
+                last_score[q[full]], last_key[q[full]] = scores[full], keys[full]
+        for at in range(0, len(q), 65_536):
+            part = slice(at, at + 65_536)
+            yield pa.RecordBatch.from_arrays([pa.array(q[part].astype(np.int32)), pa.array(keys[part]), pa.array(scores[part])], ["q", "vec_id", "score"])
 
-def _batches(batches: Iterator[pa.RecordBatch], length: int, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        if batch.num_rows and (got := scaled(batch.column(0), batch.column(1), scale).get(length)):
-            yield got
+    return checkpointed(rows.mapInArrow(best, "q int, vec_id long, score long"))
 
 
-def _refine(rows: DataFrame, length: int, block: _Block, k: int, scale: int) -> None:
-    """Sets each query's low to the start of the bin, of the block's width, that holds its k-th score, and above to how
-    many scores are beyond that bin."""
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+def _kth_bins(bests: DataFrame, ranges: Broadcast, k: int) -> DataFrame:
+    """q, bin, above: for each query the bin of its range that holds its k-th score, and how many scores are beyond it."""
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: _Block = shared.value
-        n = len(b.ids)
-        counts = np.zeros(n * BINS, np.int64)
-        for keys, vectors in _batches(batches, length, scale):
-            for _, s, other in b.scores(keys, vectors):
-                s -= b.low
-                take = other & (s >= 0) & (s < b.span)
-                at = s // b.width
-                counts += np.bincount((at + np.arange(n) * BINS)[take], minlength=n * BINS)
-        counts = counts.reshape(n, BINS)
-        # down to the task's own k-th score of the range
-        beyond = np.cumsum(counts[:, ::-1], axis=1)[:, ::-1] - counts
-        q, at = np.nonzero((counts > 0) & (beyond < k))
-        yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(counts[q, at])], ["q", "bin", "n"])
-
-    counted = rows.mapInArrow(histograms, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
-    needed = rows.sparkSession.sparkContext.broadcast(block.above)
-
-    def kth(batch_rows: pa.Table) -> pa.Table:
-        q = batch_rows.column("q")[0].as_py()
-        bins, n = (batch_rows.column(c).to_numpy() for c in ("bin", "n"))
+        low, _, shift = ranges.value
+        counts: dict[int, int] = {}
+        for batch in batches:
+            q, s = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            bins = (s.view(np.uint64) - low[q].view(np.uint64)) >> np.uint64(shift)
+            take = (s >= low[q]) & (bins < BINS)
+            for key, n in zip(*np.unique(q[take].astype(np.int64) * BINS + bins[take].astype(np.int64), return_counts=True), strict=True):
+                counts[int(key)] = counts.get(int(key), 0) + int(n)
+        keys = np.fromiter(counts, np.int64, len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array((keys // BINS).astype(np.int32)), pa.array((keys % BINS).astype(np.int32)), pa.array(list(counts.values()), pa.int64())], ["q", "bin", "n"])
+
+    def kth(rows: pa.Table) -> pa.Table:
+        q = rows.column("q")[0].as_py()
+        had = int(ranges.value[1][q])
+        bins, n = (rows.column(c).to_numpy() for c in ("bin", "n"))
         order = np.argsort(-bins)
-        total = needed.value[q] + np.cumsum(n[order])
+        total = had + np.cumsum(n[order])
         at = int(np.searchsorted(total, k))
-        out = (int(bins[order[at]]), int(total[at] - n[order[at]])) if at < len(order) else (0, 0)
+        out = (int(bins[order[at]]), int(total[at] - n[order[at]])) if at < len(order) else (0, had)
         return pa.table({"q": pa.array([q], pa.int32()), "bin": pa.array([out[0]], pa.int32()), "above": pa.array([out[1]], pa.int64())})
 
-    for r in counted.groupBy("q").applyInArrow(kth, "q int, bin int, above long").toLocalIterator():
-        block.low[r.q] += r.bin * block.width
-        block.above[r.q] = r.above
-
-
-def _kept(rows: DataFrame, length: int, block: _Block, k: int, scale: int) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(block)
+    counted = bests.mapInArrow(histograms, "q int, bin int, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    return counted.groupBy("q").applyInArrow(kth, "q int, bin int, above long")
+
+
+def _selected(bests: DataFrame, wave: Wave, norm: float, k: int) -> DataFrame:
+    """Refines each query's range until its k-th score is found, and ranks what reaches it."""
+    context = bests.sparkSession.sparkContext
+    with np.errstate(over="ignore"):
+        bound = np.minimum(_norms(wave.queries) * norm * (1 + 2.0**-20) + 1, 2.0**63)
+    # where a range of scores begins; offsets from there are unsigned, so that the whole of a long's range fits
+    low = np.array([max(-int(b), int(LEAST)) for b in bound], np.int64)
+    bits = (2 * int(bound.max()) + 1).bit_length()
+    above, shift = np.zeros(len(low), np.int64), min(bits, 64)
+    while shift:
+        shift = max(0, shift - BIN_BITS)
+        for r in _kth_bins(bests, context.broadcast((low.copy(), above.copy(), shift)), k).toLocalIterator():
+            low[r.q] = np.int64(int(low[r.q]) + (r.bin << shift))
+            above[r.q] = r.above
+    reached = context.broadcast(low)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b: _Block = shared.value
-        q = keys = scores = np.zeros(0, np.int64)
-        for ids, vectors in _batches(batches, length, scale):
-            for part, s, other in b.scores(ids, vectors):
-                row, column = np.nonzero(other & (s >= b.low))
-                q, keys, scores = np.concatenate([q, column]), np.concatenate([keys, part[row]]), np.concatenate([scores, s[row, column]])
-                order = np.lexsort([keys, -scores, q])
-                q, keys, scores = q[order], keys[order], scores[order]
-                place = np.arange(len(q)) - np.searchsorted(q, q, "left")
-                q, keys, scores = (x[place < k] for x in (q, keys, scores))
-        yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(keys), pa.array(scores)], ["query_id", "vec_id", "score"])
-
-    kept = rows.mapInArrow(keep, "query_id long, vec_id long, score long")
+        for batch in batches:
+            q, s = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            take = np.flatnonzero(s >= reached.value[q])
+            if (s[take] == LEAST).any():
+                raise OverflowError("a score doesn't fit a long")
+            yield pa.RecordBatch.from_arrays([pa.array(wave.ids[q[take]]), batch.column(1).take(pa.array(take)), pa.array(s[take])], ["query_id", "vec_id", "score"])
+
+    kept = bests.mapInArrow(keep, "query_id long, vec_id long, score long")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return kept.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: The query over `embeddings`, in DuckDB's SQL.
+ORACLE = """
+WITH vectors AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+    FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""

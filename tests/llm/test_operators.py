@@ -462,8 +462,46 @@ def test_topk(spark, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit(1)).repartition(5)
     got = topk.search(df, F.col("vec_id") % 100 == 0, block=block).collect()
     assert sorted(map(tuple, got)) == plain_topk(spark_floats(rows))
-    with pytest.raises(OverflowError):
-        topk.search(spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<float>"), F.lit(True))
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_topk_of_large_components(spark, kind):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (100, [3e6, 1e7]), (2, [-3e6, 1.0]), (200, [0.0, 1e-3]), (3, [0.0, 2e5]), (4, [1.0, -2e5])]
+    if kind == "double":
+        rows.append((5, [1e15, -3e14]))  # its products with 100 are beyond a long, their sum is 0
+    rows += [(i, rng.normal(0, 1, 2).tolist()) for i in range(300, 390)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = topk.search(df, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == plain_topk(spark_floats(rows) if kind == "float" else rows)
+
+
+def test_topk_raises_only_for_a_score_it_would_give(spark):
+    kinds = "vec_id long, embedding array<double>"
+    alone = topk.search(spark.createDataFrame([(0, [1e30])], kinds), F.lit(True)).collect()
+    assert alone == []
+    beyond = spark.createDataFrame([(0, [1e30]), (1, [1e30])], kinds)
+    with pytest.raises(Exception, match="fit a long"):
+        topk.search(beyond, F.col("vec_id") == 0).collect()
+    below = [(0, [1e15, 0.0]), *((i, [-1e15 * (i == 11), float(i)]) for i in range(1, 12))]
+    got = topk.search(spark.createDataFrame(below, kinds), F.col("vec_id") == 0).collect()
+    assert sorted(map(tuple, got)) == plain_topk(below) and len(got) == 10
+    with pytest.raises(Exception, match="fit a long"):
+        topk.search(spark.createDataFrame([(0, [1e15]), (1, [-1e15])], kinds), F.col("vec_id") == 0).collect()
+
+
+def test_wrapped_sums():
+    values = [0.0, -1.0, 2.0**63, -(2.0**63), 2.0**64, 2.0**64 - 2048, -(2.0**65) - 2.0**14, 1e30, -1e30]
+    assert [int(x) % 2**64 for x in topk.wrapped(np.array(values))] == [int(v) % 2**64 for v in values]
+
+
+def test_topk_equals_its_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW embeddings AS SELECT * FROM read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    got = queries.QUERIES["op10_topk"](spark, "/root/testdata/sf0.001").collect()
+    assert got and sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(con.sql(queries.ORACLE_SQL["op10_topk"]).fetchall())
 
 
 def spark_floats(rows):
