@@ -2,14 +2,14 @@
 hashes.
 
 Decoders take whole files: PGM and PPM (binary P5, P6 and plain P2, P3; comments; 8-bit samples) and uncompressed BMP of
-8 bits with a palette, 24 or 32 bits, bottom-up or top-down. What isn't such a file raises ValueError, or gives nulls in
-`decode_columns`. Arrays are uint8, height x width x channels.
+8 bits with a palette, 24 or 32 bits, bottom-up or top-down. What isn't such a file, is cut short, or holds samples beyond
+its greatest value or its palette raises ValueError, and gives no tile in `tiles`. Arrays are uint8, height x width x channels.
 
 Resizing is by area: an output sample is the mean of what its rectangle covers, with fractions of border samples, read
 off an integral image. The integral image is made for bands of rows, and only its rows at the output's edges are kept,
 so that memory doesn't grow with the image.
 
-A null is a null in, null out; an empty byte string is no image, so null too.
+A null and an empty byte string are no images. Ids may be null or repeat; each row gives its own tiles.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import io
 import re
 import struct
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from pyspark.sql import DataFrame
 
 from gleanery.llm._common import encoded, map_batches
 
+#: Samples on a tile's side.
+SIDE = 64
 #: Rows of an image whose integral is made at a time.
 BAND = 8192
 
@@ -50,14 +54,24 @@ def _decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 256 or not n:
         raise ValueError("not 8-bit samples, or no samples")
     if kind < 4:
-        samples = np.array(data[head.end() :].split()[:n], dtype=np.uint8)
+        samples = _plain_samples(data[head.end() :], n)
     else:
-        samples = np.frombuffer(data, np.uint8, min(n, len(data) - head.end()), head.end())
+        samples = np.frombuffer(data, np.uint8)[head.end() :][:n]
     if len(samples) != n:
         raise ValueError("too few samples")
+    if samples.max() > most:
+        raise ValueError("a sample above the greatest value")
     if most != 255:
         samples = (samples.astype(np.uint16) * 255 // most).astype(np.uint8)
-    return samples.reshape(height, width, channels)
+    return samples.astype(np.uint8, copy=False).reshape(height, width, channels)
+
+
+def _plain_samples(text: bytes, n: int) -> np.ndarray:
+    """The first n samples of a plain file, in which a line may end with a comment."""
+    samples = re.sub(rb"#[^\n]*", b"", text).split()[:n]
+    if any(len(x) > 3 or not x.isdigit() for x in samples):
+        raise ValueError("no sample of 8 bits")
+    return np.array(list(map(int, samples)), np.int64).clip(0, 256).astype(np.uint16)
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
@@ -67,14 +81,17 @@ def _decode_bmp(data: bytes) -> np.ndarray:
     if compression or bits not in (8, 24, 32) or width <= 0 or height == 0:
         raise ValueError("a BMP of another kind")
     row = (width * bits // 8 + 3) // 4 * 4
-    if len(data) < start + row * abs(height):
+    if start < 54 or len(data) < start + row * abs(height):
         raise ValueError("too few samples")
     rows = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * bits // 8]
     if height > 0:
         rows = rows[::-1]
     if bits == 8:
-        palette = np.frombuffer(data, np.uint8, 4 * (colours or 256), 14 + head).reshape(-1, 4)[:, 2::-1]
-        return palette[rows]
+        n = colours if 0 < colours <= 256 else 256
+        palette = np.frombuffer(data, np.uint8)[14 + head :][: 4 * n]
+        if len(palette) < 4 * n or rows.max() >= n:
+            raise ValueError("a sample beyond the palette")
+        return palette.reshape(n, 4)[:, 2::-1][rows]
     return rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
 
@@ -130,26 +147,38 @@ def npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(df: DataFrame, side: int = 64, id_column: str = "media_id", data_column: str = "data") -> DataFrame:
+def cut(image: np.ndarray, side: int) -> Iterator[tuple[int, int, bytes, str]]:
+    """Tiles of an image, row by row: their places, NPY files and difference hashes. Border tiles are smaller."""
+    for y in range(0, len(image), side):
+        for x in range(0, image.shape[1], side):
+            tile = image[y : y + side, x : x + side]
+            yield y // side, x // side, npy(tile), difference_hash(tile)
+
+
+def joined(parts: list[tuple[int, int, bytes, str]]) -> np.ndarray:
+    """The image that cut() gave these tiles of."""
+    arrays: dict[int, list[np.ndarray]] = {}
+    for y, _, data, _ in sorted(parts, key=lambda p: p[:2]):
+        arrays.setdefault(y, []).append(np.load(io.BytesIO(data), allow_pickle=False))
+    return np.concatenate([np.concatenate(row, axis=1) for row in arrays.values()])
+
+
+def tiles(df: DataFrame, side: int = SIDE, id_column: str = "media_id", data_column: str = "data") -> DataFrame:
     """Tiles of every image: media_id, tile_y, tile_x, npy, dhash. Border tiles are smaller; nulls and what can't be
     decoded give no tile."""
 
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch | None:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for key, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
-            try:
-                image = decode(data or b"")
-            except ValueError:
-                continue
-            for y in range(0, len(image), side):
-                for x in range(0, image.shape[1], side):
-                    tile = image[y : y + side, x : x + side]
-                    for column, value in zip(out, (key, y // side, x // side, npy(tile), difference_hash(tile)), strict=True):
-                        column.append(value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["media_id", "tile_y", "tile_x", "npy", "dhash"])
+        for rows in batches:
+            for key, data in zip(rows.column(0), rows.column(1), strict=True):
+                try:
+                    parts = cut(decode(data.as_py() or b""), side)
+                except ValueError:
+                    continue
+                while out := [(key.as_py(), *p) for p in islice(parts, 256)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["media_id", "tile_y", "tile_x", "npy", "dhash"])
 
-    return map_batches(df.select(id_column, data_column), batch, "media_id long, tile_y int, tile_x int, npy binary, dhash string")
+    return df.select(id_column, data_column).mapInArrow(run, "media_id long, tile_y int, tile_x int, npy binary, dhash string")
 
 
 def write_tiles(df: DataFrame, path: str, **options) -> None:
@@ -157,32 +186,37 @@ def write_tiles(df: DataFrame, path: str, **options) -> None:
     tiles(df, **options).write.mode("overwrite").parquet(path)
 
 
-def media_of(text: str | None, kind: str = "ppm") -> tuple[int, bytes]:
+def media_of(text: str | None, kind: str | None = None) -> tuple[int, bytes]:
     """A text's UTF-8 as an image 64 samples of 3 bytes wide, filled up with spaces to whole rows and one row at least:
-    its bytes unpadded, and the file."""
+    its bytes unpadded, and the file. Its kind is ppm or bmp; where none is named the text's checksum chooses."""
     raw = encoded(text)
     rows = max(1, -(-len(raw) // 192))
     image = np.frombuffer(raw.ljust(rows * 192), np.uint8).reshape(rows, 64, 3)
+    kind = kind or ("ppm", "bmp")[zlib.crc32(raw) % 2]
     return len(raw), encode_bmp(image) if kind == "bmp" else encode_netpbm(image)
 
 
 def features(media: bytes) -> tuple[bytes, str]:
-    """What a stored image holds: its samples, and a feature of its difference hash and the digest of its thumbnail (the
-    image at 8 x 8, rounded) as an NPY tile."""
+    """What a stored image holds: its samples, read back from its NPY tiles, and a feature: the image's difference hash, the
+    digest of its thumbnail (the image at 8 x 8, rounded) and that of its tiles with their hashes."""
     image = decode(media)
+    parts = list(cut(image, SIDE))
     thumbnail = npy(np.rint(np.round(resize(image, 8, 8), 6)).astype(np.uint8))
-    return np.ascontiguousarray(image).tobytes(), f"{difference_hash(image)}-{hashlib.sha256(thumbnail).hexdigest()[:16]}"
+    digest = hashlib.sha256()
+    for y, x, data, dhash in parts:
+        digest.update(b"%d,%d,%s," % (y, x, dhash.encode()) + hashlib.sha256(data).digest())
+    return joined(parts).tobytes(), f"{difference_hash(image)}-{hashlib.sha256(thumbnail).hexdigest()[:16]}-{digest.hexdigest()[:16]}"
 
 
-def store_texts(df: DataFrame, kind: str = "ppm") -> DataFrame:
-    """Every text stored as an image and read back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32,
-    media_bytes, media_sha256, feature. Null text counts as empty: one row of spaces. Equal texts give equal values;
-    null and repeated doc_ids are kept."""
+def store_texts(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """Every text stored as an image, cut into NPY tiles and read back from them: doc_id, n_bytes, payload_bytes,
+    payload_sha256, tail_crc32, media_bytes, media_sha256, feature. Null text counts as empty: one row of spaces. Equal texts
+    give equal values; null and repeated doc_ids are kept."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [], [], [], [], [])
-        for text in rows.column(1).to_pylist():
-            n, media = media_of(text, kind)
+        for text in rows.column(1):
+            n, media = media_of(text.as_py(), kind)
             payload, feature = features(media)
             values = n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
             for column, value in zip(out, values, strict=True):

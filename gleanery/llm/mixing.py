@@ -12,13 +12,13 @@ The tree deals the quotas to output shards: a node with so many blocks of each s
 a multivariate hypergeometric draw, down to single shards, whose quotas add up exactly. Shards then own disjoint runs of
 each source's sequence of blocks, and shuffle within themselves. Draws are seeded by the node, so that reruns agree.
 
-Nothing is gathered but one row for each source and sums for its blocks: `most_sources` bounds both, and a table with more
-sources raises. The opened block is found level by level by its documents' hashes, each level an aggregation to BLOCKS
-sums for each source, so that neither a hot source nor a long one lands in one task. A block of BLOCKS documents at most
-is opened at once.
+The driver holds the plan, a row for each source, and the sums of the blocks of `AT_ONCE` sources. The opened block is found
+level by level by its documents' hashes, each level an aggregation to BLOCKS sums for each source, so that neither a hot
+source nor a long one lands in one task. A block of BLOCKS documents at most is opened at once.
 
-A null source is a source, the last in order. Null text has size 0. A null id counts as an id of its own; rows that agree
-in source, id and size are taken together.
+A null source is a source, the last in order. Null text has size 0. A document's place in the permutation comes from its
+source, id and text: rows that agree in all of them are taken together, as one of their common size, and rows without an id
+are apart.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ LEVELS = 5
 WEIGHTS = (5, 2, 1)
 #: Times that a source, and so a document, is taken at most.
 MOST = 3
+#: Sources whose blocks' sums are gathered at a time.
+AT_ONCE = 2_000
 #: Output shards, at least, and the words that each holds from there on.
 SHARDS = 64
 SHARD_WORDS = 20_000_000
@@ -88,7 +90,7 @@ class Plan:
 
 
 def _hash(seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col("source").isNull(), "source", F.col("doc_id").isNull(), "doc_id")
+    return F.xxhash64(F.lit(seed), F.col("source").isNull(), "source", F.col("doc_id").isNull(), "doc_id", "text")
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
@@ -96,18 +98,18 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         sizes = [len(encoded(t).split()) for t in rows.column(2).to_pylist()]
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.string()), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.string()), pa.array(sizes, pa.int64()), rows.column(3)], ["doc_id", "source", "size", "h"])
 
-    rows = map_batches(docs.select("doc_id", "source", "text"), batch, "doc_id long, source string, size long")
-    return rows.withColumn("h", F.shiftrightunsigned(_hash(seed), 64 - BITS * LEVELS))
+    return map_batches(docs.select("doc_id", "source", "text", _place(seed)), batch, "doc_id long, source string, size long, h long")
 
 
-def plan(rows: DataFrame, shards: int | None, seed: int, most_sources: int = 20_000) -> Plan:
+def _place(seed: int) -> Column:
+    return F.shiftrightunsigned(_hash(seed), 64 - BITS * LEVELS).alias("h")
+
+
+def plan(rows: DataFrame, shards: int | None, seed: int) -> Plan:
     """From sized() rows."""
-    totals = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    found = totals.limit(most_sources + 1).collect()
-    if len(found) > most_sources:
-        raise ValueError(f"more than {most_sources} sources; raise most_sources if the driver can hold {BLOCKS} sums for each")
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).collect()
     found.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
     sources, sizes = [r.source for r in found], [r["size"] for r in found]
     shards = shards or max(SHARDS, -(-sum(sizes) // SHARD_WORDS))
@@ -126,6 +128,12 @@ def _border(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction
     """For each source with rows among these, the hash of the first document that is too much for its rest, or one above
     all. What lies before is taken off its rest."""
     out: dict[int, int] = {}
+    if len(rest) > AT_ONCE:
+        for at in range(0, len(rest), AT_ONCE):
+            some = {i: rest[i] for i in list(rest)[at : at + AT_ONCE]}
+            out |= _border(rows, sources, some)
+            rest |= some
+        return out
     place = {s: i for i, s in enumerate(sources)}
     at = {i: (0, 0) for i in rest}  # level and path of the block that is open
     level_of = {i: 1 for i in rest}
@@ -206,13 +214,33 @@ def deal(quotas: list[int], shards: int, seed: int, node: int = 1) -> Iterator[n
         return
     left = shards // 2
     n = int(have.sum()) * left // shards
-    rng = np.random.default_rng([seed, node])
-    # numpy's "marginals" draw takes one hypergeometric draw for each source; its populations end at a billion
-    drawn = rng.multivariate_hypergeometric(have, n, method="marginals") if have.sum() < 1_000_000_000 and len(have) else have * left // shards
+    drawn = draw(have, n, np.random.default_rng([seed, node]))
     yield from deal(drawn.tolist(), left, seed, 2 * node)
     yield from deal((have - drawn).tolist(), shards - left, seed, 2 * node + 1)
 
 
+#: numpy draws from populations below this.
+POPULATION = 1_000_000_000
+
+
+def draw(have: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many blocks of each source are among n of all blocks: multivariate hypergeometric, for populations of any size."""
+    total = int(have.sum())
+    if total < POPULATION:
+        return rng.multivariate_hypergeometric(have, n, method="marginals") if len(have) else have
+    # Every block goes left by a coin of n / total. Whatever number that gives, the blocks on the left are a uniform choice of
+    # so many, and remain one when uniformly chosen blocks change sides until there are n.
+    drawn = rng.binomial(have, n / total)
+    surplus = int(drawn.sum()) - n
+    pool = drawn if surplus > 0 else have - drawn
+    ends = np.cumsum(pool)
+    picked: set[int] = set()
+    while len(picked) < abs(surplus):
+        picked |= set(rng.integers(0, ends[-1], abs(surplus) - len(picked)).tolist())
+    moved = np.bincount(np.searchsorted(ends, np.fromiter(picked, np.int64, len(picked)), "right"), minlength=len(have))
+    return drawn - moved if surplus > 0 else drawn + moved
+
+
 def mix(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFrame:
     """doc_id, size, source_size, target, taken, shards (those that hold the document's copies, by epoch) for every row."""
     rows = checkpointed(sized(docs, seed))
@@ -260,6 +288,5 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFra
                 out = part.take(pa.array(row[at : at + 1000], pa.int32())).drop_columns(["h"])
                 yield out.append_column("shard", pa.array(shard[at : at + 1000], pa.int32()))
 
-    hashed = rows.withColumn("h", F.shiftrightunsigned(_hash(seed), 64 - BITS * LEVELS))
-    dealt = hashed.mapInArrow(copies, "doc_id long, text string, lang string, source string, n_chars long, shard int")
-    return dealt.repartition(planned.n_shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "doc_id")).drop("shard")
+    dealt = rows.select("*", _place(seed)).mapInArrow(copies, "doc_id long, text string, lang string, source string, n_chars long, shard int")
+    return dealt.repartitionById(planned.n_shards, "shard").sortWithinPartitions("shard", F.xxhash64("shard", "doc_id")).drop("shard")

@@ -3,12 +3,16 @@
 Trusted positives are rows labelled 1; everything else on the web is unlabelled. With the class prior p, the risk of a
 scorer over positives and unlabelled texts is p * R+(positives) + max(0, R-(unlabelled) - p * R-(positives)): the second
 part estimates the risk on negatives, and holding it at zero from below keeps a flexible scorer from driving it negative.
-The scorer, a small network over counts of bytes and of pairs of byte classes, minimises this with the sigmoid loss. The
-prior is estimated from the learning rows' labels, or where none is 0 from how unlabelled rows score beside positives.
-Where both labels occur, the scorer's margin is then turned into a probability by a logistic fit on those rows.
+The scorer, a small network over counts of bytes and of pairs of byte classes, minimises this with the sigmoid loss; a score of
+0.5 is where the risk parts the two. Rows labelled 0 are not read.
 
-Fitting takes a bounded sample (`sample` labelled and as many unlabelled documents, by a hash of the id); scoring covers
-every whole text. Null text counts as empty and is scored like any other. Without a learning row every score is 0.5.
+The prior is estimated from positives and unlabelled texts alone. A linear split of the two, fitted on one half of each, orders
+the other half. Of a top bin in that order, the share of unlabelled texts in it over the share of positives in it is at most
+the prior, plus the negatives' part; the least such quotient, with a margin for what chance does to small bins, is the estimate.
+
+Fitting takes a bounded sample (`sample` positives and as many unlabelled documents, by a hash of the id); scoring covers
+every whole text. Rows that repeat an id count once in it, by the least of their features. Null text counts as empty and is
+scored like any other. Without a positive, or without a learning row, every score is 0.5.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm._common import encoded, fold, map_batches
 
-#: Labelled, and unlabelled, documents that fitting takes at most.
+#: Positive, and unlabelled, documents that fitting takes at most.
 SAMPLE = 10_000
 
 
@@ -88,7 +92,6 @@ class Scorer:
         rng = np.random.default_rng(seed)
         self.mean, self.scale = mean.astype(np.float32), scale.astype(np.float32)
         self.weights = [w.astype(np.float32) for w in (rng.normal(0, len(mean) ** -0.5, (len(mean), hidden)), np.zeros(hidden), rng.normal(0, hidden**-0.5, hidden), np.zeros(1))]
-        self.slope, self.offset = 1.0, 0.0
 
     def prepared(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -105,75 +108,77 @@ class Scorer:
         return [z.T @ inner, inner.sum(0), h.T @ up, np.array([up.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(self.prepared(x)).astype(np.float64) + self.offset, -30, 30)))
+        return sigmoid(self.margin(self.prepared(x)).astype(np.float64))
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
 
+def risk(scorer: Scorer, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """The positives' part of the risk, the estimate of the negatives' part, and the gradient of the step to take: down the
+    risk, or where the estimate is below zero, back up that estimate."""
+    fp, fu = sigmoid(scorer.margin(p)), sigmoid(scorer.margin(u))
+    # sigmoid loss: 1 - s for label 1, s for label 0, where s is the sigmoid of the margin
+    slope_p, slope_u = fp * (1 - fp) / len(fp), fu * (1 - fu) / len(fu)
+    negatives = float(fu.mean() - prior * fp.mean())
+    up_p, up_u = (-2 * prior * slope_p, slope_u) if negatives >= 0 else (prior * slope_p, -slope_u)
+    gradient = [x + y for x, y in zip(scorer.gradient(p, up_p.astype(np.float32)), scorer.gradient(u, up_u.astype(np.float32)), strict=True)]
+    return float(prior * (1 - fp).mean()), negatives, gradient
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, negative: np.ndarray, steps: int = 400, hidden: int = 16, seed: int = 7) -> Scorer | None:
-    """By non-negative unbiased risk; `negative` serves the prior and the last logistic fit only."""
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, hidden: int = 16, seed: int = 7) -> Scorer | None:
+    """By non-negative unbiased risk."""
     if not len(positive) or not len(unlabelled):
         return None
     everything = np.concatenate([positive, unlabelled]).astype(np.float64)
     scorer = Scorer(everything.mean(0), everything.std(0) + 1e-2, hidden, seed)
     p, u = scorer.prepared(positive), scorer.prepared(unlabelled)
-    prior = len(positive) / (len(positive) + len(negative)) if len(negative) else _prior(p, u, seed)
+    prior = class_prior(p, u, seed)
     first, second = [np.zeros_like(w) for w in scorer.weights], [np.zeros_like(w) for w in scorer.weights]
     rng = np.random.default_rng(seed)
     decay = 1e-4 + 0.5 / len(p)  # few positives are soon learned by heart
     for step in range(1, steps + 1):
         bp, bu = p[rng.integers(0, len(p), 512)], u[rng.integers(0, len(u), 1024)]
-        fp, fu = (1 / (1 + np.exp(-np.clip(scorer.margin(x), -30, 30))) for x in (bp, bu))
-        # sigmoid loss: 1 - s for label 1, s for label 0, where s is the sigmoid of the margin
-        slope_p, slope_u = fp * (1 - fp) / len(fp), fu * (1 - fu) / len(fu)
-        negatives = fu.mean() - prior * fp.mean()
-        if negatives >= 0:
-            up_p, up_u = -2 * prior * slope_p, slope_u
-        else:  # the estimate went below zero: step back
-            up_p, up_u = prior * slope_p, -slope_u
-        gradient = [x + y for x, y in zip(scorer.gradient(bp, up_p.astype(np.float32)), scorer.gradient(bu, up_u.astype(np.float32)), strict=True)]
-        for i, (w, g) in enumerate(zip(scorer.weights, gradient, strict=True)):
+        for i, (w, g) in enumerate(zip(scorer.weights, risk(scorer, bp, bu, prior)[2], strict=True)):
             g = g + decay * w
             first[i], second[i] = 0.9 * first[i] + 0.1 * g, 0.999 * second[i] + 0.001 * g * g
             w -= 0.01 * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    if len(negative):
-        _calibrate(scorer, scorer.margin(p), scorer.margin(scorer.prepared(negative)))
     return scorer
 
 
-def _prior(p: np.ndarray, u: np.ndarray, seed: int) -> float:
-    """Share of positives among unlabelled rows: how they score, beside positives, by a linear split of the two."""
-    mean = p.mean(0) - u.mean(0)
-    return float(np.clip(np.mean(u @ mean >= np.quantile(p @ mean, 0.05)) / 0.95, 0.05, 0.95))
-
-
-def _calibrate(scorer: Scorer, positive: np.ndarray, negative: np.ndarray) -> None:
-    m = np.concatenate([positive, negative]).astype(np.float64)
-    # targets drawn in a little, so that separable margins don't run away
-    t = np.concatenate([np.full(len(positive), 1 - 1 / (len(positive) + 2)), np.full(len(negative), 1 / (len(negative) + 2))])
-    spread = float(m.std()) + 1e-9
-    m, a, b = m / spread, 1.0, 0.0
-    for _ in range(50):  # Newton, the slope drawn to 1
-        s = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30)))
-        v = s * (1 - s) + 1e-9
-        g = np.array([((s - t) * m).sum() + (a - 1), (s - t).sum()])
-        h = np.array([[(v * m * m).sum() + 1, (v * m).sum()], [(v * m).sum(), v.sum() + 1e-3]])
-        da, db = np.linalg.solve(h, g)
-        a, b = a - da, b - db
-        if abs(da) + abs(db) < 1e-9:
-            break
-    if a > 0:  # else the labels contradict the order; leave the margin as it is
-        scorer.slope, scorer.offset = float(a) / spread, float(b)
-
-
-def _sampled(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with these ids; ids is bounded, so it is broadcast."""
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        blobs = [features(t).tobytes() for t in rows.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "f"])
-
-    rows = map_batches(docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text"), batch, "doc_id long, f binary")
-    got = {r.doc_id: r.f for r in rows.dropDuplicates(["doc_id"]).toLocalIterator()}
-    return np.array([np.frombuffer(got[k], np.float32) for k in sorted(got)], np.float32).reshape(-1, WIDTH)
+def class_prior(p: np.ndarray, u: np.ndarray, seed: int) -> float:
+    """Share of positives among unlabelled rows, by the best top bin of a split that each half's other half was fitted on."""
+    rng = np.random.default_rng(seed)
+    half_p, half_u = rng.permutation(len(p)) % 2, rng.permutation(len(u)) % 2
+    scores_p, scores_u = np.zeros(len(p)), np.zeros(len(u))
+    for h in (0, 1):
+        w, c = _linear_split(p[half_p == h], u[half_u == h])
+        scores_p[half_p != h], scores_u[half_u != h] = sigmoid(p[half_p != h] @ w + c), sigmoid(u[half_u != h] @ w + c)
+    return best_bin(scores_p, scores_u)
+
+
+def best_bin(scores_p: np.ndarray, scores_u: np.ndarray) -> float:
+    """The least quotient of shares over all top bins, each with what chance may do to it."""
+    at = np.unique(scores_p)
+    in_p = 1 - np.searchsorted(np.sort(scores_p), at, "left") / len(scores_p)
+    in_u = 1 - np.searchsorted(np.sort(scores_u), at, "left") / len(scores_u)
+    chance = sum(np.sqrt(np.log(40) / (2 * n)) for n in (len(scores_p), len(scores_u)))
+    best = int(np.argmin((in_u + 1.01 * chance) / in_p))
+    return float(np.clip(in_u[best] / in_p[best], 0.02, 0.98))
+
+
+def _linear_split(p: np.ndarray, u: np.ndarray, steps: int = 200) -> tuple[np.ndarray, float]:
+    """A logistic fit of positives against unlabelled rows, both of the same weight."""
+    if not len(p) or not len(u):
+        return np.zeros(p.shape[1], np.float32), 0.0
+    w, c = np.zeros(p.shape[1], np.float32), 0.0
+    for step in range(steps):
+        fp, fu = 1 - sigmoid(p @ w + c), sigmoid(u @ w + c)
+        rate = 0.1 / (1 + step / 50)
+        w += rate * (p.T @ fp / len(p) - u.T @ fu / len(u) - 1e-3 * w).astype(np.float32)
+        c += rate * float(fp.mean() - fu.mean())
+    return w, c
 
 
 def _by_hash(df: DataFrame, n: int) -> DataFrame:
@@ -181,12 +186,22 @@ def _by_hash(df: DataFrame, n: int) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Scorer | None:
-    """From the rows whose crc32 leaves another remainder than 1 by 3."""
+    """From the rows whose crc32 leaves another remainder than 1 by 3. An id that labels mark 0 and 1 is no positive."""
     learning = docs.where(~fold(F.col("doc_id"), 3, 1))
     marks = labels.where(~fold(F.col("doc_id"), 3, 1)).where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sampled = marks.join(F.broadcast(_by_hash(marks, sample)), "doc_id")
-    positive, negative = (_sampled(learning, sampled.where(F.col("quality") == q).select("doc_id")) for q in (1, 0))
-    return fit(positive, _sampled(learning, _by_hash(learning, sample)), negative)
+    # the sampled ids are bounded, so they are broadcast, and documents are read once for both parts
+    ids = _by_hash(marks.where("quality = 1"), sample).select("doc_id", F.lit(True).alias("p"), F.lit(False).alias("u"))
+    ids = ids.union(_by_hash(learning, sample).select("doc_id", F.lit(False), F.lit(True)))
+    ids = ids.groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+
+    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
+        blobs = [features(t.as_py()).tobytes() for t in rows.column(1)]
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(blobs, pa.binary()), *rows.columns[2:]], ["doc_id", "f", "p", "u"])
+
+    rows = map_batches(learning.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "p", "u"), batch, "doc_id long, f binary, p boolean, u boolean")
+    got = sorted(rows.groupBy("doc_id", "p", "u").agg(F.min("f").alias("f")).toLocalIterator(), key=lambda r: r.doc_id)
+    parts = (np.array([np.frombuffer(r.f, np.float32) for r in got if r[k]], np.float32).reshape(-1, WIDTH) for k in ("p", "u"))
+    return fit(*parts)
 
 
 def score(docs: DataFrame, scorer: Scorer | None) -> DataFrame:

@@ -36,7 +36,7 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text stored as a PPM image and read back, with features."""
+    """Every whole text stored as a PPM or BMP image, cut into NPY tiles and read back from them, with features."""
     return store_texts(table(spark, sf_dir, "documents"))
 
 

@@ -149,15 +149,16 @@ def _bests(rows: DataFrame, length: int, wave: Wave, k: int, scale: int) -> Data
 
 
 def _kth_bins(bests: DataFrame, ranges: Broadcast, k: int) -> DataFrame:
-    """q, bin, above: for each query the bin of its range that holds its k-th score, and how many scores are beyond it."""
+    """q, bin, above: for each query the bin of its range that holds its k-th score, and how many scores are beyond it. A
+    range has `span` bins, BINS but in the last step; what lies above it has been counted."""
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, _, shift = ranges.value
+        low, _, shift, span = ranges.value
         counts: dict[int, int] = {}
         for batch in batches:
             q, s = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             bins = (s.view(np.uint64) - low[q].view(np.uint64)) >> np.uint64(shift)
-            take = (s >= low[q]) & (bins < BINS)
+            take = (s >= low[q]) & (bins < span)
             for key, n in zip(*np.unique(q[take].astype(np.int64) * BINS + bins[take].astype(np.int64), return_counts=True), strict=True):
                 counts[int(key)] = counts.get(int(key), 0) + int(n)
         keys = np.fromiter(counts, np.int64, len(counts))
@@ -187,8 +188,8 @@ def _selected(bests: DataFrame, wave: Wave, norm: float, k: int) -> DataFrame:
     bits = (2 * int(bound.max()) + 1).bit_length()
     above, shift = np.zeros(len(low), np.int64), min(bits, 64)
     while shift:
-        shift = max(0, shift - BIN_BITS)
-        for r in _kth_bins(bests, context.broadcast((low.copy(), above.copy(), shift)), k).toLocalIterator():
+        was, shift = shift, max(0, shift - BIN_BITS)
+        for r in _kth_bins(bests, context.broadcast((low.copy(), above.copy(), shift, 1 << (was - shift))), k).toLocalIterator():
             low[r.q] = np.int64(int(low[r.q]) + (r.bin << shift))
             above[r.q] = r.above
     reached = context.broadcast(low)

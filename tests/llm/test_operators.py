@@ -145,7 +145,7 @@ def test_frequent_words(docs, rows):
     assert codec.frequent_words(docs, keep=5)[0] == max(want, key=lambda w: (want[w], w))
 
 
-@pytest.mark.parametrize("kind", ["ppm", "bmp"])
+@pytest.mark.parametrize("kind", ["ppm", "bmp", None])
 def test_media(docs, rows, kind):
     got = Counter(tuple(r[:5]) for r in media.store_texts(docs, kind).collect())
     want = Counter()
@@ -176,6 +176,60 @@ def test_media_formats(spark):
         assert (np.load(io.BytesIO(t.npy)) == image[t.tile_y * 16 : t.tile_y * 16 + 16, t.tile_x * 16 : t.tile_x * 16 + 16]).all()
 
 
+def palette_bmp(samples, colours, height=2):
+    """An 8-bit BMP of rows of four samples."""
+    import struct
+
+    head = struct.pack("<IHHIIiiHHIIiiII", 0, 0, 0, 54 + 4 * colours, 40, 4, height, 1, 8, 0, len(samples), 0, 0, colours, 0)
+    return b"BM" + head + bytes(x for i in range(colours) for x in (3 * i, 2 * i, i, 0)) + bytes(samples)
+
+
+def test_corrupt_media(spark):
+    good = {10: b"P2 2 1 255 0 255", 11: b"P5 2 1 3\n\x00\x03", 12: palette_bmp(range(8), 8), 13: b"P3 1 1 9 # of nine\n0 9 # red, green\n3", 14: palette_bmp(range(8), 8, -2)}
+    bad = [b"P2 2 1 255 0 256", b"P2 2 1 255 0 -1", b"P2 2 1 255 0 99999999999", b"P2 2 1 255 0 x", b"P2 2 1 255 0", b"P5 2 1 3\n\x00\x04", b"P6 2 1 255\n\x00", b"P5 0 1 255\n", b"P5 1 1 0\n\x00", b"P5 1 1 65535\n\x00\x00"]
+    bad += [palette_bmp([0, 1, 2, 8, 0, 0, 0, 0], 8), palette_bmp(range(8), 8)[:-1], palette_bmp(range(8), 8)[:60], b"BM" + b"\xff" * 80, b"BM" + b"\0" * 80]
+    for data in bad:
+        with pytest.raises(ValueError):
+            media.decode(data)
+    assert media.decode(good[10]).ravel().tolist() == [0, 255] and media.decode(good[11]).ravel().tolist() == [0, 255] and media.decode(good[13]).ravel().tolist() == [0, 255, 85]
+    assert media.decode(good[12])[0].tolist() == [[i, 2 * i, 3 * i] for i in range(4, 8)] and media.decode(good[14])[0, 1].tolist() == [1, 2, 3]
+    df = spark.createDataFrame([*enumerate(bad, 100), *good.items()], "media_id long, data binary")
+    assert {t.media_id for t in media.tiles(df).collect()} == set(good)
+
+
+def plain_hash(image):
+    """Difference hash by the mean over fractions of samples."""
+
+    def cover(n, m):
+        return np.array([[max(0, min((y + 1) * n / m, i + 1) - max(y * n / m, i)) for i in range(n)] for y in range(m)])
+
+    h, w = image.shape[:2]
+    grey = np.einsum("yi,xj,ijc->yxc", cover(h, 8), cover(w, 9), image.astype(float)).mean(axis=2).round(4)
+    return f"{int(''.join(str(int(a < b)) for row in grey for a, b in zip(row, row[1:], strict=False)), 2):016x}"
+
+
+def test_media_feature_and_stored_form(docs, rows):
+    """The stored file from its format's rules, and the feature from tiles cut plainly."""
+    import io
+
+    by_id = {i: t for i, t in rows if i is not None}
+    for r in media.store_texts(docs).where("doc_id is not null and n_bytes < 30000").collect():
+        raw = (by_id[r.doc_id] or "").encode()
+        payload = raw.ljust(max(192, -(-len(raw) // 192) * 192))
+        image = np.frombuffer(payload, np.uint8).reshape(-1, 64, 3)
+        if zlib.crc32(raw) % 2:
+            assert r.media_bytes == 54 + len(payload)
+        else:
+            stored = f"P6\n64 {len(image)}\n255\n".encode() + payload
+            assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        digest = hashlib.sha256()
+        for y in range(0, len(image), 64):
+            out = io.BytesIO()
+            np.save(out, image[y : y + 64])
+            digest.update(f"{y // 64},0,{plain_hash(image[y : y + 64])},".encode() + hashlib.sha256(out.getvalue()).digest())
+        assert r.feature.split("-")[0] == plain_hash(image) and r.feature.split("-")[2] == digest.hexdigest()[:16]
+
+
 @pytest.mark.parametrize("shape", [(37, 64, 3), (3, 5, 1), (1, 1, 3), (9000, 2, 1)])
 def test_area_resize(shape):
     image = np.random.default_rng(0).integers(0, 256, shape).astype(np.uint8)
@@ -276,9 +330,65 @@ def test_quality(spark):
     assert {r.doc_id for r in out if r.predicted} == kept
     # nothing to learn from
     assert {r.score for r in quality.classify(df, labels.limit(0)).collect()} == {0.5}
-    # positives only: the prior comes from the unlabelled
-    only = {r.doc_id: r.score for r in quality.classify(df, labels.where("quality = 1")).collect()}
-    assert np.mean([only[i] for i in range(300)]) > np.mean([only[1000 + i] for i in range(300)]) + 0.3
+    # rows labelled 0 aren't read
+    only = quality.classify(df, labels.where("quality = 1"), sample=400).collect()
+    assert sorted(map(tuple, only), key=str) == sorted(map(tuple, out), key=str)
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    """Ids that repeat with other texts and other labels, and a text of four million bytes: reruns agree."""
+    rows = [(i % 40, f"text {i} of many words " * (1 + i % 7)) for i in range(200)] + [(900, "word " * 800_000), (901, "x" * 1_000_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, i % 2, 0) for i in range(60)] + [(i, 1, 0) for i in range(0, 20, 2)], "doc_id long, quality int, toxic int")
+    one = quality.classify(df.repartition(4), labels).collect()
+    two = quality.classify(df.repartition(2).orderBy(F.desc("text")), labels.repartition(3)).collect()
+    assert len(one) == len(two) == 202
+    # sums of other batches differ in their last bits
+    assert all(a[:2] == b[:2] and abs(a.score - b.score) < 1e-5 for a, b in zip(sorted(one), sorted(two), strict=True))
+
+
+def plain_risk(weights, p, u, prior):
+    """The positives' part and the negatives' part, by sums over single rows."""
+    a, b, c, d = (w.astype(np.float64) for w in weights)
+
+    def s(x):
+        return 1 / (1 + np.exp(-(np.tanh(x.astype(np.float64) @ a + b) @ c + d[0])))
+
+    return prior * np.mean([1 - s(x) for x in p]), np.mean([s(x) for x in u]) - prior * np.mean([s(x) for x in p])
+
+
+@pytest.mark.parametrize("prior", [0.3, 9.0])  # the second only to get below zero
+def test_risk_and_its_gradient(prior):
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(0.5, 1, (30, 6)).astype(np.float32), rng.normal(-0.8, 1, (50, 6)).astype(np.float32)
+    scorer = quality.Scorer(np.zeros(6), np.ones(6), 5, 1)
+    scorer.weights = [w + rng.normal(0, 0.5, w.shape).astype(np.float32) for w in scorer.weights]
+    positives, negatives, gradient = quality.risk(scorer, p, u, prior)
+    assert np.allclose((positives, negatives), plain_risk(scorer.weights, p, u, prior), atol=1e-5)
+
+    def target():
+        one, two = plain_risk(scorer.weights, p, u, prior)
+        return one + two if negatives >= 0 else -two
+
+    assert (negatives < 0) == (prior > 0.9)
+    for w, g in zip(scorer.weights, gradient, strict=True):
+        for at in list(np.ndindex(w.shape))[:8]:
+            was = w[at]
+            w[at] = was + 1e-2
+            up = target()
+            w[at] = was - 1e-2
+            down = target()
+            w[at] = was
+            assert abs((up - down) / 2e-2 - g[at]) < 1e-3
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.5, 0.9])
+def test_class_prior(prior):
+    rng = np.random.default_rng(5)
+    p = rng.normal(1, 1, (3000, 4)).astype(np.float32)
+    of_p = rng.random(4000) < prior
+    u = np.where(of_p[:, None], rng.normal(1, 1, (4000, 4)), rng.normal(-1.5, 1, (4000, 4))).astype(np.float32)
+    assert abs(quality.class_prior(p, u, 3) - prior) < 0.06
 
 
 def test_quality_held_out(spark):
@@ -356,6 +466,42 @@ def test_deal_is_exact():
         assert np.ptp(dealt.sum(1)) <= 2 + shards // 8
 
 
+def test_draws_from_large_populations():
+    rng = np.random.default_rng(1)
+    have = np.array([1_500_000_000, 0, 700_000_000, 3])
+    drawn = np.array([mixing.draw(have, 900_000_000, rng) for _ in range(20)])
+    assert (drawn.sum(1) == 900_000_000).all() and (drawn >= 0).all() and (drawn <= have).all() and len(np.unique(drawn[:, 0])) > 10
+    assert abs(drawn[:, 0].mean() - 900_000_000 * 1.5e9 / have.sum()) < 20_000
+    small = np.array([6, 4, 0])
+    counts = Counter(int(mixing.draw(small, 5, rng)[0]) for _ in range(4000))
+    mixing_population, mixing.POPULATION = mixing.POPULATION, 1
+    try:
+        other = Counter(int(mixing.draw(small, 5, rng)[0]) for _ in range(4000))
+    finally:
+        mixing.POPULATION = mixing_population
+    assert all(abs(counts[x] - other[x]) < 250 for x in range(1, 6)) and set(other) <= set(range(1, 6))
+
+
+@pytest.mark.parametrize("repeated", ["id", "row", "none"])
+def test_mixing_of_repeated_rows(spark, monkeypatch, repeated):
+    """25 rows an id: of different texts, of the same text, and without ids."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 2)
+    rng = random.Random(12)
+    rows = []
+    for s in "abcd":
+        for i in range(60):
+            n = rng.randint(5, 60)
+            rows += [(None if repeated == "none" else i, " ".join(["w"] * (n - 1) + [f"x{i}" if repeated == "row" else f"x{i}-{j}"]), "e", s, 1) for j in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.mix(df.repartition(4)).collect()
+    most = max(len(r[1].split()) for r in rows) * (25 if repeated == "row" else 1)
+    by = {t: [r for r in out if r.target == t] for t in {r.target for r in out}}
+    assert sum(r.taken for r in out) > 0 and len(out) == len(rows)
+    for target, mine in by.items():
+        for size in {r.source_size for r in mine}:
+            assert abs(sum(r.taken for r in mine if r.source_size == size) - target) <= most / 2
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, ("w " * rng.choice([1, 5, 40, 90])), "e", rng.choice(["a", "b", "ä", "c", None]), 1) for i in range(1500)]
@@ -469,8 +615,8 @@ def test_topk_of_large_components(spark, kind):
     rng = np.random.default_rng(4)
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (100, [3e6, 1e7]), (2, [-3e6, 1.0]), (200, [0.0, 1e-3]), (3, [0.0, 2e5]), (4, [1.0, -2e5])]
     if kind == "double":
-        rows.append((5, [1e15, -3e14]))  # its products with 100 are beyond a long, their sum is 0
-    rows += [(i, rng.normal(0, 1, 2).tolist()) for i in range(300, 390)]
+        rows.append((5, [-1e15, 3e14]))  # its products with 100 are beyond a long, their sum is 0
+    rows += [(i, rng.normal(0, 1, 2).tolist()) for i in range(301, 390)]
     df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
     got = topk.search(df, F.col("vec_id") % 100 == 0).collect()
     assert sorted(map(tuple, got)) == plain_topk(spark_floats(rows) if kind == "float" else rows)
