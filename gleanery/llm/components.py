@@ -1,44 +1,101 @@
-"""Connected components of a graph given as edges, by alternating large-star and small-star steps.
+"""Connected components of a graph given as edges.
 
-Links never reach the driver: each step is a few joins and aggregations, checkpointed in the shared folder. A node with
-very many links is a hot key of the joins, whose other side has one row for it, so adaptive execution splits it; the
-aggregations combine before they shuffle.
+Each round contracts the edges that a task holds, `PER_TASK` at most on average: whatever they connect becomes a star around
+its smallest node. While edges need more than one task, a large-star and a small-star step follow, which link nodes across
+tasks, and the next round begins; once they fit one task, or a round changes nothing, the stars are the components.
+
+Links never reach the driver. A node with very many links is a hot key of the steps' joins, whose other side has one row for
+it and is dealt by a key of its own, so that adaptive execution can split it; the aggregations combine before they shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm._common import checkpointed
 
-#: Far above what any graph of this kind needs; a run that reaches it raises.
-MOST_STEPS = 60
+#: Edges that a task contracts at a time.
+PER_TASK = 1_000_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """edges: a, b (long). Returns node, root for every node of an edge between different nodes; root is the smallest
     node reachable. Edges with a null, and loops, link nothing."""
-    stars = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    stars = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
     state = None
-    for _ in range(MOST_STEPS):
-        stars = checkpointed(_small_star(_large_star(stars)))
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
-        if now == state:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b")).distinct()
+    while True:
+        now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
+        tasks = -(-now.n // per_task)
+        if now == state or tasks <= 1:
+            stars = stars if now == state else checkpointed(_contracted(stars, 1, per_task))
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
         state = now
-    raise RuntimeError(f"components didn't settle in {MOST_STEPS} steps")
+        stars = checkpointed(_small_star(_large_star(_contracted(stars, tasks, per_task))))
+
+
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges between these, and the smallest node that each reaches."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = np.arange(len(nodes))
+    x, y = place[: len(a)], place[len(a) :]
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return nodes, nodes[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while not np.array_equal(nearer := root[root], root):
+            root = nearer
+
+
+def _contracted(stars: DataFrame, tasks: int, per_task: int) -> DataFrame:
+    """The edges as stars of what the edges of each task connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def contract() -> tuple[np.ndarray, np.ndarray]:
+            nodes, root = roots(np.concatenate([a, *(x for x, _ in held)]), np.concatenate([b, *(y for _, y in held)]))
+            return nodes[nodes != root], root[nodes != root]
+
+        for rows in batches:
+            held.append(tuple(rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            size += rows.num_rows
+            if size >= per_task:
+                (a, b), held, size = contract(), [], 0
+                if len(a) >= per_task:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a = b = np.zeros(0, np.int64)
+        a, b = contract()
+        for at in range(0, len(a), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(a[at : at + 65_536]), pa.array(b[at : at + 65_536])], ["a", "b"])
+
+    return stars.coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
+def _own(column: Column) -> Column:
+    """The same long, as a key by which a side that is aggregated by it is dealt anew."""
+    return column.bitwiseXOR(F.lit(0).cast("long"))
 
 
 def _large_star(stars: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, itself included. a > b in each row."""
     both = stars.union(stars.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least.hint("shuffle_merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(_own(F.col("u")).alias("w"), "m")
+    return both.where("v > u").join(least.hint("shuffle_merge"), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to its smallest neighbour."""
     least = stars.groupBy("a").agg(F.min("b").alias("m"))
-    moved = stars.join(least.hint("shuffle_merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    own = least.select(_own(F.col("a")).alias("w"), "m")
+    moved = stars.join(own.hint("shuffle_merge"), F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(moved).distinct()

@@ -1,16 +1,23 @@
-"""One document of each group of near copies, by the similarity of word shingles.
+"""SimHash near-dedup by the similarity of word shingles: one document of each group of near copies.
 
 Two texts are near copies where the sets of their shingles of `width` words have a Jaccard similarity of `SIMILAR` or
-more, and a group is what such links connect. Candidates come from min-hashes: `BANDS` keys of `ROWS` minima each, of
-which a pair of similarity s shares one with a probability of 1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8. Texts that
-keys connect are candidates of one group; within it similarity is counted exactly, from each text to those not yet
-reached, so that a group of n copies costs n comparisons, and one of n texts without links n * n.
+more, and a group is what such links connect. Candidates come from two sources:
 
-Texts of the same shingles are first taken as one. A candidate group is held by one task, as 8 bytes a shingle.
+- links of the texts' SimHash fingerprints within `DISTANCE` bits, by pigeonhole blocks (`gleanery.llm.simhash`);
+- min-hashes: `BANDS` keys of `ROWS` minima each, of which a pair of similarity s shares one with a probability of
+  1 - (1 - s ** ROWS) ** BANDS, 0.9999 at 0.8.
 
-A null text counts as empty, and the texts of no words are copies of each other. Fewer words than `width` are one
-shingle. Of a group the row of the smallest doc_id stays, one without an id only where no other has one; between rows of
-one id in one group the smallest hash of the row. Rows of one id in several groups stay, one in each.
+The second is there because the first can't do it alone: the fingerprints of two texts of similarity 0.8 differ in 9.7 of 64
+bits in the mean, and keys that pigeonhole such pairs would hold so few bits that unrelated texts share them.
+
+Texts that candidates connect are compared by their sets of shingles, exactly, from each text to those not yet reached: a
+group of n copies costs n comparisons, and one of n texts without links n * n. A candidate group of more than `HELD` shingles
+is cut into parts, and each pair of its parts is a task of its own, so that no task holds more than some 2 * HELD.
+
+Texts of the same shingles are first taken as one. A null text counts as empty, and the texts of no words are copies of each
+other. Fewer words than `width` are one shingle. Of a group the row of the smallest doc_id stays, one without an id only where
+no other has one; between rows of one id in one group the smallest hash of the row. Rows of one id in several groups stay, one
+in each.
 """
 
 from __future__ import annotations
@@ -23,11 +30,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm import simhash
 from gleanery.llm._common import checkpointed, encoded
 from gleanery.llm.components import components
 
 BANDS = 24
 ROWS = 5
+#: Bits in which fingerprints that make candidates differ at most, and the blocks of which half agree then.
+DISTANCE = 3
+BLOCKS = 6
+#: Shingles of a candidate group, or of a part of it, at most; a single text may have more.
+HELD = 4_000_000
 #: The similarity from which texts are copies, as a fraction.
 SIMILAR = (4, 5)
 #: Shingles compared, or min-hashed, at a time.
@@ -109,69 +122,115 @@ def _sliced(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def _stars(dealt: DataFrame) -> DataFrame:
-    """k, name: a, b from each name to the least of its key, as many links as rows at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a long."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), RUN):
+        ones += np.unpackbits(hashes[at : at + RUN].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def _leasts(k: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in the order of k and name: where each k begins, and the least name of every row's k."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
+    return starts, name[starts], np.repeat(name[starts], np.diff(np.concatenate([starts, [len(k)]])))
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """name, keys: a, b from names to the least of each key. Tasks combine what they hold of a key before it is shuffled: of a
+    hot key each sends its least name, and links that are found go along under a key of their own."""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            k, name = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort([name, k])
+            k, name = k[order], name[order]
+            starts, first, centre = _leasts(k, name)
+            apart = centre != name
+            pairs = np.unique(np.stack([name[apart], centre[apart]], axis=1), axis=0)
+            columns = np.concatenate([k[starts], pairs[:, 0]]), np.concatenate([first, pairs[:, 0]]), np.concatenate([first, pairs[:, 1]])
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.arange(len(columns[0])) >= len(starts))], ["k", "a", "b", "found"])
+
+        for part in batches:
+            keys = part.column(1)
+            held.append((keys.flatten().to_numpy(), np.repeat(part.column(0).to_numpy(zero_copy_only=False), keys.value_lengths().to_numpy(zero_copy_only=False))))
+            size += len(held[-1][0])
+            if size >= 2_000_000:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_k, last = None, 0
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            k, name = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            starts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1])
-            first = name[starts].copy()  # the least, as names are in order within a key
-            if k[0] == last_k:
-                first[0] = last
-            last_k, last = k[-1], first[-1]
-            centre = np.repeat(first, np.diff(np.concatenate([starts, [len(k)]])))
-            link = centre != name
-            yield pa.RecordBatch.from_arrays([pa.array(name[link]), pa.array(centre[link])], ["a", "b"])
-
-    return dealt.repartition("k").sortWithinPartitions("k", "name").mapInArrow(run, "a long, b long").distinct()
+        for part in batches:
+            k, a, b, found = (part.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            ends = [(a[found], b[found])]
+            k, a = k[~found], a[~found]
+            if len(k):
+                _, first, centre = _leasts(k, a)
+                if k[0] == last_k:  # went on from the batch before, whose least is less
+                    centre[k == last_k] = first[0] = last
+                last_k, last = k[-1], first[-1]
+                ends.append((a, centre))
+            a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    combined = rows.select("name", "keys").mapInArrow(combine, "k long, a long, b long, found boolean")
+    return combined.repartition("k").sortWithinPartitions("found", "k", "a").mapInArrow(meet, "a long, b long")
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """root, name, set: a, b, the links of each candidate group."""
+    """cell, name, shingles: a, b, the links of each cell. Rows of a cell are together."""
 
     def found(names: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.array(links_within(names, held), np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, names, held = None, [], []
+        cell, names, held = None, [], []
         for rows in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            for r, name, s in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
-                if r != root:
-                    yield found(names, held)
-                    root, names, held = r, [], []
+            for c, name, s in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+                if c != cell:
+                    if len(names) > 1:
+                        yield found(names, held)
+                    cell, names, held = c, [], []
                 if not names or names[-1] != name:
                     names.append(name)
                     held.append(np.frombuffer(s, np.uint64))
-        yield found(names, held)
+        if len(names) > 1:
+            yield found(names, held)
 
-    return sets.repartition("root").sortWithinPartitions("root", "name").mapInArrow(run, "a long, b long")
+    return sets.repartition("cell").sortWithinPartitions("cell", "name").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, width: int = 5) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, held: int = HELD) -> DataFrame:
     """doc_id, row (a hash of the whole row), component for every row of documents."""
     docs = docs.withColumn("row", _row())
 
     def signed(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t, width) for t in rows.column(2).to_pylist()]
-        names = pa.array([name_of(s) for s in sets], pa.int64())
+        values = [name_of(s) for s in sets], [fingerprint_of(s) for s in sets], list(map(len, sets))
         keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), names, keys], ["doc_id", "row", "name", "keys"])
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *(pa.array(v, pa.int64()) for v in values), keys], ["doc_id", "row", "name", "fp", "n", "keys"])
 
     def with_set(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = pa.array([shingles(t, width).tobytes() for t in rows.column(2).to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sets], ["root", "name", "shingles"])
-
-    rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, "doc_id long, row long, name long, keys array<long>"))
-    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "keys")).alias("x")).select("name", "x.row", "x.keys")
-    candidates = components(_stars(firsts.select(F.explode("keys").alias("k"), "name")))
-    wanted = candidates.join(firsts.select("name", "row"), F.col("node") == F.col("name")).select("root", "name", "row")
-    texts = docs.select("row", "text").join(wanted, "row").select("root", "name", "text")
-    linked = components(_links(_sliced(texts, with_set, "root long, name long, shingles binary")))
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sets, *rows.columns[3:]], ["root", "name", "shingles", *rows.schema.names[3:]])
+
+    rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, "doc_id long, row long, name long, fp long, n long, keys array<long>"))
+    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "fp", "n")).alias("x")).select("name", "x.*")
+    near = simhash.links(firsts.where("n > 0").select("fp", F.col("name").alias("node")), DISTANCE, BLOCKS)
+    candidates = checkpointed(components(_stars(rows).union(near)).join(firsts, F.col("node") == F.col("name")).select("root", "name", "row", "n"))
+    # each group in as many parts as it takes, each pair of parts a cell
+    parts = candidates.groupBy("root").agg(F.ceil(F.sum("n") / held).cast("int").alias("parts"))
+    dealt = candidates.join(parts.hint("shuffle_merge"), "root").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least("part", other), F.greatest("part", other)))
+    texts = docs.select("row", "text").join(dealt.select("root", "name", "row", cells.alias("cells")), "row").select("root", "name", "text", "cells")
+    sets = _sliced(texts, with_set, "root long, name long, shingles binary, cells array<long>")
+    linked = components(_links(sets.select(F.explode("cells").alias("cell"), "name", "shingles")))
     # copies by the thousand share a name: a hot key, met by one row of the other side
     named = rows.select("doc_id", "row", "name").join(linked.hint("shuffle_merge"), F.col("name") == F.col("node"), "left")
     return named.select("doc_id", "row", F.coalesce("root", "name").alias("component"))

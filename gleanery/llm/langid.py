@@ -4,9 +4,10 @@ A text is cut into windows of `WINDOW` bytes. Bytes are embedded, filters of sev
 filter's greatest response is pooled, and a softmax over the pooled responses gives each language's probability. A text's
 probabilities are the mean over all of its windows.
 
-Training takes a bounded sample of documents (`per_language` ids of each language, by a hash of the id, and `windows` of
-each, spread evenly); prediction covers every byte of every text. A text that is null or has no letter is `und`, with
-score 0, as is every text where nothing was learned.
+Training takes a bounded sample of documents: `per_language` ids of each language, by a hash of the id, fewer where there are
+so many languages that these would be more than `sample` ids, but one at least; and of each `per_document` windows, spread
+evenly. Of rows that repeat an id and a language the windows that come first in order are taken. Prediction covers every byte of every text. A text
+that is null or has no letter is `und`, with score 0, as is every text where nothing was learned.
 """
 
 from __future__ import annotations
@@ -124,31 +125,43 @@ def predict(network: Network | None, texts: list[str | None]) -> tuple[list[str]
     return names, scores
 
 
-def train(docs: DataFrame, per_language: int = 500, per_document: int = 8) -> Network | None:
+def sampled(learning: DataFrame, per_language: int, sample: int) -> DataFrame:
+    """lang, doc_id: those of the least hashes of each language. Only ids whose hash is below a bound, by the language's number
+    of rows, are ranked: eight times as many as are wanted, so that a ranking doesn't grow with the table."""
+    counts = learning.groupBy("lang").count()
+    languages = counts.count()
+    n = max(1, min(per_language, sample // max(1, languages)))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    held = F.broadcast(counts) if languages <= sample else counts
+    few = learning.select("lang", "doc_id").join(held, "lang").where(place.cast("double") * F.col("count") <= float(8 * n << 40)).select("lang", "doc_id").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    return few.withColumn("n", rank).where(F.col("n") <= n).select("lang", "doc_id")
+
+
+def train(docs: DataFrame, per_language: int = 500, per_document: int = 8, sample: int = 20_000) -> Network | None:
     """From text and lang of the rows whose crc32 leaves another remainder than 0 by 5."""
-    learning = docs.where(~fold(F.col("doc_id"), 5, 0)).where("lang is not null and text is not null and doc_id is not null")
-    ranked = learning.select("doc_id", "lang").withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= per_language)
-    ids = ranked.select("doc_id").distinct()
+    learning = docs.select("doc_id", "lang", "text").where(~fold(F.col("doc_id"), 5, 0)).where("lang is not null and text is not null and doc_id is not null")
+    ids = sampled(learning, per_language, sample)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [])
-        for key, lang, text in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-            if _LETTER.search(text):
-                cut = windows(text)
-                for i in sorted(set(np.linspace(0, len(cut) - 1, per_document).astype(int).tolist())):
-                    for column, value in zip(out, (key, lang, cut[i].tobytes()), strict=True):
-                        column.append(value)
+        for key, lang, text in zip(*rows.columns, strict=True):
+            if _LETTER.search(text.as_py()):
+                cut = windows(text.as_py())
+                chosen = sorted(set(np.linspace(0, len(cut) - 1, per_document).astype(int).tolist()))
+                for column, value in zip(out, (key.as_py(), lang.as_py(), cut[chosen].tobytes()), strict=True):
+                    column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "lang", "w"])
 
-    # the ids are bounded by languages and per_language; a repeated id brings its windows once
-    sampled = map_batches(learning.join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text"), batch, "doc_id long, lang string, w binary")
-    rows = sorted((r.lang, r.doc_id, r.w) for r in sampled.distinct().toLocalIterator())
+    # the ids are bounded by the sample, or by the languages
+    found = map_batches(learning.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text"), batch, "doc_id long, lang string, w binary")
+    rows = sorted((r.lang, r.doc_id, r.w) for r in found.groupBy("lang", "doc_id").agg(F.min("w").alias("w")).toLocalIterator())
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
     network = Network(languages)
-    x = np.array([np.frombuffer(r[2], np.uint8) for r in rows])
-    network.learn(x, np.array([languages.index(r[0]) for r in rows]))
+    each = [np.frombuffer(r[2], np.uint8).reshape(-1, WINDOW) for r in rows]
+    network.learn(np.concatenate(each), np.repeat([languages.index(r[0]) for r in rows], list(map(len, each))))
     return network
 
 

@@ -3,10 +3,10 @@
 A source's documents fall, by a hash of source and id, into `BLOCKS` blocks: a random permutation, cut into blocks. A
 source whose target is e times its size and a rest gives each block e times, and of one more epoch the first blocks of
 the permutation that make up the rest. So each source has an exact quota of blocks; the block where the rest ends is
-opened, and its documents are taken in the order of the permutation while they fit whole. From the first that doesn't fit
-on, what is left is filled along the permutation by all documents that fit, round by round: each ends at a document that
-fitted what was left when it began. At last one document more is taken where that brings the source nearer. So a gap is
-never larger than half of any document that could have filled it.
+opened, and its documents are taken in the order of the permutation while they fit whole. What is left, less than the first
+document that doesn't fit, is filled from the documents after it: by the longest that fit, again and again, and at last by one
+that is too long by less than what is left. Which ones of a size are taken the permutation decides. So a gap is never larger
+than half of any document that could have filled it.
 
 The tree deals the quotas to output shards: a node with so many blocks of each source splits them between its halves by
 a multivariate hypergeometric draw, down to single shards, whose quotas add up exactly. Shards then own disjoint runs of
@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.llm._common import checkpointed, encoded, map_batches
 
@@ -68,23 +69,36 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return out
 
 
+@dataclass
+class Fill:
+    """Documents beyond the border that are taken once more: of a size, up to a hash; and by their hashes. The latter are for
+    sizes of which some rows share a place; they hold no more words than the longest document."""
+
+    ends: dict[int, int]
+    places: frozenset[int]
+
+
 @dataclass
 class Plan:
-    """For each source: whole epochs, the hash below which documents are taken once more, and the runs that fill it up; the
-    shard borders of its sequence of blocks. A run takes sizes above `least`, up to `most`, in hashes from `start` to `end`."""
+    """For each source: whole epochs, the hash below which documents are taken once more, and what fills it up; the shard
+    borders of its sequence of blocks."""
 
     sources: list[str | None]
     sizes: list[int]
     targets: list[float]
     epochs: list[int]
     below: list[int]
-    fills: list[list[tuple[int, int, int, int]]]
+    fills: list[Fill]
     borders: list[list[int]]
     n_shards: int
 
+    def needs_size(self, i: int, h: int) -> bool:
+        return h >= self.below[i] and bool(self.fills[i].ends)
+
     def shards(self, i: int, h: int, size: int) -> list[int]:
         """Where each copy of a document of source i lies."""
-        copies = self.epochs[i] + (h < self.below[i] or any(start <= h < end and least < size <= most for start, end, least, most in self.fills[i]))
+        fill = self.fills[i]
+        copies = self.epochs[i] + (h < self.below[i] or h < fill.ends.get(size, 0) or h in fill.places)
         last = self.borders[i][-1] - 1  # a filling document goes with the last block
         return [bisect_right(self.borders[i], min(last, e * BLOCKS + (h >> (BITS * (LEVELS - 1))))) if last >= 0 else 0 for e in range(copies)]
 
@@ -169,35 +183,50 @@ def _border(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction
     return out
 
 
-def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> list[list[tuple[int, int, int, int]]]:
-    """Runs from the border on that bring each source nearer to its target, until no document of it would."""
-    out: list[list[tuple[int, int, int, int]]] = [[] for _ in sources]
-    place = {s: i for i, s in enumerate(sources)}
-    start = {i: below[i] for i, r in rest.items() if r > 0}
-    left = {i: rest[i] for i in start}
-    while going := {i: int(r) for i, r in left.items() if i in start and r >= 1}:
-        wanted = _frame(rows, "t string, start long, most long", [(sources[i], start[i], m) for i, m in going.items()])
-        fit = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > 0) & (F.col("size") <= F.col("most"))).select("source", "h", "size")
-        now = {i: left[i] for i in going}
-        ends = _border(fit, sources, now)
-        for i, most in going.items():
-            if i not in ends:
-                del start[i]
-                continue
-            if now[i] < left[i]:
-                out[i].append((start[i], ends[i], 0, most))
-            # rows of one id may fit one by one and not together: they are passed over
-            start[i] = ends[i] + (now[i] == left[i])
-            left[i] = now[i]
-    over = [(sources[i], below[i], int(r), float(r)) for i, r in left.items() if r > 0]
-    if over:
-        held = F.broadcast(_frame(rows, "t string, start long, least long, rest double", over))
-        near = rows.join(held, F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > F.col("least")) & (F.col("size") < 2 * F.col("rest")))
-        whole = near.groupBy("source", "h", "rest").agg(F.sum("size").alias("size"), F.max("size").alias("most"))
-        far = F.abs(F.col("size") - F.col("rest"))
-        for r in whole.where(far < F.col("rest")).groupBy("source").agg(F.min(F.struct(far.alias("far"), "h", "most")).alias("x")).collect():
-            i = place[r.source]
-            out[i].append((r.x.h, r.x.h + 1, int(left[i]), r.x.most))
+def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> list[Fill]:
+    """What brings each source nearer to its target, from the border on."""
+    out = [Fill({}, frozenset()) for _ in sources]
+    open_ = [i for i, r in rest.items() if r > 0]
+    for at in range(0, len(open_), AT_ONCE):
+        for i, fill in _filled(rows, sources, {i: rest[i] for i in open_[at : at + AT_ONCE]}, below).items():
+            out[i] = fill
+    return out
+
+
+def _filled(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> dict[int, Fill]:
+    wanted = _frame(rows, "t string, i int, start long, most double", [(sources[i], i, below[i], float(2 * r)) for i, r in rest.items()])
+    unused = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > 0) & (F.col("size") < F.col("most")))
+    # rows that share a place are a unit of so many times their size
+    units = unused.groupBy("i", "size", "h").count().withColumnRenamed("count", "m")
+    kinds: dict[int, dict[tuple[int, int], int]] = {}
+    for r in units.groupBy("i", "size", "m").count().toLocalIterator():
+        kinds.setdefault(r.i, {})[r["size"], r.m] = r["count"]
+    # the longest units that fit first, then one that is too long by less than what is left
+    chosen: dict[tuple[int, int, int], int] = {}
+    for i, counts in kinds.items():
+        left = rest[i]
+        words = {k: k[0] * k[1] for k in counts}
+        for k in sorted(counts, key=lambda k: (-words[k], k)):
+            if n := min(counts[k], int(left // words[k])):
+                chosen[i, *k] = n
+                left -= n * words[k]
+        over = min((k for k, n in counts.items() if left < words[k] < 2 * left and n > chosen.get((i, *k), 0)), key=lambda k: (words[k], k), default=None)
+        if over is not None:
+            chosen[i, *over] = chosen.get((i, *over), 0) + 1
+    if not chosen:
+        return {}
+    # of each kind so many as are next in the permutation
+    asked = _frame(rows, "i int, size long, m long, n int", [(*k, n) for k, n in chosen.items()])
+    place = F.row_number().over(Window.partitionBy("i", "size", "m").orderBy("h"))
+    ranked = units.join(F.broadcast(asked), ["i", "size", "m"]).withColumn("k", place).where(F.col("k") <= max(chosen.values())).where("k <= n")
+    mixed_sizes = {(i, size) for i, counts in kinds.items() for size, m in counts if m > 1}
+    whole = F.col("m") == 1
+    single = {(r.i, r["size"]): r.end for r in ranked.where(whole).groupBy("i", "size").agg(F.max("h").alias("end")).toLocalIterator()}
+    out = {i: Fill({size: end + 1 for (j, size), end in single.items() if j == i and (j, size) not in mixed_sizes}, frozenset()) for i in kinds}
+    if named := mixed_sizes & {k[:2] for k in chosen}:
+        some = _frame(rows, "i int, size long", sorted(named))
+        for r in ranked.join(F.broadcast(some), ["i", "size"], "left_semi").groupBy("i").agg(F.collect_list("h").alias("h")).toLocalIterator():
+            out[r.i] = Fill(out[r.i].ends, frozenset(r.h))
     return out
 
 
@@ -280,8 +309,7 @@ def mixed(docs: DataFrame, shards: int | None = None, seed: int = 20) -> DataFra
             row, shard = [], []
             for j, (source, h) in enumerate(zip(part.column("source").to_pylist(), part.column("h").to_pylist(), strict=True)):
                 i = place[source]
-                filling = h >= p.below[i] and any(start <= h < end for start, end, _, _ in p.fills[i])
-                held = p.shards(i, h, len(encoded(part.column("text")[j].as_py()).split()) if filling else 0)
+                held = p.shards(i, h, len(encoded(part.column("text")[j].as_py()).split()) if p.needs_size(i, h) else 0)
                 row += [j] * len(held)
                 shard += held
             for at in range(0, len(row), 1000):

@@ -32,8 +32,12 @@ from pyspark.sql import DataFrame
 from gleanery.llm._common import map_batches
 
 MARK = "▁"
-#: Entries after which a worker's cache starts anew.
+#: Entries after which a worker's cache starts anew, and the characters of an entry at most: longer ones are forgotten after
+#: their batch.
 CACHE = 500_000
+LONG = 64
+#: Characters of a pre-token from which its agenda is held in arrays.
+ARRAYS = 2_048
 
 
 class MergeModel:
@@ -64,6 +68,8 @@ class MergeModel:
 
     def merge(self, text: str) -> list[int]:
         """Ids of a normalised text, by a score-ordered agenda of adjacent pairs."""
+        if len(text) >= ARRAYS:
+            return self._merge_in_arrays(text)
         symbols = list(text)
         last = len(symbols) - 1
         rank = self.rank
@@ -107,6 +113,53 @@ class MergeModel:
                     out.append(self.unknown)
         return out
 
+    def _numbered(self) -> tuple[list[str], dict[str, int], dict[int, int], np.ndarray]:
+        """Symbols that can be part of a merge, and their numbers: the pieces, by rank, then further characters of pieces; the
+        piece that two symbols make, by their numbers; and each piece's place among the ranks."""
+        if not hasattr(self, "_numbers"):
+            symbols = sorted(self.ids, key=lambda p: (self.rank[p], p))
+            symbols += sorted({c for p in symbols for c in p} - self.ids.keys())
+            number = {s: i for i, s in enumerate(symbols)}
+            made = {number[p[:i]] << 32 | number[p[i:]]: n for n, p in enumerate(symbols[: len(self.ids)]) for i in range(1, len(p)) if p[:i] in number and p[i:] in number}
+            place = np.unique([self.rank[p] for p in symbols[: len(self.ids)]], return_inverse=True)[1]
+            self._numbers = symbols, number, made, place
+        return self._numbers
+
+    def _merge_in_arrays(self, text: str) -> list[int]:
+        """merge() of a long text: symbols are numbers in arrays, and the agenda is a heap of longs, each the place of a pair's
+        score among all scores before the place in the text, so that a character takes some 50 bytes and not hundreds."""
+        symbols, number, made, place = self._numbered()
+        ranks = place.tolist()
+        last = len(text) - 1
+        at = array("q", (number.get(c, -1) for c in text))
+        after, before = array("q", range(1, last + 2)), array("q", range(-1, last))
+        agenda = [ranks[p] << 40 | i for i in range(last) if at[i] >= 0 <= at[i + 1] and (p := made.get(at[i] << 32 | at[i + 1])) is not None]
+        heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
+        gone = -2
+        while agenda:
+            entry = pop(agenda)
+            i = entry & 0xFFFFFFFFFF
+            x, j = at[i], after[i]
+            if x < 0 or j > last or at[j] < 0 or (pair := made.get(x << 32 | at[j])) is None or ranks[pair] != entry >> 40:
+                continue
+            at[i], at[j] = pair, gone
+            after[i] = k = after[j]
+            if k <= last:
+                before[k] = i
+                if at[k] >= 0 and (p := made.get(pair << 32 | at[k])) is not None:
+                    push(agenda, ranks[p] << 40 | i)
+            h = before[i]
+            if h >= 0 and at[h] >= 0 and (p := made.get(at[h] << 32 | pair)) is not None:
+                push(agenda, ranks[p] << 40 | h)
+        out: list[int] = []
+        for i, x in enumerate(at):
+            if x >= 0 and (found := self.ids.get(symbols[x])) is not None:
+                out.append(found)
+            elif x != gone:
+                out.extend([self.byte_ids[b] for b in text[i].encode("utf-8")] if self.bytes_fall_back else [self.unknown])
+        return out
+
     def pre_tokens(self, text: str) -> list[str]:
         """The pre-tokens of a text, with word marks for spaces; the empty text has none."""
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -133,19 +186,22 @@ def model_of(data: bytes) -> MergeModel:
 
 class _Chunks(dict):
     """Space-delimited chunks to their ids as little-endian bytes. Missing ones are encoded by pre-token; `fresh` holds
-    pre-tokens that the library has still to confirm."""
+    pre-tokens that the library has still to confirm, `long` those too long to be kept beyond their batch."""
 
     def __init__(self, model: MergeModel):
-        self.model, self.tokens, self.fresh = model, {}, []
+        self.model, self.tokens, self.long, self.fresh = model, {}, {}, []
 
     def token(self, pre_token: str) -> bytes:
-        if (found := self.tokens.get(pre_token)) is None:
-            found = self.tokens[pre_token] = array("I", self.model.merge(pre_token)).tobytes()
+        held = self.tokens if len(pre_token) <= LONG else self.long
+        if (found := held.get(pre_token)) is None:
+            found = held[pre_token] = array("I", self.model.merge(pre_token)).tobytes()
             self.fresh.append(pre_token)
         return found
 
     def __missing__(self, chunk: str) -> bytes:
-        out = self[chunk] = b"".join(map(self.token, self.model.pattern.findall(MARK + chunk)))
+        out = b"".join(map(self.token, self.model.pattern.findall(MARK + chunk)))
+        if len(chunk) <= LONG:
+            self[chunk] = out
         return out
 
     def encode(self, text: str) -> bytes:
@@ -160,14 +216,16 @@ class _Chunks(dict):
         wrong = 0
         if self.fresh:
             for x, ids in zip(self.fresh, self.model.by_library(self.fresh), strict=True):
-                if (right := array("I", ids).tobytes()) != self.tokens[x]:
-                    self.tokens[x], wrong = right, wrong + 1
+                held = self.tokens if len(x) <= LONG else self.long
+                if (right := array("I", ids).tobytes()) != held[x]:
+                    held[x], wrong = right, wrong + 1
             self.fresh = []
             if wrong:
                 self.clear()
         return wrong
 
     def bound(self) -> None:
+        self.long.clear()
         if len(self) > CACHE:
             self.clear()
         if len(self.tokens) > CACHE:
@@ -211,13 +269,13 @@ def encode_decode(df: DataFrame, model: bytes, id_column: str = "doc_id", text_c
     return df.select(id_column, text_column).mapInArrow(run, "doc_id long, ids array<int>, decoded string, n_corrected long")
 
 
-def _pieces(rows: pa.RecordBatch, characters: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch whose texts hold about so many characters: ids as Python lists are large."""
+def _pieces(rows: pa.RecordBatch, characters: int = 1_000_000, most: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch, of `most` rows, whose texts hold about so many characters: ids as Python lists are large."""
     start = 0
     while start < rows.num_rows:
         texts: list[str] = []
         size = 0
-        while start + len(texts) < rows.num_rows and size < characters:
+        while start + len(texts) < rows.num_rows and size < characters and len(texts) < most:
             texts.append(rows.column(1)[start + len(texts)].as_py() or "")
             size += len(texts[-1])
         yield rows.slice(start, len(texts)), texts
@@ -260,28 +318,30 @@ def digests(df: DataFrame, model: bytes) -> DataFrame:
 # Token counts
 
 
-def frequent_words(df: DataFrame, keep: int = 16_384, groups: int = 16) -> list[str]:
-    """The most frequent space-delimited words over every text, by mergeable counters: each task counts all of its
-    texts and hands on `keep` words at most, tasks' counters are merged in `groups` groups, then on the driver. What
-    travels are counters of bounded size, a row for each task, not pre-tokens."""
+def frequent_words(df: DataFrame, keep: int = 16_384, fan_in: int = 100, levels: int = 3) -> list[str]:
+    """The most frequent space-delimited words over every text, by mergeable counters: each task counts all of its texts and
+    hands on `keep` words at most; `fan_in` counters at a time are merged into one such, level by level, and the last, one for
+    a million tasks, on the driver. What travels are counters of bounded size, a row for each task, not pre-tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counter: Counter = Counter()
         for rows in batches:
-            for t in rows.column(0).to_pylist():
-                if t:
-                    counter.update(t.split(" "))
-            if len(counter) > 20 * keep:
-                counter = Counter(dict(counter.most_common(10 * keep)))
-        yield _counters(TaskContext.get().partitionId() % groups, counter, keep)
+            for t in rows.column(0):
+                if t := t.as_py():
+                    counter.update(x for x in t.split(" ") if len(x) <= LONG)
+                if len(counter) > 20 * keep:
+                    counter = Counter(dict(counter.most_common(10 * keep)))
+        yield _counters(TaskContext.get().partitionId() // fan_in, counter, keep)
 
     def merged(rows: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([_counters(rows.column("part")[0].as_py(), _sum(rows), keep)])
+        return pa.Table.from_batches([_counters(rows.column("part")[0].as_py() // fan_in, _sum(rows), keep)])
 
     schema = "part int, words array<string>, counts array<long>"
-    counters = df.select("text").mapInArrow(count, schema).groupBy("part").applyInArrow(merged, schema)
+    counters = df.select("text").mapInArrow(count, schema)
+    for _ in range(levels):
+        counters = counters.groupBy("part").applyInArrow(merged, schema)
     total: Counter = Counter()
     for row in counters.toLocalIterator():
         total.update(dict(zip(row.words, row.counts, strict=True)))
@@ -301,18 +361,28 @@ def _sum(rows: pa.Table) -> Counter:
 
 
 class _Lengths(dict):
-    """Second tier: lengths of chunks that the broadcast table lacks, kept by the worker. `wanted` holds pre-tokens whose
-    lengths the library has still to give; they count as 0 meanwhile."""
+    """Second tier: lengths of chunks that the broadcast table lacks, kept by the worker; what is longer than LONG is kept for
+    its run of texts only."""
 
     def __init__(self, model: MergeModel):
-        self.model, self.tokens = model, {}
+        self.model, self.tokens, self.long = model, {}, set()
 
     def learn(self, chunks: set[str]) -> None:
         parts = {c: self.model.pattern.findall(MARK + c) for c in chunks}
         new = list({p for x in parts.values() for p in x} - self.tokens.keys())
+        self.long.update(x for x in (*chunks, *new) if len(x) > LONG)
         self.tokens.update(zip(new, map(len, self.model.by_library(new)), strict=True) if new else ())
         self.update((c, sum(map(self.tokens.__getitem__, x))) for c, x in parts.items())
 
+    def bound(self) -> None:
+        if len(self) > CACHE or len(self.tokens) > CACHE:
+            self.clear()
+            self.tokens.clear()
+        for key in self.long:
+            self.pop(key, None)
+            self.tokens.pop(key, None)
+        self.long.clear()
+
 
 _lengths: dict[int, _Lengths] = {}
 
@@ -326,21 +396,19 @@ def count_tokens(df: DataFrame, model: bytes, limit: int = 4096, keep: int = 16_
     first: dict[str, int] = {}
     if m.cuts:
         learner = _Lengths(m)
-        learner.learn({w for w in frequent_words(df, keep) if w and MARK not in w and len(w) <= 64})
+        learner.learn({w for w in frequent_words(df, keep) if w and MARK not in w})
         first = dict(learner)
     shared, table = context.broadcast(model), context.broadcast(first)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         m, first = model_of(shared.value), table.value
-        texts = [t or "" for t in rows.column(1).to_pylist()]
         counts: list[int] = []
+        sizes: list[int] = []
         second = _lengths.setdefault(id(m), _Lengths(m))
-        for at in range(0, len(texts), 512):
-            if len(second) > CACHE or len(second.tokens) > CACHE:
-                second.clear()
-                second.tokens.clear()
-            counts += _counted(m, first, second, texts[at : at + 512])
-        sizes = [len(t.encode("utf-8")) for t in texts]
+        for _, texts in _pieces(rows, most=512):
+            second.bound()
+            counts += _counted(m, first, second, texts)
+            sizes += [len(t.encode("utf-8")) for t in texts]
         return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return map_batches(df.select("doc_id", "text"), batch, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -6,7 +6,8 @@ some choice of that many blocks: fingerprints are dealt by these keys, and those
 
 Texts with the same fingerprint are first taken as one. Of those that share a key no pairs are listed: each key's
 fingerprints are searched breadth first, and what leaves the search is a spanning forest, fewer links than fingerprints,
-which connects what all links connect. Components of these forests are components of all links.
+which connects what all links connect. Components of these forests are components of all links. `gleanery.llm.copies` takes
+its links as candidates for copies by the similarity of shingles.
 
 A null text counts as empty. The fingerprint of no words is zero, and linked like any other. Null doc_ids get a
 component, but name none unless no other member has an id; repeated rows are kept.
@@ -59,39 +60,79 @@ def fingerprints(df: DataFrame, width: int = 4) -> DataFrame:
 
 def choices(blocks: int, distance: int) -> list[int]:
     """Masks of each choice of `blocks - distance` blocks."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [sum(x) for x in combinations(masks, blocks - distance)]
+    return _masked(list(range(64)), blocks, blocks - distance)
 
 
-def links(distinct: DataFrame, distance: int = 4, blocks: int = 8) -> DataFrame:
-    """distinct: fp, without repeats. Returns a, b: links within `distance` bits that connect what all such links
-    connect. With 8 blocks keys hold 32 bits, so that unrelated fingerprints rarely share one even among billions."""
+def _masked(bits: list[int], groups: int, agree: int) -> list[int]:
+    """Masks of each choice of `agree` of so many groups of these bits."""
+    edges = [round(len(bits) * i / groups) for i in range(groups + 1)]
+    masks = [sum(1 << x for x in bits[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(x) for x in combinations(masks, agree)]
+
+
+def longer(mask: int, distance: int) -> list[int]:
+    """Masks for a key that too many fingerprints share: of its other bits in `distance` + 2 groups, any two agree."""
+    return [mask | x for x in _masked([i for i in range(64) if not mask >> i & 1], distance + 2, 2)]
+
+
+def links(prints: DataFrame, distance: int = 4, blocks: int = 8, hot: int = 20_000) -> DataFrame:
+    """prints: fp, node (a long that stands for the fingerprint's texts). Returns a, b: links between nodes of fingerprints
+    within `distance` bits that connect what all such links connect. With 8 blocks keys hold 32 bits, so that unrelated
+    fingerprints rarely share one even among billions. Keys of more than about `hot` fingerprints, counted in a 64th of the
+    fingerprints, are made longer by further blocks, so that a large family of near copies is dealt to many tasks and none
+    compares more than some `hot` with one another. The keys known as hot are at most 70 * 64 in `hot` rows."""
     masks = choices(blocks, distance)
+    context = prints.sparkSession.sparkContext
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            fp = rows.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fp), 4096):
-                part = fp[at : at + 4096].view(np.uint64)
-                grid = np.stack([_mixed(part & np.uint64(m), i) for i, m in enumerate(masks)])
-                yield pa.RecordBatch.from_arrays([pa.array(grid.reshape(-1).view(np.int64)), pa.array(np.tile(part.view(np.int64), len(masks)))], ["k", "fp"])
+    def keyed(batches: Iterator[pa.RecordBatch], hot_keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def batch(keys: list[np.ndarray], fps: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, fps, nodes)], ["k", "fp", "node"])
 
-    dealt = distinct.select("fp").mapInArrow(keys, "k long, fp long")
+        for rows in batches:
+            columns = [rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+            for at in range(0, rows.num_rows, 4096):
+                part, node = columns[0][at : at + 4096].view(np.uint64), columns[1][at : at + 4096].view(np.uint64)
+                out: tuple[list, ...] = ([], [], [])
+                for i, m in enumerate(masks):
+                    k = _mixed(part & np.uint64(m), i)
+                    is_hot = hot_keys[np.minimum(np.searchsorted(hot_keys, k), len(hot_keys) - 1)] == k if len(hot_keys) else np.zeros(len(k), bool)
+                    if is_hot.any():
+                        x, n = part[is_hot], node[is_hot]
+                        for j, more in enumerate(longer(m, distance)):
+                            for column, value in zip(out, (_mixed(x & np.uint64(more), len(masks) * (j + 1) + i), x, n), strict=True):
+                                column.append(value)
+                        k, x, n = k[~is_hot], part[~is_hot], node[~is_hot]
+                    else:
+                        x, n = part, node
+                    for column, value in zip(out, (k, x, n), strict=True):
+                        column.append(value)
+                yield batch(*out)
+
+    sample = prints.select("fp", "node").where(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0)
+    counted = sample.mapInArrow(lambda batches: keyed(batches, np.zeros(0, np.uint64)), "k long, fp long, node long").groupBy("k").count()
+    found = np.array([r.k for r in counted.where(F.col("count") > hot // 64).toLocalIterator()], np.int64).view(np.uint64)
+    shared = context.broadcast(np.sort(found))
+
+    dealt = prints.select("fp", "node").mapInArrow(lambda batches: keyed(batches, shared.value), "k long, fp long, node long")
     # Without the sort's help a key's rows are together only within a partition, which is all that is needed.
     dealt = dealt.repartition("k").sortWithinPartitions("k")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest_k, rest_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, ...]] = []  # rows of the last key, which may go on in the next batch
         for rows in batches:
-            k = np.concatenate([rest_k, rows.column(0).to_numpy(zero_copy_only=False)])
-            fp = np.concatenate([rest_fp, rows.column(1).to_numpy(zero_copy_only=False)])
-            if not len(k):
+            if not rows.num_rows:
                 continue
-            cut = int(np.searchsorted(k, k[-1], "left"))  # the last key may go on in the next batch
-            rest_k, rest_fp = k[cut:], fp[cut:]
-            yield _forest(k[:cut], fp[:cut], distance)
-        yield _forest(rest_k, rest_fp, distance)
+            columns = tuple(rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            cut = int(np.searchsorted(columns[0], columns[0][-1], "left"))
+            if held and columns[0][0] != held[0][0][0]:
+                yield _forest(*map(np.concatenate, zip(*held, strict=True)), distance)
+                held = []
+            if cut:
+                yield _forest(*map(np.concatenate, zip(*held, tuple(x[:cut] for x in columns), strict=True)), distance)
+                held = []
+            held.append(tuple(x[cut:] for x in columns))
+        if held:
+            yield _forest(*map(np.concatenate, zip(*held, strict=True)), distance)
 
     return dealt.mapInArrow(search, "a long, b long").distinct()
 
@@ -105,7 +146,7 @@ def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _forest(k: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
+def _forest(k: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> pa.RecordBatch:
     """A spanning forest of the links within each run of equal keys."""
     out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     if len(k) > 1:
@@ -115,21 +156,20 @@ def _forest(k: np.ndarray, fp: np.ndarray, distance: int) -> pa.RecordBatch:
         pairs = starts[sizes == 2]
         if len(pairs):
             near = np.bitwise_count((fp[pairs] ^ fp[pairs + 1]).view(np.uint64)) <= distance
-            out_a.append(fp[pairs][near])
-            out_b.append(fp[pairs + 1][near])
+            out_a.append(node[pairs][near])
+            out_b.append(node[pairs + 1][near])
         for s, e in zip(starts[sizes > 2], ends[sizes > 2], strict=True):
-            left = np.unique(fp[s:e])
+            left, name = fp[s:e], node[s:e]
             while len(left) > 1:
-                queue, left = [left[0]], left[1:]
+                queue, left, name = [(left[0], name[0])], left[1:], name[1:]
                 while queue and len(left):
-                    x = queue.pop()
+                    x, n = queue.pop()
                     near = np.bitwise_count((left ^ x).view(np.uint64)) <= distance
                     if near.any():
-                        found = left[near]
-                        left = left[~near]
-                        queue.extend(found)
-                        out_a.append(np.full(len(found), x))
-                        out_b.append(found)
+                        queue.extend(zip(left[near], name[near], strict=True))
+                        out_a.append(np.full(int(near.sum()), n))
+                        out_b.append(name[near])
+                        left, name = left[~near], name[~near]
     a, b = np.concatenate(out_a), np.concatenate(out_b)
     return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
@@ -139,7 +179,7 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = 4, blocks: in
     prints = checkpointed(fingerprints(df, width))
     # min() passes over nulls, so a null id names a component only where there is no other
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts, distance, blocks))
+    roots = components(links(firsts.select("fp", F.col("fp").alias("node")), distance, blocks))
     least = firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
     # fingerprints without links keep their own first; the others take their component's
     linked = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
@@ -147,20 +187,3 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = 4, blocks: in
     component = checkpointed(firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")))
     # copies by the thousand share a fingerprint: a hot key, met by one row of the other side
     return prints.join(component.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def representatives(df: DataFrame, width: int = 4, distance: int = 4, blocks: int = 8) -> DataFrame:
-    """documents with one of each group: the one that names its component. Rows that repeat an id are one document. Rows
-    without an id go where a member has one; of others one stays for each fingerprint."""
-    docs = df.select("doc_id", "text", "lang", "source", "n_chars")
-    found = checkpointed(near_duplicates(docs, width, distance, blocks))
-    named = docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-
-    def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        prints = [f"{fingerprint(t, width):016x}" for t in rows.column("text").to_pylist()]
-        return rows.append_column("fingerprint", pa.array(prints, pa.string()))
-
-    kinds = "doc_id long, text string, lang string, source string, n_chars long"
-    nameless = map_batches(docs.where("doc_id is null"), batch, f"{kinds}, fingerprint string")
-    alone = found.where("component_id is null").select("fingerprint").distinct()
-    return named.union(nameless.join(alone, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select(docs.columns))
