@@ -49,6 +49,28 @@ def test_all_of_similarity_stay_once(spark, texts):
     assert len(near) > 30 and not {b for _, b in near} & {r.doc_id for r in kept}
 
 
+def test_a_group_in_parts(spark, texts):
+    """Groups cut into many cells give the same components."""
+    rows = [(i, t, "x", "x", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, KINDS).repartition(3)
+    whole, cut = ({frozenset(m) for m in by_component(copies.groups(df, held=held).collect())} for held in (copies.HELD, 500))
+    assert whole == cut
+
+
+def by_component(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r.component, []).append(r.doc_id)
+    return out.values()
+
+
+def test_fingerprints_of_sets():
+    from tests.llm.test_operators import plain_fingerprint
+
+    words = " ".join(f"w{i}" for i in range(400))
+    assert copies.fingerprint_of(copies.shingles(words, 4)) % 2**64 == plain_fingerprint(words)
+
+
 def test_repeated_ids_keep_different_texts(spark):
     one, two = (" ".join(f"{c}{i}" for i in range(50)) for c in "ab")
     rows = [(1, one, "x", "x", 1), (1, two, "x", "x", 1), (1, one, "x", "x", 1), (1, one + " end", "y", "x", 1), (None, one, "x", "x", 1), (None, "lone", "x", "x", 1), (None, "lone", "x", "x", 1)]

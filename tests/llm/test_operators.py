@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gleanery.llm import langid, media, mixing, pii, quality, queries, simhash, substring, topk
+from gleanery.llm import copies, langid, media, mixing, pii, quality, queries, simhash, substring, topk
 from gleanery.llm import sentencepiece_codec as codec
 from gleanery.llm.components import components
 
@@ -275,8 +275,8 @@ def test_simhash(docs, rows):
     assert Counter(map(tuple, simhash.near_duplicates(docs).collect())) == want
 
 
-@pytest.mark.parametrize("blocks", [5, 7, 8])
-def test_links_connect_what_all_links_do(spark, blocks):
+@pytest.mark.parametrize(("blocks", "hot"), [(5, 20_000), (7, 20_000), (8, 20_000), (8, 64)])
+def test_links_connect_what_all_links_do(spark, blocks, hot):
     rng = random.Random(blocks)
     prints = {0, (1 << 64) - 1, 1, 3}
     for _ in range(30):
@@ -285,35 +285,31 @@ def test_links_connect_what_all_links_do(spark, blocks):
             prints.add(x)
             for _ in range(rng.randint(1, 5)):
                 x ^= 1 << rng.randrange(64)
+    if hot < 1000:  # a family that shares keys by the hundred
+        prints |= {0xABCDEF0123456789 ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(40)}
     prints = sorted(prints)
     signed = [p - (1 << 64) if p >> 63 else p for p in prints]
     want = plain_components(signed, lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    found = simhash.links(spark.createDataFrame([(p,) for p in signed], "fp long"), 4, blocks).collect()
+    found = simhash.links(spark.createDataFrame([(p, p) for p in signed], "fp long, node long"), 4, blocks, hot).collect()
+    if hot < 1000:
+        assert simhash.longer(simhash.choices(blocks, 4)[0], 4)[0].bit_count() > 32
     assert all(((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4 for a, b in found)
     got = plain_components(signed, lambda i, j, e={frozenset(x) for x in found}: frozenset((signed[i], signed[j])) in e)
     assert got == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [25, 1_000_000])
+def test_components(spark, per_task):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 6000 + i) for i in range(50)] + [(7, 7)]
     nodes = sorted({x for e in edges for x in e})
     linked = {frozenset(e) for e in edges}
     want = dict(zip(nodes, plain_components(nodes, lambda i, j: frozenset((nodes[i], nodes[j])) in linked), strict=True))
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
-    got = {r.node: r.root for r in components(df).collect()}
+    got = {r.node: r.root for r in components(df.repartition(6), per_task).collect()}
     assert got == {k: v for k, v in want.items() if any(k in e and len(e) == 2 for e in linked)}
 
 
-def test_representatives(docs, rows):
-    kept = simhash.representatives(docs).collect()
-    named = [r.doc_id for r in kept if r.doc_id is not None]
-    prints = [plain_fingerprint(t) for _, t in rows]
-    roots = plain_components([i for i, _ in rows], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
-    assert sorted(named) == sorted({r for r in roots if r is not None})
-    assert sum(r.doc_id is None for r in kept) == len({p for p, r in zip(prints, roots, strict=True) if r is None})
-
-
 def test_quality(spark):
     good = [(i, " ".join(random.Random(i).choices(["alpha", "beta,", "gamma", "delta."], k=30)), "x" * 3) for i in range(300)]
     bad = [(1000 + i, " ".join(random.Random(i).choices(["AL###", "BE!!", "$$$", "|"], k=30)), None) for i in range(300)]
@@ -665,7 +661,7 @@ def test_empty_tables(spark, none):
         codec.count_tokens(none, model),
         media.store_texts(none),
         simhash.near_duplicates(none),
-        simhash.representatives(none),
+        copies.representatives(none),
         quality.classify(none, labels),
         quality.kept(none, labels),
         mixing.mix(none),

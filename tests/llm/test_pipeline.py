@@ -34,11 +34,14 @@ def test_quality_keeps_what_the_classifier_accepts(spark, stages):
 
 
 def test_one_of_each_group_stays(spark, stages):
-    from tests.llm.test_operators import plain_components, plain_fingerprint
+    """Five-word shingles alike by 0.8 or more."""
+    from tests.llm.test_copies import alike, plain_shingles
+    from tests.llm.test_operators import plain_components
 
-    prints = [plain_fingerprint(r.text) for r in stages[1]]
-    roots = plain_components([r.doc_id for r in stages[1]], lambda i, j: (prints[i] ^ prints[j]).bit_count() <= 4)
+    sets = [plain_shingles(r.text) for r in stages[1]]
+    roots = plain_components([r.doc_id for r in stages[1]], lambda i, j: alike(sets[i], sets[j]))
     assert sorted(r.doc_id for r in stages[2]) == sorted(set(roots))
+    assert len(stages[2]) < len(stages[1])
 
 
 def test_personal_data_is_masked(stages):
