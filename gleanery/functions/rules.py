@@ -123,7 +123,19 @@ LOW_VALUE_PATHS = ("/tag/", "/tags/", "/page/", "/wp-content/", "/wp-includes/",
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "your", "our", "are", "was", "has", "have", "been", "will", "can", "all", "not", "but", "you", "more", "page", "home", "site", "www", "com")
 
 
-# What a page's body shows of its system.
+# Signs of analytics in HTML, and of training in titles and addresses.
+ANALYTICS = ("googletagmanager.com", "google-analytics.com", "gtag/js", "dataLayer", "analytics.js", "ga.js")
+TRAINING = ("training", "course", "courses", "learning", "cpd", "workshop", "webinar", "event", "events", "conference", "seminar", "masterclass")
+
+# What a page's generator, body and response headers show of its system.
+GENERATOR_MARKERS = (
+    ("WordPress", ("wordpress", "developer starter kit")),
+    ("Drupal", ("drupal",)),
+    ("Joomla", ("joomla",)),
+    ("SilverStripe", ("silverstripe",)),
+    ("Concrete5", ("concrete5", "concrete cms")),
+    ("TYPO3", ("typo3",)),
+)
 BODY_MARKERS = (
     ("WordPress", ("wp-content", "wp-includes", "wp-block-", "wp-json")),
     ("Drupal", ("drupal", "/sites/default/files/", "views-row", "drupal.js")),
@@ -131,6 +143,18 @@ BODY_MARKERS = (
     ("Next.js", ("__next", "_next/static", "_next/data")),
     ("Gatsby", ("__gatsby", "gatsby-")),
 )
+POWER_MARKERS = (("ASP.NET", ("asp.net",)), ("Express/Node", ("express",)), ("PHP", ("php",)))
+LATE_BODY_MARKERS = (
+    ("SilverStripe", ("silverstripe", "themes/pgme")),
+    ("Squarespace", ("squarespace",)),
+    ("Wix", ("wix.com",)),
+    ("Umbraco", ("umbraco",)),
+    ("Sitecore", ("sitecore",)),
+    ("Sitefinity", ("sitefinity",)),
+    ("Kentico", ("kentico",)),
+    ("Optimizely", ("episerver", "optimizely")),
+    ("Contensis", ("contensis",)),
+)
 
 
 def first_of(cases: list[tuple[Column, Column | str]], otherwise: Column | str) -> Column:
@@ -247,30 +271,21 @@ def ownership(domain, rules=(), suffixes=SUFFIXES) -> Column:
     return first_of([(d.endswith(s.lower()), label) for s, label in rules] + [(F.size(labels) <= keep, d)], registered)
 
 
-def tech_stack(html, generator, powered_by) -> Column:
-    body, gen, power = F.lower(F.substring(text(html), 1, 500_000)), F.lower(text(generator)), F.lower(text(powered_by))
-    has = lambda c, *t: any_in(c, t)
+def tech_stack(html, generator, powered_by, header_generator=None) -> Column:
+    """The system a page runs on, by its generator, what its whole body holds, response headers, an almost empty root element,
+    and what else its body holds."""
+    body, gen, power, named = F.lower(text(html)), F.lower(text(generator)), F.lower(text(powered_by)), F.lower(text(F.lit(None) if header_generator is None else header_generator))
+    # what an element of that id holds up to its end, where that isn't far
+    root = r"(?s)<div\b(?=[^>]*\bid=[\"']?(?:root|app)[\"'\s>])[^>]*>(.{0,2000}?)</div"
+    bare = F.length(F.regexp_replace(F.regexp_extract(body, root, 1), "<[^>]*>|\\s+", "")) < 50
     return first_of(
         [
-            (has(gen, "wordpress", "developer starter kit"), "WordPress"),
-            (has(gen, "drupal"), "Drupal"),
-            (has(gen, "joomla"), "Joomla"),
-            (has(gen, "silverstripe"), "SilverStripe"),
-            (has(gen, "concrete5", "concrete cms"), "Concrete5"),
-            (has(gen, "typo3"), "TYPO3"),
+            *((any_in(gen, marks), name) for name, marks in GENERATOR_MARKERS),
             *((any_in(body, marks), name) for name, marks in BODY_MARKERS),
-            (has(power, "asp.net"), "ASP.NET"),
-            (has(power, "express"), "Express/Node"),
-            (has(power, "php"), "PHP"),
-            (has(body, "silverstripe"), "SilverStripe"),
-            (has(body, "squarespace"), "Squarespace"),
-            (has(body, "wix.com"), "Wix"),
-            (has(body, "umbraco"), "Umbraco"),
-            (has(body, "sitecore"), "Sitecore"),
-            (has(body, "sitefinity"), "Sitefinity"),
-            (has(body, "kentico"), "Kentico"),
-            (has(body, "episerver", "optimizely"), "Optimizely"),
-            (has(body, "contensis"), "Contensis"),
+            (F.contains(named, F.lit("drupal")), "Drupal"),
+            *((any_in(power, marks), name) for name, marks in POWER_MARKERS),
+            (body.rlike(root) & bare, "JS SPA"),
+            *((any_in(body, marks), name) for name, marks in LATE_BODY_MARKERS),
         ],
         "static/unknown",
     )
@@ -278,7 +293,7 @@ def tech_stack(html, generator, powered_by) -> Column:
 
 def tokens_found(c, tokens) -> Column:
     """Those of the tokens that a cell holds, whatever the case, joined by pipes: analytics in HTML, topics in titles."""
-    low = F.lower(F.substring(text(c), 1, 500_000))
+    low = F.lower(text(c))
     return F.concat_ws("|", *(F.when(F.contains(low, F.lit(t.lower())), F.lit(t)) for t in tokens))
 
 

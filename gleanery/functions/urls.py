@@ -3,7 +3,7 @@ letters beyond ASCII, or URLs with spaces."""
 
 from __future__ import annotations
 
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -54,30 +54,34 @@ def url_key(c) -> Column:
     return F.when((scheme(c) != "") & (netloc(c) != ""), F.concat(scheme(c), F.lit("://"), netloc(c), p, q)).otherwise(bare)
 
 
-def _crawl_key(url: str | None) -> str:
-    s = urlsplit((url or "").strip())
-    name = s.netloc.lower()
-    name = name[:-4] if name.endswith(":443") else name[:-3] if name.endswith(":80") else name
-    kind = "https" if s.scheme.lower() == "http" else s.scheme.lower()
-    q = urlencode(sorted(parse_qsl(s.query, keep_blank_values=True)))
-    return f"{kind}://{name}{s.path or '/'}{'?' + q if q else ''}".rstrip("/")
-
-
-def _crawl_keys(urls: pd.Series) -> pd.Series:
-    return urls.map(_crawl_key)
+def _form(x: Column, *, decode: bool) -> Column:
+    """Of a part of a query: decoded (stray percent signs stand for themselves), or encoded for a form."""
+    if decode:
+        return F.url_decode(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
 def crawl_key(c) -> Column:
-    """The frontier's form: https, no default port, parameters sorted. Native where no parameter needs decoding; the
-    others take a vectorised function."""
-    plain = ~text(c).rlike("[%+; ]|[^\\x21-\\x7E]")
-    kind = F.when(scheme(c) == "http", F.lit("https")).otherwise(scheme(c))
-    name = F.regexp_replace(netloc(c), ":(443|80)$", "")
-    pairs = F.transform(F.filter(F.split(query(c), "&"), lambda x: x != ""), lambda x: F.struct(F.split_part(x, F.lit("="), F.lit(1)).alias("k"), F.when(F.instr(x, "=") > 0, F.substring_index(x, "=", -1)).otherwise(F.lit("")).alias("v")))
-    q = F.concat_ws("&", F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])))
-    native = F.regexp_replace(F.concat(kind, F.lit("://"), name, F.when(path(c) == "", F.lit("/")).otherwise(path(c)), F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit(""))), "/+$", "")
-    odd = query(c).rlike("=[^&]*=|[^A-Za-z0-9_.~=&-]")
-    return F.when(plain & ~odd, native).otherwise(F.pandas_udf(_crawl_keys, "string")(F.when(~plain | odd, text(c))))
+    """The frontier's form: https, no default port, parameters decoded, sorted and encoded anew, no fragment, no final slash. A
+    URL whose host has a stray or odd bracket keeps its form, without final slashes."""
+    bare = F.trim(text(c))
+    kind, place, way = scheme(c), netloc(c), path(c)
+    kind = F.when(kind == "http", F.lit("https")).otherwise(kind)
+    name = F.regexp_replace(place, ":(443|80)$", "")
+    pairs = F.transform(
+        F.filter(F.split(query(c), "&"), lambda x: x != ""),
+        lambda x: F.struct(_form(F.substring_index(x, "=", 1), decode=True).alias("k"), _form(F.regexp_replace(x, "^[^=]*=?", ""), decode=True).alias("v")),
+    )
+    q = F.concat_ws("&", F.transform(F.array_sort(pairs), lambda p: F.concat(_form(p["k"], decode=False), F.lit("="), _form(p["v"], decode=False))))
+    way = F.when(way == "", F.lit("/")).otherwise(way)
+    rooted = F.when(way.startswith("/"), way).otherwise(F.concat(F.lit("/"), way))
+    before = F.when(kind != "", F.concat(kind, F.lit(":"))).otherwise(F.lit(""))
+    placed = F.when((name != "") | kind.isin("https", "ftp", "file"), F.concat(F.lit("//"), name, rooted)).otherwise(way)
+    whole = F.concat(before, placed, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(F.lit("")))
+    odd = place.rlike(r"[\[\]]") & ~place.rlike(r"^([^\[\]@]*@)?\[[0-9a-f:.%]+\](:[0-9]*)?$")
+    whole = F.when(odd, bare).otherwise(whole)
+    short = F.regexp_replace(whole, "/+$", "")
+    return F.when(short == "", whole).otherwise(short)
 
 
 def _resolved(links: pd.Series, bases: pd.Series) -> pd.Series:

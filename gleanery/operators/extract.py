@@ -2,39 +2,70 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import rules, urls
-from gleanery.functions.scalars import content_hash, occurrences
-from gleanery.operators.html import Page
-
-FIELDS = [k for k in Page("", "").row()]
-_PAIRS = "array<struct<a:string,b:string>>"
-_ARROW_PAIRS = pa.list_(pa.struct([("a", pa.string()), ("b", pa.string())]))
-
-
-def parse(captures: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """captures with a column for each inventory field, and anchors, nav, tags, phones (pairs) and asset_urls."""
-    keep = [c for c in captures.columns if c != html]
-    kept = ", ".join(f"`{c}` {k}" for c, k in captures.dtypes if c != html)
-    schema = ", ".join([kept, *(f"`{f}` string" for f in FIELDS), *(f"{n} {_PAIRS}" for n in ("anchors", "nav", "tags", "phones")), "asset_urls array<string>"])
+from gleanery.functions.scalars import content_hash, occurrences, rounded, text
+from gleanery.operators.html import RARE, Page
+
+FIELDS = list(Page("", "").row())
+#: Lists that parse() can give, by the names of their items' parts.
+LISTS: dict[str, tuple[Callable[[Page], list], tuple[str, ...]]] = {
+    "edges": (Page.edges, ("to_url", "link_text")),
+    "nav": (Page.nav_links, ("nav_href", "nav_text")),
+    "tags": (Page.tags, ("tag_value", "tag_source")),
+    "phones": (Page.phones, ("raw_href", "phone_number", "link_text")),
+    "assets": (Page.assets, ("asset_url", "link_text", "category")),
+}
+#: Pages that are held as trees at a time.
+SLICE = 32
+
+#: Cells that coverage leaves out: identifiers, transport, and what isn't extracted.
+UNCOVERED = ("http_last_modified", "etag", "has_viewport_meta", "breadcrumb_text", "body_classes", "visible_text")
+
+
+def _sliced(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, rows.num_rows, SLICE):
+        yield rows.slice(at, SLICE)
+
+
+def _pages(rows: pa.RecordBatch, url: str, html: str, headers: str | None) -> list[Page]:
+    given = [dict(h or ()) for h in rows.column(headers).to_pylist()] if headers else [None] * rows.num_rows
+    return [Page(h, u, g) for h, u, g in zip(rows.column(html).to_pylist(), rows.column(url).to_pylist(), given, strict=True)]
+
+
+def parse(captures: DataFrame, *parts: str, url: str = "url", html: str = "html", headers: str | None = None) -> DataFrame:
+    """captures, without its HTML, with a column for each inventory field and for each list of LISTS; of `parts` only, where
+    some are named (`row` stands for the fields): what isn't asked for isn't extracted. Response headers, if a column of maps is
+    named, take part."""
+    wanted = parts or ("row", *LISTS)
+    lists = [n for n in LISTS if n in wanted]
+    fields = FIELDS if "row" in wanted else []
+    if fields:
+        captures = captures.withColumn("analytics_signals", rules.tokens_found(html, rules.ANALYTICS))
+    keep = [c for c in captures.columns if c not in (html, headers)]
+    kept = ", ".join(f"`{c}` {k}" for c, k in captures.dtypes if c in keep)
+    items = {n: ", ".join(f"{x}:string" for x in LISTS[n][1]) for n in lists}
+    schema = ", ".join(filter(None, [kept, *(f"`{f}` string" for f in fields), *(f"`{n}` array<struct<{k}>>" for n, k in items.items())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for at in range(0, rows.num_rows, 200):
-                part = rows.slice(at, 200)
-                pages = [Page(h, u) for h, u in zip(part.column(html).to_pylist(), part.column(url).to_pylist(), strict=True)]
+        for rows in (part for b in batches for part in _sliced(b)):
+            pages = _pages(rows, url, html, headers)
+            columns = [rows.column(c) for c in keep]
+            if fields:
                 cells = [p.row() for p in pages]
-                pairs = [[[{"a": a, "b": b} for a, b in f(p)] for p in pages] for f in (Page.anchors, Page.nav_links, Page.tags, Page.phones)]
-                columns = [part.column(c) for c in keep] + [pa.array([r[f] for r in cells], pa.string()) for f in FIELDS]
-                columns += [pa.array(x, _ARROW_PAIRS) for x in pairs] + [pa.array([p.assets() for p in pages], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, *FIELDS, "anchors", "nav", "tags", "phones", "asset_urls"])
+                columns += [pa.array([r[f] for r in cells], pa.string()) for f in fields]
+            for n in lists:
+                extractor, names = LISTS[n]
+                kind = pa.list_(pa.struct([(x, pa.string()) for x in names]))
+                columns.append(pa.array([[dict(zip(names, x, strict=True)) for x in extractor(p)] for p in pages], kind))
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *fields, *lists])
 
     return captures.mapInArrow(run, schema)
 
@@ -44,9 +75,8 @@ def signals(captures: DataFrame, url: str = "url", html: str = "html", headers:
     names = list(Page("", "").signals())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            given = [dict(h or ()) for h in rows.column(headers).to_pylist()] if headers else [{}] * rows.num_rows
-            cells = [Page(h, u).signals(g) for h, u, g in zip(rows.column(html).to_pylist(), rows.column(url).to_pylist(), given, strict=True)]
+        for rows in (part for b in batches for part in _sliced(b)):
+            cells = [p.signals() for p in _pages(rows, url, html, headers)]
             yield pa.RecordBatch.from_arrays([pa.array([c[n] for c in cells], pa.string()) for n in names], names)
 
     return captures.select(url, html, *([headers] if headers else [])).mapInArrow(run, ", ".join(f"{n} string" for n in names))
@@ -82,43 +112,86 @@ def robots_allowed(targets: DataFrame, robots: DataFrame, agent: str, url: str =
     return joined.withColumn("_j", judged(F.col(url), F.col("_t"))).select(*targets.columns, "_j.allowed", "_j.rule")
 
 
-def page_rows(parsed: DataFrame, url: str = "url") -> DataFrame:
+def page_rows(parsed: DataFrame, url: str = "url", training: Sequence[str] = rules.TRAINING) -> DataFrame:
     """The pages table's rows: parsed cells and what follows from them natively."""
-    rows = parsed.drop("anchors", "nav", "tags", "phones", "asset_urls")
+    rows = parsed.drop(*LISTS)
     hints = rules.path_hints(url)
-    kind = rules.content_kind(hints, F.col("json_ld_types"), F.col("og_type"), urls.path(url), F.col("breadcrumb_schema"), F.lit(""))
-    return rows.withColumns({"domain": urls.netloc(url), "url_content_hint": hints, "content_kind_guess": kind, "content_hash": content_hash("visible_text"), "readability_fk_grade": F.coalesce(rules.readability("visible_text").cast("string"), F.lit(""))})
+    kind = rules.content_kind(hints, F.col("json_ld_types"), F.col("og_type"), urls.path(url), F.col("breadcrumb_text"), F.col("body_classes"))
+    rows = rows.withColumns(
+        {
+            "domain": urls.netloc(url),
+            "url_content_hint": hints,
+            "content_kind_guess": kind,
+            "training_related_flag": rules.tokens_found(F.concat_ws(" ", F.col(url), "title", "h1_joined"), training),
+            "content_hash": content_hash("visible_text"),
+            "readability_fk_grade": F.coalesce(rules.readability("visible_text").cast("string"), F.lit("")),
+        }
+    )
+    covered = [f for f in FIELDS if f not in UNCOVERED] + ["analytics_signals", "url_content_hint", "content_kind_guess", "training_related_flag", "readability_fk_grade"]
+    rows = rows.withColumn("extraction_coverage_pct", coverage(covered))
+    # the share of all cells counts among the core ones
+    return rows.withColumn("extraction_coverage_core_pct", coverage([c for c in covered if c not in RARE] + ["extraction_coverage_pct"])).drop("breadcrumb_text", "body_classes")
+
+
+def coverage(columns: Sequence[str]) -> Column:
+    """The percentage of cells that are neither blank nor 0, as text."""
+    filled_in = sum((F.when(text(c).isin("", "0"), 0).otherwise(1) for c in columns), F.lit(0))
+    return rounded(filled_in / len(columns) * 100).cast("string")
+
+
+def _rows(parsed: DataFrame, name: str, url: str, as_: str) -> DataFrame:
+    return parsed.select(F.col(url).alias(as_), F.explode(name).alias("x")).select(as_, "x.*")
 
 
-def edges(parsed: DataFrame, url: str = "url") -> DataFrame:
-    rows = parsed.select(F.col(url).alias("from_url"), F.explode("anchors").alias("x")).where(~F.col("x.a").rlike("^(#|(?i)(javascript|mailto|tel):)"))
-    return rows.select("from_url", urls.link_norm(F.col("x.a"), F.col("from_url")).alias("to_url"), F.col("x.b").alias("link_text"))
+def edges(parsed: DataFrame, url: str = "url", allow: Sequence[str] = ()) -> DataFrame:
+    """Links of pages to hosts in scope; all, if no domains are given."""
+    return _rows(parsed, "edges", url, "from_url").where(urls.in_scope("to_url", allow))
 
 
 def nav_links(parsed: DataFrame, url: str = "url") -> DataFrame:
-    return parsed.select(F.col(url).alias("page_url"), F.explode("nav").alias("x")).select("page_url", F.col("x.a").alias("nav_href"), F.col("x.b").alias("nav_text"))
+    return _rows(parsed, "nav", url, "page_url")
 
 
 def tags(parsed: DataFrame, url: str = "url") -> DataFrame:
-    return parsed.select(F.col(url).alias("page_url"), F.explode("tags").alias("x")).select("page_url", F.col("x.a").alias("tag_value"), F.col("x.b").alias("tag_source"))
+    return _rows(parsed, "tags", url, "page_url")
 
 
 def phones(parsed: DataFrame, url: str = "url") -> DataFrame:
-    return parsed.select(F.col(url).alias("page_url"), F.explode("phones").alias("x")).select("page_url", F.col("x.a").alias("raw_href"), F.col("x.b").alias("phone_number"))
+    return _rows(parsed, "phones", url, "page_url")
+
+
+def inline_assets(parsed: DataFrame, url: str = "url") -> DataFrame:
+    return _rows(parsed, "assets", url, "referrer_page_url")
+
+
+def linked_assets(parsed: DataFrame, url: str = "url", allow: Sequence[str] = ()) -> DataFrame:
+    """Links that lead to files."""
+    rows = edges(parsed, url, allow).where(urls.extension("to_url") != "")
+    return rows.select(F.col("from_url").alias("referrer_page_url"), F.col("to_url").alias("asset_url"), "link_text", F.coalesce(urls.asset_category("to_url"), F.lit("other")).alias("category"))
+
+
+def assets(parsed: DataFrame, url: str = "url", allow: Sequence[str] = ()) -> DataFrame:
+    """Linked and embedded; one row for each page, address and category."""
+    both = linked_assets(parsed, url, allow).unionByName(inline_assets(parsed, url))
+    return both.groupBy("referrer_page_url", "asset_url", "category").agg(F.max("link_text").alias("link_text"))
 
 
-def assets(parsed: DataFrame, url: str = "url") -> DataFrame:
-    """Assets embedded, and links that lead to files."""
-    linked = edges(parsed, url).select(F.col("from_url").alias("referrer_page_url"), F.col("to_url").alias("asset_url"))
-    embedded = parsed.select(F.col(url).alias("referrer_page_url"), F.explode("asset_urls").alias("asset_url"))
-    both = embedded.union(linked.where(urls.extension("asset_url") != ""))
-    return both.distinct().withColumn("category", F.coalesce(urls.asset_category("asset_url"), F.lit("other")))
+def keyword_terms(terms: Sequence[str | None]) -> list[str]:
+    """Stripped, without blanks and repeats."""
+    return list(dict.fromkeys(t for x in terms if (t := (x or "").strip())))
 
 
-def keyword_log(pages: DataFrame, terms: DataFrame, text: str, *keep: str) -> DataFrame:
-    """Hits of literal terms, of which there are few: terms has one column, term."""
-    hits = pages.join(F.broadcast(terms)).select(*keep, "term", occurrences(F.col(text), F.col("term")).alias("match_count"))
-    return hits.where("match_count > 0")
+def keyword_log(pages: DataFrame, terms: Sequence[str | None], column: str, *keep: str) -> DataFrame:
+    """Hits of literal terms, whatever the case and the white space between words. The terms are part of the plan; a text is
+    brought to its form once, whatever their number."""
+    known = keyword_terms(terms)
+    form = lambda x: F.lower(F.trim(F.regexp_replace(text(x), "\\s+", " ")))
+    if not known:
+        return pages.select(*keep, F.lit("").alias("term"), F.lit(0).cast("long").alias("match_count")).where("false")
+    listed = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(" ".join(t.split()).lower()).alias("form")) for t in known))
+    found = F.transform(listed, lambda t: F.struct(t["term"].alias("term"), occurrences(F.col("_text"), t["form"]).alias("match_count")))
+    hits = pages.select(*keep, form(column).alias("_text")).select(*keep, F.explode(F.filter(found, lambda x: x["match_count"] > 0)).alias("x"))
+    return hits.select(*keep, "x.term", "x.match_count")
 
 
 def content_duplicates(df: DataFrame, text: str, order: str) -> DataFrame:

@@ -14,13 +14,13 @@ from gleanery.plans.reports import _SQL_BUCKET
 
 _ENTITIES = "replace(replace(replace(replace({x}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 _SQL_TITLE = _ENTITIES.format(x="trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[ \\t\\n\\r]+', ' ', 'g'))")
-_SQL_SEEN = _ENTITIES.format(x="regexp_replace(regexp_replace(regexp_replace(html, '<title>[^<]*</title>', ' '), '<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g')")
+_SQL_SEEN = _ENTITIES.format(x="regexp_replace(regexp_replace(html, '<!--.*?-->|<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]*>', ' ', 'g')")
 _SQL_WORDS = f"len(list_filter(regexp_split_to_array({_SQL_SEEN}, '[ \\t\\n\\r]+'), lambda x: x <> ''))"
 _SQL_NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
 
 
-def parsed(s: Site) -> DataFrame:
-    return extract.parse(s.table("pages"))
+def parsed(s: Site, *parts: str) -> DataFrame:
+    return extract.parse(s.table("pages"), *parts)
 
 
 @query(
@@ -28,22 +28,22 @@ def parsed(s: Site) -> DataFrame:
     f"SELECT page_id, {_SQL_TITLE} AS title, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, CAST({_SQL_WORDS} AS VARCHAR) AS word_count, CAST(len(list_distinct(regexp_extract_all({_SQL_NAV}, 'href=\"([^\"]*)\"', 1))) AS VARCHAR) AS nav_link_count, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS VARCHAR) AS link_count_total FROM pages",
 )
 def page_inventory(s: Site) -> DataFrame:
-    return parsed(s).select("page_id", "title", "lang", "word_count", "nav_link_count", "link_count_total")
+    return parsed(s, "row").select("page_id", "title", "lang", "word_count", "nav_link_count", "link_count_total")
 
 
 @query("page_rows", f"SELECT page_id, lower({host('url')}) AS domain, CAST(len(regexp_extract_all(html, '<img ')) AS VARCHAR) AS img_count, '1' AS wcag_title_present, '1' AS wcag_has_nav, '0' AS has_viewport_meta FROM pages")
 def page_rows(s: Site) -> DataFrame:
-    return extract.page_rows(parsed(s)).select("page_id", "domain", "img_count", "wcag_title_present", "wcag_has_nav", "has_viewport_meta")
+    return extract.page_rows(parsed(s, "row")).select("page_id", "domain", "img_count", "wcag_title_present", "wcag_has_nav", "has_viewport_meta")
 
 
-@query("extracted_nav_links", f"SELECT url AS page_url, regexp_extract(a, 'href=\"([^\"]*)\"', 1) AS nav_href, regexp_extract(a, '>(.*)$', 1) AS nav_text FROM (SELECT url, unnest(list_distinct(regexp_extract_all({_SQL_NAV}, '<a href=\"[^\"]*\">[^<]*'))) AS a FROM pages)")
+@query("extracted_nav_links", f"SELECT url AS page_url, regexp_replace(concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), regexp_extract(a, 'href=\"([^\"#]*)', 1)), '(.)/+$', '\\1') AS nav_href, regexp_extract(a, '>(.*)$', 1) AS nav_text FROM (SELECT url, unnest(list_distinct(regexp_extract_all({_SQL_NAV}, '<a href=\"[^\"]*\">[^<]*'))) AS a FROM pages)")
 def extracted_nav_links(s: Site) -> DataFrame:
-    return extract.nav_links(parsed(s))
+    return extract.nav_links(parsed(s, "nav"))
 
 
 @query("extracted_edges", "SELECT url AS from_url, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), regexp_replace(regexp_extract(a, 'href=\"([^\"#]*)', 1), '/+$', '')) AS to_url, regexp_extract(a, '>(.*)$', 1) AS link_text FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=\"/[^\"]*\">[^<]*')) AS a FROM pages)")
 def extracted_edges(s: Site) -> DataFrame:
-    return extract.edges(parsed(s))
+    return extract.edges(parsed(s, "edges"))
 
 
 @query("url_host", f"SELECT page_id, {host('url')} AS host FROM pages")
@@ -152,10 +152,12 @@ def content_changed(s: Site) -> DataFrame:
     return hashed.where("doc_id % 2 = 1").join(before, "hash", "left").select("doc_id", F.when(F.col("known"), "unchanged").otherwise("changed").alias("change"))
 
 
-@query("keyword_log", "SELECT doc_id, term, CAST((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS BIGINT) AS match_count FROM documents, (SELECT unnest(['the', 'tion', 'ing ']) AS term) WHERE contains(lower(text), term)")
+_SQL_COLLAPSED = "lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')))"
+
+
+@query("keyword_log", f"SELECT doc_id, term, CAST((length(low) - length(replace(low, term, ''))) // length(term) AS BIGINT) AS match_count FROM (SELECT doc_id, {_SQL_COLLAPSED} AS low FROM documents), (SELECT unnest(['the', 'tion', 'of the']) AS term) WHERE contains(low, term)")
 def keyword_log(s: Site) -> DataFrame:
-    terms = s.spark.createDataFrame([("the",), ("tion",), ("ing ",)], "term string")
-    return extract.keyword_log(s.table("documents"), terms, "text", "doc_id")
+    return extract.keyword_log(s.table("documents"), ["the", "tion", "", "of the", "the", None], "text", "doc_id")
 
 
 @query("signals_summary", "SELECT url, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<meta [^>]*name=\"([^\"]*)\"', 1))), '|') AS meta_names, '' AS link_rels, '0' AS has_json_ld FROM pages")

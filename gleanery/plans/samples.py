@@ -1,0 +1,308 @@
+"""Hand-written pages, robots files and sitemaps, and what is extracted of them. The SQL holds the wanted values themselves,
+worked out by hand, so that no rule of the engine's is used on both sides."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleanery.functions import rules, urls
+from gleanery.operators import extract
+from gleanery.plans.registry import Site, query
+from gleanery.sources import tables
+
+SHOP = """<!DOCTYPE html><html lang="en-GB"><head><title>Blue <b>kettle</b></title><meta name="viewport" content="w"><meta name="Description" content=" A kettle ">
+<meta name="keywords" content="Kettle, blue;steel"><meta property="article:tag" content="kitchen"><meta property="og:type" content="product"><meta property="og:site_name" content="Shop Co">
+<meta name="robots" content="noindex, follow"><meta name="twitter:card" content="summary"><link rel="canonical" href="/kettle/"><link rel="alternate" hreflang="de" href="/de/kettle/"><link rel="alternate" hreflang="fr" href="//fr.shop.example/k#x">
+<link rel="alternate" type="application/rss+xml" href="/feed/"><link rel="next" href="?p=2"><link rel="stylesheet" href="/s.css"><link rel="shortcut icon" href="/i.ico"><link rel="preload" href="/f.woff2">
+<script src="/app.js"></script><script src="/app.js">dataLayer = []</script>
+<script type="application/ld+json">{"@graph": [{"@type": "Product", "@id": "#k", "offers": [{"price": 24.5, "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}], "aggregateRating": {"ratingValue": "4.5", "ratingCount": 12}},
+{"@type": ["Article", "article"], "datePublished": "2024-01-02", "author": [{"name": "Ann"}, "Bo"], "publisher": {"name": "Press"}, "keywords": "Kettle, hot", "genre": ["Home", "home"]}]}</script><script type="application/ld+json">{broken</script></head>
+<body class="single product  wide"><nav><a href="/one/">One</a><a href="/one/"> Again </a><a href="https://b.example/">B</a></nav><div role="navigation"><a href="/one/">Once more</a><a href="/two">Two</a></div>
+<ol class="Breadcrumbs"><li><a href="/">Home</a></li><li><span>Kettles</span></li></ol><h1>Kettle</h1><h3>Jump</h3><h2> </h2><!-- unseen -->
+<p>Last reviewed: 9th May, 2023 and posted on 2023-04-05<p>second <b>bold</b><img src="/a.png" alt=""><img src="b.jpg" alt=" Side view "><img src="/a.png"></p>
+<a href="tel:+44 20 1"> Call </a><a href="TEL: ">none</a><a href="/cookies?x">here</a><a href="/doc.PDF">Doc</a><a href="#top">Top</a><a href="mailto:a@b.example">Mail</a><a href="/tag/steel/">Steel</a><a href="/x" rel="tag nofollow">Rel</a><a href="/z"><img src="z.gif" alt=""></a><a href="/y" title=" "></a>
+<form role="search"><label for="q">Q</label><input id="q" type="text" autocomplete="on"><input type="email"><input name="free"><input type="submit" value=" "><button></button><button aria-label="Go"></button></form>
+<table><tr><td>1</td></tr></table><table><tr><th>2</th></tr></table><div id="d" itemscope itemtype="https://schema.org/Event"><span id="d" itemscope itemtype="https://schema.org/Place"></span></div><div typeof=" schema:Offer ">o</div>
+<ul class="Topics"><li>Tea</li></ul><video src="/v.mp4"><source src="/v.webm"></video><audio><source src="/a.mp3"></audio><noscript>no</noscript><style>p{}</style></body></html>"""
+
+NEWS = """<html lang="e"><head><meta property="og:title" content="Flood news"><meta property="article:published_time" content="2022-02-02T10:00"><meta property="og:updated_time" content="2022-03-03"><meta name="Author" content="Cy"></head>
+<body class="page-node-type-news_item ghost-x"><a href="#main-content">Skip</a><main><p>Short.</p><p>A river has come over its banks in the north of the country, and roads are closed.</p></main>
+<div class="post-date--updated">Updated<span>3 June 2022</span></div><div class="date">July 2021</div><span class="review_day">4 July 2021</span><a href="https://c.example/learn">Learn more</a><a href="http://[bad">odd</a>
+<script type="application/ld+json">[{"@type": "Event", "startDate": "2024-06-01", "location": {"address": "Main St"}}, {"@type": "JobPosting", "title": "Nurse", "jobLocation": {"address": {"addressLocality": "Leeds"}}}, {"@type": "Recipe", "cookTime": "PT5M"},
+{"@type": "BreadcrumbList", "itemListElement": [{"position": 2, "name": "News"}, {"position": 1, "item": {"name": "Start"}}]}, {"@type": "Thing", "review": {"ratingValue": 3, "reviewCount": 1}}]</script></body></html>"""
+
+BYLINE = """<html><head></head><body><div class="story-byline"> By <b>Di</b> </div><div class="published">on 5 May 2020</div><div class="last-modified">2020-06-07</div><div id="root"></div><link rel="prev" href="/p1"><form><input type="search"></form></body></html>"""
+
+PAGES = ((1, "https://shop.example/p/kettle", SHOP, "noarchive"), (2, "https://news.example/", NEWS, ""), (3, "https://x.example/story", BYLINE, ""), (4, "https://x.example/none", None, ""))
+
+
+def values(rows, *names: str) -> str:
+    """SQL of a table of texts."""
+    quoted = ", ".join("(" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {quoted}) v({', '.join(names)})"
+
+
+def captures(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame(PAGES, "page int, url string, html string, robots string")
+    return rows.withColumn("headers", F.create_map(F.lit("X-Robots-Tag"), F.col("robots"))).drop("robots")
+
+
+def parsed(s: Site, *parts: str) -> DataFrame:
+    return extract.parse(captures(s.spark), *parts, headers="headers")
+
+
+#: Cells that aren't blank.
+CELLS = (
+    (1, "title", "Blue kettle"), (1, "meta_description", "A kettle"), (1, "lang", "en-GB"), (1, "canonical_url", "https://shop.example/kettle"), (1, "og_type", "product"), (1, "twitter_card", "summary"),
+    (1, "json_ld_types", "Product|Article"), (1, "tags_all", "Kettle|blue|steel|kitchen|Kettle, hot|Home|Rel|Steel|Tea"), (1, "h1_joined", "Kettle"), (1, "word_count", "36"), (1, "heading_outline", "H3:Jump"),
+    (1, "date_published", "2024-01-02"), (1, "visible_dates", "9th May, 2023|2023-04-05"), (1, "link_count_internal", "11"), (1, "link_count_external", "3"), (1, "link_count_total", "14"), (1, "img_count", "4"),
+    (1, "img_missing_alt_count", "3"), (1, "privacy_policy_url", "https://shop.example/cookies?x"), (1, "nav_link_count", "3"), (1, "author", "Ann | Bo"), (1, "publisher", "Press"), (1, "json_ld_id", "#k"),
+    (1, "robots_directives", "meta:noindex, follow|header:noarchive"), (1, "hreflang_links", "de=https://shop.example/de/kettle/|fr=https://fr.shop.example/k#x"), (1, "feed_urls", "https://shop.example/feed/"),
+    (1, "pagination_next", "https://shop.example/p/kettle?p=2"), (1, "microdata_types", "Event"), (1, "rdfa_types", "schema:Offer"), (1, "schema_price", "24.5"), (1, "schema_currency", "EUR"), (1, "schema_availability", "InStock"),
+    (1, "schema_rating", "4.5"), (1, "schema_review_count", "12"), (1, "domain", "shop.example"), (1, "content_kind_guess", "product"), (1, "analytics_signals", "dataLayer"),
+    (2, "title", "Flood news"), (2, "og_title", "Flood news"), (2, "meta_description", "A river has come over its banks in the north of the country, and roads are closed."), (2, "lang", "e"),
+    (2, "json_ld_types", "Event|JobPosting|Recipe|BreadcrumbList|Thing"), (2, "word_count", "31"), (2, "date_published", "2022-02-02T10:00"), (2, "date_modified", "2022-03-03"), (2, "visible_dates", "3 June 2022|4 July 2021"),
+    (2, "link_count_internal", "0"), (2, "link_count_external", "1"), (2, "link_count_total", "1"), (2, "img_count", "0"), (2, "img_missing_alt_count", "0"), (2, "nav_link_count", "0"), (2, "author", "Cy"), (2, "cms_generator", "Ghost"),
+    (2, "breadcrumb_schema", "Start > News"), (2, "schema_rating", "3"), (2, "schema_review_count", "1"), (2, "schema_event_date", "2024-06-01"), (2, "schema_event_location", "Main St"), (2, "schema_job_title", "Nurse"),
+    (2, "schema_job_location", "Leeds"), (2, "schema_recipe_time", "PT5M"), (2, "domain", "news.example"), (2, "content_kind_guess", "job_posting"),
+    (3, "word_count", "7"), (3, "date_published", "5 May 2020"), (3, "date_modified", "2020-06-07"), (3, "visible_dates", "5 May 2020|2020-06-07"), (3, "author", "ByDi"), (3, "pagination_prev", "https://x.example/p1"),
+    (3, "link_count_internal", "0"), (3, "link_count_external", "0"), (3, "link_count_total", "0"), (3, "img_count", "0"), (3, "img_missing_alt_count", "0"), (3, "nav_link_count", "0"), (3, "domain", "x.example"), (3, "content_kind_guess", "unknown"),
+    (4, "word_count", "0"), (4, "link_count_internal", "0"), (4, "link_count_external", "0"), (4, "link_count_total", "0"), (4, "img_count", "0"), (4, "img_missing_alt_count", "0"), (4, "nav_link_count", "0"), (4, "domain", "x.example"),
+    (4, "content_kind_guess", "unknown"),
+)
+#: Of each page: language, heading order, title, form labels, landmarks, vague links, image texts, empty headings, duplicate
+#: ids, empty buttons, empty links, tables without headers, autocompletion, search, navigation, viewport.
+CHECKS = (
+    (1, "1", "0", "1", "0.5", "0", "0.062", "0.25", "1", "1", "2", "1", "1", "0.333", "1", "1", "1"),
+    (2, "0", "1", "1", "1.0", "1", "0.333", "1.0", "0", "0", "0", "0", "0", "1.0", "0", "0", "0"),
+    (3, "0", "1", "0", "0.0", "0", "0.0", "1.0", "0", "0", "0", "0", "0", "0.0", "1", "0", "0"),
+    (4, "0", "1", "0", "1.0", "0", "0.0", "1.0", "0", "0", "0", "0", "0", "1.0", "0", "0", "0"),
+)
+_CHECKED = ("wcag_lang_valid", "wcag_heading_order_valid", "wcag_title_present", "wcag_form_labels_pct", "wcag_landmarks_present", "wcag_vague_link_pct", "wcag_img_alt_pct", "wcag_empty_headings", "wcag_duplicate_ids", "wcag_empty_buttons", "wcag_empty_links", "wcag_tables_no_headers", "wcag_autocomplete_pct", "wcag_has_search", "wcag_has_nav", "has_viewport_meta")
+#: Measures that are tested apart, or hold texts of any length.
+_APART = {"content_hash", "visible_text", "readability_fk_grade", "extraction_coverage_pct", "extraction_coverage_core_pct", "url_content_hint", "training_related_flag"}
+
+
+@query("sample_cells", values(CELLS, "page", "field", "value"))
+def sample_cells(s: Site) -> DataFrame:
+    rows = extract.page_rows(parsed(s, "row"))
+    fields = [c for c in rows.columns if c not in _APART and c not in _CHECKED and c not in ("page", "url")]
+    return rows.unpivot(["page"], fields, "field", "value").where("value <> ''")
+
+
+@query("sample_accessibility", values(CHECKS, "page", *_CHECKED))
+def sample_accessibility(s: Site) -> DataFrame:
+    return parsed(s, "row").select("page", *_CHECKED)
+
+
+@query("sample_coverage", values(((1, "76.9", "82.1"), (2, "46.2", "42.9"), (3, "20.0", "25.0"), (4, "9.2", "12.5")), "page", "every", "core"))
+def sample_coverage(s: Site) -> DataFrame:
+    """Filled of 65 cells; of 56 without those of rare kinds, the share of all among them."""
+    return extract.page_rows(parsed(s, "row")).select("page", F.col("extraction_coverage_pct").alias("every"), F.col("extraction_coverage_core_pct").alias("core"))
+
+
+@query("sample_tags", values((("Kettle", "meta:keywords"), ("blue", "meta:keywords"), ("steel", "meta:keywords"), ("kitchen", "og:article:tag"), ("Kettle, hot", "json_ld:keywords"), ("Home", "json_ld:articleSection"), ("Rel", "rel:tag"), ("Steel", "href:category"), ("Tea", "class:topics")), "tag_value", "tag_source"))
+def sample_tags(s: Site) -> DataFrame:
+    return extract.tags(parsed(s, "tags")).select("tag_value", "tag_source")
+
+
+@query("sample_phones", values((("https://shop.example/p/kettle", "tel:+44 20 1", "+44 20 1", "Call"),), "page_url", "raw_href", "phone_number", "link_text"))
+def sample_phones(s: Site) -> DataFrame:
+    return extract.phones(parsed(s, "phones"))
+
+
+@query("sample_nav_links", values((("https://shop.example/one", "One"), ("https://b.example", "B"), ("https://shop.example/two", "Two")), "nav_href", "nav_text"))
+def sample_nav_links(s: Site) -> DataFrame:
+    return extract.nav_links(parsed(s, "nav")).select("nav_href", "nav_text")
+
+
+_SHOP_EDGES = ("one", "One"), ("one", "Again"), ("one", "Once more"), ("two", "Two"), ("", "Home"), ("cookies?x", "here"), ("doc.PDF", "Doc"), ("tag/steel", "Steel"), ("x", "Rel"), ("z", ""), ("y", "")
+_IN_SCOPE = tuple((f"https://shop.example/{p}".rstrip("/"), t) for p, t in _SHOP_EDGES)
+_BEYOND = (("https://b.example", "B"), ("https://c.example/learn", "Learn more"))
+
+
+@query("sample_edges", values((*_IN_SCOPE, *_BEYOND), "to_url", "link_text"))
+def sample_edges(s: Site) -> DataFrame:
+    return extract.edges(parsed(s, "edges")).select("to_url", "link_text")
+
+
+@query("sample_edges_in_scope", values((*_IN_SCOPE, *_BEYOND[1:]), "to_url", "link_text"))
+def sample_edges_in_scope(s: Site) -> DataFrame:
+    """Links to hosts out of scope are no edges."""
+    return extract.edges(parsed(s, "edges"), allow=["shop.example", ".c.example"]).select("to_url", "link_text")
+
+
+_EMBEDDED = (("a.png", "", "image"), ("p/b.jpg", "Side view", "image"), ("p/z.gif", "", "image"), ("s.css", "", "stylesheet"), ("i.ico", "", "image"), ("f.woff2", "", "font"), ("app.js", "", "script"), ("v.mp4", "", "video"), ("v.webm", "", "video"), ("a.mp3", "", "audio"))
+
+
+@query("sample_inline_assets", values(tuple((f"https://shop.example/{p}", t, k) for p, t, k in _EMBEDDED), "asset_url", "link_text", "category"))
+def sample_inline_assets(s: Site) -> DataFrame:
+    return extract.inline_assets(parsed(s, "assets")).select("asset_url", "link_text", "category")
+
+
+@query("sample_assets", values(tuple((f"https://shop.example/{p}", t, k) for p, t, k in (*_EMBEDDED, ("doc.PDF", "Doc", "pdf"))), "asset_url", "link_text", "category"))
+def sample_assets(s: Site) -> DataFrame:
+    return extract.assets(parsed(s, "edges", "assets")).select("asset_url", "link_text", "category")
+
+
+_SIGNALS = (
+    (1, "Description|keywords|robots|twitter:card|viewport", "article:tag|og:site_name|og:type", "@id|@type|aggregateRating|author|datePublished|genre|keywords|offers|publisher", "og:site_name|og:type", "twitter:card", "X-Robots-Tag=noarchive", "1", "1", "1"),
+    (2, "Author", "article:published_time|og:title|og:updated_time", "@type|cookTime|itemListElement|jobLocation|location|review|startDate|title", "og:title|og:updated_time", "", "", "1", "0", "0"),
+    (3, "", "", "", "", "", "", "0", "0", "0"),
+    (4, "", "", "", "", "", "", "0", "0", "0"),
+)
+
+
+@query("sample_signals", values(_SIGNALS, "page", "meta_names", "meta_properties", "json_ld_keys", "og_properties", "twitter_properties", "headers", "has_json_ld", "has_microdata", "has_rdfa"))
+def sample_signals(s: Site) -> DataFrame:
+    found = extract.signals(captures(s.spark), headers="headers")
+    ids = captures(s.spark).select("page", F.col("url"))
+    return ids.join(found, "url").select("page", "meta_names", "meta_properties", "json_ld_keys", "og_properties", "twitter_properties", "headers", "has_json_ld", "has_microdata", "has_rdfa")
+
+
+_STACKS = (
+    ("<meta>", "WordPress 6", "", "", "WordPress"),
+    ("<p>", "Developer Starter Kit", "", "", "WordPress"),
+    ("<p>drupal", "Joomla!", "", "", "Joomla"),
+    ("<p>", "TYPO3 CMS", "", "", "TYPO3"),
+    ("<p>", "concrete5 - 8", "", "", "Concrete5"),
+    ('<link href="/WP-Content/x">', "", "ASP.NET", "", "WordPress"),
+    ('<img src="/sites/default/files/a">', "", "", "", "Drupal"),
+    ('<div class="ms-webpart">', "", "", "", "SharePoint"),
+    ('<script src="/_next/static/x">', "", "", "", "Next.js"),
+    ('<div id="___gatsby">', "", "", "", "Gatsby"),
+    ("<p>squarespace", "", "", "Drupal 9", "Drupal"),
+    ("<p>wix.com", "", "ASP.NET", "", "ASP.NET"),
+    ("<p>", "", "Express", "", "Express/Node"),
+    ("<p>", "", "PHP/8", "", "PHP"),
+    ('<div class=a id="root"><b> x </b></div>umbraco', "", "", "", "JS SPA"),
+    ("<div id=app></div>", "", "", "", "JS SPA"),
+    ('<div id="app">' + "many words " * 9 + "</div>sitecore", "", "", "", "Sitecore"),
+    ('<div id="apple"></div>', "", "", "", "static/unknown"),
+    ("themes/pgme", "", "", "", "SilverStripe"),
+    ("<p>episerver", "", "", "", "Optimizely"),
+    ("<p>Kentico and contensis", "", "", "", "Kentico"),
+    ("x" * 600_000 + "contensis", "", "", "", "Contensis"),
+    ("", "", "", "", "static/unknown"),
+)
+
+
+@query("sample_tech_stack", values(((i, x[4]) for i, x in enumerate(_STACKS)), "n", "stack"))
+def sample_tech_stack(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([(i, *x[:4]) for i, x in enumerate(_STACKS)], "n int, html string, gen string, power string, head string")
+    return rows.select("n", rules.tech_stack("html", "gen", "power", "head").alias("stack"))
+
+
+_KINDS: tuple[tuple[dict[str, str], str], ...] = (
+    ({"types": "BlogPosting"}, "blog"), ({"hints": "blog_path"}, "blog"), ({"types": "NewsArticle"}, "news"), ({"types": "Product"}, "product"), ({"types": "JobPosting"}, "job_posting"), ({"types": "Recipe"}, "recipe"), ({"types": "HowTo"}, "how_to"),
+    ({"types": "Course"}, "course"), ({"types": "QAPage"}, "qa"), ({"types": "VideoObject"}, "video"), ({"types": "SoftwareApplication"}, "software"), ({"types": "Review"}, "review"), ({"types": "FAQPage"}, "faq"), ({"types": "Article"}, "article"),
+    ({"types": "Article", "path": "/my-blog/x"}, "unknown"), ({"types": "Event"}, "unknown"), ({"types": "Event", "hints": "events_path"}, "event"), ({"types": "Restaurant"}, "local_business"), ({"types": "WebPage"}, "webpage"), ({"og": "Article"}, "webpage"),
+    ({"types": "MedicalWebPage"}, "webpage"), ({"types": "MedicalBusiness"}, "medical_page"), ({"types": "ItemList"}, "listing"), ({"hints": "contact_path|about_path"}, "contact"), ({"hints": "about_path"}, "about"), ({"hints": "pricing_path"}, "pricing"),
+    ({"hints": "case_study_path"}, "case_study"), ({"hints": "docs_path"}, "documentation"), ({"hints": "legal_path"}, "legal"), ({"hints": "search_path"}, "search"), ({"crumb": "Home|Blogs"}, "blog"), ({"crumb": "Newsroom"}, "news"),
+    ({"crumb": "Publications"}, "publication"), ({"crumb": "Events"}, "event"), ({"crumb": "About us"}, "about"), ({"crumb": "Get in touch"}, "contact"), ({"crumb": "Services"}, "service"), ({"body": "single-post"}, "blog"), ({"body": "page-id-4"}, "webpage"),
+    ({"body": "archive"}, "listing"), ({"body": "HomePage"}, "homepage"), ({"body": "AboutOverviewPage"}, "about"), ({"body": "NewsItemPage"}, "news"), ({"body": "ResourcePage"}, "resource"), ({"body": "StaffPage"}, "staff"), ({"body": "BlogEntry"}, "blog"),
+    ({"body": "page-node-type-blog"}, "blog"), ({"body": "page-node-type-news"}, "news"), ({"body": "page-node-type-event"}, "event"), ({"body": "page-node-type-section"}, "webpage"), ({"path": "/"}, "homepage"), ({"path": ""}, "homepage"), ({}, "unknown"),
+)
+
+
+@query("sample_content_kinds", values(((i, k) for i, (_, k) in enumerate(_KINDS)), "n", "kind"))
+def sample_content_kinds(s: Site) -> DataFrame:
+    """Every branch of the rules."""
+    names = ("hints", "types", "og", "path", "crumb", "body")
+    rows = s.spark.createDataFrame([(i, *(x.get(n, "/x" if n == "path" else "") for n in names)) for i, (x, _) in enumerate(_KINDS)], "n int, " + ", ".join(f"{n} string" for n in names))
+    return rows.select("n", rules.content_kind(*(F.col(n) for n in names)).alias("kind"))
+
+
+# URLs
+
+_KEYS = (
+    ("http://A.com:443/x/", "https://a.com/x"),
+    ("https://a.com:80", "https://a.com"),
+    ("http://a.com/?b=2&a=1#f", "https://a.com/?a=1&b=2"),
+    ("http://a.com/x?q=a%20b&k=", "https://a.com/x?k=&q=a+b"),
+    ("http://a.com/x?flag&&a=1=2", "https://a.com/x?a=1%3D2&flag="),
+    ("http://a.com/x?u=%C3%A9~*", "https://a.com/x?u=%C3%A9~%2A"),
+    ("http://a.com/x?u=é", "https://a.com/x?u=%C3%A9"),
+    ("http://a.com/x?u=50%", "https://a.com/x?u=50%25"),
+    ("http://[bad/x%20", "http://[bad/x%20"),
+    ("http://[::1]:443/", "https://[::1]"),
+    ("mailto:a@b.example", "mailto:a@b.example"),
+    ("not a url", "not a url"),
+    ("/", "/"),
+)
+
+
+@query("sample_crawl_keys", values(_KEYS, "url", "k"))
+def sample_crawl_keys(s: Site) -> DataFrame:
+    return s.spark.createDataFrame([(u,) for u, _ in _KEYS], "url string").select("url", urls.crawl_key("url").alias("k"))
+
+
+_LINKS = (
+    ("/a/", "https://x.example/p/q", "https://x.example/a"),
+    ("a#f", "https://x.example/p/q", "https://x.example/p/a"),
+    ("?p=2", "https://x.example/p/q", "https://x.example/p/q?p=2"),
+    ("../../..", "https://x.example/p/q/r", "https://x.example"),
+    ("//cdn.example/x", "https://x.example/p", "https://cdn.example/x"),
+    ("HTTPS://y.example/Z", "https://x.example/p", "https://y.example/Z"),
+    ("http://[bad", "https://x.example/p", ""),
+    ("tel:1", "https://x.example/p", "tel:1"),
+    ("#f", "https://x.example/p/", "https://x.example/p"),
+)
+
+
+@query("sample_link_forms", values(_LINKS, "link", "base", "resolved"))
+def sample_link_forms(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([x[:2] for x in _LINKS], "link string, base string")
+    return rows.select("link", "base", urls.link_norm(F.col("link"), F.col("base")).alias("resolved"))
+
+
+# Robots and sitemaps
+
+_ROBOTS = (("https://a.example", "User-agent: *\nDisallow: /private/\nDisallow: /private/deep/\nAllow: /\nSitemap: https://a.example/index.xml\n sitemap:https://a.example/other.xml"), ("https://b.example", "User-agent: Bot\nDisallow: /\n\nUser-agent: *\nDisallow:\nSITEMAP:"))
+
+
+def _robots(s: Site) -> DataFrame:
+    return s.spark.createDataFrame(_ROBOTS, "origin string, txt string")
+
+
+@query("sample_robots_sitemaps", values((("https://a.example", "https://a.example/index.xml"), ("https://a.example", "https://a.example/other.xml")), "origin", "sitemap"))
+def sample_robots_sitemaps(s: Site) -> DataFrame:
+    return tables.robots_sitemaps(_robots(s)).select("origin", "sitemap")
+
+
+_JUDGED = (("https://a.example/x", True, ""), ("https://a.example/private/y", False, "/private/"), ("https://a.example/private/deep/z", False, "/private/deep/"), ("https://b.example/", False, "/"), ("https://c.example/private/", True, ""))
+
+
+@query("sample_robots_rules", "SELECT url, allowed, rule FROM (VALUES " + ", ".join(f"('{u}', {str(a).upper()}, '{r}')" for u, a, r in _JUDGED) + ") v(url, allowed, rule)")
+def sample_robots_rules(s: Site) -> DataFrame:
+    targets = s.spark.createDataFrame([(u,) for u, _, _ in _JUDGED], "url string")
+    return extract.robots_allowed(targets, _robots(s), "Bot").select("url", "allowed", "rule")
+
+
+def _set(kind: str, entry: str, *locs: str) -> str:
+    entries = "".join(f"<{entry}><loc> {loc.partition('@')[0]} </loc>{f'<lastmod>{loc.partition("@")[2]}</lastmod>' if '@' in loc else ''}</{entry}>" for loc in locs)
+    return f'<?xml version="1.0"?><{kind} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{entries}</{kind}>'
+
+
+_SITEMAPS = (
+    ("https://a.example/index.xml", _set("sitemapindex", "sitemap", "https://a.example/s1.xml", "https://a.example/deep.xml", "https://a.example/gone.xml")),
+    ("https://a.example/deep.xml", _set("sitemapindex", "sitemap", "https://a.example/s2.xml", "https://a.example/index.xml")),
+    ("https://a.example/s1.xml", _set("urlset", "url", "https://a.example/1@2024-01-01", "https://a.example/2")),
+    ("https://a.example/s2.xml", _set("urlset", "url", "https://a.example/2@2024-02-02", "https://a.example/3")),
+    ("https://a.example/unnamed.xml", _set("urlset", "url", "https://a.example/4")),
+    ("https://a.example/other.xml", "<urlset><url><loc>broken"),
+)
+
+
+@query("sample_sitemap_entries", values((("https://a.example/s1.xml", "urlset", "https://a.example/1", "2024-01-01"), ("https://a.example/s1.xml", "urlset", "https://a.example/2", "")), "url", "kind", "loc", "lastmod"))
+def sample_sitemap_entries(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([_SITEMAPS[2], _SITEMAPS[5]], "url string, xml string")
+    return tables.sitemap_entries(rows)
+
+
+@query("sample_sitemaps", values((("https://a.example/1", "2024-01-01"), ("https://a.example/2", "2024-02-02"), ("https://a.example/3", "")), "loc", "lastmod"))
+def sample_sitemaps(s: Site) -> DataFrame:
+    """All that the sitemaps of a robots file list, through indexes that name one another."""
+    documents = s.spark.createDataFrame(_SITEMAPS, "url string, xml string")
+    return tables.expand_sitemaps(documents, tables.robots_sitemaps(_robots(s)).select(F.col("sitemap").alias("url")))

@@ -11,6 +11,7 @@ from gleanery.functions.scalars import sanitised
 #: Quotes doubled, line feeds within quotes, blanks as blanks.
 _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emptyValue": "", "nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
+#: The columns of the tables' files.
 FIELDS: dict[str, tuple[str, ...]] = {
     "edges": ("from_url", "to_url", "link_text", "discovered_at"),
     "tags": ("page_url", "tag_value", "tag_source", "discovered_at"),
@@ -91,20 +92,21 @@ def sitemap_entries(sitemaps: DataFrame, url: str = "url", xml: str = "xml") ->
     return sitemaps.select(url, xml).mapInPandas(parse, "url string, kind string, loc string, lastmod string")
 
 
-def expand_sitemaps(documents: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
-    """loc and lastmod of all that the roots' sitemaps list, through indexes of indexes: documents has url and xml. Each
-    sitemap is read once, whatever indexes name it; levels are checkpointed in the shared folder."""
+def expand_sitemaps(documents: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """loc and lastmod of all that the roots' sitemaps list, through indexes of indexes, however deep: documents has url and
+    xml. Each sitemap is read once, whatever indexes name it, so that indexes that name one another end; levels are checkpointed
+    in the shared folder. With `most`, only so many URLs, the first by name."""
     from gleanery.session import shared_folder
 
     shared_folder(documents.sparkSession)
     entries = sitemap_entries(documents).checkpoint()
     seen = roots.select("url").distinct().checkpoint()
     level = seen
-    for _ in range(depth):
+    while True:
         named = entries.where("kind = 'index'").join(level, "url", "left_semi").select(F.col("loc").alias("url")).distinct()
         level = named.join(seen, "url", "left_anti").checkpoint()
         if level.isEmpty():
             break
-        seen = seen.union(level)
-    listed = entries.where("kind = 'urlset'").join(seen, "url", "left_semi")
-    return listed.groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+        seen = seen.union(level).checkpoint()
+    listed = entries.where("kind = 'urlset'").join(seen, "url", "left_semi").groupBy("loc").agg(F.max("lastmod").alias("lastmod"))
+    return listed if most is None else listed.orderBy("loc").limit(most)
