@@ -108,11 +108,10 @@ def page_urls(pages: DataFrame) -> DataFrame:
 
 
 def restrict(df: DataFrame, column: str, pages: DataFrame) -> DataFrame:
-    """Rows of the pages given; all rows if there are no pages. Which of the two is decided within the plan: the flag is one
-    row, and rows stay where they match or the flag is set."""
-    known = page_urls(pages).select(F.col("u").alias("_u"))
-    none = pages.limit(1).agg((F.count("*") == 0).alias("_none"))
-    return df.join(known, F.col(column) == F.col("_u"), "left").join(F.broadcast(none)).where("_u is not null or _none").drop("_u", "_none")
+    """Rows of the pages given; all rows if there are no pages, which a look at one page decides."""
+    if pages.isEmpty():
+        return df
+    return df.join(page_urls(pages).select(F.col("u").alias("_u")), F.col(column) == F.col("_u"), "left_semi")
 
 
 def top(df: DataFrame, n: int, by: str, *tie: str, per: str | None = None) -> DataFrame:
@@ -127,13 +126,28 @@ def counts(df: DataFrame, *by, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
 
 
-def nearest_rank(values: Column, tenths: int) -> Column:
-    """The value at floor(tenths / 10 * (n - 1)) of the sorted values."""
-    return F.try_element_at(F.sort_array(values), ((F.size(values) - 1) * tenths / 10).cast("int") + 1)
+def nearest_ranks(df: DataFrame, value: str, tenths: int, per: str) -> DataFrame:
+    """per, p<tenths>0: the value at floor(tenths / 10 * (n - 1)) of each group's sorted values. Values are counted first, which
+    combines before the shuffle, and a running sum over the values that differ finds the place: no list of a group's values."""
+    by_value = counts(df, per, value, name="_k")
+    upto = F.sum("_k").over(Window.partitionBy(per).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    sizes = counts(df, per, name="_n")
+    placed = by_value.withColumn("_upto", upto).join(sizes, per)
+    return placed.where(F.col("_upto") > F.floor((F.col("_n") - 1) * tenths / 10)).groupBy(per).agg(F.min(value).alias(f"p{tenths}0"))
+
 
+def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of a column without repeats. Rows are dealt by ranges of it and counted
+    within their partitions; what lies before a partition is added, of which one row for each is gathered."""
+    dealt = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id())
+    # written once: ranges are cut from a sample, which another run might draw otherwise
+    from gleanery.session import shared_folder
 
-def upper_median(values: Column) -> Column:
-    return F.try_element_at(F.sort_array(values), (F.size(values) / 2).cast("int") + 1)
+    shared_folder(df.sparkSession)
+    dealt = dealt.checkpoint()
+    before = counts(dealt, "_p", name="_n").withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1
+    return dealt.withColumn("_w", within).join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, (F.col("_before") + F.col("_w")).cast("long")).drop("_p", "_w", "_before")
 
 
 def exploded(df: DataFrame, column: str, name: str, *keep: str) -> DataFrame:
@@ -146,20 +160,22 @@ def page(df: DataFrame, number: int, size: int, *order: str) -> DataFrame:
 
 
 def pick_diverse(df: DataFrame, n: int, url: str = "url") -> DataFrame:
-    """n rows in turn from each first path segment."""
+    """n rows in turn from each first path segment. No more than n rows of a segment are ranked, and each task keeps as many
+    before the shuffle; where a segment was first seen is an aggregate."""
     segment = F.element_at(F.split(F.concat(urls.path(url), F.lit("/")), "/"), 2)
-    first = Window.partitionBy("segment")
-    dealt = df.withColumn("segment", segment).withColumn("turn", F.row_number().over(first.orderBy("seq"))).withColumn("seen", F.min("seq").over(first))
-    return dealt.orderBy("turn", "seen", "seq").limit(n)
+    dealt = df.withColumn("segment", segment)
+    turns = dealt.withColumn("turn", F.row_number().over(Window.partitionBy("segment").orderBy("seq"))).where(F.col("turn") <= n)
+    seen = dealt.groupBy("segment").agg(F.min("seq").alias("seen"))
+    return turns.join(seen, "segment").orderBy("turn", "seen", "seq").limit(n)
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Breadth-first: url and its least number of links from a seed, up to `depth`. Each level is checkpointed in the shared
-    folder, so that plans don't grow with the depth and lost executors cost one level."""
+    folder, so that plans don't grow with the depth and lost executors cost one level; links are read and made unlike once."""
     from gleanery.session import shared_folder
 
     shared_folder(edges.sparkSession)
-    links = edges.select("from_url", "to_url").where("from_url <> to_url").distinct()
+    links = edges.select("from_url", "to_url").where("from_url <> to_url").distinct().checkpoint()
     found = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
     frontier = found
     for level in range(1, depth + 1):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanery.functions import urls
-from gleanery.functions.scalars import as_float, as_int, filled, rounded
+from gleanery.functions.scalars import as_int, filled, rounded
 from gleanery.operators.frames import counts, top
-from gleanery.plans.registry import Site, host, integer, near, pct, query, real
-from gleanery.plans.reports import SIGNALS, _tags, authors_top, schema_type_freq, share
+from gleanery.plans.registry import Site, host, integer, near, pct, query
+from gleanery.plans.reports import SIGNALS, _tags, authors_top, mean_above_zero, schema_type_freq, share, sql_mean_above_zero
 
 _SQL_CRAWL_KEY = "regexp_replace(concat('https://', lower(regexp_extract({u}, '://([^/?#]*)', 1)), CASE WHEN regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) END, CASE WHEN regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1) = '' THEN '' ELSE concat('?', array_to_string(list_sort(string_split(regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1), '&')), '&')) END), '/+$', '')"
 
@@ -75,10 +75,26 @@ def structured_strip(s: Site) -> DataFrame:
     return top(rows.where("pages >= 2"), 40, "pages", "domain")
 
 
-_MEASURES = {"words": "word_count", "images": "img_count", "depth": "depth", "coverage": "extraction_coverage_pct", "fetch_ms": "fetch_time_ms"}
-
-
-@query("parallel_coordinates", "SELECT domain, " + ", ".join(f"{near(f'avg({real(c)})')} AS {k}" for k, c in _MEASURES.items()) + " FROM p GROUP BY 1 HAVING count(*) >= 3")
-def parallel_coordinates(s: Site, least: int = 3) -> DataFrame:
-    rows = s.pages.groupBy("domain").agg(*(rounded(F.avg(as_float(c))).alias(k) for k, c in _MEASURES.items()), F.count("*").alias("_n"))
-    return rows.where(F.col("_n") >= least).drop("_n")
+@query(
+    "parallel_coordinates",
+    f"""SELECT q.*, coalesce(e.n, 0) AS errors, coalesce(a.n, 0) AS assets FROM (SELECT domain, count(*) AS pages, CAST(round_even(CAST(sum({integer('word_count')}) AS DOUBLE) / count(*), 0) AS BIGINT) AS words, {sql_mean_above_zero('readability_fk_grade')} AS readability, {near(f'CAST(sum({integer("link_count_internal")}) AS DOUBLE) / count(*)')} AS internal_links,
+{near(f'CAST(sum({integer("link_count_external")}) AS DOUBLE) / count(*)')} AS external_links, {sql_mean_above_zero('extraction_coverage_pct')} AS coverage, {sql_mean_above_zero('extraction_coverage_core_pct')} AS coverage_core, {pct("count(*) FILTER (trim(json_ld_types) <> '')", 'count(*)')} AS json_ld_pct, {pct("count(*) FILTER (trim(microdata_types) <> '')", 'count(*)')} AS microdata_pct
+FROM p GROUP BY 1 HAVING count(*) >= 5 ORDER BY pages DESC, domain LIMIT 60) q LEFT JOIN (SELECT {host('url')} AS h, count(*) AS n FROM er GROUP BY 1) e ON e.h = domain LEFT JOIN (SELECT {host('referrer_page_url')} AS h, count(*) AS n FROM ast GROUP BY 1) a ON a.h = domain""",
+)
+def parallel_coordinates(s: Site, least: int = 5, most: int = 60) -> DataFrame:
+    """Eleven measures of each domain with enough pages, the biggest first."""
+    n = F.count("*")
+    rows = s.pages.groupBy("domain").agg(
+        n.alias("pages"),
+        F.rint(F.sum(as_int("word_count")) / n).cast("long").alias("words"),
+        mean_above_zero("readability_fk_grade").alias("readability"),
+        rounded(F.sum(as_int("link_count_internal")) / n).alias("internal_links"),
+        rounded(F.sum(as_int("link_count_external")) / n).alias("external_links"),
+        mean_above_zero("extraction_coverage_pct").alias("coverage"),
+        mean_above_zero("extraction_coverage_core_pct").alias("coverage_core"),
+        share(F.count_if(filled("json_ld_types")), n).alias("json_ld_pct"),
+        share(F.count_if(filled("microdata_types")), n).alias("microdata_pct"),
+    )
+    rows = top(rows.where(F.col("pages") >= least), most, "pages", "domain")
+    errors, assets = counts(s.errors, urls.host("url").alias("domain"), name="errors"), counts(s.assets, urls.host("referrer_page_url").alias("domain"), name="assets")
+    return rows.join(errors, "domain", "left").join(assets, "domain", "left").fillna(0, ["errors", "assets"])

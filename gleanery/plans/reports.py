@@ -172,16 +172,26 @@ def domain_graph_links(s: Site) -> DataFrame:
 def domain_graph_nodes(s: Site) -> DataFrame:
     links = host_links(s)
     nodes = s.pages.select("domain").union(links.select("src")).union(links.select("tgt")).distinct()
-    # one row for each host: the only window of the report that isn't partitioned
-    return nodes.join(counts(s.pages, "domain", name="page_count"), "domain", "left").select("domain", (F.row_number().over(Window.orderBy("domain")) - 1).cast("long").alias("idx"), F.coalesce("page_count", F.lit(0)).alias("page_count"))
+    return frames.ranked(nodes.join(counts(s.pages, "domain", name="page_count"), "domain", "left").select("domain", F.coalesce("page_count", F.lit(0)).alias("page_count")), "domain", "idx")
 
 
-@query("chord_matrix", "SELECT a.domain AS src, b.domain AS tgt, count(l.src) AS n FROM ct a CROSS JOIN ct b LEFT JOIN lk l ON l.src = a.domain AND l.tgt = b.domain GROUP BY ALL", SQL_LINKS, "ct AS (SELECT domain, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, domain LIMIT 12)")
-def chord_matrix(s: Site, n: int = 12) -> DataFrame:
+@query("graph_second_hop", "SELECT DISTINCT a.domain, b.neighbour FROM nb a JOIN nb b ON b.domain = a.neighbour WHERE b.neighbour <> a.domain AND NOT EXISTS (SELECT 1 FROM nb c WHERE c.domain = a.domain AND c.neighbour = b.neighbour) AND a.domain IN (SELECT domain FROM (SELECT domain, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, domain LIMIT 5))", SQL_LINKS, "nb AS (SELECT src AS domain, tgt AS neighbour FROM gl UNION SELECT tgt, src FROM gl)")
+def graph_second_hop(s: Site, domains: tuple[str, ...] = ()) -> DataFrame:
+    """Neighbours of neighbours of some domains (the five biggest, where none are given) that are no neighbours themselves."""
+    near = graph_neighbours(s).select("domain", "neighbour")
+    start = s.pages.select("domain").where(F.col("domain").isin(*domains)).distinct() if domains else top(counts(s.pages, "domain"), 5, "n", "domain").select("domain")
+    first = near.join(F.broadcast(start), "domain", "left_semi")
+    second = first.select("domain", F.col("neighbour").alias("via")).join(near.select(F.col("domain").alias("via"), "neighbour"), "via").select("domain", "neighbour").where("domain <> neighbour").distinct()
+    return second.join(first, ["domain", "neighbour"], "left_anti")
+
+
+@query("chord_matrix", "SELECT a.domain AS src, b.domain AS tgt, count(l.src) FILTER (a.domain <> b.domain) AS n FROM ct a CROSS JOIN ct b LEFT JOIN lk l ON l.src = a.domain AND l.tgt = b.domain GROUP BY ALL", SQL_LINKS, "ct AS (SELECT domain, count(*) AS n FROM p GROUP BY 1 ORDER BY n DESC, domain LIMIT 30)")
+def chord_matrix(s: Site, n: int = 30) -> DataFrame:
+    """Links among the n biggest domains; none from a domain to itself."""
     biggest = top(counts(s.pages, "domain"), n, "n", "domain").select("domain")
     # n by n cells, few by definition
     cells = biggest.select(F.col("domain").alias("src"), F.lit(1).alias("_x")).join(biggest.select(F.col("domain").alias("tgt"), F.lit(1).alias("_x")), "_x").drop("_x")
-    links = counts(s.edges, urls.host("from_url").alias("src"), urls.host("to_url").alias("tgt"))
+    links = counts(s.edges.select(urls.host("from_url").alias("src"), urls.host("to_url").alias("tgt")).where("src <> tgt"), "src", "tgt")
     return cells.join(links, ["src", "tgt"], "left").fillna(0)
 
 
@@ -241,6 +251,38 @@ def nav_tree_paths(s: Site, most: int = 8) -> DataFrame:
     return nodes.groupBy("domain", F.array_join(F.slice("segs", F.lit(1), F.col("d")), "/").alias("prefix"), F.col("d").cast("long").alias("depth")).agg(F.count_distinct("nav_href").alias("links"), F.min(F.when(F.size("segs") == F.col("d"), F.col("nav_text"))).alias("label"))
 
 
+_SQL_LABELS_NAV = f"nl AS (SELECT {host('page_url')} AS domain, trim(nav_text) AS name, min(trim(nav_href)) AS href, count(DISTINCT trim(nav_href)) AS size FROM nv WHERE {host('page_url')} <> '' AND trim(nav_text) <> '' GROUP BY ALL)"
+_SQL_NAV_TREE = f"""ni AS (SELECT *, list_filter(string_split(regexp_extract(href, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1), '/'), lambda x: x <> '') AS segs FROM nl WHERE {host('href')} IN ('', domain)),
+np AS (SELECT domain, name, href, segs, k, array_to_string(segs[1:k], '/') AS prefix, CASE WHEN k = 2 OR len(segs) = k THEN concat('n:', name) ELSE concat('s:', segs[k + 1]) END AS child FROM ni, (SELECT unnest([1, 2]) AS k) WHERE k <= len(segs)),
+ng AS (SELECT domain, prefix FROM np GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT child) > 1)"""
+
+
+@query(
+    "nav_tree",
+    f"""SELECT domain, 'internal' AS branch, coalesce(parents, '') AS parents, name, href, CAST(1 AS BIGINT) AS size FROM (SELECT ni.*, (SELECT string_agg(concat('/', np.segs[np.k]), '>' ORDER BY np.k) FROM np JOIN ng ON ng.domain = np.domain AND ng.prefix = np.prefix WHERE np.domain = ni.domain AND np.name = ni.name) AS parents FROM ni)
+UNION ALL SELECT domain, 'external', CASE WHEN count(*) OVER (PARTITION BY domain, {host('href')}) > 1 THEN {host('href')} ELSE '' END, name, href, size FROM nl WHERE {host('href')} NOT IN ('', domain)""",
+    _SQL_LABELS_NAV,
+    _SQL_NAV_TREE,
+)
+def nav_tree(s: Site, depth: int = 2) -> DataFrame:
+    """The tree of each domain's labels, a row for each leaf with the groups above it. A group is a path prefix, of `depth` segments
+    at most, that parts into two things at least; one that doesn't gives way to what it holds. External labels are grouped by their
+    host. A label with several links takes the least of them."""
+    labels = s.nav.groupBy(urls.host("page_url").alias("domain"), F.trim("nav_text").alias("name")).agg(F.min(F.trim("nav_href")).alias("href"), F.count_distinct(F.trim("nav_href")).alias("size")).where("domain <> '' and name <> ''")
+    labels = labels.withColumn("target", urls.host("href"))
+    items = labels.where("target in ('', domain)").withColumn("segs", F.filter(F.split(urls.path("href"), "/"), lambda x: x != ""))
+    here = F.slice("segs", F.lit(1), F.col("k"))
+    below = F.when((F.col("k") == depth) | (F.size("segs") == F.col("k")), F.concat(F.lit("n:"), "name")).otherwise(F.concat(F.lit("s:"), F.get("segs", F.col("k"))))
+    prefixes = items.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(depth)))).where(F.col("k") <= F.size("segs")).withColumn("prefix", F.array_join(here, "/"))
+    groups = prefixes.groupBy("domain", "prefix").agg(F.count("*").alias("n"), F.count_distinct(below).alias("m")).where("n > 1 and m > 1").select("domain", "prefix")
+    # at most `depth` groups lie above a leaf
+    above = prefixes.join(groups, ["domain", "prefix"], "left_semi").groupBy("domain", "name").agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("/"), F.element_at("segs", F.col("k"))).alias("g")))).alias("x"))
+    parents = F.coalesce(F.array_join(F.transform("x", lambda p: p["g"]), ">"), F.lit(""))
+    inner = items.join(above, ["domain", "name"], "left").select("domain", F.lit("internal").alias("branch"), parents.alias("parents"), "name", "href", F.lit(1).cast("long").alias("size"))
+    outer = labels.where("target not in ('', domain)").withColumn("n", F.count("*").over(Window.partitionBy("domain", "target")))
+    return inner.union(outer.select("domain", F.lit("external"), F.when(F.col("n") > 1, F.col("target")).otherwise(F.lit("")), "name", "href", "size"))
+
+
 @query("freshness", "SELECT domain, min(day) AS oldest, max(day) AS latest, count(*) AS n FROM dt WHERE day IS NOT NULL GROUP BY 1", SQL_DATES)
 def freshness(s: Site) -> DataFrame:
     return dates(s.pages, "domain").groupBy("domain").agg(F.min("day").alias("oldest"), F.max("day").alias("latest"), F.count("*").alias("n"))
@@ -251,11 +293,35 @@ def freshness_buckets(s: Site) -> DataFrame:
     return counts(dates(s.pages, "domain"), "domain", F.substring("day", 1, 7).alias("month"))
 
 
-@query("freshness_groups", "SELECT CASE WHEN trim(cms_generator) = '' THEN '(undetected)' ELSE trim(cms_generator) END AS cms, min(day) AS oldest, max(day) AS latest, count(*) AS n FROM dt WHERE day IS NOT NULL GROUP BY 1 ORDER BY n DESC, cms LIMIT 50", SQL_DATES)
+_SQL_PRIMARY = "pc AS (SELECT domain AS d, cms FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, cms) AS k FROM (SELECT domain, trim(cms_generator) AS cms, count(*) AS n FROM p WHERE trim(cms_generator) <> '' GROUP BY ALL)) WHERE k = 1), pk AS (SELECT domain AS d, kind FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, kind) AS k FROM (SELECT domain, CASE WHEN trim(content_kind_guess) = '' THEN '(unclassified)' ELSE trim(content_kind_guess) END AS kind, count(*) AS n FROM p GROUP BY ALL)) WHERE k = 1)"
+
+
+def domain_groups(s: Site, by: str) -> DataFrame:
+    """domain and grp: its commonest system or kind of page, or its owner."""
+    if by == "ownership":
+        return s.pages.select("domain").distinct().withColumn("grp", rules.ownership("domain"))
+    if by == "kind":
+        return top(domains_content_kinds(s), 1, "n", "kind", per="domain").select("domain", F.col("kind").alias("grp"))
+    known = s.pages.select("domain").distinct().join(domains_primary_cms(s), "domain", "left")
+    return known.select("domain", F.coalesce("cms", F.lit("(undetected)")).alias("grp"))
+
+
+def freshness_by(s: Site, by: str) -> DataFrame:
+    groups = freshness(s).join(domain_groups(s, by), "domain").groupBy("grp").agg(F.min("oldest").alias("oldest"), F.max("latest").alias("latest"))
+    return groups.orderBy(F.desc("latest"), "grp").limit(50)
+
+
+_SQL_FRESH = "SELECT grp, min(day) AS oldest, max(day) AS latest FROM (SELECT day, {x} AS grp FROM dt {j}) WHERE day IS NOT NULL GROUP BY 1 ORDER BY latest DESC, grp LIMIT 50"
+
+
+@query("freshness_groups", _SQL_FRESH.format(x="coalesce(cms, '(undetected)')", j="LEFT JOIN pc ON pc.d = dt.domain"), SQL_DATES, _SQL_PRIMARY)
 def freshness_groups(s: Site) -> DataFrame:
-    cms = F.when(filled("cms_generator"), F.trim("cms_generator")).otherwise(F.lit("(undetected)"))
-    groups = dates(s.pages, "cms_generator").groupBy(cms.alias("cms")).agg(F.min("day").alias("oldest"), F.max("day").alias("latest"), F.count("*").alias("n"))
-    return top(groups, 50, "n", "cms")
+    return freshness_by(s, "cms")
+
+
+@query("freshness_kinds", _SQL_FRESH.format(x="kind", j="JOIN pk ON pk.d = dt.domain"), SQL_DATES, _SQL_PRIMARY)
+def freshness_kinds(s: Site) -> DataFrame:
+    return freshness_by(s, "kind")
 
 
 @query("cms_distribution", "SELECT trim(cms_generator) AS cms, count(*) AS pages, count(DISTINCT domain) AS domains FROM p WHERE trim(cms_generator) <> '' GROUP BY 1")
@@ -319,6 +385,53 @@ def author_network(s: Site) -> DataFrame:
     return top(pairs.join(F.broadcast(_by_name(s, "author", 30).select("author")), "author", "left_semi"), 10, "n", "domain", per="author")
 
 
+def _domains_of(s: Site, column: str, names: int, most: int = 10) -> DataFrame:
+    pairs = counts(s.pages.where(filled(column)), F.trim(column).alias(column), "domain")
+    return top(pairs.join(F.broadcast(_by_name(s, column, names).select(column)), column, "left_semi"), most, "n", "domain", per=column)
+
+
+def _sql_domains_of(column: str, names: int) -> str:
+    return f"SELECT {column}, domain, n FROM (SELECT *, row_number() OVER (PARTITION BY {column} ORDER BY n DESC, domain) AS k FROM (SELECT trim({column}) AS {column}, domain, count(*) AS n FROM p WHERE trim({column}) IN (SELECT {column} FROM ({_sql_by_name(column, names)})) GROUP BY ALL)) WHERE k <= 10"
+
+
+@query("author_domains", _sql_domains_of("author", 50))
+def author_domains(s: Site) -> DataFrame:
+    return _domains_of(s, "author", 50)
+
+
+@query("publisher_domains", _sql_domains_of("publisher", 30))
+def publisher_domains(s: Site) -> DataFrame:
+    return _domains_of(s, "publisher", 30)
+
+
+@query("domains_top_publishers", "SELECT domain, publisher, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, publisher) AS k FROM (SELECT domain, trim(publisher) AS publisher, count(*) AS n FROM p WHERE trim(publisher) <> '' GROUP BY ALL)) WHERE k <= 3")
+def domains_top_publishers(s: Site) -> DataFrame:
+    return top(counts(s.pages.where(filled("publisher")), "domain", F.trim("publisher").alias("publisher")), 3, "n", "publisher", per="domain")
+
+
+@query("domains_schema_types", f"SELECT domain, type, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, type) AS k FROM (SELECT domain, t AS type, count(*) AS n FROM (SELECT domain, unnest({sql_parts('json_ld_types')}) AS t FROM p UNION ALL SELECT domain, unnest({sql_parts('microdata_types')}) FROM p) GROUP BY ALL)) WHERE k <= 20")
+def domains_schema_types(s: Site) -> DataFrame:
+    types = s.pages.select("domain", F.explode(F.concat(parts("json_ld_types"), parts("microdata_types"))).alias("type"))
+    return top(counts(types, "domain", "type"), 20, "n", "type", per="domain")
+
+
+@query("domains_titles", "SELECT domain, title FROM (SELECT domain, trim(title) AS title, row_number() OVER (PARTITION BY domain ORDER BY run, seq) AS k FROM p WHERE trim(title) <> '') WHERE k <= 3")
+def domains_titles(s: Site) -> DataFrame:
+    """The first titles of each domain."""
+    first = F.row_number().over(Window.partitionBy("domain").orderBy("run", "seq"))
+    return s.pages.where(filled("title")).select("domain", F.trim("title").alias("title"), first.alias("k")).where("k <= 3").drop("k")
+
+
+@query("domains_assets", f"SELECT {host('referrer_page_url')} AS domain, CASE WHEN trim(category) = '' THEN 'other' ELSE trim(category) END AS category, count(*) AS n FROM ast WHERE {host('referrer_page_url')} <> '' GROUP BY ALL")
+def domains_assets(s: Site) -> DataFrame:
+    return counts(s.assets, urls.host("referrer_page_url").alias("domain"), F.when(filled("category"), F.trim("category")).otherwise(F.lit("other")).alias("category")).where("domain <> ''")
+
+
+@query("domains_ownership", "SELECT DISTINCT domain, array_to_string(string_split(lower(domain), '.')[-2:], '.') AS owner FROM p")
+def domains_ownership(s: Site) -> DataFrame:
+    return s.pages.select("domain").distinct().select("domain", rules.ownership("domain").alias("owner"))
+
+
 #: Items of a kind, by what marks them; a summary needs three.
 ITEMS = {"products": ("schema_price", "product"), "events": ("schema_event_date", "event"), "jobs": ("schema_job_title", "job"), "recipes": ("schema_recipe_time", "recipe")}
 _SQL_PRICE = f"CASE WHEN {real('schema_price')} > 0 THEN {real('schema_price')} END"
@@ -361,6 +474,52 @@ def recipes_summary(s: Site) -> DataFrame:
     return _items(s, "schema_recipe_time", "time", "schema_recipe_time", 50)
 
 
+_SQL_ENOUGH = "(SELECT count(*) FROM p WHERE trim({m}) <> '') >= 3"
+
+
+@query("items_by_domain", " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS kind, domain, count(*) AS n FROM p WHERE trim({m}) <> '' AND {_SQL_ENOUGH.format(m=m)} GROUP BY 2 ORDER BY n DESC, domain LIMIT 20)" for k, (m, _) in ITEMS.items()))
+def items_by_domain(s: Site) -> DataFrame:
+    """Products, events, jobs and recipes of each domain, the first 20 of a kind; none of a kind with fewer than three."""
+    kinds = F.array_compact(F.array(*(F.when(filled(m), F.lit(k)) for k, (m, _) in ITEMS.items())))
+    rows = counts(s.pages.select("domain", F.explode(kinds).alias("kind")), "kind", "domain")
+    enough = rows.groupBy("kind").agg(F.sum("n").alias("_t")).where("_t >= 3").select("kind")
+    return top(rows.join(F.broadcast(enough), "kind", "left_semi"), 20, "n", "domain", per="kind")
+
+
+def _listed(s: Site, mark: str, order: tuple, cap: int, **columns: Column) -> DataFrame:
+    """Items, the first in their order; none of a kind with fewer than three, which a look at three rows decides."""
+    items = s.pages.where(filled(mark))
+    if items.limit(3).count() < 3:
+        items = items.where("false")
+    return items.select(F.col("final_url").alias("url"), "domain", *(c.alias(n) for n, c in columns.items())).orderBy(*order).limit(cap)
+
+
+@query("top_rated_products", f"SELECT final_url AS url, domain, substr(title, 1, 80) AS title, {real('schema_rating')} AS rating, {integer('schema_review_count')} AS reviews FROM p WHERE trim(schema_price) <> '' AND {real('schema_rating')} > 0 AND {_SQL_ENOUGH.format(m='schema_price')} ORDER BY rating DESC, url LIMIT 10")
+def top_rated_products(s: Site) -> DataFrame:
+    rows = _listed(s, "schema_price", ("url",), 1 << 30, title=F.substring("title", 1, 80), rating=as_float("schema_rating"), reviews=as_int("schema_review_count"))
+    return rows.where("rating > 0").orderBy(F.desc("rating"), "url").limit(10)
+
+
+@query("events_by_date", f"SELECT final_url AS url, domain, trim(schema_event_date) AS day, schema_event_location AS location FROM p WHERE trim(schema_event_date) <> '' AND {_SQL_ENOUGH.format(m='schema_event_date')} ORDER BY day, url LIMIT 50")
+def events_by_date(s: Site) -> DataFrame:
+    return _listed(s, "schema_event_date", ("day", "url"), 50, day=F.trim("schema_event_date"), location=F.col("schema_event_location"))
+
+
+@query("jobs_listed", f"SELECT final_url AS url, domain, trim(schema_job_title) AS job, schema_job_location AS location FROM p WHERE trim(schema_job_title) <> '' AND {_SQL_ENOUGH.format(m='schema_job_title')} ORDER BY url, job LIMIT 50")
+def jobs_listed(s: Site) -> DataFrame:
+    return _listed(s, "schema_job_title", ("url", "job"), 50, job=F.trim("schema_job_title"), location=F.col("schema_job_location"))
+
+
+@query("jobs_by_location", _sql_items("schema_job_title", "location", "schema_job_location", 20))
+def jobs_by_location(s: Site) -> DataFrame:
+    return _items(s, "schema_job_title", "location", "schema_job_location", 20)
+
+
+@query("recipes_listed", f"SELECT final_url AS url, domain, trim(schema_recipe_time) AS time FROM p WHERE trim(schema_recipe_time) <> '' AND {_SQL_ENOUGH.format(m='schema_recipe_time')} ORDER BY url, time LIMIT 50")
+def recipes_listed(s: Site) -> DataFrame:
+    return _listed(s, "schema_recipe_time", ("url", "time"), 50, time=F.trim("schema_recipe_time"))
+
+
 SQL_DEPTH = f"dp AS (SELECT *, {integer('depth')} AS dep FROM p)"
 
 
@@ -404,10 +563,26 @@ def health_scores(s: Site) -> DataFrame:
     return content_health(s).groupBy("domain").agg(rounded(F.sum(F.rint(F.col("pct") * 10).cast("long")) / 10 / F.count("*")).alias("score"))
 
 
+_SQL_WHOLE = "hs AS (SELECT domain, floor(CAST(sum(CAST(round_even(pct * 10, 0) AS BIGINT)) AS DOUBLE) / 10 / count(*) + 0.5) AS score FROM hl GROUP BY 1)"
+
+
+@query("health_signals", "SELECT signal, CAST(floor(CAST(sum(CAST(round_even(pct * 10, 0) AS BIGINT)) AS DOUBLE) / 10 / count(*) + 0.5) AS BIGINT) AS mean, CAST(sum(CAST(round_even(pct * 10, 0) AS BIGINT)) AS DOUBLE) / 10 / count(*) + 0.5 < 50 AS weak FROM hl GROUP BY 1", _SQL_BIGGEST, _SQL_HEALTH)
+def health_signals(s: Site) -> DataFrame:
+    """Each signal's mean over the domains, halves upwards, and whether it is below half."""
+    mean = F.sum(F.rint(F.col("pct") * 10).cast("long")) / 10 / F.count("*") + 0.5
+    return content_health(s).groupBy("signal").agg(F.floor(mean).cast("long").alias("mean"), (mean < 50).alias("weak"))
+
+
+@query("health_overall", "SELECT count(*) AS domains, CAST(floor(avg(score) + 0.5) AS BIGINT) AS overall FROM hs", _SQL_BIGGEST, _SQL_HEALTH, _SQL_WHOLE)
+def health_overall(s: Site) -> DataFrame:
+    scores = content_health(s).groupBy("domain").agg(F.floor(F.sum(F.rint(F.col("pct") * 10).cast("long")) / 10 / F.count("*") + 0.5).alias("score"))
+    return scores.agg(F.count("*").alias("domains"), F.floor(F.avg("score") + 0.5).cast("long").alias("overall"))
+
+
 # Competitor intelligence
 
 
-@query("ci_top_tags", f"SELECT tag, count(*) AS n FROM (SELECT lower(trim(tag_value)) AS tag FROM tg) WHERE length(tag) BETWEEN 3 AND 80 AND tag NOT IN ({', '.join(map(repr, rules.STOP_WORDS))}) GROUP BY 1 ORDER BY n DESC, tag LIMIT 50")
+@query("ci_top_tags", f"SELECT tag, count(*) AS n FROM (SELECT lower(trim(tag_value)) AS tag FROM tg) WHERE length(tag) BETWEEN 3 AND 80 AND tag NOT IN ('the', 'and', 'for', 'with', 'from', 'this', 'that', 'your', 'our', 'are', 'was', 'has', 'have', 'been', 'will', 'can', 'all', 'not', 'but', 'you', 'more', 'page', 'home', 'site', 'www', 'com') GROUP BY 1 ORDER BY n DESC, tag LIMIT 50")
 def ci_top_tags(s: Site) -> DataFrame:
     tags = s.tags.select(F.lower(F.trim("tag_value")).alias("tag")).where(F.length("tag").between(3, 80) & ~F.col("tag").isin(*rules.STOP_WORDS))
     return top(counts(tags, "tag"), 50, "n", "tag")
@@ -424,12 +599,29 @@ def ci_price_by_domain(s: Site) -> DataFrame:
     return top(prices.groupBy("domain").agg(F.count("*").alias("n"), F.min("x").alias("min_price"), F.max("x").alias("max_price"), rounded(F.avg("x"), 2).alias("avg_price")), 25, "n", "domain")
 
 
-_PROMO = "(sale|offer|discount|deal|promo|save|free|home)"
+# Words of promotions.
+_PROMO = r"(?i)\b(sale|offer|clearance|promo|discount|deal|save)\b"
+
+
+@query("ci_promos", f"SELECT {SQL_PAGE} AS url, title FROM p WHERE trim(schema_price) <> '' AND regexp_matches(lower(concat(substr(title, 1, 120), ' ', trim(schema_availability))), '(^|[^a-z0-9_])(sale|offer|clearance|promo|discount|deal|save)($|[^a-z0-9_])') ORDER BY url, title LIMIT 30")
+def ci_promos(s: Site, cap: int | None = 30) -> DataFrame:
+    """Priced pages whose title or availability speaks of a promotion."""
+    said = F.concat_ws(" ", F.substring("title", 1, 120), F.trim("schema_availability"))
+    out = s.pages.where(filled("schema_price") & said.rlike(_PROMO)).select(page_url().alias("url"), "title").orderBy("url", "title")
+    return out.limit(cap) if cap else out
+
+
+@query("ci_products", f"SELECT {SQL_PAGE} AS url, domain, {real('schema_price')} AS price, {integer('schema_review_count')} AS reviews, {real('schema_rating')} AS rating, trim(schema_availability) AS availability FROM p WHERE trim(schema_price) <> '' ORDER BY reviews DESC, price DESC, url LIMIT 60")
+def ci_products(s: Site, cap: int | None = 60) -> DataFrame:
+    """Products by reviews, then by price."""
+    rows = s.pages.where(filled("schema_price")).select(page_url().alias("url"), "domain", as_float("schema_price").alias("price"), as_int("schema_review_count").alias("reviews"), as_float("schema_rating").alias("rating"), F.trim("schema_availability").alias("availability"))
+    out = rows.orderBy(F.desc("reviews"), F.desc("price"), "url")
+    return out.limit(cap) if cap else out
 
 
-@query("ci_promos", f"SELECT {SQL_PAGE} AS url, title FROM p WHERE regexp_matches(lower(concat(title, ' ', schema_availability)), '\\b{_PROMO}\\b') ORDER BY url, title LIMIT 30")
-def ci_promos(s: Site) -> DataFrame:
-    return s.pages.where(F.lower(F.concat_ws(" ", "title", "schema_availability")).rlike(rf"\b{_PROMO}\b")).select(page_url().alias("url"), "title").orderBy("url", "title").limit(30)
+@query("ci_availability", "SELECT trim(schema_availability) AS availability, count(*) AS n FROM p WHERE trim(schema_price) <> '' AND trim(schema_availability) <> '' GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15")
+def ci_availability(s: Site) -> DataFrame:
+    return top(counts(s.pages.where(filled("schema_price") & filled("schema_availability")), F.trim("schema_availability").alias("availability")), 15, "n", "availability")
 
 
 @query("ci_pairs", "SELECT src, tgt, count(*) AS n FROM lk WHERE src <> tgt AND src <> '' AND tgt <> '' GROUP BY ALL ORDER BY n DESC, src, tgt LIMIT 40", SQL_LINKS)
@@ -444,11 +636,12 @@ def ci_inbound(s: Site) -> DataFrame:
     return top(counts(links.join(s.pages.select("domain").distinct(), "domain", "left_semi"), "domain"), 30, "n", "domain")
 
 
-@query("ci_outbound", "SELECT tgt AS domain, count(*) AS n FROM lk WHERE src IN (SELECT domain FROM pd) AND tgt <> '' AND tgt NOT IN (SELECT domain FROM pd) GROUP BY 1 ORDER BY n DESC, domain LIMIT 30", SQL_LINKS)
+@query("ci_outbound", "SELECT src AS domain, count(*) AS n FROM lk WHERE src IN (SELECT domain FROM pd) AND tgt <> '' AND tgt NOT IN (SELECT domain FROM pd) GROUP BY 1 ORDER BY n DESC, domain LIMIT 30", SQL_LINKS)
 def ci_outbound(s: Site) -> DataFrame:
+    """Links from each domain to hosts that have no pages."""
     known = s.pages.select(F.col("domain").alias("d")).distinct()
-    links = s.edges.select(urls.host("from_url").alias("src"), urls.host("to_url").alias("domain")).where("domain <> ''")
-    return top(counts(links.join(known, F.col("src") == F.col("d"), "left_semi").join(known, F.col("domain") == F.col("d"), "left_anti"), "domain"), 30, "n", "domain")
+    links = s.edges.select(urls.host("from_url").alias("domain"), urls.host("to_url").alias("tgt")).where("tgt <> ''")
+    return top(counts(links.join(known, F.col("domain") == F.col("d"), "left_semi").join(known, F.col("tgt") == F.col("d"), "left_anti"), "domain"), 30, "n", "domain")
 
 
 # Content performance
@@ -468,22 +661,42 @@ def dup_hash_clusters(s: Site) -> DataFrame:
 _SQL_CANON = f"rtrim(trim(canonical_url), '/') <> rtrim({SQL_PAGE}, '/')"
 
 
-@query("dup_canonical", f"SELECT trim(canonical_url) AS canonical, count(*) AS n FROM p WHERE trim(canonical_url) <> '' AND {_SQL_CANON} GROUP BY 1")
+@query("dup_canonical", f"SELECT trim(canonical_url) AS canonical, count(*) AS n FROM p WHERE trim(canonical_url) <> '' AND {_SQL_CANON} GROUP BY 1 HAVING count(*) > 1")
 def dup_canonical(s: Site) -> DataFrame:
     bare = lambda c: F.regexp_replace(c, "/+$", "")
-    return counts(s.pages.where(filled("canonical_url") & (bare(F.trim("canonical_url")) != bare(page_url()))), F.trim("canonical_url").alias("canonical"))
+    return counts(s.pages.where(filled("canonical_url") & (bare(F.trim("canonical_url")) != bare(page_url()))), F.trim("canonical_url").alias("canonical")).where("n > 1")
+
 
+_SQL_INTERNAL = f"pu AS (SELECT trim(final_url) AS u FROM p WHERE trim(final_url) <> '' UNION SELECT trim(requested_url) FROM p WHERE trim(requested_url) <> ''), il AS (SELECT from_url, to_url, {host('from_url')} AS domain FROM ed WHERE {host('from_url')} = {host('to_url')} AND {host('from_url')} IN (SELECT domain FROM p) AND from_url IN (SELECT u FROM pu))"
 
-_SQL_INTERNAL = f"il AS (SELECT from_url, to_url, {host('from_url')} AS domain FROM ed WHERE {host('from_url')} = {host('to_url')} AND {host('from_url')} <> '')"
+
+def _page_urls(s: Site) -> DataFrame:
+    return s.pages.select(F.explode(F.array(F.trim("final_url"), F.trim("requested_url"))).alias("u")).where("u <> ''").distinct()
 
 
 def _internal(s: Site) -> DataFrame:
-    return s.edges.select("from_url", "to_url", urls.host("from_url").alias("domain"), urls.host("to_url").alias("_t")).where("domain = _t and domain <> ''").drop("_t")
+    """Links of pages within their host, where the host has pages under its name."""
+    links = s.edges.select("from_url", "to_url", urls.host("from_url").alias("domain"), urls.host("to_url").alias("_t")).where("domain = _t and domain <> ''").drop("_t")
+    return links.join(_page_urls(s), F.col("from_url") == F.col("u"), "left_semi").join(s.pages.select("domain").distinct(), "domain", "left_semi")
 
 
-@query("internal_inlinks", "SELECT to_url AS url, count(*) AS n FROM il GROUP BY 1", _SQL_INTERNAL)
+@query("internal_inlinks", "SELECT to_url AS url, count(*) AS n FROM il WHERE to_url IN (SELECT u FROM pu) GROUP BY 1", _SQL_INTERNAL)
 def internal_inlinks(s: Site) -> DataFrame:
-    return counts(_internal(s), F.col("to_url").alias("url"))
+    return counts(_internal(s).join(_page_urls(s), F.col("to_url") == F.col("u"), "left_semi"), F.col("to_url").alias("url"))
+
+
+_SQL_ROW_OF = "ro AS (SELECT u, arg_max(domain, k) AS domain, arg_max(title, k) AS title FROM (SELECT trim(requested_url) AS u, domain, title, seq * 2 + 1 AS k FROM p UNION ALL SELECT trim(final_url), domain, title, seq * 2 FROM p) WHERE u <> '' GROUP BY 1)"
+
+
+@query("top_inlinked", "SELECT url, n, ro.domain, substr(ro.title, 1, 120) AS title FROM (SELECT to_url AS url, count(*) AS n FROM il WHERE to_url IN (SELECT u FROM pu) GROUP BY 1 ORDER BY n DESC, url LIMIT 80) JOIN ro ON ro.u = url", _SQL_INTERNAL, _SQL_ROW_OF)
+def top_inlinked(s: Site, cap: int | None = 80) -> DataFrame:
+    """The pages that most internal links lead to, each with its row: the last that has the URL."""
+    rows = internal_inlinks(s)
+    rows = top(rows, cap, "n", "url") if cap else rows
+    named = s.pages.select(F.explode(F.array(F.struct(F.trim("final_url").alias("u"), (F.col("seq") * 2).alias("k")), F.struct(F.trim("requested_url").alias("u"), (F.col("seq") * 2 + 1).alias("k")))).alias("x"), "domain", "title")
+    # the few that are wanted first, so that only their rows are combined
+    wanted = named.select("x.u", "x.k", "domain", "title").join(F.broadcast(rows) if cap else rows, F.col("u") == F.col("url"))
+    return wanted.groupBy("url", "n").agg(F.max_by(F.struct("domain", F.substring("title", 1, 120).alias("title")), "k").alias("x")).select("url", "n", "x.domain", "x.title")
 
 
 @query("internal_outlinks", "SELECT from_url AS url, count(*) AS n FROM il GROUP BY 1", _SQL_INTERNAL)
@@ -491,6 +704,26 @@ def internal_outlinks(s: Site) -> DataFrame:
     return counts(_internal(s), F.col("from_url").alias("url"))
 
 
+@query("content_performance_summary", f"SELECT (SELECT count(*) FROM p) AS pages, (SELECT count(*) FROM p WHERE {integer('word_count')} <= 250) AS thin, (SELECT count(*) FROM il) AS internal_links, (SELECT count(*) FROM (SELECT content_hash FROM p WHERE trim(content_hash) <> '' GROUP BY 1 HAVING count(*) > 1)) AS clusters", _SQL_INTERNAL)
+def content_performance_summary(s: Site) -> DataFrame:
+    pages = s.pages.agg(F.count("*").alias("pages"), F.count_if(as_int("word_count") <= 250).alias("thin"))
+    return pages.join(F.broadcast(_internal(s).agg(F.count("*").alias("internal_links")))).join(F.broadcast(dup_hash_clusters(s).agg(F.count("*").alias("clusters"))))
+
+
+@query("dup_hash_urls", f"SELECT hash, url FROM (SELECT DISTINCT trim(content_hash) AS hash, {SQL_PAGE} AS url FROM p WHERE trim(content_hash) <> '') WHERE hash IN (SELECT trim(content_hash) FROM p WHERE trim(content_hash) <> '' GROUP BY 1 HAVING count(*) > 1)")
+def dup_hash_urls(s: Site) -> DataFrame:
+    """The URLs of each cluster, a row each: a cluster may be of any size."""
+    rows = s.pages.where(filled("content_hash")).select(F.trim("content_hash").alias("hash"), page_url().alias("url")).distinct()
+    return rows.join(dup_hash_clusters(s).select("hash"), "hash", "left_semi")
+
+
+@query("dup_canonical_urls", f"SELECT trim(canonical_url) AS canonical, {SQL_PAGE} AS url FROM p WHERE trim(canonical_url) <> '' AND {_SQL_CANON} AND trim(canonical_url) IN (SELECT trim(canonical_url) FROM p WHERE trim(canonical_url) <> '' AND {_SQL_CANON} GROUP BY 1 HAVING count(*) > 1)")
+def dup_canonical_urls(s: Site) -> DataFrame:
+    bare = lambda c: F.regexp_replace(c, "/+$", "")
+    rows = s.pages.where(filled("canonical_url") & (bare(F.trim("canonical_url")) != bare(page_url()))).select(F.trim("canonical_url").alias("canonical"), page_url().alias("url"))
+    return rows.join(dup_canonical(s).select("canonical"), "canonical", "left_semi")
+
+
 @query("internal_by_domain", f"SELECT d.domain, coalesce(n, 0) AS links, {near('CAST(coalesce(n, 0) AS DOUBLE) / pages', 2)} AS per_page FROM (SELECT domain, count(*) AS pages FROM p GROUP BY 1) d LEFT JOIN (SELECT domain, count(*) AS n FROM il GROUP BY 1) i ON i.domain = d.domain", _SQL_INTERNAL)
 def internal_by_domain(s: Site) -> DataFrame:
     joined = counts(s.pages, "domain", name="pages").join(counts(_internal(s), "domain", name="links"), "domain", "left").fillna(0)
@@ -499,11 +732,12 @@ def internal_by_domain(s: Site) -> DataFrame:
 
 @query(
     "keyword_alignment",
-    f"SELECT domain, count(*) AS tagged, count(*) FILTER (len(list_filter(toks, lambda t: contains(lower(concat(title, ' ', h1_joined)), t))) > 0) AS aligned FROM (SELECT *, list_filter(list_transform({sql_parts('tags_all')}, lambda t: lower(t)), lambda t: length(t) >= 2) AS toks FROM p) WHERE len(toks) > 0 GROUP BY 1",
+    f"SELECT domain, count(*) AS tagged, count(*) FILTER (len(list_filter(toks, lambda t: contains(concat(trim(regexp_replace(lower(title), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), ' ', trim(regexp_replace(lower(h1_joined), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))), t))) > 0) AS aligned FROM (SELECT *, list_filter(list_transform({sql_parts('tags_all')}, lambda t: lower(t)), lambda t: length(t) >= 2) AS toks FROM p) WHERE len(toks) > 0 GROUP BY 1",
 )
 def keyword_alignment(s: Site) -> DataFrame:
     tokens = F.filter(F.transform(parts("tags_all"), F.lower), lambda t: F.length(t) >= 2)
-    blob = F.lower(F.concat_ws(" ", "title", "h1_joined"))
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "\\s+", " "))
+    blob = F.concat_ws(" ", plain("title"), plain("h1_joined"))
     rows = s.pages.select("domain", tokens.alias("t"), blob.alias("b")).where(F.size("t") > 0)
     return rows.groupBy("domain").agg(F.count("*").alias("tagged"), F.count_if(F.exists("t", lambda t: F.contains(F.col("b"), t))).alias("aligned"))
 
@@ -511,20 +745,33 @@ def keyword_alignment(s: Site) -> DataFrame:
 # Technical performance, key metrics, indexability
 
 
-@query("tech_perf_domain", f"SELECT domain, count(x) AS timed, {near('avg(x)')} AS avg_ms, list_sort(list(x))[(count(x) - 1) * 9 // 10 + 1] AS p90_ms, count(*) FILTER (x >= 3000) AS slow, {pct("count(*) FILTER (has_viewport_meta = '1')", 'count(*)')} AS viewport_pct FROM (SELECT domain, has_viewport_meta, CASE WHEN {real('fetch_time_ms')} > 0 THEN {real('fetch_time_ms')} END AS x FROM p) GROUP BY 1")
+_SQL_MS = f"CASE WHEN {real('fetch_time_ms', '-1.0')} >= 0 THEN {real('fetch_time_ms', '-1.0')} END"
+
+
+@query("tech_perf_domain", f"SELECT domain, count(x) AS timed, coalesce({near('avg(x)')}, 0.0) AS avg_ms, coalesce({near('list_sort(list(x))[(count(x) - 1) * 9 // 10 + 1]')}, 0.0) AS p90_ms, count(*) FILTER (x >= 3000) AS slow, {pct("count(*) FILTER (has_viewport_meta = '1')", 'count(*)')} AS viewport_pct FROM (SELECT domain, has_viewport_meta, {_SQL_MS} AS x FROM p) GROUP BY 1")
 def tech_perf_domain(s: Site) -> DataFrame:
-    ms = F.when(as_float("fetch_time_ms") > 0, as_float("fetch_time_ms"))
-    return (
-        s.pages.withColumn("x", ms)
-        .groupBy("domain")
-        .agg(
-            F.count("x").alias("timed"),
-            rounded(F.avg("x")).alias("avg_ms"),
-            frames.nearest_rank(F.collect_list("x"), 9).alias("p90_ms"),
-            F.count_if(F.col("x") >= 3000).alias("slow"),
-            share(F.count_if(F.col("has_viewport_meta") == "1"), F.count("*")).alias("viewport_pct"),
-        )
+    ms = as_float("fetch_time_ms", -1.0)
+    timed = s.pages.withColumn("x", F.when(ms >= 0, ms))
+    rows = timed.groupBy("domain").agg(
+        F.count("x").alias("timed"),
+        F.coalesce(rounded(F.avg("x")), F.lit(0.0)).alias("avg_ms"),
+        F.count_if(F.col("x") >= 3000).alias("slow"),
+        share(F.count_if(F.col("has_viewport_meta") == "1"), F.count("*")).alias("viewport_pct"),
     )
+    ranks = frames.nearest_ranks(timed.where("x is not null"), "x", 9, "domain")
+    return rows.join(ranks, "domain", "left").withColumn("p90_ms", F.coalesce(rounded(F.col("p90")), F.lit(0.0))).drop("p90")
+
+
+@query("slow_pages", f"SELECT domain, url, ms FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ms DESC, url) AS k FROM (SELECT domain, {SQL_PAGE} AS url, round_even({_SQL_MS}, 0) AS ms FROM p WHERE {_SQL_MS} >= 3000)) WHERE k <= 80")
+def slow_pages(s: Site, least: float = 3000.0, cap: int | None = 80) -> DataFrame:
+    rows = s.pages.where(as_float("fetch_time_ms", -1.0) >= least).select("domain", page_url().alias("url"), F.rint(as_float("fetch_time_ms")).alias("ms"))
+    return top(rows, cap, "ms", "url", per="domain") if cap else rows
+
+
+@query("no_viewport_pages", f"SELECT domain, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url) AS k FROM (SELECT domain, {SQL_PAGE} AS url FROM p WHERE has_viewport_meta <> '1')) WHERE k <= 80")
+def no_viewport_pages(s: Site, cap: int | None = 80) -> DataFrame:
+    rows = s.pages.where(F.col("has_viewport_meta") != "1").select("domain", page_url().alias("url"), F.lit(0).alias("_z"))
+    return (top(rows, cap, "_z", "url", per="domain") if cap else rows).drop("_z")
 
 
 @query("assets_by_category", f"SELECT {host('referrer_page_url')} AS domain, category, count(*) AS n FROM ast GROUP BY ALL")
@@ -532,20 +779,26 @@ def assets_by_category(s: Site) -> DataFrame:
     return counts(s.assets, urls.host("referrer_page_url").alias("domain"), "category")
 
 
-@query("external_scripts", f"SELECT {host('asset_url')} AS domain, count(*) AS n FROM ast WHERE category = 'script' AND {host('asset_url')} <> {host('referrer_page_url')} GROUP BY 1 ORDER BY n DESC, domain LIMIT 20")
-def external_scripts(s: Site) -> DataFrame:
-    scripts = s.assets.where((F.col("category") == "script") & (urls.host("asset_url") != urls.host("referrer_page_url")))
-    return top(counts(scripts, urls.host("asset_url").alias("domain")), 20, "n", "domain")
+@query("external_scripts", f"SELECT domain, url, n FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY n DESC, url) AS k FROM (SELECT {host('referrer_page_url')} AS domain, trim(asset_url) AS url, count(*) AS n FROM ast WHERE category = 'script' AND {host('referrer_page_url')} <> '' AND {host('asset_url')} NOT IN ('', {host('referrer_page_url')}) GROUP BY ALL)) WHERE k <= 20")
+def external_scripts(s: Site, cap: int | None = 20) -> DataFrame:
+    """Scripts of other hosts, by the host of the page that loads them."""
+    own, other = urls.host("referrer_page_url"), urls.host("asset_url")
+    rows = counts(s.assets.where((F.col("category") == "script") & (own != "") & (other != "") & (other != own)), own.alias("domain"), F.trim("asset_url").alias("url"))
+    return top(rows, cap, "n", "url", per="domain") if cap else rows
 
 
-@query("large_images", f"SELECT referrer_page_url AS url, asset_url, {integer('head_content_length')} AS bytes FROM ast WHERE category = 'image' AND {integer('head_content_length')} >= 500000")
-def large_images(s: Site, least: int = 500_000) -> DataFrame:
-    return s.assets.where((F.col("category") == "image") & (as_int("head_content_length") >= least)).select(F.col("referrer_page_url").alias("url"), "asset_url", as_int("head_content_length").alias("bytes"))
+@query("large_images", f"SELECT domain, url, asset_url, bytes FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY bytes DESC, asset_url, url) AS k FROM (SELECT {host('referrer_page_url')} AS domain, referrer_page_url AS url, asset_url, {integer('head_content_length')} AS bytes FROM ast WHERE category = 'image' AND {integer('head_content_length')} >= 500000)) WHERE k <= 25")
+def large_images(s: Site, least: int = 500_000, cap: int | None = 25) -> DataFrame:
+    rows = s.assets.where((F.col("category") == "image") & (as_int("head_content_length") >= least)).select(urls.host("referrer_page_url").alias("domain"), F.col("referrer_page_url").alias("url"), "asset_url", as_int("head_content_length").alias("bytes"))
+    return top(rows, cap, "bytes", "asset_url", "url", per="domain") if cap else rows
 
 
+# What the wanted values are worked out from is written out here, apart from the engine's own tables.
+_SOCIAL = ("facebook.", "fb.com", "twitter.", "t.co", "linkedin.", "instagram.", "youtube.", "youtu.be", "tiktok.", "pinterest.", "reddit.", "snapchat.")
+_SEARCH = ("google.", "bing.com", "duckduckgo.", "yahoo.", "baidu.", "yandex.", "ecosia.", "startpage.")
 _SQL_BUCKET = f"""CASE WHEN trim(referrer_url) = '' THEN 'unknown' WHEN lower(trim(referrer_url)) = 'seed' THEN 'direct_seed' WHEN starts_with(lower(trim(referrer_url)), 'sitemap:') THEN 'sitemap' WHEN {host('referrer_url')} = '' THEN 'other'
-WHEN {host('referrer_url')} = domain OR ends_with({host('referrer_url')}, concat('.', domain)) THEN 'internal_discovery' WHEN {' OR '.join(f"contains(concat({host('referrer_url')}, '.'), '{x}')" for x in rules.SOCIAL_HOSTS)} THEN 'social_referrer'
-WHEN {' OR '.join(f"contains(concat({host('referrer_url')}, '.'), '{x}')" for x in rules.SEARCH_HOSTS)} THEN 'search_referrer' ELSE 'external_other' END"""
+WHEN {host('referrer_url')} = domain OR ends_with({host('referrer_url')}, concat('.', domain)) THEN 'internal_discovery' WHEN {' OR '.join(f"contains(concat({host('referrer_url')}, '.'), '{x}')" for x in _SOCIAL)} THEN 'social_referrer'
+WHEN {' OR '.join(f"contains(concat({host('referrer_url')}, '.'), '{x}')" for x in _SEARCH)} THEN 'search_referrer' ELSE 'external_other' END"""
 
 
 @query("discovery_mix", f"SELECT domain, bucket, n, {pct('n', 'sum(n) OVER (PARTITION BY domain)')} AS pct FROM (SELECT domain, {_SQL_BUCKET} AS bucket, count(*) AS n FROM p GROUP BY ALL)")
@@ -557,19 +810,38 @@ def discovery_mix(s: Site) -> DataFrame:
 _SQL_LABELS = f"CASE WHEN {real('wcag_form_labels_pct', '-1.0')} >= 0 THEN {real('wcag_form_labels_pct', '-1.0')} END"
 
 
-@query("key_metrics", f"SELECT domain, count(*) AS pages, {sql_mean_above_zero('word_count')} AS avg_words, {sql_mean_above_zero('readability_fk_grade')} AS avg_readability, count(*) FILTER (trim(schema_price) <> '') AS products, count(*) FILTER (contains(lower(schema_availability), 'instock')) AS in_stock, coalesce({near(f'avg({_SQL_LABELS}) * 100')}, 0.0) AS form_labels_pct FROM p GROUP BY 1")
+_SQL_STOCK = "trim(schema_price) <> '' AND (contains(lower(schema_availability), 'instock') OR contains(lower(schema_availability), 'in stock'))"
+
+
+@query(
+    "key_metrics",
+    f"""SELECT domain, count(*) AS pages, CAST(round_even(coalesce(avg(CASE WHEN {integer('word_count')} > 0 THEN {integer('word_count')} END), 0), 0) AS BIGINT) AS avg_words, {near(f'CAST(sum({integer("depth")}) AS DOUBLE) / count(*)', 2)} AS avg_depth, {near(f'CAST(sum({integer("link_count_internal")}) AS DOUBLE) / count(*)')} AS avg_internal,
+{near(f'CAST(sum({integer("link_count_external")}) AS DOUBLE) / count(*)')} AS avg_external, count(*) FILTER (trim(schema_price) <> '') AS products, count(*) FILTER ({_SQL_STOCK}) AS in_stock, {pct(f'count(*) FILTER ({_SQL_STOCK})', "count(*) FILTER (trim(schema_price) <> '')")} AS in_stock_pct, coalesce({near(f'avg({_SQL_LABELS}) * 100')}, 0.0) AS form_labels_pct FROM p GROUP BY 1""",
+)
 def key_metrics(s: Site) -> DataFrame:
-    labels = as_float("wcag_form_labels_pct", -1.0)
+    labels, n, words = as_float("wcag_form_labels_pct", -1.0), F.count("*"), as_int("word_count")
+    offered = F.lower("schema_availability")
+    stocked = F.count_if(filled("schema_price") & (F.contains(offered, F.lit("instock")) | F.contains(offered, F.lit("in stock"))))
     return s.pages.groupBy("domain").agg(
-        F.count("*").alias("pages"),
-        mean_above_zero("word_count").alias("avg_words"),
-        mean_above_zero("readability_fk_grade").alias("avg_readability"),
+        n.alias("pages"),
+        F.rint(F.coalesce(F.avg(F.when(words > 0, words)), F.lit(0.0))).cast("long").alias("avg_words"),
+        rounded(F.sum(as_int("depth")) / n, 2).alias("avg_depth"),
+        rounded(F.sum(as_int("link_count_internal")) / n).alias("avg_internal"),
+        rounded(F.sum(as_int("link_count_external")) / n).alias("avg_external"),
         F.count_if(filled("schema_price")).alias("products"),
-        F.count_if(F.contains(F.lower("schema_availability"), F.lit("instock"))).alias("in_stock"),
+        stocked.alias("in_stock"),
+        share(stocked, F.count_if(filled("schema_price"))).alias("in_stock_pct"),
         F.coalesce(rounded(F.avg(F.when(labels >= 0, labels)) * 100), F.lit(0.0)).alias("form_labels_pct"),
     )
 
 
+@query("key_metrics_pages", f"SELECT domain, {SQL_PAGE} AS url, substr(title, 1, 200) AS title, {_SQL_BUCKET} AS bucket, substr(referrer_url, 1, 500) AS referrer, {integer('word_count')} AS words, {integer('depth')} AS depth, {integer('link_count_internal')} AS internal, {integer('link_count_external')} AS external, trim(schema_price) <> '' AS priced, substr(schema_availability, 1, 120) AS availability FROM p")
+def key_metrics_pages(s: Site) -> DataFrame:
+    """The report's full form: a row for each page."""
+    measures = (as_int(c).alias(n) for n, c in (("words", "word_count"), ("depth", "depth"), ("internal", "link_count_internal"), ("external", "link_count_external")))
+    return s.pages.select("domain", page_url().alias("url"), F.substring("title", 1, 200).alias("title"), rules.referrer_bucket("referrer_url", "domain").alias("bucket"), F.substring("referrer_url", 1, 500).alias("referrer"), *measures, filled("schema_price").alias("priced"), F.substring("schema_availability", 1, 120).alias("availability"))
+
+
 _SQL_NOINDEX = "ni AS (SELECT *, list_filter(list_transform(string_split(lower(robots_directives), '|'), lambda x: trim(x)), lambda x: contains(x, 'noindex')) AS seg FROM p), nf AS (SELECT *, len(list_filter(seg, lambda x: NOT starts_with(x, 'header:'))) > 0 AS by_meta, len(list_filter(seg, lambda x: starts_with(x, 'header:'))) > 0 AS by_header FROM ni)"
 
 
@@ -605,10 +877,26 @@ def filter_options(s: Site) -> DataFrame:
 # What the browser derives from reports
 
 
-@query("treemap_groups", "SELECT CASE WHEN cms IS NULL THEN '(undetected)' ELSE cms END AS grp, count(*) AS domains, CAST(sum(n) AS BIGINT) AS pages FROM (SELECT domain, count(*) AS n FROM p GROUP BY 1) d LEFT JOIN (SELECT domain AS q, arg_max(c, n * 1000000 - k) AS cms FROM (SELECT domain, c, n, row_number() OVER (PARTITION BY domain ORDER BY c) AS k FROM (SELECT domain, trim(cms_generator) AS c, count(*) AS n FROM p WHERE trim(cms_generator) <> '' GROUP BY ALL)) GROUP BY 1) ON q = domain GROUP BY 1")
+_SQL_TREE = "SELECT {x} AS grp, count(*) AS domains, CAST(sum(n) AS BIGINT) AS pages FROM (SELECT domain, count(*) AS n FROM p GROUP BY 1) q {j} GROUP BY 1"
+
+
+def treemap(s: Site, by: str) -> DataFrame:
+    return counts(s.pages, "domain").join(domain_groups(s, by), "domain").groupBy("grp").agg(F.count("*").alias("domains"), F.sum("n").alias("pages"))
+
+
+@query("treemap_groups", _SQL_TREE.format(x="coalesce(cms, '(undetected)')", j="LEFT JOIN pc ON pc.d = domain"), _SQL_PRIMARY)
 def treemap_groups(s: Site) -> DataFrame:
-    joined = counts(s.pages, "domain").join(domains_primary_cms(s), "domain", "left")
-    return joined.groupBy(F.coalesce("cms", F.lit("(undetected)")).alias("grp")).agg(F.count("*").alias("domains"), F.sum("n").alias("pages"))
+    return treemap(s, "cms")
+
+
+@query("treemap_kinds", _SQL_TREE.format(x="kind", j="JOIN pk ON pk.d = domain"), _SQL_PRIMARY)
+def treemap_kinds(s: Site) -> DataFrame:
+    return treemap(s, "kind")
+
+
+@query("treemap_owners", _SQL_TREE.format(x="array_to_string(string_split(lower(domain), '.')[-2:], '.')", j=""))
+def treemap_owners(s: Site) -> DataFrame:
+    return treemap(s, "ownership")
 
 
 @query("status_families", "SELECT domain, " + ", ".join(f"count(*) FILTER (substr(http_status, 1, 1) = '{k}') AS s{k}xx" for k in "2345") + ", count(*) FILTER (NOT regexp_matches(http_status, '^[2-5]')) AS other FROM p WHERE domain IN (SELECT domain FROM big) GROUP BY 1", _SQL_BIGGEST)
@@ -631,22 +919,57 @@ def content_mix(s: Site) -> DataFrame:
     return top(s.pages.groupBy("domain").agg(F.count("*").alias("pages"), F.count_distinct(kind).alias("kinds")).where("pages >= 2"), 50, "kinds", "domain")
 
 
+_SQL_RADAR = f"""rr AS (SELECT domain, count(*) AS n, {sql_mean_above_zero('readability_fk_grade')} AS grade, CAST(sum({integer('img_count')}) AS DOUBLE) AS images, {pct(f"sum({integer('img_missing_alt_count')})", f"sum({integer('img_count')})")} AS alt_missing,
+round_even(CAST(sum({integer('word_count')}) AS DOUBLE) / count(*), 0) AS words, {near(f"CAST(sum({integer('link_count_internal')}) AS DOUBLE) / count(*)")} AS links, {pct("count(*) FILTER (trim(json_ld_types) <> '')", "count(*)")} AS json_ld, {pct("count(*) FILTER (trim(microdata_types) <> '')", "count(*)")} AS microdata,
+bool_or(trim(author) <> '') AS authored, bool_or(trim(publisher) <> '') AS published, {sql_mean_above_zero('extraction_coverage_pct')} AS coverage, {sql_mean_above_zero('extraction_coverage_core_pct')} AS core FROM p GROUP BY 1)"""
+
+
 @query(
     "quality_radar",
-    f"SELECT domain, greatest(0.0, least(1.0, (20 - avg_r) / 14)) AS readability, 1 - alt AS alt, words / max(words) OVER () AS words, (has_jsonld + has_micro) AS structured FROM (SELECT domain, {sql_mean_above_zero('readability_fk_grade')} AS avg_r, CASE WHEN sum({integer('img_count')}) > 0 THEN CAST(sum({integer('img_missing_alt_count')}) AS DOUBLE) / sum({integer('img_count')}) ELSE 0.0 END AS alt, CAST(sum({integer('word_count')}) AS DOUBLE) / count(*) AS words, CAST(count(*) FILTER (trim(json_ld_types) <> '') AS DOUBLE) / count(*) AS has_jsonld, CAST(count(*) FILTER (trim(microdata_types) <> '') AS DOUBLE) / count(*) AS has_micro, count(*) AS n FROM p GROUP BY 1) WHERE n >= 3",
+    f"""SELECT domain, CASE WHEN grade > 0 THEN greatest(0.0, least(1.0, (20 - grade) / 14)) ELSE 0.0 END AS readability, CASE WHEN images > 0 THEN (100 - alt_missing) / 100 ELSE 1.0 END AS alt_text, least(1.0, words / w) AS word_count, least(1.0, links / l) AS internal_links,
+greatest(0.0, 1 - CAST(coalesce(e.n, 0) AS DOUBLE) / rr.n) AS http_health, greatest(0.0, least(1.0, 1 - CAST(coalesce(date_diff('day', CAST(f.latest AS DATE), DATE '2025-01-01'), 730) AS DOUBLE) / 730)) AS freshness, least(1.0, (json_ld + microdata) / 100) AS structured,
+CAST(CASE WHEN authored THEN 33 ELSE 0 END + CASE WHEN published THEN 33 ELSE 0 END + CASE WHEN f.latest IS NOT NULL THEN 34 ELSE 0 END AS DOUBLE) / 100 AS metadata, coverage / 100 AS coverage, core / 100 AS coverage_core
+FROM (SELECT *, CASE WHEN max(words) OVER () > 0 THEN max(words) OVER () ELSE 1 END AS w, CASE WHEN max(links) OVER () > 0 THEN max(links) OVER () ELSE 1 END AS l FROM rr WHERE n >= 10 ORDER BY n DESC, domain LIMIT 40) rr LEFT JOIN (SELECT {host('url')} AS h, count(*) AS n FROM er GROUP BY 1) e ON e.h = domain LEFT JOIN (SELECT domain AS d, max(day) AS latest FROM dt WHERE day IS NOT NULL GROUP BY 1) f ON f.d = domain""",
+    SQL_DATES,
+    _SQL_RADAR,
 )
-def quality_radar(s: Site, least: int = 3) -> DataFrame:
+def quality_radar(s: Site, least: int = 10, most: int = 40, as_of: str = "2025-01-01") -> DataFrame:
+    """Ten scores from 0 to 1 of each domain with enough pages: the biggest `most`."""
     n, images = F.count("*"), F.sum(as_int("img_count"))
     rows = s.pages.groupBy("domain").agg(
         n.alias("n"),
-        mean_above_zero("readability_fk_grade").alias("r"),
-        F.when(images > 0, F.sum(as_int("img_missing_alt_count")) / images).otherwise(F.lit(0.0)).alias("a"),
-        (F.sum(as_int("word_count")) / n).alias("w"),
-        (F.count_if(filled("json_ld_types")) / n + F.count_if(filled("microdata_types")) / n).alias("structured"),
+        mean_above_zero("readability_fk_grade").alias("grade"),
+        images.alias("images"),
+        share(F.sum(as_int("img_missing_alt_count")), images).alias("alt_missing"),
+        F.rint(F.sum(as_int("word_count")) / n).alias("words"),
+        rounded(F.sum(as_int("link_count_internal")) / n).alias("links"),
+        share(F.count_if(filled("json_ld_types")), n).alias("json_ld"),
+        share(F.count_if(filled("microdata_types")), n).alias("microdata"),
+        F.bool_or(filled("author")).alias("authored"),
+        F.bool_or(filled("publisher")).alias("published"),
+        mean_above_zero("extraction_coverage_pct").alias("coverage"),
+        mean_above_zero("extraction_coverage_core_pct").alias("core"),
+    )
+    rows = top(rows.where(F.col("n") >= least), most, "n", "domain")
+    greatest = rows.agg(F.max("words").alias("w"), F.max("links").alias("l"))
+    rows = rows.join(F.broadcast(greatest)).join(counts(s.errors, urls.host("url").alias("domain"), name="errors"), "domain", "left").join(freshness(s).select("domain", "latest"), "domain", "left")
+    unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    above = lambda x: F.when(x > 0, x).otherwise(F.lit(1.0))
+    days = F.coalesce(F.date_diff(F.lit(as_of).cast("date"), F.col("latest").cast("date")), F.lit(730))
+    points = F.when(F.col("authored"), 33).otherwise(0) + F.when(F.col("published"), 33).otherwise(0) + F.when(F.col("latest").isNotNull(), 34).otherwise(0)
+    return rows.select(
+        "domain",
+        F.when(F.col("grade") > 0, unit((20 - F.col("grade")) / 14)).otherwise(F.lit(0.0)).alias("readability"),
+        F.when(F.col("images") > 0, (100 - F.col("alt_missing")) / 100).otherwise(F.lit(1.0)).alias("alt_text"),
+        F.least(F.lit(1.0), F.col("words") / above(F.col("w"))).alias("word_count"),
+        F.least(F.lit(1.0), F.col("links") / above(F.col("l"))).alias("internal_links"),
+        F.greatest(F.lit(0.0), 1 - F.coalesce("errors", F.lit(0)).cast("double") / F.col("n")).alias("http_health"),
+        unit(1 - days / 730).alias("freshness"),
+        F.least(F.lit(1.0), (F.col("json_ld") + F.col("microdata")) / 100).alias("structured"),
+        (points / 100).alias("metadata"),
+        (F.col("coverage") / 100).alias("coverage"),
+        (F.col("core") / 100).alias("coverage_core"),
     )
-    rows = rows.where(F.col("n") >= least)
-    most = rows.agg(F.max("w").alias("m"))
-    return rows.join(F.broadcast(most)).select("domain", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (20 - F.col("r")) / 14)).alias("readability"), (1 - F.col("a")).alias("alt"), (F.col("w") / F.col("m")).alias("words"), "structured")
 
 
 @query("freshness_score", "SELECT domain, greatest(0.0, least(1.0, 1 - CAST(date_diff('day', CAST(max(day) AS DATE), DATE '2025-01-01') AS DOUBLE) / 730)) AS score FROM dt WHERE day IS NOT NULL GROUP BY 1", SQL_DATES)

@@ -34,7 +34,7 @@ _PAGES = {
     "final_url": "CASE WHEN i % 13 = 0 THEN concat(url, '-moved') WHEN i % 29 = 0 THEN concat('https://other.example.org/', CAST(i AS STRING)) WHEN i % 31 = 0 THEN '' ELSE url END",
     "domain": "host",
     "http_status": pick("i", "200", "200", "200", "301", "404"),
-    "title": f"CASE WHEN i % 23 = 0 THEN '' WHEN r = 1 THEN concat(title, ' v2') WHEN i % 9 = 0 THEN {pick('i', 'Home', 'Welcome to the site', 'News')} ELSE title END",
+    "title": f"CASE WHEN i % 23 = 0 THEN '' WHEN i % 20 = 8 THEN 'Summer Sale and Wholesale' WHEN i % 20 = 16 THEN 'Saved clearances' WHEN r = 1 THEN concat(title, ' v2') WHEN i % 9 = 0 THEN {pick('i', 'Home', 'Welcome to the site', 'News')} ELSE title END",
     "meta_description": f"CASE WHEN i % 5 = 0 THEN '' WHEN i % 3 = 0 THEN {pick('i', 'Short.', 'A description that is long enough to be useful to those who read it in a list of results.', 'Same words')} ELSE concat(title, ' ', title, ' ', title, ' ', title) END",
     "og_type": pick("i", "", "website", "article", "product"),
     "h1_joined": "CASE WHEN i % 11 = 0 THEN '' ELSE title END",
@@ -99,6 +99,20 @@ _PAGES = {
     "wcag_has_search": pick("i", "1", "0", "0"),
     "wcag_has_nav": pick("i", "0", "1", "1", "0"),
     "tech_stack_detected": pick("i", "WordPress", "static/unknown", "Drupal"),
+    "content_type": pick("i", "text/html", "text/html; charset=utf-8", "", "application/xhtml+xml"),
+    "lang": pick("i", "en", "de", "", "fr", "en"),
+    "og_title": "CASE WHEN i % 4 = 1 THEN title ELSE '' END",
+    "og_description": pick("i", "", "About it"),
+    "twitter_card": pick("i", "summary", "", ""),
+    "url_content_hint": pick("i", "", "blog_path", "news_path|news_path"),
+    "http_last_modified": f"CASE WHEN i % 7 = 1 THEN 'Tue, 05 Mar 2024 10:00:00 GMT' ELSE '' END",
+    "etag": f"CASE WHEN i % 3 = 2 THEN {number('i', 99, 'e')} ELSE '' END",
+    "referrer_sitemap_url": "CASE WHEN i % 9 = 1 THEN 'https://a/s.xml' ELSE '' END",
+    "visible_dates": f"CASE WHEN i % 8 = 3 THEN {day('i')} ELSE '' END",
+    "link_count_total": number("i", 12),
+    "json_ld_id": pick("i", "", "#a", "", ""),
+    "schema_currency": f"CASE WHEN i % 4 = 0 THEN {pick('i', 'GBP', 'EUR')} ELSE '' END",
+    "content_changed": pick("i", "1", "0", ""),
     "discovered_at": "concat('2024-0', CAST(1 + r AS STRING), '-01 00:00:0', CAST(i % 10 AS STRING))",
 }
 
@@ -114,6 +128,8 @@ TABLES = {
     # links within the ring, to other sites, and repeated with another text
     "edges": f"""SELECT '{RUNS[0]}' AS run, a.i AS seq, a.url AS from_url, b.url AS to_url, {pick('a.i', 'read more', 'Home', 'here')} AS link_text FROM base a JOIN base b ON b.i = (a.i * 7 + 3) % {_RING}
 UNION ALL SELECT '{RUNS[0]}', 100000000 + i, url, concat('https://', {pick('i', 'far.example.org', 'spam-farm.example.org', 'www.facebook.com')}, '/', CAST(i % 5 AS STRING)), 'out' FROM base WHERE i % 3 = 0
+UNION ALL SELECT '{RUNS[0]}', 400000000 + i, url, url, 'self' FROM base WHERE i % 2 = 0
+UNION ALL SELECT '{RUNS[0]}', 500000000 + a.i, a.url, b.url, 'near' FROM base a JOIN (SELECT host, min(i) AS first FROM base GROUP BY host) f ON f.host = a.host JOIN base b ON b.i = f.first WHERE a.i % 3 <> 1
 UNION ALL SELECT '{RUNS[1]}', 200000000 + a.i, upper(a.url), b.url, 'again' FROM base a JOIN base b ON b.i = (a.i * 7 + 3) % {_RING} WHERE a.i % 4 = 0
 UNION ALL SELECT '{RUNS[0]}', 300000000 + a.i, a.url, b.url, 'sibling' FROM base a JOIN base b ON b.host = a.host AND b.i = a.i + 58 - a.i % 3""",
     "tags": f"""SELECT run, i AS seq, url AS page_url, {pick('i + r', 'Data', 'web', 'the', 'News', 'data ', 'x')} AS tag_value, {pick('i', 'meta', 'json_ld', 'og')} AS tag_source FROM doubled

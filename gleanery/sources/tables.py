@@ -13,6 +13,16 @@ _CSV = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "emp
 
 #: The columns of the tables' files.
 FIELDS: dict[str, tuple[str, ...]] = {
+    "pages": (
+        "requested_url", "final_url", "domain", "http_status", "content_type", "title", "meta_description", "lang", "canonical_url", "og_title", "og_type", "og_description", "twitter_card", "json_ld_types", "tags_all",
+        "url_content_hint", "content_kind_guess", "h1_joined", "word_count", "http_last_modified", "etag", "sitemap_lastmod", "referrer_sitemap_url", "heading_outline", "date_published", "date_modified", "visible_dates",
+        "link_count_internal", "link_count_external", "link_count_total", "img_count", "img_missing_alt_count", "readability_fk_grade", "privacy_policy_url", "analytics_signals", "training_related_flag", "nav_link_count",
+        "wcag_lang_valid", "wcag_heading_order_valid", "wcag_title_present", "wcag_form_labels_pct", "wcag_landmarks_present", "wcag_vague_link_pct", "wcag_img_alt_pct", "wcag_empty_headings", "wcag_duplicate_ids",
+        "wcag_empty_buttons", "wcag_empty_links", "wcag_tables_no_headers", "wcag_autocomplete_pct", "wcag_has_search", "wcag_has_nav", "fetch_time_ms", "has_viewport_meta", "author", "publisher", "json_ld_id", "cms_generator",
+        "robots_directives", "hreflang_links", "feed_urls", "pagination_next", "pagination_prev", "breadcrumb_schema", "microdata_types", "rdfa_types", "schema_price", "schema_currency", "schema_availability", "schema_rating",
+        "schema_review_count", "schema_event_date", "schema_event_location", "schema_job_title", "schema_job_location", "schema_recipe_time", "extraction_coverage_pct", "extraction_coverage_core_pct", "content_hash",
+        "content_changed", "referrer_url", "depth", "discovered_at",
+    ),
     "edges": ("from_url", "to_url", "link_text", "discovered_at"),
     "tags": ("page_url", "tag_value", "tag_source", "discovered_at"),
     "nav_links": ("page_url", "nav_href", "nav_text", "discovered_at"),
@@ -20,8 +30,12 @@ FIELDS: dict[str, tuple[str, ...]] = {
     "phone_numbers": ("page_url", "raw_href", "phone_number", "link_text", "discovered_at"),
     "link_checks": ("from_url", "to_url", "check_status", "check_final_url", "check_message", "discovered_at"),
     "assets": ("referrer_page_url", "asset_url", "link_text", "category", "head_content_type", "head_content_length", "discovered_at"),
+    "keyword_log": (
+        "keyword", "match_count", "requested_url", "final_url", "domain", "http_status", "content_type", "title", "meta_description", "lang", "canonical_url", "url_content_hint", "content_kind_guess", "author", "publisher",
+        "json_ld_types", "og_type", "tags_all", "word_count", "date_published", "date_modified", "cms_generator", "breadcrumb_schema", "training_related_flag", "referrer_url", "depth", "discovered_at",
+    ),
     "crawl_errors": ("url", "final_url", "referrer_url", "depth", "error_type", "failure_class", "message", "http_status", "content_type", "redirect_count", "last_redirect_url", "attempt_number", "robots_txt_rule", "worker_id", "discovered_at"),
-}
+}
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:

@@ -41,9 +41,10 @@ def test_filters_with_blank_dates(spark):
 
 
 def test_ranks(spark):
-    df = spark.createDataFrame([([float(x) for x in range(1, 13)],)], "v array<double>")
-    assert df.select(frames.nearest_rank(F.col("v"), 9)).first()[0] == 10.0
-    assert df.select(frames.upper_median(F.col("v"))).first()[0] == 7.0
+    df = spark.createDataFrame([("a", float(x)) for x in range(1, 13)] + [("b", 5.0)] * 3 + [("b", 9.0)], "k string, v double")
+    assert {r.k: r.p90 for r in frames.nearest_ranks(df, "v", 9, "k").collect()} == {"a": 10.0, "b": 5.0}
+    names = spark.createDataFrame([(f"n{i:03}",) for i in range(200)], "name string").repartition(7)
+    assert [(r.idx, r["name"]) for r in frames.ranked(names, "name", "idx").orderBy("idx").collect()] == [(i, f"n{i:03}") for i in range(200)]
     ties = spark.createDataFrame([("b", 1), ("a", 1), ("c", 2)], "k string, n int")
     assert [r.k for r in frames.top(ties, 2, "n", "k").collect()] == ["c", "a"]
     assert [r.k for r in frames.page(ties, 2, 2, "k").collect()] == ["c"]
