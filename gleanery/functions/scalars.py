@@ -59,10 +59,16 @@ def year(c: str | Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
-def sanitised(c: str | Column, most: int = 32_000) -> Column:
-    """A cell as it is written: no NULs, long ones cut with a mark."""
+def sanitised(c: str | Column, most: int | None = 32_000) -> Column:
+    """A cell as it is written for interchange: no NULs, and with `most` long ones cut, with a mark that says so."""
     x = F.replace(text(c), F.lit("\0"), F.lit(""))
-    return F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…[truncated]"))).otherwise(x)
+    return x if most is None else F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…[truncated]"))).otherwise(x)
+
+
+def slug(c: str | Column) -> Column:
+    """A name for a folder: lower case, other characters as single hyphens, 60 at most; blank where nothing is left."""
+    x = F.regexp_replace(F.regexp_replace(F.trim(F.lower(text(c))), "[^a-z0-9-]", "-"), "-{2,}", "-")
+    return F.substring(F.regexp_replace(x, "^-+|-+$", ""), 1, 60)
 
 
 def content_hash(c: str | Column) -> Column:

@@ -480,9 +480,14 @@ def frontier_bfs(s: Site) -> DataFrame:
 ORACLE_SQL["frontier_bfs"] = ORACLE_SQL["frontier_bfs"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("visited_union", "SELECT requested_url AS url FROM pages_raw UNION SELECT url FROM errors")
+_SQL_KEY = "regexp_replace(concat('https://', lower(regexp_extract(u, '://([^/?#]*)', 1)), CASE WHEN regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1) END, CASE WHEN regexp_extract(u, '^[^#?]*[?]([^#]*)', 1) = '' THEN '' ELSE concat('?', array_to_string(list_sort(string_split(regexp_extract(u, '^[^#?]*[?]([^#]*)', 1), '&')), '&')) END), '/+$', '')"
+
+
+@query("visited_union", f"SELECT DISTINCT {_SQL_KEY} AS k FROM (SELECT trim(requested_url) AS u FROM pages_raw UNION SELECT trim(url) FROM errors) WHERE u <> ''")
 def visited_union(s: Site) -> DataFrame:
-    return s.estate.pages_raw.select(F.col("requested_url").alias("url")).union(s.estate.errors.select("url")).distinct()
+    """Crawl keys of what runs have tried."""
+    tried = s.estate.pages_raw.select(F.trim("requested_url").alias("u")).union(s.estate.errors.select(F.trim("url")))
+    return tried.where("u <> ''").select(urls.crawl_key("u").alias("k")).distinct()
 
 
 @query("scope_filter", f"SELECT url FROM base WHERE ({host('url')} = 'example.com' OR ends_with({host('url')}, '.example.com') OR ends_with({host('url')}, '.example.org')) AND NOT ({host('url')} = 'spam-farm.example.org' OR ends_with({host('url')}, '.spam-farm.example.org')) AND NOT contains(lower(url), 'utm_') AND (contains(lower(url), '/en/') OR contains(lower(url), '/de/'))")

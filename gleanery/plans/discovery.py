@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from gleanery.functions import urls
 from gleanery.functions.scalars import as_int, filled, rounded
+from gleanery.operators import extract
 from gleanery.operators.frames import counts, top
 from gleanery.plans.registry import Site, host, integer, near, pct, query
 from gleanery.plans.reports import SIGNALS, _tags, authors_top, mean_above_zero, schema_type_freq, share, sql_mean_above_zero
@@ -15,19 +16,37 @@ from gleanery.plans.reports import SIGNALS, _tags, authors_top, mean_above_zero,
 _SQL_CRAWL_KEY = "regexp_replace(concat('https://', lower(regexp_extract({u}, '://([^/?#]*)', 1)), CASE WHEN regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) END, CASE WHEN regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1) = '' THEN '' ELSE concat('?', array_to_string(list_sort(string_split(regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1), '&')), '&')) END), '/+$', '')"
 
 
-def start_items(seeds: DataFrame, listed: DataFrame) -> DataFrame:
-    """Seeds, then sitemap URLs, each crawl key once: the first by (source, order) wins."""
-    both = seeds.select("url", F.lit("seed").alias("source"), F.lit(0).alias("rank"), "seq").unionByName(listed.select("url", F.lit("sitemap").alias("source"), F.lit(1).alias("rank"), "seq"))
+def start_items(seeds: DataFrame, listed: DataFrame, of_robots: DataFrame | None = None, visited: DataFrame | None = None) -> DataFrame:
+    """Seeds, then sitemap URLs, then those of sitemaps that robots files name, each crawl key once: the first by (source, order)
+    wins. What has been visited (column k, crawl keys) is left out."""
+    parts = [(seeds, "seed"), (listed, "sitemap"), *([(of_robots, "robots")] if of_robots is not None else [])]
+    both = None
+    for rank, (df, source) in enumerate(parts):
+        one = df.select("url", F.lit(source).alias("source"), F.lit(rank).alias("rank"), "seq")
+        both = one if both is None else both.unionByName(one)
     keyed = both.withColumn("k", urls.crawl_key("url"))
-    return keyed.groupBy("k").agg(F.min(F.struct("rank", "seq", "url", "source")).alias("x")).select("x.url", "x.source")
+    first = keyed.groupBy("k").agg(F.min(F.struct("rank", "seq", "url", "source")).alias("x"))
+    if visited is not None:
+        first = first.join(visited.select("k").distinct(), "k", "left_anti")
+    return first.select("x.url", "x.source")
 
 
-@query("start_items", f"SELECT url, source FROM (SELECT *, row_number() OVER (PARTITION BY {_SQL_CRAWL_KEY.format(u='url')} ORDER BY rk, seq, url) AS n FROM (SELECT url, 'seed' AS source, 0 AS rk, i AS seq FROM base WHERE i % 3 = 0 UNION ALL SELECT url, 'sitemap', 1, seq FROM sitemap_urls)) WHERE n = 1")
+_SQL_STARTS = "SELECT url, source FROM (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY rk, seq, url) AS n FROM (SELECT url, 'seed' AS source, 0 AS rk, i AS seq FROM base WHERE i % 3 = 0 UNION ALL SELECT url, 'sitemap', 1, seq FROM sitemap_urls {more})) WHERE n = 1"
+
+
+@query("start_items", _SQL_STARTS.format(k=_SQL_CRAWL_KEY.format(u="url"), more=""))
 def _start_items(s: Site) -> DataFrame:
     seeds = s.table("pages").where("page_id % 3 = 0").select("url", F.col("page_id").alias("seq"))
     return start_items(seeds, s.estate.sitemap_urls.select("url", "seq"))
 
 
+@query("start_items_resumed", _SQL_STARTS.format(k=_SQL_CRAWL_KEY.format(u="url"), more="UNION ALL SELECT url, 'robots', 2, i FROM base WHERE i % 5 < 2") + f" AND {_SQL_CRAWL_KEY.format(u='url')} NOT IN (SELECT {_SQL_CRAWL_KEY.format(u='url')} FROM errors)")
+def start_items_resumed(s: Site) -> DataFrame:
+    """With the sitemaps of robots files, and without what errors show to have been tried."""
+    pages = s.table("pages").select("url", F.col("page_id").alias("seq"))
+    return start_items(pages.where("seq % 3 = 0"), s.estate.sitemap_urls.select("url", "seq"), pages.where("seq % 5 < 2"), s.estate.errors.select(urls.crawl_key("url").alias("k")))
+
+
 @query("dedup_targets", f"SELECT h AS netloc, arg_min(url, i) AS url FROM (SELECT i, url, {host('url')} AS h FROM base) GROUP BY 1")
 def dedup_targets(s: Site) -> DataFrame:
     """The first URL of each netloc."""
@@ -39,10 +58,28 @@ def origin_counts(s: Site) -> DataFrame:
     return counts(s.table("pages"), urls.origin("url").alias("origin"))
 
 
-@query("sitemap_meta", f"SELECT p.requested_url, m.lastmod FROM p LEFT JOIN (SELECT {_SQL_CRAWL_KEY.format(u='url')} AS k, max(lastmod) AS lastmod FROM sitemap_urls GROUP BY 1) m ON m.k = {_SQL_CRAWL_KEY.format(u='p.requested_url')}")
+_SQL_LISTED = f"sm AS (SELECT {_SQL_CRAWL_KEY.format(u='url')} AS k, max(lastmod) AS lastmod FROM sitemap_urls GROUP BY 1)"
+
+
+@query("sitemap_meta", f"SELECT p.requested_url, coalesce(m.lastmod, n.lastmod) AS lastmod FROM p LEFT JOIN sm m ON m.k = {_SQL_CRAWL_KEY.format(u='p.requested_url')} LEFT JOIN sm n ON n.k = {_SQL_CRAWL_KEY.format(u='p.final_url')}", _SQL_LISTED)
 def sitemap_meta(s: Site) -> DataFrame:
+    """What sitemaps say of a page, by the URL requested, else by the final one."""
     listed = s.estate.sitemap_urls.groupBy(urls.crawl_key("url").alias("k")).agg(F.max("lastmod").alias("lastmod"))
-    return s.pages.select("requested_url", urls.crawl_key("requested_url").alias("k")).join(listed, "k", "left").drop("k")
+    rows = s.pages.select("requested_url", urls.crawl_key("requested_url").alias("k"), urls.crawl_key("final_url").alias("k2"))
+    rows = rows.join(listed, "k", "left").join(listed.select(F.col("k").alias("k2"), F.col("lastmod").alias("second")), "k2", "left")
+    return rows.select("requested_url", F.coalesce("lastmod", "second").alias("lastmod"))
+
+
+_ROBOTS_TEXT = "User-agent: *\nDisallow: /\n"
+
+
+@query("preflight_robots", "SELECT o AS origin, n, regexp_extract(o, '([a-z]+)$', 1) = 'net' AS blocked FROM (SELECT regexp_extract(url, '^([^/?#]+//[^/?#]*)', 1) AS o, count(*) AS n FROM base GROUP BY 1)")
+def preflight_robots(s: Site) -> DataFrame:
+    """Of each origin that is queued: how many URLs, and whether its robots file keeps all of it off."""
+    origins = counts(s.table("pages"), urls.origin("url").alias("origin"))
+    robots = origins.where(F.col("origin").endswith(".net")).select("origin", F.lit(_ROBOTS_TEXT).alias("txt"))
+    judged = extract.robots_allowed(origins.withColumn("root", F.concat("origin", F.lit("/"))), robots, "Bot", "root")
+    return judged.select("origin", "n", (~F.col("allowed")).alias("blocked"))
 
 
 @query("precrawl_summary", f"SELECT domain, count(*) AS pages, bool_or(trim(json_ld_types) <> '') AS has_json_ld, bool_or(trim(og_type) <> '') AS has_og, bool_or(wcag_has_nav = '1') AS has_nav, {near(f'avg({integer("word_count")})')} AS avg_words, array_to_string(list_sort(list(DISTINCT content_kind_guess) FILTER (trim(content_kind_guess) <> '')), '|') AS kinds FROM pages_raw GROUP BY 1")

@@ -38,25 +38,28 @@ FIELDS: dict[str, tuple[str, ...]] = {
 }
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names any file, on whatever file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """All cells are strings. With columns, those come, absent ones blank; a missing file has no rows."""
-    try:
-        df = spark.read.options(**_CSV).csv(path)
-        have = df.columns
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e):
-            raise
-        names = columns or ()
-        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    """All cells are strings. With columns, those come, absent ones blank; a missing or empty file has no rows. Anything else
+    that is wrong raises."""
+    df = spark.read.options(**_CSV).csv(path) if exists(spark, path) else None
+    if df is None or not df.columns:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in columns or ()]))
     if columns is None:
         return df.fillna("")
-    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in columns))
+    return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None) -> None:
-    """Cells sanitised, every one quoted; further columns are dropped."""
+def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, most: int | None = 32_000) -> None:
+    """Cells sanitised (cut beyond `most` characters, or not at all), every one quoted; further columns are dropped."""
     names = columns or tuple(df.columns)
-    rows = df.select(*((sanitised(F.col(c).cast("string")) if c in df.columns else F.lit("")).alias(c) for c in names))
+    rows = df.select(*((sanitised(F.col(c).cast("string"), most) if c in df.columns else F.lit("")).alias(c) for c in names))
     rows.write.mode("overwrite").options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
