@@ -81,7 +81,7 @@ def _contracted(stars: DataFrame, tasks: int, per_task: int) -> DataFrame:
     return stars.coalesce(tasks).mapInArrow(run, "a long, b long")
 
 
-def _own(column: Column) -> Column:
+def own(column: Column) -> Column:
     """The same long, as a key by which a side that is aggregated by it is dealt anew."""
     return column.bitwiseXOR(F.lit(0).cast("long"))
 
@@ -89,13 +89,13 @@ def _own(column: Column) -> Column:
 def _large_star(stars: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, itself included. a > b in each row."""
     both = stars.union(stars.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(_own(F.col("u")).alias("w"), "m")
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(own(F.col("u")).alias("w"), "m")
     return both.where("v > u").join(least.hint("shuffle_merge"), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to its smallest neighbour."""
     least = stars.groupBy("a").agg(F.min("b").alias("m"))
-    own = least.select(_own(F.col("a")).alias("w"), "m")
-    moved = stars.join(own.hint("shuffle_merge"), F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    centres = least.select(own(F.col("a")).alias("w"), "m")
+    moved = stars.join(centres.hint("shuffle_merge"), F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(moved).distinct()

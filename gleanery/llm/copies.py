@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm import simhash
 from gleanery.llm._common import checkpointed, encoded
-from gleanery.llm.components import components
+from gleanery.llm.components import components, own
 
 BANDS = 24
 ROWS = 5
@@ -226,7 +226,8 @@ def groups(docs: DataFrame, width: int = 5, held: int = HELD) -> DataFrame:
     candidates = checkpointed(components(_stars(rows).union(near)).join(firsts, F.col("node") == F.col("name")).select("root", "name", "row", "n"))
     # each group in as many parts as it takes, each pair of parts a cell
     parts = candidates.groupBy("root").agg(F.ceil(F.sum("n") / held).cast("int").alias("parts"))
-    dealt = candidates.join(parts.hint("shuffle_merge"), "root").withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    parts = parts.select(own(F.col("root")).alias("w"), "parts")
+    dealt = candidates.join(parts.hint("shuffle_merge"), F.col("root") == F.col("w")).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least("part", other), F.greatest("part", other)))
     texts = docs.select("row", "text").join(dealt.select("root", "name", "row", cells.alias("cells")), "row").select("root", "name", "text", "cells")
     sets = _sliced(texts, with_set, "root long, name long, shingles binary, cells array<long>")
