@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import cached_property
+from inspect import signature
+from urllib.parse import parse_qs
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +62,43 @@ class Site:
         return frames.merge_errors(self.estate.errors, self.all_pages, self.merging)
 
 
+def report(name: str, site: Site, **given) -> DataFrame:
+    """A report by name. `full` lifts its caps, `top` sets them, `depth` its levels; what a report doesn't take is passed over, so
+    that one set of parameters serves them all."""
+    takes = signature(REPORTS[name]).parameters
+    wanted = {k: v for k, v in given.items() if k in takes}
+    if (cap := next((c for c in ("cap", "n", "most") if c in takes), None)) is not None:
+        if given.get("full") and takes[cap].default is not None and "None" in str(takes[cap].annotation):
+            wanted[cap] = None
+        elif given.get("top") is not None:
+            wanted[cap] = given["top"]
+    if "depth" in wanted:
+        wanted["depth"] = max(1, min(int(wanted["depth"]), 8))
+    return REPORTS[name](site, **wanted)
+
+
+def parse_filters(query_string: str) -> dict:
+    """filter_pages' parameters from a URL's query: lists by comma, blanks and what isn't a number passed over."""
+    given = {k: v[0].strip() for k, v in parse_qs(query_string, keep_blank_values=True).items()}
+    out: dict = {}
+    for name in ("domains", "cms", "content_kinds", "schema_formats", "schema_types"):
+        if listed := [x.strip() for x in given.get(name, "").split(",") if x.strip()]:
+            out[name] = listed
+    out |= {k: given[k] for k in ("date_from", "date_to") if given.get(k)}
+    try:
+        out |= {"min_coverage": float(given["min_coverage"])} if given.get("min_coverage") else {}
+    except ValueError:
+        pass
+    return out
+
+
+def parse_parameters(query_string: str) -> dict:
+    """report()'s own: full, top, depth."""
+    given = {k: v[0].strip().lower() for k, v in parse_qs(query_string).items()}
+    out: dict = {"full": True} if given.get("full") in ("1", "true", "yes", "all") else {}
+    return out | {k: int(given[k]) for k in ("top", "depth") if given.get(k, "").isdigit()}
+
+
 def key(u: str) -> str:
     """SQL of the merge form of a URL."""
     path = f"regexp_replace(regexp_extract(trim({u}), '^[^/?#]*//[^/?#]*([^?#]*)', 1), '/+$', '')"

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery import surface
 from gleanery.functions import rules, urls
 from gleanery.operators import extract
 from gleanery.plans.registry import Site, query
@@ -306,3 +307,24 @@ def sample_sitemaps(s: Site) -> DataFrame:
     """All that the sitemaps of a robots file list, through indexes that name one another."""
     documents = s.spark.createDataFrame(_SITEMAPS, "url string, xml string")
     return tables.expand_sitemaps(documents, tables.robots_sitemaps(_robots(s)).select(F.col("sitemap").alias("url")))
+
+
+# By name, from SQL
+
+
+@query("sql_table_function", values((*((1, f"https://shop.example/{p}".rstrip("/"), t) for p, t in _SHOP_EDGES), (1, *_BEYOND[0]), (2, *_BEYOND[1])), "page", "to_url", "link_text"))
+def sql_table_function(s: Site) -> DataFrame:
+    surface.register(s.spark)
+    return s.spark.sql("SELECT page, to_url, link_text FROM {pages} p, LATERAL page_edges(p.url, p.html)", pages=captures(s.spark))
+
+
+@query("sql_scalar_functions", "SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, CAST(length(url) AS BIGINT) AS n, substr(sha256(url), 1, 16) AS hash FROM pages")
+def sql_scalar_functions(s: Site) -> DataFrame:
+    surface.register(s.spark)
+    return s.spark.sql("SELECT page_id, url_host(url) AS host, safe_int(CAST(length(url) AS STRING)) AS n, text_hash(url) AS hash FROM {pages} WHERE is_filled(url)", pages=s.table("pages"))
+
+
+@query("readability_grades", "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) >= 30")
+def readability_grades(s: Site) -> DataFrame:
+    """Texts that have a grade: of 30 words and more."""
+    return s.table("documents").where(rules.readability("text").isNotNull()).select("doc_id")

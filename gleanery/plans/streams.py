@@ -1,11 +1,14 @@
-"""Event-time windows over the events table, in batch; tests run the same functions as streams."""
+"""Event-time windows over the events table, in batch; some run as streams of files, and tests run the others so."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.plans.registry import Site, query
+from gleanery.session import shared_folder
 from gleanery.streaming import captures
 
 
@@ -32,6 +35,32 @@ def stream_sessions(s: Site) -> DataFrame:
     return captures.sessions(events(s), "ts", "30 minutes", "user_id").select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT user_id, event_type, event_id, CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS BIGINT) AS us FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
 def stream_dedup(s: Site) -> DataFrame:
-    return captures.deduplicated(events(s), "ts", "user_id", "event_type").select("user_id", "event_type")
+    """The first event of each user and type."""
+    rows = events(s).select("ts", "event_id", "user_id", "event_type")
+    return captures.deduplicated(rows, "ts", "user_id", "event_type").select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
+
+
+@query("ingested_events", "SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def ingested_events(s: Site) -> DataFrame:
+    """The events as a stream of files, written batch by batch and read back; a second start finds nothing new."""
+    folder = f"{shared_folder(s.spark)}/ingest-{uuid.uuid4().hex}"
+    rows = events(s).select("event_id", "event_type")
+    rows.repartition(4).write.parquet(f"{folder}/in")
+    stream = s.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    for _ in range(2):
+        captures.ingest(stream, f"{folder}/out", f"{folder}/checkpoint", "event_type")
+    return s.spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("streamed_hosts", "SELECT host, count(*) AS n, count(*) FILTER (bad) AS failed, count(*) FILTER (tm > last) AS in_a_row FROM (SELECT CAST(user_id % 7 AS VARCHAR) AS host, ts AS tm, event_id % 3 = 0 AS bad, coalesce(max(CASE WHEN event_id % 3 <> 0 THEN ts END) OVER (PARTITION BY user_id % 7), TIMESTAMP '1970-01-01') AS last FROM ev) GROUP BY 1", "ev AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 7, ts ORDER BY event_id) AS k FROM events) WHERE k = 1)")
+def streamed_hosts(s: Site) -> DataFrame:
+    """State of each host, as a stream in one batch leaves it. Events of one host and time count once, so that their order is
+    known."""
+    folder = f"{shared_folder(s.spark)}/hosts-{uuid.uuid4().hex}"
+    named = events(s).select((F.col("user_id") % 7).cast("string").alias("host"), "ts", "event_id")
+    rows = named.groupBy("host", "ts").agg(F.min("event_id").alias("event_id")).withColumn("status", F.when(F.col("event_id") % 3 == 0, 500).otherwise(200))
+    rows.write.parquet(folder)
+    stream = s.spark.readStream.schema(rows.schema).parquet(folder)
+    return captures.run_to_end(captures.host_state(stream, "host", "status", "ts"), "update")

@@ -3,12 +3,15 @@ The same functions take a batch or a stream; a stream needs a watermark, which b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.session import shared_folder
+
 
 def watermarked(df: DataFrame, time: str, late: str = "1 hour") -> DataFrame:
     return df.withWatermark(time, late) if df.isStreaming else df
@@ -30,40 +33,62 @@ def sessions(df: DataFrame, time: str, gap: str, by: str) -> DataFrame:
 
 
 def deduplicated(df: DataFrame, time: str, *keys: str) -> DataFrame:
-    """One row of each key: of a stream within the watermark, which bounds what is remembered."""
-    return watermarked(df, time).dropDuplicatesWithinWatermark(list(keys)) if df.isStreaming else df.dropDuplicates(list(keys))
-
-
-def host_state(stream: DataFrame, host: str, status: str) -> DataFrame:
-    """Of each host, so far: captures and failures (status from 400), updated with every batch; custom state, kept while a
-    host is active."""
+    """The first row of each key. Of a stream the first that came within the watermark, which bounds what is remembered; of a batch
+    the one of the least time, of those of one time the one whose columns are least."""
+    if df.isStreaming:
+        return watermarked(df, time).dropDuplicatesWithinWatermark(list(keys))
+    rest = [c for c in df.columns if c != time and c not in keys]
+    first = df.groupBy(*keys).agg(F.min(F.struct(time, *rest)).alias("_x"))
+    return first.select(*(F.col(c) if c in keys else F.col(f"_x.`{c}`").alias(c) for c in df.columns))
+
+
+def host_state(stream: DataFrame, host: str, status: str, time: str, late: str = "1 hour", idle: str = "6 hours") -> DataFrame:
+    """Of each host, so far: captures, failures (status from 400) and failures in a row, updated with every batch. Custom state; a
+    host of which nothing came for `idle` of event time beyond the watermark is forgotten, so that state doesn't grow with all
+    hosts ever seen."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, failed = state.get if state.exists else (0, 0)
-        for rows in batches:
-            n += len(rows)
-            failed += int((rows[status].astype("float64") >= 400).sum())
-        state.update((n, failed))
-        yield pd.DataFrame({"host": [key[0]], "n": [n], "failed": [failed]})
+    quiet = pd.Timedelta(idle)
 
-    return stream.groupBy(F.col(host).alias("host")).applyInPandasWithState(update, "host string, n long, failed long", "n long, failed long", "update", GroupStateTimeout.NoTimeout)
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, failed, row, last = state.get if state.exists else (0, 0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values(time, kind="stable")
+        for bad in (rows[status].astype("float64") >= 400).tolist():
+            n, failed, row = n + 1, failed + bad, row + 1 if bad else 0
+        last = max(last, int(rows[time].max().timestamp() * 1000))
+        state.update((n, failed, row, last))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + int(quiet.total_seconds() * 1000) + 1)
+        yield pd.DataFrame({"host": [key[0]], "n": [n], "failed": [failed], "in_a_row": [row]})
+
+    timed = watermarked(stream, time, late)
+    return timed.groupBy(F.col(host).alias("host")).applyInPandasWithState(update, "host string, n long, failed long, in_a_row long", "n long, failed long, in_a_row long, last long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    """What a stream over finished input gives, as a batch: through a memory table, for tests and small replays."""
-    import tempfile
-    import uuid
-
+    """What a stream over finished input gives, as a batch: through a memory table, for tests and small replays. Its checkpoint
+    lies in the shared folder and is deleted after."""
     name = f"stream_{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as folder:
-        q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    folder = f"{shared_folder(df.sparkSession)}/{name}"
+    q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
+    try:
         q.awaitTermination()
+    finally:
+        q.stop()
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
     return df.sparkSession.table(name)
 
 
-def ingest(spark: SparkSession, source: DataFrame, target: str, checkpoint: str, write) -> None:
-    """Micro-batches fanned out by `write(batch, target, number)`; a batch that is repeated after a failure has the same
-    number, by which an idempotent sink can tell."""
-    query = source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(lambda df, n: write(df, target, n)).start()
-    query.awaitTermination()
+def ingest(source: DataFrame, target: str, checkpoint: str, by: str = "run") -> None:
+    """Appends a stream of rows to Parquet below target/<by>=.../batch=N. A batch that is repeated after a failure has the same
+    number, and replaces what it wrote before: every row comes once. The stream's checkpoint is where a stopped ingestion goes
+    on."""
+
+    def write(df: DataFrame, number: int) -> None:
+        rows = df.withColumn("batch", F.lit(number))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(target)
+
+    source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()

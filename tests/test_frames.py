@@ -104,11 +104,34 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_host_state(spark, tmp_path):
-    rows = [("a", "200"), ("a", "500"), ("b", "404"), ("a", "200")]
-    spark.createDataFrame(rows, "host string, status string").write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("host string, status string").parquet(f"{tmp_path}/in")
-    got = captures.run_to_end(captures.host_state(stream, "host", "status"), "update").collect()
-    last = {}
-    for r in got:
-        last[r.host] = max(last.get(r.host, (0, 0)), (r.n, r.failed))
-    assert last == {"a": (3, 1), "b": (1, 1)}
+    rows = [("a", 200, "2024-01-01 00:00:00"), ("a", 500, "2024-01-01 00:01:00"), ("b", 404, "2024-01-01 00:02:00"), ("a", 503, "2024-01-01 00:03:00"), ("b", 200, "2024-01-01 00:04:00")]
+    spark.createDataFrame(rows, "host string, status int, at string").selectExpr("host", "status", "cast(at as timestamp) as at").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("host string, status int, at timestamp").parquet(f"{tmp_path}/in")
+    got = captures.run_to_end(captures.host_state(stream, "host", "status", "at"), "update").collect()
+    assert {(r.host, r.n, r.failed, r.in_a_row) for r in got} == {("a", 3, 2, 2), ("b", 2, 1, 0)}
+
+
+def test_idle_hosts_are_forgotten(spark, tmp_path):
+    kinds = "host string, status int, at timestamp"
+    for i, (host, day) in enumerate((("a", 1), ("b", 3), ("b", 5), ("a", 6))):
+        spark.createDataFrame([(host, 500, f"2024-01-0{day} 00:00:00")], "host string, status int, at string").selectExpr("host", "status", "cast(at as timestamp) as at").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = sorted(tuple(r)[:2] for r in captures.run_to_end(captures.host_state(stream, "host", "status", "at"), "update").collect())
+    # b came again before its count was dropped, a five days after
+    assert got == [("a", 1), ("a", 1), ("b", 1), ("b", 2)]
+
+
+def test_ingestion_repeats_nothing(spark, tmp_path):
+    for i in range(3):
+        spark.createDataFrame([(i * 10 + j, f"r{j % 2}") for j in range(4)], "id long, run string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id long, run string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        captures.ingest(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 10, 11, 12, 13, 20, 21, 22, 23]
+
+
+def test_the_first_of_a_batch_stays(spark):
+    df = spark.createDataFrame([("a", 3, "z"), ("a", 1, "y"), ("a", 1, "x"), ("b", 2, None)], "k string, t int, v string").repartition(3)
+    assert sorted(map(tuple, captures.deduplicated(df, "t", "k").collect())) == [("a", 1, "x"), ("b", 2, None)]
+
+
