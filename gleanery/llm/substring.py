@@ -15,6 +15,12 @@ suffixes that can share a node as deep as a window are of use, and they are foun
    hang below one internal node. The smallest id below each node goes back to the shards it concerns.
 4. Shards mark the windows that start in a smaller id, and join them to maximal repeated stretches.
 
+A passage that very many shards hold would bring a row from each of them to one bucket of step 1 and one group of step 3. Where
+there are more than `few` shards, owners that occur in a hundredth of them and more are found in a sample of shards first (as many
+as their number's square root). Their windows skip both: each shard sends one row for each, by a digest of all its words, and the
+smallest id of a digest is an aggregate that combines before it is shuffled; it goes back by a join that can be split. What the
+sample misses costs time only.
+
 Texts are shuffled once, to shards of about `shard_bytes`, and read from there by steps 1, 2 and 4. All sizes are by bytes
 of text, so that groups stay as large however many there are.
 
@@ -33,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm._common import encoded, text_bytes
+from gleanery.llm._common import checkpointed, encoded, text_bytes
 
 #: Stands for a null id.
 LAST = np.iinfo(np.int64).max
@@ -120,10 +126,16 @@ def _packed(names: list[str], kinds: list[pa.DataType], columns: list[list]) ->
     return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _owners(shard: int, s: Shard, buckets: int) -> pa.Table:
-    """Step 1: the shard's owners with least and greatest id and count, packed by bucket."""
-    order = np.argsort(s.owner, kind="stable")
-    owner, ids = s.owner[order], s.ids[s.document[order]]
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is among ordered ones."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def _owners(shard: int, s: Shard, buckets: int, spread: np.ndarray) -> pa.Table:
+    """Step 1: the shard's owners with least and greatest id and count, packed by bucket; without those known to be spread."""
+    mine = ~_is_in(s.owner, spread)
+    order = np.argsort(s.owner[mine], kind="stable")
+    owner, ids = s.owner[mine][order], s.ids[s.document[mine][order]]
     new = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0])) if len(owner) else np.zeros(0, np.int64)
     out: list[list] = [[], [], [], [], [], []]
     if len(new):
@@ -170,10 +182,29 @@ def _found(s: Shard, owners: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows, hot[place[rows]]
 
 
-def _suffixes(shard: int, s: Shard, owners: pa.Table, groups: int) -> pa.Table:
-    """Step 2: texts of repeated owners' segments, or of their single windows where the owner is hot, once each."""
+def _spread_owners(texts: DataFrame, shards: int, window: int, gram: int, few: int) -> np.ndarray:
+    """Owners that a hundredth of all shards and more hold, from a sample of shards: a hundred times a shard's owners at most."""
+    if shards <= few:
+        return np.zeros(0, np.uint64)
+    step = max(1, shards // max(1, int(shards**0.5)))
+    sampled = -(-shards // step)
+
+    def owners(rows: pa.Table) -> pa.Table:
+        return pa.table({"owner": pa.array(np.unique(Shard(rows, window, gram).owner).view(np.int64))})
+
+    counts = texts.where(F.col("shard") % step == 0).groupBy("shard").applyInArrow(owners, "owner long").groupBy("owner").count()
+    many = counts.where(F.col("count") > max(2, sampled // 100))
+    return np.sort(np.array([r.owner for r in many.toLocalIterator()], np.int64).view(np.uint64))
+
+
+def _suffixes(shard: int, s: Shard, owners: pa.Table, groups: int, spread: np.ndarray) -> pa.Table:
+    """Step 2: texts of repeated owners' segments, or of their single windows where the owner is hot, once each; of the windows of
+    spread owners the digests, in group -1."""
     seen: dict[tuple[int, bool, bytes], list[int]] = {}
     rows, hots = _found(s, owners)
+    if len(spread):
+        more = np.flatnonzero(_is_in(s.owner, spread))
+        rows, hots = np.concatenate([rows, more]), np.concatenate([hots, np.ones(len(more), bool)])
     for j, hot in zip(rows.tolist(), hots.tolist(), strict=True):
         first, size, owner, key = int(s.first[j]), int(s.size[j]), int(s.owner[j]), int(s.ids[s.document[j]])
         for part in ((owner, True, s.text(first + t, 1)) for t in range(size)) if hot else ((owner, False, s.text(first, size)),):
@@ -182,9 +213,13 @@ def _suffixes(shard: int, s: Shard, owners: pa.Table, groups: int) -> pa.Table:
             else:
                 had[0], had[1] = min(had[0], key), max(had[1], key)
     out: list[list] = [[], [], [], [], [], [], []]
+    apart = set(spread.tolist())
     for (owner, hot, text), (least, most) in seen.items():
-        prefix = xxhash.xxh64_intdigest(text) if hot else owner
-        for column, value in zip(out, ((prefix >> 20) % groups, shard, owner - (1 << 63), hot, text, least, most), strict=True):
+        if owner in apart:
+            prefix, text = -1, xxhash.xxh3_128_digest(text)
+        else:
+            prefix = ((xxhash.xxh64_intdigest(text) if hot else owner) >> 20) % groups
+        for column, value in zip(out, (prefix, shard, owner - (1 << 63), hot, text, least, most), strict=True):
             column.append(value)
     return _packed(["prefix", "shard", "owner", "hot", "text", "least", "most"], [pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64()], out)
 
@@ -263,7 +298,20 @@ def _marked(s: Shard, found: pa.Table) -> pa.Table:
     return _packed(["doc_id", "n_words", "n_removed", "kept_sha256", "spans"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())], out)
 
 
-def substring_dedup(df: DataFrame, window: int = 50, gram: int = 20, shard_bytes: int = 4_000_000, group_bytes: int = 12_000_000, hot: int = 2048) -> DataFrame:
+def _least_of_digests(sent: DataFrame) -> DataFrame:
+    """Step 3 for the windows of spread owners: rows as _subtree gives them."""
+    least = sent.groupBy("text").agg(F.min("least").alias("first")).select(F.concat("text", F.lit(b"")).alias("digest"), "first")
+    joined = sent.join(least.hint("shuffle_merge"), F.col("text") == F.col("digest")).where("first < most")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            firsts = [int(x).to_bytes(8, "little", signed=True) for x in rows.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(firsts, pa.binary())], ["shard", "owner", "hot", "digest", "least"])
+
+    return joined.select("shard", "owner", "hot", "digest", "first").mapInArrow(packed, "shard int, owner long, hot boolean, digest binary, least binary")
+
+
+def substring_dedup(df: DataFrame, window: int = 50, gram: int = 20, shard_bytes: int = 4_000_000, group_bytes: int = 12_000_000, hot: int = 2048, few: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, spans (removed stretches as start, end, start, end ... in words) for every
     row."""
     docs = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -272,11 +320,14 @@ def substring_dedup(df: DataFrame, window: int = 50, gram: int = 20, shard_bytes
     # the hash takes the text in, so that rows without an id, or with the same, are spread too
     texts = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
 
+    shared = df.sparkSession.sparkContext.broadcast(_spread_owners(texts, shards, window, gram, few))
+    any_spread = len(shared.value) > 0
+
     def owners(key, rows):
-        return _owners(key[0].as_py(), Shard(rows, window, gram), groups)
+        return _owners(key[0].as_py(), Shard(rows, window, gram), groups, shared.value)
 
     def suffixes(key, rows, found):
-        return _suffixes(key[0].as_py(), Shard(rows, window, gram) if found.num_rows else Shard(rows.slice(0, 0), window, gram), found, groups)
+        return _suffixes(key[0].as_py(), Shard(rows if found.num_rows or any_spread else rows.slice(0, 0), window, gram), found, groups, shared.value)
 
     def marked(rows, found):
         return _marked(Shard(rows, window, gram), found)
@@ -284,5 +335,9 @@ def substring_dedup(df: DataFrame, window: int = 50, gram: int = 20, shard_bytes
     counted = texts.groupBy("shard").applyInArrow(owners, "bucket int, shard int, owner binary, least binary, most binary, n binary")
     repeated = counted.groupBy("bucket").applyInArrow(lambda rows: _repeated(rows, hot), "shard int, owner binary, hot binary")
     sent = texts.groupBy("shard").cogroup(repeated.groupBy("shard")).applyInArrow(suffixes, "prefix int, shard int, owner long, hot boolean, text binary, least long, most long")
-    found = sent.groupBy("prefix").applyInArrow(lambda rows: _subtree(rows, window), "shard int, owner long, hot boolean, digest binary, least binary")
+    if any_spread:
+        sent = checkpointed(sent)
+    found = sent.where("prefix >= 0").groupBy("prefix").applyInArrow(lambda rows: _subtree(rows, window), "shard int, owner long, hot boolean, digest binary, least binary")
+    if any_spread:
+        found = found.union(_least_of_digests(sent.where("prefix < 0")))
     return texts.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(marked, "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<int>")

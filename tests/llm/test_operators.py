@@ -59,7 +59,7 @@ def by_id(rows):
     return Counter((r.doc_id, *r[1:]) for r in rows)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 9_000, "group_bytes": 20_000, "hot": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 9_000, "group_bytes": 20_000, "hot": 2}, {"shard_bytes": 12_000, "few": 0}, {"shard_bytes": 12_000, "group_bytes": 20_000, "hot": 2, "few": 0}])
 def test_substring(docs, rows, sizes):
     window, best = 50, {}
     cut = [(i, (t or "").encode().split()) for i, t in rows]
@@ -82,6 +82,18 @@ def test_substring(docs, rows, sizes):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+def test_a_passage_that_most_shards_hold(spark):
+    """By digests, and as any other, with the same result."""
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, " ".join([f"a{rng.random()}"] * 60 + ([passage] if i % 5 else []) + [f"b{i}"] * 5)) for i in range(150)] + [(None, passage), (7, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = df.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(30)).cast("int"))
+    assert len(substring._spread_owners(texts, 30, 50, 20, 0)) > 0 and len(substring._spread_owners(texts, 30, 50, 20, 30)) == 0
+    some, none = (sorted(map(str, substring.substring_dedup(df, shard_bytes=4_000, few=few).collect())) for few in (0, 1 << 30))
+    assert some == none and sum("n_removed=80" in x for x in some) >= 119
+
+
 def test_words_are_the_contract_s():
     from gleanery.llm._common import words
 
