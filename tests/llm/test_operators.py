@@ -449,6 +449,39 @@ def test_network_gradients():
         assert abs((up - down) / (2 * step) - gradient[at]) < 0.05 * abs(gradient[at]) + 1e-3
 
 
+def test_probabilities_are_those_of_a_plain_convolution():
+    network = langid.Network(["a", "b", "c"], seed=4)
+    x = langid.windows("Some text é that is longer than a window of bytes, so that it takes two of them. " * 2)
+    got = network.probabilities(x)
+    for w, row in enumerate(x):
+        pooled = []
+        for f in range(network.filters.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            best = -np.inf
+            for at in range(len(row)):
+                total = 0.0
+                for o in range(width):
+                    byte = row[at + o] if at + o < len(row) else 0
+                    total += float(network.embedding[byte].astype(float) @ network.filters[o * langid.EMBEDDING : (o + 1) * langid.EMBEDDING, f].astype(float))
+                best = max(best, total)
+            pooled.append(max(0.0, best + float(network.bias[f])))
+        z = np.exp(np.array(pooled) @ network.out.astype(float) + network.out_bias)
+        assert np.allclose(got[w], z / z.sum(), atol=1e-4)
+
+
+def test_languages_without_bound(spark):
+    """More languages than the sample has room for: one id of each; and an id that repeats with other texts and languages."""
+    rows = [(i, f"lang{i % 60}", f"words of language {i % 60} " * 9) for i in range(300)] + [(1000, f"lang{i % 3}", f"again {i}") for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(4)
+    learning = df.where("lang is not null")
+    few = langid.sampled(learning, 500, 20).collect()
+    assert len(few) == 60 and len({r.lang for r in few}) == 60
+    some = langid.sampled(learning, 3, 1000).groupBy("lang").count().collect()
+    assert {r["count"] for r in some} == {3}
+    one, two = (sorted(map(tuple, langid.identify(df, langid.train(d, sample=200)).select("doc_id", "lang_pred").collect())) for d in (df, df.orderBy(F.desc("text"))))
+    assert one == two
+
+
 def plain_targets(sizes):
     weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
     low, high = 0.0, 1e12
@@ -510,6 +543,63 @@ def test_mixing_of_repeated_rows(spark, monkeypatch, repeated):
             assert abs(sum(r.taken for r in mine if r.source_size == size) - target) <= most / 2
 
 
+def plain_mix(rows, targets):
+    """rows: source, h, size. What the mix takes of each: whole epochs, the documents of least hash while they fit, then units of
+    rows of one place, the longest that fit, and one that is too long by less than what is left."""
+    out = [0] * len(rows)
+    for s, target in targets.items():
+        mine = sorted((h, i) for i, (x, h, _) in enumerate(rows) if x == s)
+        total = sum(rows[i][2] for _, i in mine)
+        if not total:
+            continue
+        epochs = int(target // total)
+        rest = target - epochs * total
+        units = defaultdict(list)
+        for h, i in mine:
+            out[i] = epochs
+            units[h].append(i)
+        words = {h: sum(rows[i][2] for i in u) for h, u in units.items()}
+        left = list(units)
+        while left and words[left[0]] <= rest and rest > 0:
+            rest -= words[left[0]]
+            for i in units[left.pop(0)]:
+                out[i] += 1
+        unused = [h for h in left if words[h] > 0]
+        # the longest first; of one length those of smaller rows, then of the permutation
+        for h in sorted(unused, key=lambda h: (-words[h], rows[units[h][0]][2], h)):
+            if words[h] <= rest:
+                rest -= words[h]
+                unused.remove(h)
+                for i in units[h]:
+                    out[i] += 1
+        over = min((h for h in unused if rest < words[h] < 2 * rest), key=lambda h: (words[h], rows[units[h][0]][2], h), default=None)
+        for i in units[over] if over is not None else ():
+            out[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_what_the_mix_takes(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 90, 400]) + f"x{i}", "e", rng.choice(["a", "b", "ä", None]), 1) for i in range(400)]
+    rows += [rows[rng.randrange(400)] for _ in range(60)] + [(None, f"none {i}", "e", "a", 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    placed = mixing.sized(df, seed).collect()
+    p = mixing.plan(mixing.sized(df, seed), None, seed)
+    sizes = defaultdict(int)
+    for r in placed:
+        sizes[r.source] += r["size"]
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    exact = dict(zip(order, mixing.targets([sizes[s] for s in order]), strict=True))
+    want = plain_mix([(r.source, r.h, r["size"]) for r in placed], exact)
+    place = {s: i for i, s in enumerate(p.sources)}
+    assert [len(p.shards(place[r.source], r.h, r["size"])) for r in placed] == want
+    taken = Counter()
+    for r in mixing.mix(df, seed=seed).collect():
+        taken[r.doc_id, r["size"], len(r.shards)] += 1
+    assert taken == Counter((r.doc_id, r["size"], n) for r, n in zip(placed, want, strict=True))
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     rows = [(i, ("w " * rng.choice([1, 5, 40, 90])), "e", rng.choice(["a", "b", "ä", "c", None]), 1) for i in range(1500)]
