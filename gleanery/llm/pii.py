@@ -7,9 +7,11 @@ don't backtrack over what they have read.
 Disguises are undone by a transducer: it rewrites homoglyphs, widths, invisible characters, spelled digits and at/dot
 words, and notes for every rewritten stretch where it came from. Brackets are undone before plain words: those count where
 another part of the address is clear, which is an at sign (in brackets or not), a dot in brackets, or for a plain at word a
-dot word after it. Numbers are addresses where a dot between them is a word or stood in brackets. The same patterns run over the rewritten text, and what
-they find is mapped back to the source characters. Such spans are added where a rewritten stretch is part of them and no
-base span of their kind holds them already. Base spans stay as they are.
+dot word after it. Numbers are addresses where a dot between them is a word or stood in brackets. The same patterns run over
+the rewritten text, and what they find is mapped back to the source characters. Such spans are added where a rewritten stretch
+is part of them and no base span of their kind holds them already. Base spans stay as they are. Dot words are undone in names of
+64 characters and domain labels of 63 at most, which is what addresses may have; base spans, and those that only brackets,
+homoglyphs or digits disguise, may be of any length.
 
 Null text counts as empty: no spans. Null and repeated doc_ids are kept.
 """
