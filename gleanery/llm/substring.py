@@ -45,15 +45,13 @@ from gleanery.llm._common import checkpointed, encoded, text_bytes
 LAST = np.iinfo(np.int64).max
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes hashed at a time, and those of a word from which it is hashed by itself.
+RUN, LONG = 1 << 20, 64
+#: Words of a shard whose places fit beside their hashes.
+PLACES = 1 << 24
 
-
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        out = self[word] = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_hashes = _Hashes()
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,30 +65,71 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+class Words:
+    """The words of texts in one row, joined by single spaces: `data`, where each word starts and ends in it, and the number of
+    the first word of each text. Nothing is held for a word but numbers in arrays."""
+
+    def __init__(self, texts: list[bytes]):
+        raw = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+        space = _SPACE[raw]
+        after = np.concatenate([[False], ~space[:-1]]) if len(raw) else space
+        keep = ~space | after  # a word's bytes, and the one that ends it
+        ends_here = space[keep]
+        self.data = raw[keep]
+        self.data[ends_here] = 32
+        self.ends = np.flatnonzero(ends_here)
+        self.starts = np.concatenate([[0], self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(np.flatnonzero(~space & ~after), offsets)
+        self.bytes = self.data.tobytes()
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def joined(self, start: int, end: int) -> bytes:
+        return self.bytes[self.starts[start] : self.ends[end - 1]] if start < end else b""
+
+    def hashes(self) -> np.ndarray:
+        """64 bits for each word: a polynomial of its bytes, mixed, and for long ones XXH64."""
+        out = np.zeros(len(self), np.uint64)
+        sizes = self.ends - self.starts
+        at = 0
+        while at < len(self):
+            upto = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + RUN, "right")))
+            low, starts, ends = self.starts[at], self.starts[at:upto] - self.starts[at], self.ends[at:upto] - self.starts[at]
+            if ends[-1] <= RUN:  # else a single long word
+                power, inverse = _powers_to(RUN + 1)
+                part = self.data[low : low + ends[-1]].astype(np.uint64) + np.uint64(1)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])])
+                out[at:upto] = (sums[ends] - sums[starts]) * inverse[starts]
+            at = upto
+        out = _mixed(out + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        for i in np.flatnonzero(sizes >= LONG).tolist():
+            out[i] = xxhash.xxh64_intdigest(self.joined(i, i + 1))
+        return out
+
+
 class Shard:
     """The texts of a shard in one row of words, and the segments of their windows."""
 
     def __init__(self, rows: pa.Table, window: int, gram: int):
         self.window = window
         self.ids = rows.column("doc_id").cast(pa.int64()).fill_null(LAST).to_numpy()
-        self.words: list[bytes] = []
-        starts = [0]
-        for text in rows.column("text"):
-            self.words += encoded(text.as_py()).split()
-            starts.append(len(self.words))
-        self.starts = np.array(starts)
+        self.words = Words([encoded(t.as_py()) for t in rows.column("text")])
+        self.starts = self.words.first
         n = len(self.words)
         self.first = self.size = self.document = np.zeros(0, np.int64)
         self.owner = np.zeros(0, np.uint64)
         if n < window:
             return
-        if len(_hashes) > 500_000:
-            _hashes.clear()
         power, inverse = _powers_to(n + 1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.fromiter(map(_hashes.__getitem__, self.words), np.uint64, n) * power[:n])])
-        grams = (sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1]
-        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words.hashes() * power[:n])])
+        grams = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
         # windows that lie within one document
         document = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[: n - window + 1]
         at = np.flatnonzero(np.arange(window, n + 1) <= self.starts[document + 1])
@@ -102,17 +141,28 @@ class Shard:
         self.owner, self.document = grams[owner[new]], document[at[new]]
 
     def text(self, start: int, windows: int) -> bytes:
-        return b" ".join(self.words[start : start + windows + self.window - 1])
+        return self.words.joined(start, start + windows + self.window - 1)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least value, the first of equals, in each run of `width` values."""
-    out = np.empty(len(values) - width + 1, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(values, width)
-    for at in range(0, len(out), 65_536):
-        part = view[at : at + 65_536]
-        out[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
-    return out
+    """Place of the least value, by its upper 40 bits, the first of equals, in each run of `width` values."""
+    n, low = len(values), np.uint64(PLACES - 1)
+    if n > PLACES:
+        out = np.empty(n - width + 1, np.int64)
+        view = np.lib.stride_tricks.sliding_window_view(values >> np.uint64(24), width)
+        for at in range(0, len(out), 65_536):
+            part = view[at : at + 65_536]
+            out[at : at + len(part)] = part.argmin(axis=1) + np.arange(at, at + len(part))
+        return out
+    # the place stands in the lower bits; minima from each block's start and to its end meet in any run
+    blocks = -(-n // width)
+    keys = np.full(blocks * width, ~np.uint64(0))
+    keys[:n] = (values & ~low) | np.arange(n, dtype=np.uint64)
+    keys = keys.reshape(blocks, width)
+    before = np.minimum.accumulate(keys, axis=1).reshape(-1)
+    after = np.minimum.accumulate(keys[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    m = n - width + 1
+    return (np.minimum(after[:m], before[width - 1 : width - 1 + m]) & low).astype(np.int64)
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -240,30 +290,21 @@ def nodes(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 def _subtree(rows: pa.Table, window: int) -> pa.Table:
     """Step 3: for each text of a group the least id below its windows' nodes, where that is less than an id of its shard."""
-    number: dict[bytes, int] = {}
-    symbols: list[int] = []
-    sizes = []
-    for text in rows.column("text").to_pylist():
-        words = text.split()
-        symbols += [number.setdefault(w, len(number)) for w in words]
-        sizes.append(len(words) - window + 1)
-    count = np.array(sizes)
-    starts = np.concatenate([[0], np.cumsum(count + window - 1)[:-1]])
+    texts = rows.column("text").to_pylist()
+    words = Words(texts)
+    count = np.diff(words.first) - window + 1
     # every window lies within its text, so texts need no end marks between them
-    at = np.repeat(starts, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    node = nodes(np.array(symbols, np.int64), window)[at]
+    at = np.repeat(words.first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    node = nodes(np.unique(words.hashes(), return_inverse=True)[1], window)[at]
     least = np.full(int(node.max()) + 1, LAST, np.int64)
     np.minimum.at(least, node, np.repeat(rows.column("least").to_numpy(), count))
     least = least[node]
     edges = np.cumsum(count) - count
-    wanted = np.minimum.reduceat(least, edges) < rows.column("most").to_numpy()
-    out: list[list] = [[], [], [], [], []]
-    for j in np.flatnonzero(wanted).tolist():
-        row = rows.slice(j, 1)
-        values = row.column("shard")[0].as_py(), row.column("owner")[0].as_py(), row.column("hot")[0].as_py(), xxhash.xxh3_128_digest(row.column("text")[0].as_py()), least[edges[j] : edges[j] + count[j]].tobytes()
-        for column, value in zip(out, values, strict=True):
-            column.append(value)
-    return _packed(["shard", "owner", "hot", "digest", "least"], [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()], out)
+    wanted = np.flatnonzero(np.minimum.reduceat(least, edges) < rows.column("most").to_numpy())
+    kept = rows.select(["shard", "owner", "hot"]).take(pa.array(wanted))
+    digests = pa.array([xxhash.xxh3_128_digest(texts[j]) for j in wanted.tolist()], pa.binary())
+    firsts = pa.array([least[a:b].tobytes() for a, b in zip(edges[wanted].tolist(), (edges + count)[wanted].tolist(), strict=True)], pa.binary())
+    return kept.append_column("digest", digests).append_column("least", firsts)
 
 
 def _marked(s: Shard, found: pa.Table) -> pa.Table:
@@ -290,9 +331,10 @@ def _marked(s: Shard, found: pa.Table) -> pa.Table:
     for i, key in enumerate(s.ids.tolist()):
         a, b = int(s.starts[i]), int(s.starts[i + 1])
         here = covered[a:b]
-        turns = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]])))
-        kept = [w for w, c in zip(s.words[a:b], here.tolist(), strict=True) if not c] if len(turns) else s.words[a:b]
-        values = None if key == LAST else key, b - a, int(here.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), turns.tolist()
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], here, [False]]))).tolist()
+        edges = [0, *turns, b - a]
+        kept = [s.words.joined(a + x, a + y) for x, y in zip(edges[::2], edges[1::2], strict=True) if x < y]
+        values = None if key == LAST else key, b - a, int(here.sum()), hashlib.sha256(b" ".join(kept)).hexdigest(), turns
         for column, value in zip(out, values, strict=True):
             column.append(value)
     return _packed(["doc_id", "n_words", "n_removed", "kept_sha256", "spans"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32())], out)

@@ -82,6 +82,34 @@ def test_substring(docs, rows, sizes):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+def test_words_in_a_row(monkeypatch):
+    """Against split(): places, joins, and hashes that are equal where words are, across runs and long words."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "b", " ", "\n", "\t", "\x1c", "é", "\0"]) for _ in range(rng.choice([0, 1, 5, 200]))).encode() for _ in range(60)]
+    texts += [b"x" * 300 + b" " + b"x" * 300 + b"y", b" ", b"", b"a b", b"\x0b\x0c"]
+    for run in (1 << 20, 64):
+        monkeypatch.setattr(substring, "RUN", run)
+        monkeypatch.setattr(substring, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        words = substring.Words(texts)
+        want = [t.split() for t in texts]
+        flat = [w for x in want for w in x]
+        assert np.diff(words.first).tolist() == list(map(len, want)) and len(words) == len(flat)
+        assert [words.joined(i, i + 1) for i in range(len(words))] == flat
+        assert words.joined(3, 9) == b" ".join(flat[3:9]) and words.joined(4, 4) == b""
+        hashes = words.hashes().tolist()
+        assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+    assert len(substring.Words([])) == 0 and substring.Words([]).first.tolist() == [0]
+
+
+@pytest.mark.parametrize("places", [1 << 24, 4])
+def test_least_places(monkeypatch, places):
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 9, 200).astype(np.uint64) << np.uint64(40)
+    monkeypatch.setattr(substring, "PLACES", places)
+    for width in (1, 2, 31, 200):
+        assert substring._least(values, width).tolist() == [int(np.argmin(values[i : i + width])) + i for i in range(len(values) - width + 1)]
+
+
 def test_a_passage_that_most_shards_hold(spark):
     """By digests, and as any other, with the same result."""
     rng = random.Random(3)
