@@ -330,7 +330,9 @@ def frequent_words(df: DataFrame, keep: int = 16_384, fan_in: int = 100, levels:
         for rows in batches:
             for t in rows.column(0):
                 if t := t.as_py():
-                    counter.update(x for x in t.split(" ") if len(x) <= LONG)
+                    words = t.split(" ")
+                    # words are short in the mean, or the long ones are left out before they are held
+                    counter.update(words if len(t) <= LONG * len(words) else [x for x in words if len(x) <= LONG])
                 if len(counter) > 20 * keep:
                     counter = Counter(dict(counter.most_common(10 * keep)))
         yield _counters(TaskContext.get().partitionId() // fan_in, counter, keep)
@@ -349,7 +351,7 @@ def frequent_words(df: DataFrame, keep: int = 16_384, fan_in: int = 100, levels:
 
 
 def _counters(part: int, counter: Counter, keep: int) -> pa.RecordBatch:
-    top = sorted(counter.items(), key=lambda x: (-x[1], x[0]))[:keep]
+    top = sorted(((w, n) for w, n in counter.items() if len(w) <= LONG), key=lambda x: (-x[1], x[0]))[:keep]
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([[w for w, _ in top]], pa.list_(pa.string())), pa.array([[n for _, n in top]], pa.list_(pa.int64()))], ["part", "words", "counts"])
 
 
