@@ -18,8 +18,6 @@ THIN = 2_000
 #: Score that a deferred URL takes on, and how often it may be deferred.
 BUMP, MOST_DEFERRALS = 1_000_000.0, 12
 
-CAPTURES = "url string, final_url string, http_status int, content_type string, html string, rendered_html string, headers map<string,string>, fetch_time_ms double, fetched_at timestamp"
-
 
 def probably_html(content_type) -> Column:
     """Of a media type; an absent one counts as HTML."""
@@ -33,6 +31,14 @@ def chosen_html(html, rendered) -> Column:
     return F.when((text(html) != "") & (raw < THIN) & (other > raw), text(rendered)).otherwise(text(html))
 
 
+def pages(captures: DataFrame) -> DataFrame:
+    """Captures that are pages: url, html (the one to parse), headers, and what else the fetcher noted. A URL that was moved goes by
+    its final address."""
+    kept = captures.where(probably_html("content_type") & F.col("html").isNotNull())
+    moved = F.when(F.trim(text("final_url")) != "", F.col("final_url")).otherwise(F.col("url"))
+    return kept.select(moved.alias("url"), F.col("url").alias("requested_url"), "http_status", "content_type", chosen_html("html", "rendered_html").alias("html"), "headers", "fetch_time_ms", "fetched_at")
+
+
 # Networks that aren't fetched from.
 BLOCKED = tuple(ipaddress.ip_network(n) for n in ("0.0.0.0/8", "127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "169.254.0.0/16", "192.0.0.0/24", "192.0.2.0/24", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4"))
 BLOCKED_6 = tuple(ipaddress.ip_network(n) for n in ("100::/64", "2001:db8::/32", "fc00::/7"))

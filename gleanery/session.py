@@ -29,7 +29,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. A local one is made only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. A local one is made only where a local session names none, as in tests; on a cluster,
+    whose machines don't share it, that raises."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -37,5 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="gleanery-checkpoint-"))
     return context.getCheckpointDir()

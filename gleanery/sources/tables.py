@@ -38,6 +38,16 @@ FIELDS: dict[str, tuple[str, ...]] = {
 }
 
 
+#: What a fetcher leaves of each URL.
+CAPTURES = "url string, final_url string, http_status int, content_type string, html string, rendered_html string, headers map<string,string>, fetch_time_ms double, fetched_at timestamp"
+
+
+def read_captures(spark: SparkSession, path: str, *, stream: bool = False, files: int | None = None) -> DataFrame:
+    """Captures as Parquet, with nulls for columns that files lack; as a stream, some files at a time."""
+    reader = (spark.readStream if stream else spark.read).schema(CAPTURES)
+    return (reader.option("maxFilesPerTrigger", files) if stream and files else reader).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path or pattern names any file, on whatever file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
