@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,9 @@ from pyspark.sql import functions as F
 from gleanery.llm import simhash
 from gleanery.llm._common import checkpointed, encoded
 from gleanery.llm.components import components, own
+from gleanery.llm.substring import Words
+from gleanery.llm.substring import _mixed as mixed
+from gleanery.llm.substring import _powers_to as powers_to
 
 BANDS = 24
 ROWS = 5
@@ -47,17 +51,31 @@ SIMILAR = (4, 5)
 RUN = 1 << 18
 #: Rows of an Arrow batch that are held as Python objects at a time.
 SLICE = 256
+CHARACTERS = 1_000_000
 
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = np.random.default_rng(20).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
 
 
+def shingle_sets(texts: list[str | None], width: int = 5) -> list[np.ndarray]:
+    """Of each text the sorted hashes of its shingles without repeats; A-Z in lower case."""
+    words = Words([encoded(t).lower() for t in texts])
+    n = len(words)
+    power, inverse = powers_to(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hashes() * power[:n])])
+    out = []
+    for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        size = min(width, b - a)
+        if not size:
+            out.append(np.zeros(0, np.uint64))
+            continue
+        at = np.arange(a, b - size + 1)
+        out.append(np.unique(mixed((sums[at + size] - sums[at]) * inverse[at] + np.uint64(size))))
+    return out
+
+
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted XXH64 of a text's shingles without repeats; A-Z in lower case."""
-    tokens = encoded(text).lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    digest, joined = xxhash.xxh64_intdigest, b" ".join
-    return np.unique(np.array([digest(joined(tokens[i : i + width]), 42) for i in range(max(1, len(tokens) - width + 1))], np.uint64))
+    return shingle_sets([text], width)[0]
 
 
 def name_of(hashes: np.ndarray) -> int:
@@ -65,17 +83,26 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """Longs, one for each band; none for no shingles."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, ~np.uint64(0))
-    for at in range(0, len(hashes), RUN):
-        part = hashes[at : at + RUN]
-        for i, (salt, factor) in enumerate(_SEEDS.T):
-            least[i] = min(least[i], ((part ^ salt) * factor).min())
-    bands = least.reshape(BANDS, ROWS)
-    return [int(np.uint64(xxhash.xxh64_intdigest(b.tobytes(), i)).view(np.int64)) for i, b in enumerate(bands)]
+def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each set a long for each band; none for no shingles. Sets are taken together, RUN shingles or one set at a time."""
+    out = [np.zeros(0, np.int64)] * len(sets)
+    filled = [i for i, s in enumerate(sets) if len(s)]
+    ends = np.cumsum([len(sets[i]) for i in filled])
+    at = 0
+    while at < len(filled):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + RUN, "right")))
+        some = filled[at:upto]
+        flat = np.concatenate([sets[i] for i in some])
+        starts = np.cumsum([0, *(len(sets[i]) for i in some[:-1])])
+        key = np.zeros((len(some), BANDS), np.uint64)
+        for j, (salt, factor) in enumerate(_SEEDS.T):
+            least = np.minimum.reduceat((flat ^ salt) * factor, starts)
+            key[:, j // ROWS] = mixed(key[:, j // ROWS] * _FACTOR + least)
+        key = mixed(key + np.arange(BANDS, dtype=np.uint64) * _FACTOR)  # bands apart
+        for i, k in zip(some, key.view(np.int64), strict=True):
+            out[i] = k
+        at = upto
+    return out
 
 
 def links_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -111,13 +138,18 @@ def _row() -> Column:
     return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
 
 
-def _sliced(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow over slices of each batch."""
+def _sliced(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 2) -> DataFrame:
+    """mapInArrow over slices of each batch, of SLICE rows and about CHARACTERS bytes of text at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                yield function(batch.slice(at, SLICE))
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                upto = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHARACTERS, "right"))
+                upto = max(at + 1, min(upto, at + SLICE))
+                yield function(batch.slice(at, upto - at))
+                at = upto
 
     return df.mapInArrow(run, schema)
 
@@ -211,13 +243,13 @@ def groups(docs: DataFrame, width: int = 5, held: int = HELD) -> DataFrame:
     docs = docs.withColumn("row", _row())
 
     def signed(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, width) for t in rows.column(2).to_pylist()]
+        sets = shingle_sets(rows.column(2).to_pylist(), width)
         values = [name_of(s) for s in sets], [fingerprint_of(s) for s in sets], list(map(len, sets))
-        keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+        keys = pa.array(band_keys(sets), pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *(pa.array(v, pa.int64()) for v in values), keys], ["doc_id", "row", "name", "fp", "n", "keys"])
 
     def with_set(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([shingles(t, width).tobytes() for t in rows.column(2).to_pylist()], pa.binary())
+        sets = pa.array([x.tobytes() for x in shingle_sets(rows.column(2).to_pylist(), width)], pa.binary())
         return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sets, *rows.columns[3:]], ["root", "name", "shingles", *rows.schema.names[3:]])
 
     rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, "doc_id long, row long, name long, fp long, n long, keys array<long>"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from gleanery.llm import copies
@@ -64,11 +65,36 @@ def by_component(rows):
     return out.values()
 
 
-def test_fingerprints_of_sets():
-    from tests.llm.test_operators import plain_fingerprint
-
-    words = " ".join(f"w{i}" for i in range(400))
-    assert copies.fingerprint_of(copies.shingles(words, 4)) % 2**64 == plain_fingerprint(words)
+def test_sets_and_fingerprints(texts):
+    """Hashes are equal where shingles are, over all texts; and a fingerprint's bits are the majority's."""
+    plain = [plain_shingles(t) for t in texts]
+    sets = copies.shingle_sets(texts)
+    assert [len(s) for s in sets] == [len(p) for p in plain]
+    known = {}
+    for p, s in zip(plain, sets, strict=True):
+        assert known.setdefault(frozenset(p), s.tobytes()) == s.tobytes()
+    assert len(set(known.values())) == len(known)
+    assert len(np.unique(np.concatenate(sets))) == len(set().union(*plain))
+    for s in sets[:5]:
+        bits = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in s) > len(s))
+        assert copies.fingerprint_of(s) % 2**64 == bits
+    assert [s.tolist() for s in copies.shingle_sets(texts[:7])] == [copies.shingles(t).tolist() for t in texts[:7]]
+
+
+def test_pairs_share_keys_as_often_as_min_hashes_do(monkeypatch):
+    """Of pairs of similarity 0.8 some 33% share one band; taken together or one by one the keys are the same."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    for _ in range(300):
+        both = np.unique(rng.integers(0, 1 << 63, 180, np.uint64))
+        a, b = both[:100], both[11:111]  # 89 of 111
+        pairs += [np.sort(a), np.sort(b)]
+    keys = copies.band_keys([np.zeros(0, np.uint64), *pairs])
+    assert len(keys[0]) == 0 and all(len(k) == copies.BANDS for k in keys[1:])
+    same = np.mean([(x == y).mean() for x, y in zip(keys[1::2], keys[2::2], strict=True)])
+    assert abs(same - (89 / 111) ** copies.ROWS) < 0.02
+    monkeypatch.setattr(copies, "RUN", 50)
+    assert all((x == y).all() for x, y in zip(keys[1:], copies.band_keys(pairs), strict=True))
 
 
 def test_repeated_ids_keep_different_texts(spark):
