@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import io
 import re
 from array import array
 from collections import Counter
@@ -387,6 +388,24 @@ class _Lengths(dict):
 
 
 _lengths: dict[int, _Lengths] = {}
+_tables: dict[bytes, dict[str, int]] = {}
+
+
+def _packed(words: pa.RecordBatch) -> bytes:
+    out = io.BytesIO()
+    with pa.ipc.new_stream(out, words.schema) as writer:
+        writer.write_batch(words)
+    return out.getvalue()
+
+
+def _table_of(data: bytes) -> dict[str, int]:
+    """The broadcast table, which travels as two packed columns, as a hash table: one for each worker."""
+    if data not in _tables:
+        _tables.clear()
+        with pa.ipc.open_stream(data) as reader:
+            words = reader.read_all()
+        _tables[data] = dict(zip(words.column("word").to_pylist(), words.column("n").to_pylist(), strict=True))
+    return _tables[data]
 
 
 def count_tokens(df: DataFrame, model: bytes, limit: int = 4096, keep: int = 16_384) -> DataFrame:
@@ -400,10 +419,11 @@ def count_tokens(df: DataFrame, model: bytes, limit: int = 4096, keep: int = 16_
         learner = _Lengths(m)
         learner.learn({w for w in frequent_words(df, keep) if w and MARK not in w})
         first = dict(learner)
-    shared, table = context.broadcast(model), context.broadcast(first)
+    words = pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), pa.array(list(first.values()), pa.uint16())], ["word", "n"])
+    shared, table = context.broadcast(model), context.broadcast(_packed(words))
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        m, first = model_of(shared.value), table.value
+        m, first = model_of(shared.value), _table_of(table.value)
         counts: list[int] = []
         sizes: list[int] = []
         second = _lengths.setdefault(id(m), _Lengths(m))
