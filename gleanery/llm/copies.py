@@ -34,9 +34,7 @@ from pyspark.sql import functions as F
 from gleanery.llm import simhash
 from gleanery.llm._common import checkpointed, encoded
 from gleanery.llm.components import components, own
-from gleanery.llm.substring import Words
-from gleanery.llm.substring import _mixed as mixed
-from gleanery.llm.substring import _powers_to as powers_to
+from gleanery.llm.substring import Words, mixed, powers_to
 
 BANDS = 24
 ROWS = 5

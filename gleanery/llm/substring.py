@@ -55,7 +55,7 @@ PLACES = 1 << 24
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64."""
     if len(_powers[0]) < n:
         for i, base in enumerate((_BASE, _INVERSE)):
@@ -65,7 +65,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
+def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
 
@@ -103,12 +103,12 @@ class Words:
             upto = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + RUN, "right")))
             low, starts, ends = self.starts[at], self.starts[at:upto] - self.starts[at], self.ends[at:upto] - self.starts[at]
             if ends[-1] <= RUN:  # else a single long word
-                power, inverse = _powers_to(RUN + 1)
+                power, inverse = powers_to(RUN + 1)
                 part = self.data[low : low + ends[-1]].astype(np.uint64) + np.uint64(1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])])
                 out[at:upto] = (sums[ends] - sums[starts]) * inverse[starts]
             at = upto
-        out = _mixed(out + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        out = mixed(out + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         for i in np.flatnonzero(sizes >= LONG).tolist():
             out[i] = xxhash.xxh64_intdigest(self.joined(i, i + 1))
         return out
@@ -127,9 +127,9 @@ class Shard:
         self.owner = np.zeros(0, np.uint64)
         if n < window:
             return
-        power, inverse = _powers_to(n + 1)
+        power, inverse = powers_to(n + 1)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.words.hashes() * power[:n])])
-        grams = _mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+        grams = mixed((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
         # windows that lie within one document
         document = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))[: n - window + 1]
         at = np.flatnonzero(np.arange(window, n + 1) <= self.starts[document + 1])
