@@ -20,7 +20,7 @@ _SQL_NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
 
 
 def parsed(s: Site, *parts: str) -> DataFrame:
-    return extract.parse(s.table("pages"), *parts)
+    return extract.parse(s.spread_table("pages"), *parts)
 
 
 @query(
@@ -154,12 +154,12 @@ _SQL_COLLAPSED = "lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\
 
 @query("keyword_log", f"SELECT doc_id, term, CAST((length(low) - length(replace(low, term, ''))) // length(term) AS BIGINT) AS match_count FROM (SELECT doc_id, {_SQL_COLLAPSED} AS low FROM documents), (SELECT unnest(['the', 'tion', 'of the']) AS term) WHERE contains(low, term)")
 def keyword_log(s: Site) -> DataFrame:
-    return extract.keyword_log(s.table("documents"), ["the", "tion", "", "of the", "the", None], "text", "doc_id")
+    return extract.keyword_log(s.spread_table("documents"), ["the", "tion", "", "of the", "the", None], "text", "doc_id")
 
 
 @query("signals_summary", "SELECT url, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '<meta [^>]*name=\"([^\"]*)\"', 1))), '|') AS meta_names, '' AS link_rels, '0' AS has_json_ld FROM pages")
 def signals_summary(s: Site) -> DataFrame:
-    rows = extract.signals(s.table("pages"))
+    rows = extract.signals(s.spread_table("pages"))
     return rows.select("url", "meta_names", "link_rels", "has_json_ld")
 
 

@@ -10,6 +10,7 @@ from urllib.parse import parse_qs
 from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.operators import frames
+from gleanery.session import spread
 from gleanery.sources import estate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +30,10 @@ class Site:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread_table(self, name: str) -> DataFrame:
+        """For work that costs far more than reading."""
+        return spread(self.table(name))
+
     @cached_property
     def all_pages(self) -> DataFrame:
         return frames.merge_pages(self.estate.pages_raw, self.merging)
