@@ -111,7 +111,7 @@ def sized(docs: DataFrame, seed: int) -> DataFrame:
     """doc_id, source, size, h: a permutation's place of every row, from 0 up to 2 ** 50."""
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        sizes = [len(encoded(t).split()) for t in rows.column(2).to_pylist()]
+        sizes = [len(encoded(t.as_py()).split()) for t in rows.column(2)]
         return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1).cast(pa.string()), pa.array(sizes, pa.int64()), rows.column(3)], ["doc_id", "source", "size", "h"])
 
     return map_batches(docs.select("doc_id", "source", "text", _place(seed)), batch, "doc_id long, source string, size long, h long")
