@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import rules, urls
-from gleanery.functions.scalars import content_hash, occurrences, rounded, text
+from gleanery.functions.scalars import content_hash, rounded, text
 from gleanery.operators.html import RARE, Page
 
 FIELDS = list(Page("", "").row())
@@ -185,13 +185,15 @@ def keyword_log(pages: DataFrame, terms: Sequence[str | None], column: str, *kee
     """Hits of literal terms, whatever the case and the white space between words. The terms are part of the plan; a text is
     brought to its form once, whatever their number."""
     known = keyword_terms(terms)
-    form = lambda x: F.lower(F.trim(F.regexp_replace(text(x), "\\s+", " ")))
+    # single spaces are by far the commonest white space, and are left as they are
+    form = lambda x: F.lower(F.trim(F.regexp_replace(text(x), "[\\s&&[^ ]]\\s*| \\s+", " ")))
     if not known:
         return pages.select(*keep, F.lit("").alias("term"), F.lit(0).cast("long").alias("match_count")).where("false")
     listed = F.array(*(F.struct(F.lit(t).alias("term"), F.lit(" ".join(t.split()).lower()).alias("form")) for t in known))
-    found = F.transform(listed, lambda t: F.struct(t["term"].alias("term"), occurrences(F.col("_text"), t["form"]).alias("match_count")))
-    hits = pages.select(*keep, form(column).alias("_text")).select(*keep, F.explode(F.filter(found, lambda x: x["match_count"] > 0)).alias("x"))
-    return hits.select(*keep, "x.term", "x.match_count")
+    here = F.filter(listed, lambda t: F.contains(F.col("_text"), t["form"]))
+    hits = pages.select(*keep, form(column).alias("_text")).select(*keep, "_text", F.explode(here).alias("t"))
+    without = F.length(F.replace(F.col("_text"), F.col("t.form"), F.lit("")))
+    return hits.select(*keep, "t.term", ((F.length("_text") - without) / F.length("t.form")).cast("long").alias("match_count"))
 
 
 def content_duplicates(df: DataFrame, text: str, order: str) -> DataFrame:
