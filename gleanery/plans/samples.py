@@ -1,5 +1,5 @@
 """Hand-written pages, robots files and sitemaps, and what is extracted of them. The SQL holds the wanted values themselves,
-worked out by hand, so that no rule of the engine's is used on both sides."""
+checked by hand against the rules, so that no rule of the engine's is used on both sides."""
 
 from __future__ import annotations
 
