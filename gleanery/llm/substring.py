@@ -11,8 +11,8 @@ suffixes that can share a node as deep as a window are of use, and they are foun
 2. The other segments' suffixes are split by their prefixes: those of an owner go together, as one text for the windows
    they overlap in, and an owner with more than `hot` occurrences is split further, by prefixes as long as a window. What a
    shard holds more than once it sends once, so a group doesn't grow with the copies of a text.
-3. Each group builds its subtree, in the form of ranks by prefix doubling: suffixes that share a rank at the window's depth
-   hang below one internal node. The smallest id below each node goes back to the shards it concerns.
+3. Each group numbers its words, equal ones by their bytes, and builds its subtree, in the form of ranks by prefix doubling:
+   suffixes that share a rank at the window's depth hang below one internal node. The smallest id below each node goes back to the shards it concerns.
 4. Shards mark the windows that start in a smaller id, and join them to maximal repeated stretches.
 
 A passage that very many shards hold would bring a row from each of them to one bucket of step 1 and one group of step 3. Where
@@ -47,8 +47,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-#: Bytes hashed at a time, and those of a word from which it is hashed by itself.
-RUN, LONG = 1 << 20, 64
+#: Words hashed at a time.
+RUN = 1 << 18
 #: Words of a shard whose places fit beside their hashes.
 PLACES = 1 << 24
 
@@ -65,6 +65,34 @@ def powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """XXH64 of the stretches of `size` bytes, fewer than 32, that begin at `starts`: of all of them at once."""
+    eights = np.ndarray((max(0, len(data) - 7),), "<u8", data, 0, (1,))
+    fours = np.ndarray((max(0, len(data) - 3),), "<u4", data, 0, (1,))
+    h = np.full(len(starts), _P5 + np.uint64(size))
+    at = 0
+    while size - at >= 8:
+        h = _turned(h ^ (_turned(eights[starts + at] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at += 8
+    if size - at >= 4:
+        h = _turned(h ^ (fours[starts + at].astype(np.uint64) * _P1), 23) * _P2 + _P3
+        at += 4
+    while at < size:
+        h = _turned(h ^ (data[starts + at].astype(np.uint64) * _P5), 11) * _P1
+        at += 1
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(32))
@@ -95,24 +123,37 @@ class Words:
         return self.bytes[self.starts[start] : self.ends[end - 1]] if start < end else b""
 
     def hashes(self) -> np.ndarray:
-        """64 bits for each word: a polynomial of its bytes, mixed, and for long ones XXH64."""
+        """XXH64 of each word: of those of one size at once, of 32 bytes and more one by one."""
         out = np.zeros(len(self), np.uint64)
         sizes = self.ends - self.starts
-        at = 0
-        while at < len(self):
-            upto = max(at + 1, int(np.searchsorted(self.ends, self.starts[at] + RUN, "right")))
-            low, starts, ends = self.starts[at], self.starts[at:upto] - self.starts[at], self.ends[at:upto] - self.starts[at]
-            if ends[-1] <= RUN:  # else a single long word
-                power, inverse = powers_to(RUN + 1)
-                part = self.data[low : low + ends[-1]].astype(np.uint64) + np.uint64(1)
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[: len(part)])])
-                out[at:upto] = (sums[ends] - sums[starts]) * inverse[starts]
-            at = upto
-        out = mixed(out + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        for i in np.flatnonzero(sizes >= LONG).tolist():
-            out[i] = xxhash.xxh64_intdigest(self.joined(i, i + 1))
+        for at in range(0, len(self), RUN):
+            size = sizes[at : at + RUN]
+            order = np.argsort(np.minimum(size, 32).astype(np.uint8), kind="stable")
+            edges = np.searchsorted(np.minimum(size[order], 32), np.arange(33))
+            for n in range(1, 32):
+                some = at + order[edges[n] : edges[n + 1]]
+                if len(some):
+                    out[some] = xxh64(self.data, self.starts[some], n)
+            for i in (at + order[edges[32] :]).tolist():
+                out[i] = xxhash.xxh64_intdigest(self.joined(i, i + 1))
         return out
 
+    def numbers(self) -> np.ndarray:
+        """A number for each word, equal where words are and nowhere else: hashes find what may be equal, bytes decide."""
+        _, first, number = np.unique(self.hashes(), return_index=True, return_inverse=True)
+        sizes, model = self.ends - self.starts, first[number]
+        same = sizes == sizes[model]
+        for at in range(0, len(self), RUN):
+            rows = at + np.flatnonzero(same[at : at + RUN])
+            for step in range(int(sizes[rows].max(initial=0))):
+                rows = rows[sizes[rows] > step]
+                differ = self.data[self.starts[rows] + step] != self.data[self.starts[model[rows]] + step]
+                same[rows[differ]] = False
+        further: dict[bytes, int] = {}
+        for i in np.flatnonzero(~same).tolist():  # words whose hash another one has
+            number[i] = further.setdefault(self.joined(i, i + 1), len(first) + len(further))
+        return number
+
 
 class Shard:
     """The texts of a shard in one row of words, and the segments of their windows."""
@@ -295,7 +336,7 @@ def _subtree(rows: pa.Table, window: int) -> pa.Table:
     count = np.diff(words.first) - window + 1
     # every window lies within its text, so texts need no end marks between them
     at = np.repeat(words.first[:-1], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    node = nodes(np.unique(words.hashes(), return_inverse=True)[1], window)[at]
+    node = nodes(words.numbers(), window)[at]
     least = np.full(int(node.max()) + 1, LAST, np.int64)
     np.minimum.at(least, node, np.repeat(rows.column("least").to_numpy(), count))
     least = least[node]

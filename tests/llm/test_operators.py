@@ -82,12 +82,24 @@ def test_substring(docs, rows, sizes):
         assert sum(b - a for a, b in zip(r.spans[::2], r.spans[1::2], strict=True)) == r.n_removed
 
 
+#: Words that a sum of bytes times powers of a base, modulo 2 ** 64, can't tell apart.
+TWINS = "mommommmppnpnpnmmmqmqm", "mmmommppommmmmmmmmpmmmo"
+
+
+@pytest.mark.parametrize("sizes", [{}, {"shard_bytes": 100, "hot": 0}, {"shard_bytes": 100, "few": 0}])
+def test_substring_of_words_with_alike_sums(spark, sizes):
+    before, after = ([f"{c}{i}" for i in range(n)] for c, n in (("a", 20), ("b", 29)))
+    rows = [(i, " ".join([*before, w, *after])) for i, w in enumerate((*TWINS, TWINS[0]))]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), **sizes).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 50}
+
+
 def test_words_in_a_row(monkeypatch):
-    """Against split(): places, joins, and hashes that are equal where words are, across runs and long words."""
+    """Against split(): places, joins, hashes by the library, and numbers that are equal where words are, across runs and long words."""
     rng = random.Random(8)
     texts = ["".join(rng.choice(["a", "b", " ", "\n", "\t", "\x1c", "é", "\0"]) for _ in range(rng.choice([0, 1, 5, 200]))).encode() for _ in range(60)]
-    texts += [b"x" * 300 + b" " + b"x" * 300 + b"y", b" ", b"", b"a b", b"\x0b\x0c"]
-    for run in (1 << 20, 64):
+    texts += [b"x" * 300 + b" " + b"x" * 300 + b"y", b" ", b"", b"a b", b"\x0b\x0c", " ".join(TWINS).encode(), b" ".join(b"q" * n for n in range(1, 40))]
+    for run in (1 << 18, 7):
         monkeypatch.setattr(substring, "RUN", run)
         monkeypatch.setattr(substring, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
         words = substring.Words(texts)
@@ -96,8 +108,13 @@ def test_words_in_a_row(monkeypatch):
         assert np.diff(words.first).tolist() == list(map(len, want)) and len(words) == len(flat)
         assert [words.joined(i, i + 1) for i in range(len(words))] == flat
         assert words.joined(3, 9) == b" ".join(flat[3:9]) and words.joined(4, 4) == b""
-        hashes = words.hashes().tolist()
-        assert len(set(zip(flat, hashes, strict=True))) == len(set(flat)) == len(set(hashes))
+        assert words.hashes().tolist() == [xxhash.xxh64_intdigest(w) for w in flat]
+        numbers = words.numbers().tolist()
+        assert len(set(zip(flat, numbers, strict=True))) == len(set(flat)) == len(set(numbers))
+    # words whose hashes meet are told apart by their bytes
+    monkeypatch.setattr(substring.Words, "hashes", lambda self: (self.ends - self.starts).astype(np.uint64) // np.uint64(3))
+    numbers = words.numbers().tolist()
+    assert len(set(zip(flat, numbers, strict=True))) == len(set(flat)) == len(set(numbers))
     assert len(substring.Words([])) == 0 and substring.Words([]).first.tolist() == [0]
 
 
@@ -371,6 +388,16 @@ def test_quality(spark):
     assert sorted(map(tuple, only), key=str) == sorted(map(tuple, out), key=str)
 
 
+def test_strata_count_every_row(spark):
+    """A stratum's rows are counted whether or not they are the one it stands by, in any order of rows."""
+    rows = [(i % 50 if i % 3 else None, f"text {i % 90} of words " * (1 + i % 4)) for i in range(600)]
+    df = spark.createDataFrame([*rows, (1, None), (2, "")], "doc_id long, text string")
+    positive = np.stack([quality.features(t) for _, t in rows[:40]])
+    one, two = (sorted(map(tuple, quality._strata(d, positive, 6).collect())) for d in (df.repartition(5), df.orderBy(F.desc("text")).coalesce(1)))
+    assert one == two and sum(n for _, n, _ in one) == 602 and 1 < len(one) <= 64
+    assert {bytes(f) for *_, f in one} <= {quality.features(t).tobytes() for _, t in [*rows, (0, "")]}
+
+
 def test_quality_of_repeated_ids_and_long_texts(spark):
     """Ids that repeat with other texts and other labels, and a text of four million bytes: reruns agree."""
     rows = [(i % 40, f"text {i} of many words " * (1 + i % 7)) for i in range(200)] + [(900, "word " * 800_000), (901, "x" * 1_000_000)]
@@ -510,6 +537,15 @@ def test_languages_without_bound(spark):
     assert one == two
 
 
+def test_languages_whose_rows_repeat_an_id(spark):
+    """Each language is learned, however often its only id stands in the table; a text without letters teaches nothing."""
+    rows = [(i, "aa", f"some words {i}") for i in range(2000)] + [(10_001 + k, lang, f"words of {lang} {i}") for k, lang in enumerate(("bb", "cc", "dd")) for i in range(4000)]
+    learning = spark.createDataFrame([*rows, (20_000, "ee", "123"), (20_001, "ee", "letters")], "doc_id long, lang string, text string").repartition(4)
+    found = langid.sampled(learning, 100, 20_000).groupBy("lang").count().collect()
+    assert {r.lang: r["count"] for r in found} == {"aa": 100, "bb": 1, "cc": 1, "dd": 1, "ee": 2}
+    assert langid.has_letter("1 é") and not langid.has_letter("12 ² ① _")
+
+
 def plain_targets(sizes):
     weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
     low, high = 0.0, 1e12
