@@ -4,8 +4,8 @@ Each round contracts the edges that a task holds, `PER_TASK` at most on average:
 its smallest node. While edges need more than one task, a large-star and a small-star step follow, which link nodes across
 tasks, and the next round begins; once they fit one task, or a round changes nothing, the stars are the components.
 
-Links never reach the driver. A node with very many links is a hot key of the steps' joins, whose other side has one row for
-it and is dealt by a key of its own, so that adaptive execution can split it; the aggregations combine before they shuffle.
+Links never reach the driver. Nodes with very many links are looked up by broadcast, so that their links aren't dealt to one task;
+the aggregations combine before they shuffle.
 """
 
 from __future__ import annotations
@@ -27,14 +27,16 @@ def components(edges: DataFrame, per_task: int = PER_TASK) -> DataFrame:
     """edges: a, b (long). Returns node, root for every node of an edge between different nodes; root is the smallest
     node reachable. Edges with a null, and loops, link nothing."""
     stars = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    state = None
+    before = state = None
     while True:
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first()
         tasks = -(-now.n // per_task)
-        if now == state or tasks <= 1:
-            stars = stars if now == state else checkpointed(_contracted(stars, 1, per_task))
+        # sums that agree are only worth a look; the edges themselves decide
+        settled = now == state and stars.exceptAll(before).isEmpty()
+        if settled or tasks <= 1:
+            stars = stars if settled else checkpointed(_contracted(stars, 1, per_task))
             return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(stars.select("b", "b").distinct())
-        state = now
+        before, state = stars, now
         stars = checkpointed(_small_star(_large_star(_contracted(stars, tasks, per_task))))
 
 
@@ -86,16 +88,28 @@ def own(column: Column) -> Column:
     return column.bitwiseXOR(F.lit(0).cast("long"))
 
 
+def _with_least(edges: DataFrame, key: str, least: DataFrame) -> DataFrame:
+    """edges with m, which `least` (key, m, n) has for each key. The keys of more than a thousandth of all edges, a thousand at
+    most, are broadcast and their edges stay where they are; the others are shuffled."""
+    total = edges.count()
+    hot = least.where(F.col("n") * 1000 > total)
+    many = F.broadcast(hot.select(F.col(key).alias("w"), "m"))
+    few = least.where(F.col("n") * 1000 <= total).select(own(F.col(key)).alias("w"), "m")
+    rest = edges.join(F.broadcast(hot.select(F.col(key).alias("w"))), F.col(key) == F.col("w"), "left_anti")
+    return edges.join(many, F.col(key) == F.col("w")).union(rest.join(few.hint("shuffle_merge"), F.col(key) == F.col("w"))).drop("w")
+
+
 def _large_star(stars: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour, itself included. a > b in each row."""
+    stars = checkpointed(stars)
     both = stars.union(stars.select("b", "a")).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(own(F.col("u")).alias("w"), "m")
-    return both.where("v > u").join(least.hint("shuffle_merge"), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    least = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n")))
+    return _with_least(both.where("v > u"), "u", least).select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(stars: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to its smallest neighbour."""
-    least = stars.groupBy("a").agg(F.min("b").alias("m"))
-    centres = least.select(own(F.col("a")).alias("w"), "m")
-    moved = stars.join(centres.hint("shuffle_merge"), F.col("a") == F.col("w")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    stars = checkpointed(stars)
+    least = checkpointed(stars.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+    moved = _with_least(stars, "a", least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).union(moved).distinct()

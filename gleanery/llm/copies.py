@@ -11,10 +11,10 @@ The second is there because the first can't do it alone: the fingerprints of two
 bits in the mean, and keys that pigeonhole such pairs would hold so few bits that unrelated texts share them.
 
 Texts that candidates connect are compared by their sets of shingles, exactly, from each text to those not yet reached: a
-group of n copies costs n comparisons, and one of n texts without links n * n. A candidate group of more than `HELD` shingles
-is cut into parts, and each pair of its parts is a task of its own, so that no task holds more than some 2 * HELD.
+group of n copies costs n comparisons, and one of n texts without links n * n. A candidate group of more than `HELD` shingles, or
+`MOST` texts, is cut into parts, and each pair of its parts is a cell of its own, so that none holds more than some 2 * HELD.
 
-Texts of the same shingles are first taken as one. A null text counts as empty, and the texts of no words are copies of each
+Texts of the same shingles, by 128 bits of their set, are first taken as one. A null text counts as empty, and the texts of no words are copies of each
 other. Fewer words than `width` are one shingle. Of a group the row of the smallest doc_id stays, one without an id only where
 no other has one; between rows of one id in one group the smallest hash of the row. Rows of one id in several groups stay, one
 in each.
@@ -43,6 +43,9 @@ DISTANCE = 3
 BLOCKS = 6
 #: Shingles of a candidate group, or of a part of it, at most; a single text may have more.
 HELD = 4_000_000
+#: Texts of a part at most, in the mean: a cell compares up to their square.
+MOST = 1_024
+ROW = "struct<one: long, two: long>"
 #: The similarity from which texts are copies, as a fraction.
 SIMILAR = (4, 5)
 #: Shingles compared, or min-hashed, at a time.
@@ -76,9 +79,9 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return shingle_sets([text], width)[0]
 
 
-def name_of(hashes: np.ndarray) -> int:
-    """A long that stands for a set of shingles."""
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
+def name_of(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles."""
+    return xxhash.xxh3_128_digest(hashes.tobytes(), 7)
 
 
 def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -132,8 +135,9 @@ def links_within(names: list[int], sets: list[np.ndarray]) -> list[tuple[int, in
 
 
 def _row() -> Column:
-    columns = ("doc_id", "text", "lang", "source", "n_chars")
-    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+    """128 bits of a whole row, as two longs."""
+    columns = [x for c in ("doc_id", "text", "lang", "source", "n_chars") for x in (F.col(c).isNull(), F.col(c))]
+    return F.struct(F.xxhash64(*columns).alias("one"), F.xxhash64(F.lit("another"), *columns).alias("two"))
 
 
 def _sliced(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: int = 2) -> DataFrame:
@@ -167,7 +171,7 @@ def _leasts(k: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _stars(rows: DataFrame) -> DataFrame:
-    """name, keys: a, b from names to the least of each key. Tasks combine what they hold of a key before it is shuffled: of a
+    """node, keys: a, b from nodes to the least of each key. Tasks combine what they hold of a key before it is shuffled: of a
     hot key each sends its least name, and links that are found go along under a key of their own."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,12 +212,12 @@ def _stars(rows: DataFrame) -> DataFrame:
             a, b = (np.concatenate(x) for x in zip(*ends, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
-    combined = rows.select("name", "keys").mapInArrow(combine, "k long, a long, b long, found boolean")
+    combined = rows.select("node", "keys").mapInArrow(combine, "k long, a long, b long, found boolean")
     return combined.repartition("k").sortWithinPartitions("found", "k", "a").mapInArrow(meet, "a long, b long")
 
 
 def _links(sets: DataFrame) -> DataFrame:
-    """cell, name, shingles: a, b, the links of each cell. Rows of a cell are together."""
+    """cell, node, shingles: a, b, the links of each cell. Rows of a cell are together."""
 
     def found(names: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.array(links_within(names, held), np.int64).reshape(-1, 2)
@@ -233,38 +237,43 @@ def _links(sets: DataFrame) -> DataFrame:
         if len(names) > 1:
             yield found(names, held)
 
-    return sets.repartition("cell").sortWithinPartitions("cell", "name").mapInArrow(run, "a long, b long")
+    return sets.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, width: int = 5, held: int = HELD) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, held: int = HELD, most: int = MOST) -> DataFrame:
     """doc_id, row (a hash of the whole row), component for every row of documents."""
     docs = docs.withColumn("row", _row())
 
     def signed(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(rows.column(2).to_pylist(), width)
-        values = [name_of(s) for s in sets], [fingerprint_of(s) for s in sets], list(map(len, sets))
+        numbers = [fingerprint_of(s) for s in sets], list(map(len, sets))
         keys = pa.array(band_keys(sets), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), *(pa.array(v, pa.int64()) for v in values), keys], ["doc_id", "row", "name", "fp", "n", "keys"])
+        return pa.RecordBatch.from_arrays([rows.column(0).cast(pa.int64()), rows.column(1), pa.array(list(map(name_of, sets)), pa.binary()), *(pa.array(v, pa.int64()) for v in numbers), keys], ["doc_id", "row", "name", "fp", "n", "keys"])
 
     def with_set(rows: pa.RecordBatch) -> pa.RecordBatch:
         sets = pa.array([x.tobytes() for x in shingle_sets(rows.column(2).to_pylist(), width)], pa.binary())
-        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sets, *rows.columns[3:]], ["root", "name", "shingles", *rows.schema.names[3:]])
-
-    rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, "doc_id long, row long, name long, fp long, n long, keys array<long>"))
-    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "fp", "n")).alias("x")).select("name", "x.*")
-    near = simhash.links(firsts.where("n > 0").select("fp", F.col("name").alias("node")), DISTANCE, BLOCKS)
-    candidates = checkpointed(components(_stars(rows).union(near)).join(firsts, F.col("node") == F.col("name")).select("root", "name", "row", "n"))
-    # each group in as many parts as it takes, each pair of parts a cell
-    parts = candidates.groupBy("root").agg(F.ceil(F.sum("n") / held).cast("int").alias("parts"))
+        return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), sets, *rows.columns[3:]], ["root", "node", "shingles", *rows.schema.names[3:]])
+
+    rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, f"doc_id long, row {ROW}, name binary, fp long, n long, keys array<long>"))
+    # one row for each set, with a number of its own: what follows links these numbers
+    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("x")).select("name", "x.*")
+    firsts = checkpointed(firsts.withColumn("node", F.monotonically_increasing_id()))
+    near = simhash.links(firsts.where("n > 0").select("fp", "node"), DISTANCE, BLOCKS)
+    found = components(_stars(firsts).union(near))
+    candidates = checkpointed(found.join(firsts.select(F.col("node").alias("own"), "row", "n"), F.col("node") == F.col("own")).select("root", "node", "row", "n"))
+    # each group in as many parts as its shingles or its texts take, each pair of parts a cell
+    parts = candidates.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / held), F.ceil(F.count("*") / most)).cast("int").alias("parts"))
     parts = parts.select(own(F.col("root")).alias("w"), "parts")
-    dealt = candidates.join(parts.hint("shuffle_merge"), F.col("root") == F.col("w")).withColumn("part", F.pmod(F.xxhash64("name"), F.col("parts")).cast("int"))
+    dealt = candidates.join(parts.hint("shuffle_merge"), F.col("root") == F.col("w")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     cells = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.xxhash64("root", F.least("part", other), F.greatest("part", other)))
-    texts = docs.select("row", "text").join(dealt.select("root", "name", "row", cells.alias("cells")), "row").select("root", "name", "text", "cells")
-    sets = _sliced(texts, with_set, "root long, name long, shingles binary, cells array<long>")
-    linked = components(_links(sets.select(F.explode("cells").alias("cell"), "name", "shingles")))
+    # of rows that are alike in every column one brings the text
+    texts = docs.select("row", "text").join(dealt.select("root", "node", "row", cells.alias("cells")), "row").dropDuplicates(["row"]).select("root", "node", "text", "cells")
+    sets = _sliced(texts, with_set, "root long, node long, shingles binary, cells array<long>")
+    linked = components(_links(sets.select(F.explode("cells").alias("cell"), "node", "shingles")))
+    named = firsts.select("name", "node").join(linked.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    named = named.select(F.concat("name", F.lit(b"")).alias("w"), F.coalesce("root", "node").alias("component"))
     # copies by the thousand share a name: a hot key, met by one row of the other side
-    named = rows.select("doc_id", "row", "name").join(linked.hint("shuffle_merge"), F.col("name") == F.col("node"), "left")
-    return named.select("doc_id", "row", F.coalesce("root", "name").alias("component"))
+    return rows.select("doc_id", "row", "name").join(named.hint("shuffle_merge"), F.col("name") == F.col("w")).select("doc_id", "row", "component")
 
 
 def representatives(df: DataFrame, width: int = 5) -> DataFrame:
