@@ -4,10 +4,11 @@ A text is cut into windows of `WINDOW` bytes. Bytes are embedded, filters of sev
 filter's greatest response is pooled, and a softmax over the pooled responses gives each language's probability. A text's
 probabilities are the mean over all of its windows.
 
-Training takes a bounded sample of documents: `per_language` ids of each language, by a hash of the id, fewer where there are
-so many languages that these would be more than `sample` ids, but one at least; and of each `per_document` windows, spread
-evenly. Of rows that repeat an id and a language the windows that come first in order are taken. Prediction covers every byte of every text. A text
-that is null or has no letter is `und`, with score 0, as is every text where nothing was learned.
+Training takes a bounded sample of documents with a letter: `per_language` ids of each language, by a hash of the id, fewer where
+there are so many languages that these would be more than `sample` ids, but one at least, however often its rows repeat it; and of
+each `per_document` windows, spread evenly. Of rows that repeat an id and a language the windows that come first in order are taken.
+Prediction covers every byte of every text. A text that is null or has no letter is `und`, with score 0, as is every text where
+nothing was learned.
 """
 
 from __future__ import annotations
@@ -38,6 +39,11 @@ def windows(text: str) -> np.ndarray:
     return np.frombuffer(raw.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals that patterns take for letters are none."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 class Network:
     def __init__(self, languages: list[str], seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -112,7 +118,7 @@ class Network:
 
 def predict(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     names, scores = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if network is not None and t and _LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if network is not None and t and has_letter(t)]
     for at in range(0, len(known), 64):
         part = known[at : at + 64]
         cut = [windows(texts[i]) for i in part]
@@ -126,35 +132,37 @@ def predict(network: Network | None, texts: list[str | None]) -> tuple[list[str]
 
 
 def sampled(learning: DataFrame, per_language: int, sample: int) -> DataFrame:
-    """lang, doc_id: those of the least hashes of each language. Only ids whose hash is below a bound, by the language's number
-    of rows, are ranked: eight times as many as are wanted, so that a ranking doesn't grow with the table."""
-    counts = learning.groupBy("lang").count()
-    languages = counts.count()
-    n = max(1, min(per_language, sample // max(1, languages)))
+    """lang, doc_id: those of the least hashes of each language. Only the least of all, and ids whose hash is below a bound by the
+    language's number of ids, are ranked: some sixteen times as many as are wanted, so that a ranking doesn't grow with the table."""
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    counts = learning.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("ids"), F.min(F.struct(place, "doc_id")).getField("doc_id").alias("least"))
+    languages = learning.select("lang").distinct().count()
+    n = max(1, min(per_language, sample // max(1, languages)))
     held = F.broadcast(counts) if languages <= sample else counts
-    few = learning.select("lang", "doc_id").join(held, "lang").where(place.cast("double") * F.col("count") <= float(8 * n << 40)).select("lang", "doc_id").distinct()
+    near = (place.cast("double") * F.col("ids") <= float(16 * n << 40)) | (F.col("doc_id") == F.col("least"))
+    few = learning.select("lang", "doc_id").join(held, "lang").where(near).select("lang", "doc_id").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
     return few.withColumn("n", rank).where(F.col("n") <= n).select("lang", "doc_id")
 
 
 def train(docs: DataFrame, per_language: int = 500, per_document: int = 8, sample: int = 20_000) -> Network | None:
     """From text and lang of the rows whose crc32 leaves another remainder than 0 by 5."""
-    learning = docs.select("doc_id", "lang", "text").where(~fold(F.col("doc_id"), 5, 0)).where("lang is not null and text is not null and doc_id is not null")
+    learning = docs.select("doc_id", "lang", "text").where(~fold(F.col("doc_id"), 5, 0)).where("lang is not null and doc_id is not null").where(F.col("text").rlike(r"\p{L}"))
     ids = sampled(learning, per_language, sample)
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
         out: tuple[list, ...] = ([], [], [])
         for key, lang, text in zip(*rows.columns, strict=True):
-            if _LETTER.search(text.as_py()):
+            if has_letter(text.as_py()):
                 cut = windows(text.as_py())
                 chosen = sorted(set(np.linspace(0, len(cut) - 1, per_document).astype(int).tolist()))
                 for column, value in zip(out, (key.as_py(), lang.as_py(), cut[chosen].tobytes()), strict=True):
                     column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.string(), pa.binary()), strict=True)], ["doc_id", "lang", "w"])
 
-    # the ids are bounded by the sample, or by the languages
-    found = map_batches(learning.join(F.broadcast(ids), ["doc_id", "lang"]).select("doc_id", "lang", "text"), batch, "doc_id long, lang string, w binary")
+    # the ids are bounded by the sample unless there are more languages than that, when they aren't broadcast by order
+    bounded = F.broadcast(ids) if ids.count() <= sample else ids
+    found = map_batches(learning.join(bounded, ["doc_id", "lang"]).select("doc_id", "lang", "text"), batch, "doc_id long, lang string, w binary")
     rows = sorted((r.lang, r.doc_id, r.w) for r in found.groupBy("lang", "doc_id").agg(F.min("w").alias("w")).toLocalIterator())
     if not rows:
         return None
