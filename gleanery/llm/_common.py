@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +56,38 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of a text column over all rows: one number, for choosing how many groups to deal the work to."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
+
+
+def sliced(batch: pa.RecordBatch, column: int = 1, size: int = 4_000_000, rows: int = 4_096) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of about `size` bytes of a text column, and of `rows` rows, at most; one row at least."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(lengths, (lengths[at - 1] if at else 0) + size, "right"))
+        upto = max(at + 1, min(upto, at + rows))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 4_000_000) -> DataFrame:
+    """mapInArrow with one output batch for each slice of an input batch; the text is its second column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in sliced(batch, size=size):
+                yield function(rows)
+
+    return df.mapInArrow(run, schema)
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
+    """rows joined with the other columns of `table`, which has one row for each of the keys, none of them null, and in `weight` how
+    many of the rows have it. Keys of more than one in `share` rows, so fewer than that many, are broadcast and their rows stay where
+    they are; the others, none of which is hot, are shuffled."""
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    named = table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys))
+    same = reduce(and_, (F.col(k) == F.col(f"_{k}") for k in keys))
+    hot, few = named.where(F.col(weight) * share > total), named.where(F.col(weight) * share <= total)
+    rest = rows.join(F.broadcast(hot.select(*(f"_{k}" for k in keys))), same, "left_anti")
+    both = rows.join(F.broadcast(hot), same).unionByName(rest.join(few.hint("shuffle_merge"), same))
+    return both.drop(*(f"_{k}" for k in keys))

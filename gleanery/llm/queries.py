@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.llm._common import table
-from gleanery.llm import langid, quality
+from gleanery.llm import alignment, fim, langid, line_rules, quality
 from gleanery.llm.media import store_texts
 from gleanery.llm.mixing import mix
 from gleanery.llm.pii import detect
@@ -76,6 +76,21 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut for filling in the middle, and put together again, as digests."""
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text by the base rules and by the lines that many documents of its source hold."""
+    return line_rules.rules(table(spark, sf_dir, "documents"), F.col("source"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text aligned between two vocabularies, with its linked pairs' counts over the corpus."""
+    return alignment.digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring": op1_substring,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,7 +102,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_token_counts": op9_token_counts,
     "op10_topk": op10_topk,
+    "op11_fim": op11_fim,
+    "op12_line_rules": op12_line_rules,
+    "op13_alignment": op13_alignment,
 }
 
 #: SQL for what it can express over whole tables in fair time; the others are tested against plain versions.
-ORACLE_SQL: dict[str, str] = {"op10_topk": ORACLE}
+ORACLE_SQL: dict[str, str] = {"op10_topk": ORACLE, "op11_fim": fim.ORACLE, "op12_line_rules": line_rules.ORACLE}
