@@ -19,8 +19,11 @@ Null text counts as empty. Every row gives one row and is a document of its own,
 from __future__ import annotations
 
 import hashlib
+import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,7 @@ CACHE, LONG = 200_000, 64
 HELD = 2_000_000
 #: Pairs of the broadcast table at most.
 KEEP = 1_000_000
+_UNSAFE = re.compile(rf"(?:\A| )(?:\s|\Z)|{MARK}")
 PAIRS = "pairs binary, times binary"
 
 
@@ -60,59 +64,72 @@ class Pair:
         self.a.no_truncation()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         of = byte_characters()
-        self.bytes_a: dict[int, bytes | None] = {i: bytes(of[c] for c in t) if all(c in of for c in t) else None for t, i in self.a.get_vocab(with_added_tokens=True).items()}
+        entries = self.a.get_vocab(with_added_tokens=True)
+        # an entry that isn't of bytes, a special one, has none: no text's bytes are made with it
+        self.bytes_a = [b""] * (max(entries.values()) + 1)
+        for t, i in entries.items():
+            self.bytes_a[i] = bytes(of[c] for c in t) if all(c in of for c in t) else b""
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace(MARK, " ").encode() for i in range(self.b.get_piece_size())]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        self.names = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         return list(zip((x.ids for x in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)), self.b.encode(texts, num_threads=1), strict=True))
 
-    def ends(self, ids_a: list[int], ids_b: list[int], text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """Where tokens end, in bytes of a space and the text; None where either's bytes are others."""
-        want = b" " + text.encode()
-        a, b = [self.bytes_a.get(i) for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if None in a or b"".join(a) != want or b"".join(b) != want:
-            return None
-        return np.cumsum(list(map(len, a))), np.cumsum(list(map(len, b)))
 
-
-def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Of each A token the first B token it overlaps and the one after the last; and how many tokens of A, and of B, come before the
-    end of each group. `ends_b` is the index; an A token is a query by its two ends."""
-    starts_a = np.concatenate([[0], ends_a[:-1]])
+def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each A token the first B token it overlaps and the one after the last, and whether a group ends with it. `ends_b` is the
+    index; an A token is a query by its two ends."""
+    starts_a = np.concatenate([[0], ends_a[:-1]]).astype(np.int64)
     first = np.searchsorted(ends_b, starts_a, "right")  # the first that ends after the start
     after = np.searchsorted(ends_b, ends_a, "left") + 1  # the first that reaches the end is the last
-    spanned = ends_b[after - 1] != ends_a  # the gap after an A token lies within a B token
-    return first, after, [(int(i) + 1, int(after[i])) for i in np.flatnonzero(~spanned)]
+    return first, after, ends_b[after - 1] == ends_a  # else the gap lies within a B token
 
 
+#: Numbers of A's tokens, B's and groups, the groups as text, and the linked pairs, repeats included, as packed longs.
 Alignment = tuple[int, int, int, str, bytes]
 NOTHING: Alignment = (0, 0, 0, "", b"")
 
 
-def aligned(pair: Pair, ids_a: list[int], ids_b: list[int], text: str) -> Alignment | None:
-    """Numbers of A's tokens, B's and groups, the groups as text, and the linked pairs, repeats included, as packed longs."""
-    ends = pair.ends(ids_a, ids_b, text)
-    if ends is None:
-        return None
-    first, after, groups = align(*ends)
+def aligned(pair: Pair, texts: list[str]) -> list[Alignment | None]:
+    """Alignments of texts, laid end to end so that all are looked up at once: both tokenizers cut where one ends. None where
+    either's bytes are others than a space's and the text's."""
+    ids = pair.encode(texts)
+    fine = []
+    for i, (a, b) in enumerate(ids):
+        want = b" " + texts[i].encode()
+        if b"".join(map(pair.bytes_a.__getitem__, a)) == want and b"".join(map(pair.bytes_b.__getitem__, b)) == want:
+            fine.append(i)
+    out: list[Alignment | None] = [None] * len(texts)
+    if not fine:
+        return out
+    counts_a, counts_b = (np.array([len(ids[i][k]) for i in fine]) for k in (0, 1))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(ids[i][k] for i in fine), np.int64, int(n.sum())) for k, n in ((0, counts_a), (1, counts_b)))
+    first, after, closes = align(np.cumsum(pair.sizes_a[flat_a]), np.cumsum(pair.sizes_b[flat_b]))
     wide = after - first
-    a = np.repeat(np.array(ids_a, np.uint64), wide)
-    at = np.repeat(first, wide) + np.arange(len(a)) - np.repeat(np.cumsum(wide) - wide, wide)
-    links = (a << np.uint64(32)) | np.array(ids_b, np.uint64)[at]
-    names_a, names_b = list(map(str, ids_a)), list(map(str, ids_b))
-    parts, i, j = [], 0, 0
-    for x, y in groups:
-        parts.append(f"{','.join(names_a[i:x])}|{','.join(names_b[j:y])}")
-        i, j = x, y
-    return len(ids_a), len(ids_b), len(groups), ";".join(parts), links.tobytes()
+    at = np.repeat(first - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+    links = (np.repeat(flat_a, wide) << 32 | flat_b[at]).tobytes()
+    upto_a = np.cumsum(counts_a)
+    edges = 8 * np.concatenate([[0], np.cumsum(wide)[upto_a - 1]])
+    # each group's tokens of A, then of B, with what stands after each
+    last_b = np.zeros(len(flat_b), bool)
+    last_b[after[closes] - 1] = True
+    group_a, group_b = np.cumsum(closes) - closes, np.cumsum(last_b) - last_b
+    order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+    marks = np.concatenate([np.where(closes, 1, 0), np.where(last_b, 2, 0)])[order].tolist()
+    names = list(map(add, map(pair.names.__getitem__, np.concatenate([flat_a, flat_b])[order].tolist()), map((",", "|", ";").__getitem__, marks)))
+    groups = np.diff(np.concatenate([[0], np.cumsum(closes)[upto_a - 1]]))
+    ends = np.cumsum(counts_a + counts_b)
+    for i, x, y, n_a, n_b, n, s, e in zip(fine, (ends - counts_a - counts_b).tolist(), ends.tolist(), counts_a.tolist(), counts_b.tolist(), groups.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        out[i] = n_a, n_b, n, "".join(names[x:y])[:-1], links[s:e]
+    return out
 
 
 def stretches(text: str) -> list[str] | None:
     """What lies between a text's spaces, or None where that isn't safe. A's pattern takes a space with what follows it unless that is
     white space, and B begins a piece with a space unless another one comes before; so no stretch may be empty, or begin with white
     space, and none may hold a word mark, which B reads as a space."""
-    parts = text.split(" ")
-    return None if MARK in text or any(not p or p[0].isspace() for p in parts) else parts
+    return None if _UNSAFE.search(text) else text.split(" ")
 
 
 class Aligner:
@@ -128,10 +145,10 @@ class Aligner:
         if len(self.kept) + len(new) > CACHE:
             self.kept.clear()
             new = list({p for parts in parted for p in parts or ()})
-        self.kept |= {p: aligned(self.pair, *ids, p) for p, ids in zip(new, self.pair.encode(new), strict=True)}
-        out = []
-        for t, parts in zip(texts, parted, strict=True):
-            out.append(self._joined([self.kept[p] for p in parts]) if parts is not None else aligned(self.pair, *self.pair.encode([t])[0], t) or NOTHING)
+        self.kept |= zip(new, aligned(self.pair, new), strict=True)
+        whole = [i for i, parts in enumerate(parted) if parts is None]
+        apart = dict(zip(whole, aligned(self.pair, [texts[i] for i in whole]), strict=True))
+        out = [self._joined([self.kept[p] for p in parts]) if parts is not None else apart[i] or NOTHING for i, parts in enumerate(parted)]
         for p in new:
             if len(p) > LONG:
                 del self.kept[p]
