@@ -3,9 +3,6 @@ letters beyond ASCII, or URLs with spaces."""
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,19 +81,58 @@ def crawl_key(c) -> Column:
     return F.when(short == "", whole).otherwise(short)
 
 
-def _resolved(links: pd.Series, bases: pd.Series) -> pd.Series:
-    out = []
-    for link, base in zip(links, bases, strict=True):
-        try:
-            out.append(urljoin(base or "", link or "").partition("#")[0].rstrip("/"))
-        except ValueError:
-            out.append("")
-    return pd.Series(out, dtype=object)
+# Schemes whose references are relative to a base.
+RELATIVE = ("ftp", "http", "gopher", "nntp", "imap", "wais", "file", "https", "shttp", "mms", "prospero", "rtsp", "rtsps", "rtspu", "sftp", "svn", "svn+ssh", "ws", "wss")
+
+
+def _without_dots(segments: Column) -> Column:
+    """Segments of a path without `.` and with each `..` taking the one before away, as a fold; the last leaves a final slash."""
+    fold = F.aggregate(segments, F.array().cast("array<string>"), lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s))))
+    return F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(fold, F.array(F.lit("")))).otherwise(fold)
+
+
+def resolved(link: Column, base: Column) -> Column:
+    """A reference against a base, as RFC 3986 has it, but as browsers and crawlers read it: tabs and line ends within are dropped,
+    and empty segments between those of a relative path and its base go. A scheme that knows no relative references is left as it
+    is. A host with a stray bracket gives a blank."""
+    given, base = text(link), text(base)
+    link, root = (F.regexp_replace(F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "") for x in (given, base))
+    part = lambda x, i: F.regexp_extract(x, _PARTS, i)
+    kind, own = F.lower(part(link, 1)), F.lower(part(root, 1))
+    place, whole_way, asked = part(link, 2), part(link, 3), part(link, 4)
+    tail = F.regexp_extract(link, "(#.*)$", 1)
+    # the last segment's parameters are no part of its name
+    way, parameters = F.regexp_replace(whole_way, ";[^/]*$", ""), F.regexp_extract(whole_way, "(;[^/]*)$", 1)
+    above = F.regexp_replace(part(root, 3), "[^/]*$", "")
+    # of both together all empty segments between the first and the last go
+    merged = F.when(way.startswith("/"), way).otherwise(F.concat(F.when(above.startswith("/"), above).otherwise(F.concat(F.lit("/"), above)), way))
+    merged = F.when(way.startswith("/"), merged).otherwise(F.regexp_replace(merged, "/{2,}(?!$)", "/"))
+    merged = F.when(way.startswith("/") | ~merged.endswith("//"), merged).otherwise(F.regexp_replace(merged, "/+$", "/"))
+    dotted = merged.rlike(r"(^|/)[.][.]?(/|$)")
+    merged = F.when(dotted, F.array_join(_without_dots(F.split(merged, "/")), "/")).otherwise(merged)
+
+    def whole(at: Column, path: Column, asked: Column) -> Column:
+        path = F.when((path != "") & ~path.startswith("/") & (at != ""), F.concat(F.lit("/"), path)).otherwise(path)
+        query = F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit(""))
+        return F.concat(own, F.lit(":"), F.when((at != "") | (own == "file"), F.concat(F.lit("//"), at)).otherwise(F.lit("")), path, query, tail)
+
+    stray = F.concat(place, F.lit(" "), part(root, 2)).rlike(r"\[[^\]]*( |$)|^[^\[]*\]| [^\[]*\]")
+    return (
+        F.when(base == "", given)
+        .when(given == "", base)
+        .when(stray, F.lit(""))
+        .when(((kind != "") & (kind != own)) | ~own.isin(*RELATIVE), given)
+        .when(place != "", whole(place, whole_way, asked))
+        .when(whole_way == "", whole(part(root, 2), part(root, 3), F.when(asked != "", asked).otherwise(part(root, 4))))
+        .otherwise(whole(part(root, 2), F.concat(F.when(merged == "", F.lit("/")).otherwise(merged), parameters), asked))
+    )
 
 
 def link_norm(link: Column, base: Column) -> Column:
-    """A link resolved against its page, without fragment and final slash."""
-    return F.pandas_udf(_resolved, "string")(link, base)
+    """A link resolved against its page, without fragment and final slash; one that is all slashes keeps them."""
+    bare = F.regexp_replace(resolved(link, base), "#.*$", "")
+    short = F.regexp_replace(bare, "/+$", "")
+    return F.when(short == "", bare).otherwise(short)
 
 
 # Extensions that are no pages, and their categories.

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql.window import Window
 
 from gleanery.functions import urls
 from gleanery.functions.scalars import as_float, filled, parts, text
+from gleanery.session import shared_folder
 
 
 def merge_runs(df: DataFrame, keys: Sequence[Column], runs: int, blank_key: Column | None = None) -> DataFrame:
@@ -126,14 +129,69 @@ def counts(df: DataFrame, *by, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: Sequence[str], weight: str, share: int = 1000) -> DataFrame:
+    """rows joined with the other columns of `table`, which has one row for each of the keys, none of them null, and in `weight` how
+    many of the rows have it. Keys of more than one in `share` rows, so fewer than that many, are broadcast and their rows stay where
+    they are; the others, none of which is hot, are shuffled. The table should be a written one: it is read more than once."""
+    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    named = table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys))
+    same = reduce(and_, (F.col(k) == F.col(f"_{k}") for k in keys))
+    hot, few = named.where(F.col(weight) * share > total), named.where(F.col(weight) * share <= total)
+    rest = rows.join(F.broadcast(hot.select(*(f"_{k}" for k in keys))), same, "left_anti")
+    both = rows.join(F.broadcast(hot), same).unionByName(rest.join(few.hint("shuffle_merge"), same))
+    return both.drop(*(f"_{k}" for k in keys))
+
+
+#: Values of a group that are sorted in one task at most, and the bins that a round parts a group's values into.
+HELD, BINS = 50_000, 512
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as files in the shared folder, read back: what is read more than once, or must not change when tasks are run again."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def selected(df: DataFrame, value: str, per: str, rank: Callable[[Column], Column], name: str, times: str | None = None, held: int = HELD, bins: int = BINS) -> DataFrame:
+    """per, `name`: the value at a place of each group's sorted values, from 0, where `rank` gives the place by their number; a row
+    stands for as many values as `times` says, if that is given. Rounds of histograms, which tasks combine before the shuffle, narrow
+    the span in which each group's value lies, until it is one value or has `held` rows at most; only those are sorted. So no list
+    and no window holds a group. Nulls take no part; a null group's rows neither."""
+    weight = F.lit(1).cast("long") if times is None else F.col(times).cast("long")
+    rows = df.select(F.col(per).alias("_g"), F.col(value).alias("_v"), weight.alias("_t")).where("_g is not null and _v is not null and _t > 0")
+    spans = written(rows.groupBy("_g").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), rank(F.sum("_t")).cast("long").alias("_k")))
+    if not _narrow(spans, held):
+        rows = written(rows)
+    while not _narrow(spans, held):
+        inside = looked_up(rows, spans.where("_lo < _hi"), ["_g"], "_n").where("_v between _lo and _hi")
+        counted = inside.groupBy("_g", _bin(bins).alias("_b")).agg(F.sum("_t").alias("_c"), F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.first("_k").alias("_k"))
+        # `bins` rows of a group at most
+        hit = counted.withColumn("_u", F.sum("_c").over(Window.partitionBy("_g").orderBy("_b"))).where("_k < _u and _k >= _u - _c")
+        spans = written(hit.select("_g", "_n", "_lo", "_hi", (F.col("_k") - F.col("_u") + F.col("_c")).alias("_k")).unionByName(spans.where("_lo >= _hi")))
+    left = looked_up(rows, spans.where("_lo < _hi"), ["_g"], "_n").where("_v between _lo and _hi")
+    by_value = left.groupBy("_g", "_v").agg(F.sum("_t").alias("_c"), F.first("_k").alias("_k"))
+    placed = by_value.withColumn("_u", F.sum("_c").over(Window.partitionBy("_g").orderBy("_v")))
+    found = placed.where("_k < _u and _k >= _u - _c").select("_g", "_v").unionByName(spans.where("_lo >= _hi").select("_g", F.col("_lo").alias("_v")))
+    return found.select(F.col("_g").alias(per), F.col("_v").alias(name))
+
+
+def _narrow(spans: DataFrame, held: int) -> bool:
+    return spans.where((F.col("_lo") < F.col("_hi")) & (F.col("_n") > held)).isEmpty()
+
+
+def _bin(bins: int) -> Column:
+    """A bin of a value within its span: by its logarithm while the span is wide, so that a few rounds narrow any span of doubles.
+    Only the order of bins matters, not where exactly they part."""
+    v, lo, hi = (F.col(c).cast("double") for c in ("_v", "_lo", "_hi"))
+    logarithm = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    wide = (hi - lo) > F.greatest(F.abs(lo), F.abs(hi)) / 2 + 1
+    part = lambda x, a, b: F.floor((x - a) / (b - a) * bins)
+    return F.when(wide, part(logarithm(v), logarithm(lo), logarithm(hi))).otherwise(part(v, lo, hi))
+
+
 def nearest_ranks(df: DataFrame, value: str, tenths: int, per: str) -> DataFrame:
-    """per, p<tenths>0: the value at floor(tenths / 10 * (n - 1)) of each group's sorted values. Values are counted first, which
-    combines before the shuffle, and a running sum over the values that differ finds the place: no list of a group's values."""
-    by_value = counts(df, per, value, name="_k")
-    upto = F.sum("_k").over(Window.partitionBy(per).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    sizes = counts(df, per, name="_n")
-    placed = by_value.withColumn("_upto", upto).join(sizes, per)
-    return placed.where(F.col("_upto") > F.floor((F.col("_n") - 1) * tenths / 10)).groupBy(per).agg(F.min(value).alias(f"p{tenths}0"))
+    """per, p<tenths>0: the value at floor(tenths / 10 * (n - 1)) of each group's sorted values."""
+    return selected(df, value, per, lambda n: F.floor((n - 1) * tenths / 10), f"p{tenths}0")
 
 
 def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
@@ -141,10 +199,7 @@ def ranked(df: DataFrame, by: str, name: str) -> DataFrame:
     within their partitions; what lies before a partition is added, of which one row for each is gathered."""
     dealt = df.repartitionByRange(by).withColumn("_p", F.spark_partition_id())
     # written once: ranges are cut from a sample, which another run might draw otherwise
-    from gleanery.session import shared_folder
-
-    shared_folder(df.sparkSession)
-    dealt = dealt.checkpoint()
+    dealt = written(dealt)
     before = counts(dealt, "_p", name="_n").withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = F.row_number().over(Window.partitionBy("_p").orderBy(by)) - 1
     return dealt.withColumn("_w", within).join(F.broadcast(before.select("_p", "_before")), "_p").withColumn(name, (F.col("_before") + F.col("_w")).cast("long")).drop("_p", "_w", "_before")
@@ -172,15 +227,12 @@ def pick_diverse(df: DataFrame, n: int, url: str = "url") -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """Breadth-first: url and its least number of links from a seed, up to `depth`. Each level is checkpointed in the shared
     folder, so that plans don't grow with the depth and lost executors cost one level; links are read and made unlike once."""
-    from gleanery.session import shared_folder
-
-    shared_folder(edges.sparkSession)
-    links = edges.select("from_url", "to_url").where("from_url <> to_url").distinct().checkpoint()
-    found = seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct().checkpoint()
+    links = written(edges.select("from_url", "to_url").where("from_url <> to_url").distinct())
+    found = written(seeds.select(F.col("url"), F.lit(0).alias("depth")).distinct())
     frontier = found
     for level in range(1, depth + 1):
         new = frontier.join(links, frontier["url"] == links["from_url"]).select(F.col("to_url").alias("url")).distinct()
-        frontier = new.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)).checkpoint()
+        frontier = written(new.join(found.select("url"), "url", "left_anti").withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

@@ -129,18 +129,19 @@ _SQL_DEGREES = "ic AS (SELECT to_url AS u, count(*) AS n FROM ed GROUP BY 1), oc
 
 
 def degrees(s: Site) -> DataFrame:
-    into = counts(s.edges, F.col("to_url").alias("url"), name="n_in")
-    out = counts(s.edges, F.col("from_url").alias("url"), name="n_out")
-    return s.pages.select(F.col("final_url").alias("url")).join(into, "url", "left").join(out, "url", "left").fillna(0)
+    """Links are counted at both their ends in one aggregate."""
+    ends = s.edges.select(F.explode(F.array(F.struct(F.col("to_url").alias("url"), F.lit(1).alias("i"), F.lit(0).alias("o")), F.struct(F.col("from_url").alias("url"), F.lit(0).alias("i"), F.lit(1).alias("o")))).alias("e")).select("e.*")
+    linked = ends.groupBy("url").agg(F.sum("i").alias("n_in"), F.sum("o").alias("n_out"))
+    return s.pages.select(F.col("final_url").alias("url")).join(linked, "url", "left").fillna(0)
 
 
 @query("audit_link_distribution", f"SELECT count(*) AS pages, count(*) FILTER (n_in = 0) AS unlinked, count(*) FILTER (n_in >= 5 AND n_out <= 1) AS sinks, {near('avg(n_in)')} AS mean_in, list_sort(list(n_in))[count(*) // 2 + 1] AS median_in FROM dg", _SQL_DEGREES)
 def audit_link_distribution(s: Site) -> DataFrame:
-    # the sorted values' middle, from counts of each value: no list of all pages in one task
-    by_value = counts(degrees(s), "n_in", "n_out", name="k")
-    sums = by_value.agg(F.sum("k").alias("pages"), F.coalesce(F.sum(F.when(F.col("n_in") == 0, F.col("k"))), F.lit(0)).alias("unlinked"), F.coalesce(F.sum(F.when((F.col("n_in") >= 5) & (F.col("n_out") <= 1), F.col("k"))), F.lit(0)).alias("sinks"), rounded(F.sum(F.col("n_in") * F.col("k")) / F.sum("k")).alias("mean_in"), F.sort_array(F.collect_list(F.struct("n_in", "k"))).alias("v"))
-    before = F.aggregate("v", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("m")), lambda a, x: F.struct((a["c"] + x["k"]).alias("c"), F.when(a["m"].isNull() & (a["c"] + x["k"] > F.floor(F.col("pages") / 2)), x["n_in"]).otherwise(a["m"]).alias("m")))
-    return sums.withColumn("median_in", before["m"]).drop("v")
+    # counts of each pair of degrees, written once: the sums and the median are of them, not of the pages
+    pairs = frames.written(counts(degrees(s), "n_in", "n_out", name="k"))
+    sums = pairs.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("pages"), F.coalesce(F.sum(F.when(F.col("n_in") == 0, F.col("k"))), F.lit(0)).alias("unlinked"), F.coalesce(F.sum(F.when((F.col("n_in") >= 5) & (F.col("n_out") <= 1), F.col("k"))), F.lit(0)).alias("sinks"), rounded(F.sum(F.col("n_in") * F.col("k")) / F.sum("k")).alias("mean_in"))
+    median = frames.selected(pairs.groupBy("n_in").agg(F.sum("k").alias("k")).withColumn("all", F.lit(1)), "n_in", "all", lambda n: F.floor(n / 2), "median_in", times="k")
+    return sums.join(F.broadcast(median.select("median_in")), how="left")
 
 
 @query("audit_link_top", "SELECT url, n_in FROM dg ORDER BY n_in DESC, url LIMIT 30", _SQL_DEGREES)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.plans.registry import ORACLE_SQL, QUERIES
 
-for _name in ("reports", "audits", "extraction", "discovery", "streams", "samples", "runs"):
+for _name in ("reports", "audits", "extraction", "structured", "discovery", "streams", "runs"):
     import_module(f"gleanery.plans.{_name}")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery import surface
 from gleanery.functions import rules, urls
 from gleanery.functions.scalars import content_hash, norm_date
-from gleanery.operators import extract
+from gleanery.operators import extract, links
 from gleanery.plans.registry import Site, host, key, query
 from gleanery.plans.registry import norm_date as sql_date
 from gleanery.plans.reports import _SQL_BUCKET
@@ -38,12 +39,12 @@ def page_rows(s: Site) -> DataFrame:
 
 @query("extracted_nav_links", f"SELECT url AS page_url, regexp_replace(concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), regexp_extract(a, 'href=\"([^\"#]*)', 1)), '(.)/+$', '\\1') AS nav_href, regexp_extract(a, '>(.*)$', 1) AS nav_text FROM (SELECT url, unnest(list_distinct(regexp_extract_all({_SQL_NAV}, '<a href=\"[^\"]*\">[^<]*'))) AS a FROM pages)")
 def extracted_nav_links(s: Site) -> DataFrame:
-    return extract.nav_links(parsed(s, "nav"))
+    return links.nav_links(s.spread_table("pages"))
 
 
 @query("extracted_edges", "SELECT url AS from_url, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), regexp_replace(regexp_extract(a, 'href=\"([^\"#]*)', 1), '/+$', '')) AS to_url, regexp_extract(a, '>(.*)$', 1) AS link_text FROM (SELECT url, unnest(regexp_extract_all(html, '<a href=\"/[^\"]*\">[^<]*')) AS a FROM pages)")
 def extracted_edges(s: Site) -> DataFrame:
-    return extract.edges(parsed(s, "edges"))
+    return links.edges(s.spread_table("pages"))
 
 
 @query("url_host", f"SELECT page_id, {host('url')} AS host FROM pages")
@@ -168,3 +169,15 @@ def run_status(s: Site) -> DataFrame:
     pages = s.estate.pages_raw.groupBy("run").agg(F.count("*").alias("n"))
     state = F.when(F.col("run") == "run_2024-01-01", "completed").otherwise("new")
     return pages.select("run", rules.run_status(state, F.col("n")).alias("status"))
+
+
+@query("sql_scalar_functions", "SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, CAST(length(url) AS BIGINT) AS n, substr(sha256(url), 1, 16) AS hash FROM pages")
+def sql_scalar_functions(s: Site) -> DataFrame:
+    surface.register(s.spark)
+    return s.spark.sql("SELECT page_id, url_host(url) AS host, safe_int(CAST(length(url) AS STRING)) AS n, text_hash(url) AS hash FROM {pages} WHERE is_filled(url)", pages=s.table("pages"))
+
+
+@query("readability_grades", "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) >= 30")
+def readability_grades(s: Site) -> DataFrame:
+    """Texts that have a grade: of 30 words and more."""
+    return s.table("documents").where(rules.readability("text").isNotNull()).select("doc_id")

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import fetching, urls
-from gleanery.functions.scalars import filled, slug
-from gleanery.operators import extract, frames
+from gleanery.functions.scalars import filled
+from gleanery.operators import frames
 from gleanery.plans.registry import Site, host, query
-from gleanery.plans.samples import captures, values
 from gleanery.session import shared_folder
 from gleanery.sources.estate import RUNS
 from gleanery.sources.runs import Folder
@@ -91,73 +90,6 @@ def content_hash_file(s: Site) -> DataFrame:
     return folder.load_hashes(RUNS[0])
 
 
-@query("content_hash_object", values((("https://a.example/", "h1"), ("https://b.example/é", "h2")), "url", "hash"))
-def content_hash_object(s: Site) -> DataFrame:
-    """A file that is one JSON object; a run without one has no hashes."""
-    folder = written(s)
-    folder.write(json.dumps({"https://a.example/": "h1", "https://b.example/é": "h2"}, ensure_ascii=False), RUNS[0], "_content_hashes.json")
-    return folder.load_hashes(RUNS[0]).union(folder.load_hashes(RUNS[1]))
-
-
-@query("state_file", values((("running", 7, "https://a.example/é", 2),), "status", "pages", "next", "depth"))
-def state_file(s: Site) -> DataFrame:
-    folder = written(s)
-    folder.save_state(RUNS[0], status="running", pages_crawled=7, assets_from_pages=1, queue=[["https://a.example/é", "seed", 2]], started_at="2024-01-01 00:00:00")
-    state = folder.load_state(RUNS[0])
-    assert folder.load_state(RUNS[1]) is None
-    return s.spark.createDataFrame([(state["status"], state["pages_crawled"], state["queue"][0][0], state["queue"][0][2])], "status string, pages int, next string, depth int")
-
-
-# What is fetched, and when
-
-_TYPES = (("text/html; charset=utf-8", True), ("TEXT/HTML", True), ("application/xhtml+xml", True), ("", True), ("application/pdf", False), ("image/svg+xml", False))
-
-
-@query("probably_html", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(x).upper()})" for t, x in _TYPES) + ") v(content_type, is_html)")
-def probably_html(s: Site) -> DataFrame:
-    rows = s.spark.createDataFrame([(t,) for t, _ in _TYPES], "content_type string")
-    return rows.select("content_type", fetching.probably_html("content_type").alias("is_html"))
-
-
-_BODIES = (("a" * 10, "b" * 20, "b"), ("a" * 10, "b" * 5, "a"), ("a" * 2_000, "b" * 5_000, "a"), (" " * 3_000 + "a", "b" * 9, "b"), ("a", None, "a"), ("", "b" * 9, ""))
-
-
-@query("chosen_html", values(((i, x[2]) for i, x in enumerate(_BODIES)), "n", "first"))
-def chosen_html(s: Site) -> DataFrame:
-    rows = s.spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(_BODIES)], "n int, html string, rendered string")
-    return rows.select("n", F.substring(F.trim(fetching.chosen_html("html", "rendered")), 1, 1).alias("first"))
-
-
-_TARGETS = (
-    ("https://a.example/", None),
-    ("", "empty URL"),
-    ("ftp://a.example/", "unsupported scheme 'ftp'"),
-    ("//a.example/", "unsupported scheme ''"),
-    ("https:///x", "missing host"),
-    ("http://8.8.8.8/", None),
-    ("http://127.0.0.1:80/", "blocked address 127.0.0.1"),
-    ("http://10.1.2.3/", "blocked address 10.1.2.3"),
-    ("http://172.31.0.1/", "blocked address 172.31.0.1"),
-    ("http://172.32.0.1/", None),
-    ("http://192.168.1.1./", "blocked address 192.168.1.1"),
-    ("http://169.254.169.254/", "blocked address 169.254.169.254"),
-    ("http://224.0.0.1/", "blocked address 224.0.0.1"),
-    ("http://255.255.255.255/", "blocked address 255.255.255.255"),
-    ("http://203.0.113.9/", "blocked address 203.0.113.9"),
-    ("http://[::1]/", "blocked address ::1"),
-    ("http://[fe80::1]/", "blocked address fe80::1"),
-    ("http://[fd00::1]/", "blocked address fd00::1"),
-    ("http://[2001:db8::1]/", "blocked address 2001:db8::1"),
-    ("http://[2606:4700::1111]/", None),
-    ("http://1.2.3/", None),
-)
-
-
-@query("blocked_targets", values(_TARGETS, "url", "reason"))
-def blocked_targets(s: Site) -> DataFrame:
-    return s.spark.createDataFrame([(u,) for u, _ in _TARGETS], "url string").select("url", fetching.blocked("url").alias("reason"))
-
-
 @query("host_delays", f"SELECT h AS host, coalesce(f, 0) AS failures, 2.0 + CASE WHEN coalesce(f, 0) > 0 THEN least(2.0 * pow(2, least(f, 5)), 60.0) ELSE 0.0 END AS delay FROM (SELECT DISTINCT {host('url')} AS h FROM base) LEFT JOIN (SELECT {host('url')} AS e, count(*) AS f FROM base WHERE i % 3 > 0 AND i > coalesce((SELECT max(j.i) FROM base j WHERE j.i % 3 = 0 AND j.host = base.host), -1) GROUP BY 1) ON e = h")
 def host_delays(s: Site) -> DataFrame:
     """Pages in their order, of which every third succeeds: the delay before each host's next fetch."""
@@ -166,14 +98,6 @@ def host_delays(s: Site) -> DataFrame:
     return found.withColumn("delay", fetching.delay(F.lit(2.0), F.col("failures")))
 
 
-_SPACED = ((30, 2.0), (60, 1.0), (0, 60.0), (-4, 60.0), (1, 60.0))
-
-
-@query("request_spacing", f"SELECT per_minute, CAST(seconds AS DOUBLE) AS seconds FROM ({values(_SPACED, 'per_minute', 'seconds')})")
-def request_spacing(s: Site) -> DataFrame:
-    return s.spark.createDataFrame([(n,) for n, _ in _SPACED], "per_minute int").select("per_minute", fetching.spacing(F.col("per_minute")).alias("seconds"))
-
-
 @query("deferrals", "SELECT i, CASE WHEN i % 15 < 12 THEN CAST(i % 7 AS DOUBLE) + 1000000 END AS score, i % 15 >= 12 AS failed FROM base")
 def deferrals(s: Site) -> DataFrame:
     """URLs answered 503: queued behind the others, at most twelve times."""
@@ -202,18 +126,3 @@ def frontier_next_hosts(s: Site) -> DataFrame:
     return fetching.next_batch(_frontier(s), 10, busy).select("seq", "url")
 
 
-_SAMPLED = ((0, "https://shop.example/p/kettle"), (1, "https://shop.example/one"), (2, "https://shop.example/two"), (3, "https://shop.example"), (4, "https://shop.example/cookies?x"), (5, "https://shop.example/tag/steel"))
-
-
-@query("sampled_links", values(_SAMPLED, "place", "url"))
-def sampled_links(s: Site) -> DataFrame:
-    parsed = extract.parse(captures(s.spark).where("page = 1").select("url", "html"), "edges")
-    return fetching.sample_links(parsed, 6).select("place", "url")
-
-
-_SLUGS = (("My Project!", "my-project"), ("  --a  b--", "a-b"), ("é", ""), ("x" * 70, "x" * 60), ("A_b-C", "a-b-c"))
-
-
-@query("slugs", values(_SLUGS, "name", "slug"))
-def slugs(s: Site) -> DataFrame:
-    return s.spark.createDataFrame([(n,) for n, _ in _SLUGS], "name string").select("name", slug("name").alias("slug"))

@@ -1,44 +1,42 @@
-"""Hand-written pages, robots files and sitemaps, and what is extracted of them. The SQL holds the wanted values themselves,
-checked by hand against the rules, so that no rule of the engine's is used on both sides."""
+"""What is extracted of hand-written pages, robots files and sitemaps, and what rules give for cells of each kind. Each case has its
+wanted values written out, checked by hand against the rules, as SQL of a table of values."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery import surface
 from gleanery.functions import fetching, rules, urls
+from gleanery.functions.scalars import slug
 from gleanery.operators import extract
-from gleanery.plans.registry import Site, query
 from gleanery.session import shared_folder
 from gleanery.sources import tables
+from gleanery.sources.estate import RUNS
+from gleanery.sources.runs import Folder
+from tests.pages import PAGES
 
-SHOP = """<!DOCTYPE html><html lang="en-GB"><head><title>Blue <b>kettle</b></title><meta name="viewport" content="w"><meta name="Description" content=" A kettle ">
-<meta name="keywords" content="Kettle, blue;steel"><meta property="article:tag" content="kitchen"><meta property="og:type" content="product"><meta property="og:site_name" content="Shop Co">
-<meta name="robots" content="noindex, follow"><meta name="twitter:card" content="summary"><link rel="canonical" href="/kettle/"><link rel="alternate" hreflang="de" href="/de/kettle/"><link rel="alternate" hreflang="fr" href="//fr.shop.example/k#x">
-<link rel="alternate" type="application/rss+xml" href="/feed/"><link rel="next" href="?p=2"><link rel="stylesheet" href="/s.css"><link rel="shortcut icon" href="/i.ico"><link rel="preload" href="/f.woff2">
-<script src="/app.js"></script><script src="/app.js">dataLayer = []</script>
-<script type="application/ld+json">{"@graph": [{"@type": "Product", "@id": "#k", "offers": [{"price": 24.5, "priceCurrency": "EUR", "availability": "https://schema.org/InStock"}], "aggregateRating": {"ratingValue": "4.5", "ratingCount": 12}},
-{"@type": ["Article", "article"], "datePublished": "2024-01-02", "author": [{"name": "Ann"}, "Bo"], "publisher": {"name": "Press"}, "keywords": "Kettle, hot", "genre": ["Home", "home"]}]}</script><script type="application/ld+json">{broken</script></head>
-<body class="single product  wide"><nav><a href="/one/">One</a><a href="/one/"> Again </a><a href="https://b.example/">B</a></nav><div role="navigation"><a href="/one/">Once more</a><a href="/two">Two</a></div>
-<ol class="Breadcrumbs"><li><a href="/">Home</a></li><li><span>Kettles</span></li></ol><h1>Kettle</h1><h3>Jump</h3><h2> </h2><!-- unseen -->
-<p>Last reviewed: 9th May, 2023 and posted on 2023-04-05<p>second <b>bold</b><img src="/a.png" alt=""><img src="b.jpg" alt=" Side view "><img src="/a.png"></p>
-<a href="tel:+44 20 1"> Call </a><a href="TEL: ">none</a><a href="/cookies?x">here</a><a href="/doc.PDF">Doc</a><a href="#top">Top</a><a href="mailto:a@b.example">Mail</a><a href="/tag/steel/">Steel</a><a href="/x" rel="tag nofollow">Rel</a><a href="/z"><img src="z.gif" alt=""></a><a href="/y" title=" "></a>
-<form role="search"><label for="q">Q</label><input id="q" type="text" autocomplete="on"><input type="email"><input name="free"><input type="submit" value=" "><button></button><button aria-label="Go"></button></form>
-<table><tr><td>1</td></tr></table><table><tr><th>2</th></tr></table><div id="d" itemscope itemtype="https://schema.org/Event"><span id="d" itemscope itemtype="https://schema.org/Place"></span></div><div typeof=" schema:Offer ">o</div>
-<ul class="Topics"><li>Tea</li></ul><video src="/v.mp4"><source src="/v.webm"></video><audio><source src="/a.mp3"></audio><noscript>no</noscript><style>p{}</style></body></html>"""
+#: Frames, and the SQL of their wanted values, by name.
+CASES: dict[str, tuple[Callable, str]] = {}
+Site = SimpleNamespace
 
-NEWS = """<html lang="e"><head><meta property="og:title" content="Flood news"><meta property="article:published_time" content="2022-02-02T10:00"><meta property="og:updated_time" content="2022-03-03"><meta name="Author" content="Cy"></head>
-<body class="page-node-type-news_item ghost-x"><a href="#main-content">Skip</a><main><p>Short.</p><p>A river has come over its banks in the north of the country, and roads are closed.</p></main>
-<div class="post-date--updated">Updated<span>3 June 2022</span></div><div class="date">July 2021</div><span class="review_day">4 July 2021</span><a href="https://c.example/learn">Learn more</a><a href="http://[bad">odd</a>
-<script type="application/ld+json">[{"@type": "Event", "startDate": "2024-06-01", "location": {"address": "Main St"}}, {"@type": "JobPosting", "title": "Nurse", "jobLocation": {"address": {"addressLocality": "Leeds"}}}, {"@type": "Recipe", "cookTime": "PT5M"},
-{"@type": "BreadcrumbList", "itemListElement": [{"position": 2, "name": "News"}, {"position": 1, "item": {"name": "Start"}}]}, {"@type": "Thing", "review": {"ratingValue": 3, "reviewCount": 1}}]</script></body></html>"""
 
-BYLINE = """<html><head></head><body><div class="story-byline"> By <b>Di</b> </div><div class="published">on 5 May 2020</div><div class="last-modified">2020-06-07</div><div id="root"></div><link rel="prev" href="/p1"><form><input type="search"></form></body></html>"""
+def written(s: Site) -> Folder:
+    """A base folder without runs."""
+    return Folder(s.spark, f"{shared_folder(s.spark)}/runs-{uuid.uuid4().hex}")
 
-PAGES = ((1, "https://shop.example/p/kettle", SHOP, "noarchive"), (2, "https://news.example/", NEWS, ""), (3, "https://x.example/story", BYLINE, ""), (4, "https://x.example/none", None, ""))
+
+def query(name: str, sql: str):
+    def register(function: Callable) -> Callable:
+        CASES[name] = function, sql
+        return function
+
+    return register
 
 
 def values(rows, *names: str) -> str:
@@ -383,13 +381,93 @@ def sql_table_function(s: Site) -> DataFrame:
     return s.spark.sql("SELECT page, to_url, link_text FROM {pages} p, LATERAL page_edges(p.url, p.html)", pages=captures(s.spark))
 
 
-@query("sql_scalar_functions", "SELECT page_id, regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1) AS host, CAST(length(url) AS BIGINT) AS n, substr(sha256(url), 1, 16) AS hash FROM pages")
-def sql_scalar_functions(s: Site) -> DataFrame:
-    surface.register(s.spark)
-    return s.spark.sql("SELECT page_id, url_host(url) AS host, safe_int(CAST(length(url) AS STRING)) AS n, text_hash(url) AS hash FROM {pages} WHERE is_filled(url)", pages=s.table("pages"))
+_SLUGS = (("My Project!", "my-project"), ("  --a  b--", "a-b"), ("é", ""), ("x" * 70, "x" * 60), ("A_b-C", "a-b-c"))
+
+
+_SAMPLED = ((0, "https://shop.example/p/kettle"), (1, "https://shop.example/one"), (2, "https://shop.example/two"), (3, "https://shop.example"), (4, "https://shop.example/cookies?x"), (5, "https://shop.example/tag/steel"))
+
+
+_SPACED = ((30, 2.0), (60, 1.0), (0, 60.0), (-4, 60.0), (1, 60.0))
+
+
+_TARGETS = (
+    ("https://a.example/", None),
+    ("", "empty URL"),
+    ("ftp://a.example/", "unsupported scheme 'ftp'"),
+    ("//a.example/", "unsupported scheme ''"),
+    ("https:///x", "missing host"),
+    ("http://8.8.8.8/", None),
+    ("http://127.0.0.1:80/", "blocked address 127.0.0.1"),
+    ("http://10.1.2.3/", "blocked address 10.1.2.3"),
+    ("http://172.31.0.1/", "blocked address 172.31.0.1"),
+    ("http://172.32.0.1/", None),
+    ("http://192.168.1.1./", "blocked address 192.168.1.1"),
+    ("http://169.254.169.254/", "blocked address 169.254.169.254"),
+    ("http://224.0.0.1/", "blocked address 224.0.0.1"),
+    ("http://255.255.255.255/", "blocked address 255.255.255.255"),
+    ("http://203.0.113.9/", "blocked address 203.0.113.9"),
+    ("http://[::1]/", "blocked address ::1"),
+    ("http://[fe80::1]/", "blocked address fe80::1"),
+    ("http://[fd00::1]/", "blocked address fd00::1"),
+    ("http://[2001:db8::1]/", "blocked address 2001:db8::1"),
+    ("http://[2606:4700::1111]/", None),
+    ("http://1.2.3/", None),
+)
+
+
+_BODIES = (("a" * 10, "b" * 20, "b"), ("a" * 10, "b" * 5, "a"), ("a" * 2_000, "b" * 5_000, "a"), (" " * 3_000 + "a", "b" * 9, "b"), ("a", None, "a"), ("", "b" * 9, ""))
+
+
+# What is fetched, and when
+
+_TYPES = (("text/html; charset=utf-8", True), ("TEXT/HTML", True), ("application/xhtml+xml", True), ("", True), ("application/pdf", False), ("image/svg+xml", False))
+
+
+@query("content_hash_object", values((("https://a.example/", "h1"), ("https://b.example/é", "h2")), "url", "hash"))
+def content_hash_object(s: Site) -> DataFrame:
+    """A file that is one JSON object; a run without one has no hashes."""
+    folder = written(s)
+    folder.write(json.dumps({"https://a.example/": "h1", "https://b.example/é": "h2"}, ensure_ascii=False), RUNS[0], "_content_hashes.json")
+    return folder.load_hashes(RUNS[0]).union(folder.load_hashes(RUNS[1]))
+
+
+@query("state_file", values((("running", 7, "https://a.example/é", 2),), "status", "pages", "next", "depth"))
+def state_file(s: Site) -> DataFrame:
+    folder = written(s)
+    folder.save_state(RUNS[0], status="running", pages_crawled=7, assets_from_pages=1, queue=[["https://a.example/é", "seed", 2]], started_at="2024-01-01 00:00:00")
+    state = folder.load_state(RUNS[0])
+    assert folder.load_state(RUNS[1]) is None
+    return s.spark.createDataFrame([(state["status"], state["pages_crawled"], state["queue"][0][0], state["queue"][0][2])], "status string, pages int, next string, depth int")
+
+
+@query("probably_html", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {str(x).upper()})" for t, x in _TYPES) + ") v(content_type, is_html)")
+def probably_html(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([(t,) for t, _ in _TYPES], "content_type string")
+    return rows.select("content_type", fetching.probably_html("content_type").alias("is_html"))
+
+
+@query("chosen_html", values(((i, x[2]) for i, x in enumerate(_BODIES)), "n", "first"))
+def chosen_html(s: Site) -> DataFrame:
+    rows = s.spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(_BODIES)], "n int, html string, rendered string")
+    return rows.select("n", F.substring(F.trim(fetching.chosen_html("html", "rendered")), 1, 1).alias("first"))
+
+
+@query("blocked_targets", values(_TARGETS, "url", "reason"))
+def blocked_targets(s: Site) -> DataFrame:
+    return s.spark.createDataFrame([(u,) for u, _ in _TARGETS], "url string").select("url", fetching.blocked("url").alias("reason"))
+
+
+@query("request_spacing", f"SELECT per_minute, CAST(seconds AS DOUBLE) AS seconds FROM ({values(_SPACED, 'per_minute', 'seconds')})")
+def request_spacing(s: Site) -> DataFrame:
+    return s.spark.createDataFrame([(n,) for n, _ in _SPACED], "per_minute int").select("per_minute", fetching.spacing(F.col("per_minute")).alias("seconds"))
+
+
+@query("sampled_links", values(_SAMPLED, "place", "url"))
+def sampled_links(s: Site) -> DataFrame:
+    parsed = extract.parse(captures(s.spark).where("page = 1").select("url", "html"), "edges")
+    return fetching.sample_links(parsed, 6).select("place", "url")
 
 
-@query("readability_grades", "SELECT doc_id FROM documents WHERE len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) >= 30")
-def readability_grades(s: Site) -> DataFrame:
-    """Texts that have a grade: of 30 words and more."""
-    return s.table("documents").where(rules.readability("text").isNotNull()).select("doc_id")
+@query("slugs", values(_SLUGS, "name", "slug"))
+def slugs(s: Site) -> DataFrame:
+    return s.spark.createDataFrame([(n,) for n, _ in _SLUGS], "name string").select("name", slug("name").alias("slug"))

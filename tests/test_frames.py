@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import frames
@@ -135,3 +138,28 @@ def test_the_first_of_a_batch_stays(spark):
     assert sorted(map(tuple, captures.deduplicated(df, "t", "k").collect())) == [("a", 1, "x"), ("b", 2, None)]
 
 
+
+
+@pytest.mark.parametrize("held,bins", [(50_000, 512), (3, 4), (1, 2), (40, 7)])
+def test_places_in_groups(spark, held, bins):
+    """Values of all magnitudes, both signs, ties and repeats, one per group, and rows that stand for many."""
+    rng = random.Random(4)
+    rows = [("wide", rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 300), rng.randint(0, 3)) for _ in range(300)]
+    rows += [("near", 1e15 + rng.randint(0, 500), 1) for _ in range(300)] + [("same", 7.5, 2)] * 50 + [("few", float(x % 3), x) for x in range(60)] + [("one", -0.0, 1), (None, 1.0, 1), ("one", None, 5), ("none", 1.0, 0)]
+    rows += [("tail", float(x**6), 1) for x in range(200)] + [("zero", x, 1) for x in (-5e-324, 0.0, 5e-324, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double, t int").repartition(5)
+    want = {}
+    for g in {g for g, v, t in rows if g and v is not None and t}:
+        values = sorted(v for h, v, t in rows if h == g and v is not None for _ in range(t))
+        want[g] = values[(len(values) - 1) * 9 // 10]
+    got = frames.selected(df, "v", "g", lambda n: F.floor((n - 1) * 9 / 10), "p", "t", held, bins).collect()
+    assert {r.g: r.p for r in got} == want and len(got) == len(want)
+
+
+def test_a_million_values_of_one_group(spark):
+    """No task sorts a group: of a million values that differ a round of histograms leaves few."""
+    df = spark.range(1_000_000).select((F.pmod(F.col("id") * 7919, F.lit(1_000_003)) / 10).alias("v"), F.lit("a").alias("g"), "id")
+    df = df.unionByName(spark.range(11).select(F.col("id") / 1.0, F.lit("b").alias("g"), "id").toDF("v", "g", "id"))
+    found = frames.nearest_ranks(df, "v", 9, "g")
+    values = sorted(x * 7919 % 1_000_003 / 10 for x in range(1_000_000))
+    assert {r.g: r.p90 for r in found.collect()} == {"a": values[899_999], "b": 9.0}
