@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 from gleanery.llm._common import checkpointed, map_slices, sliced
 from gleanery.llm.sentencepiece_codec import MARK
 
-#: Stretches that a worker keeps, and the characters of one at most.
-CACHE, LONG = 200_000, 64
+#: Stretches after which a worker's cache begins to forget, the characters of one that it keeps at most, and stretches that are
+#: encoded as one text.
+CACHE, LONG, TOGETHER = 150_000, 64, 100
 #: Distinct pairs that a task counts before it hands them on.
 HELD = 2_000_000
 #: Pairs of the broadcast table at most.
@@ -91,26 +92,33 @@ Alignment = tuple[int, int, int, str, bytes]
 NOTHING: Alignment = (0, 0, 0, "", b"")
 
 
-def aligned(pair: Pair, texts: list[str]) -> list[Alignment | None]:
-    """Alignments of texts, laid end to end so that all are looked up at once: both tokenizers cut where one ends. None where
-    either's bytes are others than a space's and the text's."""
-    ids = pair.encode(texts)
-    fine = []
-    for i, (a, b) in enumerate(ids):
-        want = b" " + texts[i].encode()
-        if b"".join(map(pair.bytes_a.__getitem__, a)) == want and b"".join(map(pair.bytes_b.__getitem__, b)) == want:
-            fine.append(i)
+def aligned(pair: Pair, texts: list[str], together: int = 1) -> list[Alignment | None]:
+    """Alignments of texts, laid end to end so that all are looked up at once: both tokenizers cut where one ends. So many at a time
+    are encoded as one text, which takes stretches. None where either's bytes are others than a space's and the text's."""
     out: list[Alignment | None] = [None] * len(texts)
+    fine: list[int] = []
+    ids: list[tuple[list[int], list[int]]] = []
+    groups = range(0, len(texts), together)
+    joined = [" ".join(texts[i : i + together]) for i in groups]
+    for at, whole, found in zip(groups, joined, pair.encode(joined), strict=True):
+        want = b" " + whole.encode()
+        if all(b"".join(map(known.__getitem__, x)) == want for known, x in zip((pair.bytes_a, pair.bytes_b), found, strict=True)):
+            fine += range(at, min(at + together, len(texts)))
+            ids.append(found)
+        elif together > 1:
+            out[at : at + together] = aligned(pair, texts[at : at + together])
     if not fine:
         return out
-    counts_a, counts_b = (np.array([len(ids[i][k]) for i in fine]) for k in (0, 1))
-    flat_a, flat_b = (np.fromiter(chain.from_iterable(ids[i][k] for i in fine), np.int64, int(n.sum())) for k, n in ((0, counts_a), (1, counts_b)))
-    first, after, closes = align(np.cumsum(pair.sizes_a[flat_a]), np.cumsum(pair.sizes_b[flat_b]))
+    flat_a, flat_b = (np.fromiter(chain.from_iterable(x[k] for x in ids), np.int64, sum(len(x[k]) for x in ids)) for k in (0, 1))
+    ends_a, ends_b = np.cumsum(pair.sizes_a[flat_a]), np.cumsum(pair.sizes_b[flat_b])
+    ends = np.cumsum([len(texts[i].encode()) + 1 for i in fine])
+    upto_a, upto_b = (np.minimum(np.searchsorted(x, ends) + 1, len(x)) for x in (ends_a, ends_b))
+    if together > 1 and not ((ends_a[upto_a - 1] == ends).all() and (ends_b[upto_b - 1] == ends).all()):
+        return aligned(pair, texts)  # no stretches after all
+    first, after, closes = align(ends_a, ends_b)
     wide = after - first
-    at = np.repeat(first - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-    links = (np.repeat(flat_a, wide) << 32 | flat_b[at]).tobytes()
-    upto_a = np.cumsum(counts_a)
-    edges = 8 * np.concatenate([[0], np.cumsum(wide)[upto_a - 1]])
+    at_b = np.repeat(first - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+    links = (np.repeat(flat_a, wide) << 32 | flat_b[at_b]).tobytes()
     # each group's tokens of A, then of B, with what stands after each
     last_b = np.zeros(len(flat_b), bool)
     last_b[after[closes] - 1] = True
@@ -118,10 +126,11 @@ def aligned(pair: Pair, texts: list[str]) -> list[Alignment | None]:
     order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
     marks = np.concatenate([np.where(closes, 1, 0), np.where(last_b, 2, 0)])[order].tolist()
     names = list(map(add, map(pair.names.__getitem__, np.concatenate([flat_a, flat_b])[order].tolist()), map((",", "|", ";").__getitem__, marks)))
-    groups = np.diff(np.concatenate([[0], np.cumsum(closes)[upto_a - 1]]))
-    ends = np.cumsum(counts_a + counts_b)
-    for i, x, y, n_a, n_b, n, s, e in zip(fine, (ends - counts_a - counts_b).tolist(), ends.tolist(), counts_a.tolist(), counts_b.tolist(), groups.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        out[i] = n_a, n_b, n, "".join(names[x:y])[:-1], links[s:e]
+    upto_links, upto_groups, upto = 8 * np.cumsum(wide)[upto_a - 1], np.cumsum(closes)[upto_a - 1], upto_a + upto_b
+    n_a, n_b, n = (np.diff(x, prepend=0).tolist() for x in (upto_a, upto_b, upto_groups))
+    starts, link_starts = [0, *upto[:-1].tolist()], [0, *upto_links[:-1].tolist()]
+    for i, *counts, x, y, s, e in zip(fine, n_a, n_b, n, starts, upto.tolist(), link_starts, upto_links.tolist(), strict=True):
+        out[i] = counts[0], counts[1], counts[2], "".join(names[x:y])[:-1], links[s:e]
     return out
 
 
@@ -133,22 +142,22 @@ def stretches(text: str) -> list[str] | None:
 
 
 class Aligner:
-    """Alignments of texts, with those of stretches kept."""
+    """Alignments of texts, with those of stretches kept: the last that were asked for, CACHE to twice as many."""
 
     def __init__(self, pair: Pair):
-        self.pair, self.kept = pair, {}
+        self.pair, self.kept, self.older = pair, {}, {}
 
     def texts(self, texts: list[str]) -> list[Alignment]:
         parted = [stretches(t) if t else [] for t in texts]
-        new = list({p for parts in parted for p in parts or ()} - self.kept.keys())
-        # more than is kept, where texts at hand have more
-        if len(self.kept) + len(new) > CACHE:
-            self.kept.clear()
-            new = list({p for parts in parted for p in parts or ()})
-        self.kept |= zip(new, aligned(self.pair, new), strict=True)
+        if len(self.kept) > CACHE:
+            self.kept, self.older = {}, self.kept
+        wanted = {p for parts in parted for p in parts or ()} - self.kept.keys()
+        self.kept |= {p: self.older[p] for p in wanted & self.older.keys()}
+        new = list(wanted - self.kept.keys())
+        self.kept |= zip(new, aligned(self.pair, new, TOGETHER), strict=True)
         whole = [i for i, parts in enumerate(parted) if parts is None]
         apart = dict(zip(whole, aligned(self.pair, [texts[i] for i in whole]), strict=True))
-        out = [self._joined([self.kept[p] for p in parts]) if parts is not None else apart[i] or NOTHING for i, parts in enumerate(parted)]
+        out = [self._joined(list(map(self.kept.__getitem__, parts))) if parts is not None else apart[i] or NOTHING for i, parts in enumerate(parted)]
         for p in new:
             if len(p) > LONG:
                 del self.kept[p]

@@ -68,8 +68,9 @@ def test_stretches_are_whole_texts(monkeypatch):
     pieces = ["a", "the", " ", "  ", "\n", "'s", "1", "é", "▁", "　", ".", "Über", "\x1c", "漢", "\t", "--", "x" * 70]
     texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for _ in range(1500)] + HOSTILE
     pair = alignment.Pair(A, B)
-    for cache in (alignment.CACHE, 50):
+    for cache, together in ((alignment.CACHE, alignment.TOGETHER), (50, 3)):
         monkeypatch.setattr(alignment, "CACHE", cache)
+        monkeypatch.setattr(alignment, "TOGETHER", together)
         aligner = alignment.Aligner(pair)
         for at in range(0, len(texts), 100):
             part = texts[at : at + 100]
