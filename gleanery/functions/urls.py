@@ -58,6 +58,11 @@ def _form(x: Column, *, decode: bool) -> Column:
     return F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
+def unquoted(x: Column) -> Column:
+    """Percent signs that encode a byte read as what they encode; plus signs and stray percent signs stand for themselves."""
+    return F.url_decode(F.replace(F.regexp_replace(x, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B")))
+
+
 def crawl_key(c) -> Column:
     """The frontier's form: https, no default port, parameters decoded, sorted and encoded anew, no fragment, no final slash. A
     URL whose host has a stray or odd bracket keeps its form, without final slashes."""

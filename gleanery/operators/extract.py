@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from urllib.robotparser import RobotFileParser
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.functions import rules, urls
 from gleanery.functions.scalars import content_hash, rounded, text
@@ -82,34 +81,42 @@ def signals(captures: DataFrame, url: str = "url", html: str = "html", headers:
     return captures.select(url, html, *([headers] if headers else [])).mapInArrow(run, ", ".join(f"{n} string" for n in names))
 
 
+def robots_rules(robots: DataFrame) -> DataFrame:
+    """origin, group, agents (in lower case, of the group), allow, path and place of each rule of robots files (origin, txt). A group
+    begins with agents, and with a blank line, or agents after rules, another; rules before any agent are none. A rule to deny nothing
+    allows all. Delays are rules of a null path: they fit nothing, but show that there is a group."""
+    line = F.trim(F.regexp_replace(F.col("_l"), "#.*$", ""))
+    lines = robots.select("origin", F.posexplode(F.split(F.coalesce("txt", F.lit("")), r"\r\n|\r|\n")).alias("place", "_l")).select("origin", "place", (F.col("_l") == "").alias("_blank"), line.alias("_l"))
+    name, value = F.lower(F.trim(F.regexp_extract("_l", "^([^:]*):", 1))), F.trim(F.regexp_extract("_l", "^[^:]*:(.*)$", 1))
+    known = lines.select("origin", "place", "_blank", name.alias("_n"), value.alias("_v")).where("_blank or _n in ('user-agent', 'allow', 'disallow', 'crawl-delay', 'request-rate')")
+    # lines of a file, in order: a file is one row's text, so its window is as bounded as that
+    order = Window.partitionBy("origin").orderBy("place")
+    starts = (F.col("_n") == "user-agent") & ~F.lag("_n", 1, "").over(order).isin("user-agent")
+    grouped = known.withColumn("_s", F.when(F.col("_blank"), "").otherwise(F.col("_n"))).withColumn("_g", F.sum(F.when(F.col("_blank") | starts, 1).otherwise(0)).over(order))
+    agents = F.collect_list(F.when(F.col("_n") == "user-agent", F.lower("_v"))).over(Window.partitionBy("origin", "_g"))
+    rules_ = grouped.withColumn("agents", agents).where("not _blank and _n <> 'user-agent' and size(agents) > 0")
+    path = F.when(F.col("_n").isin("allow", "disallow"), urls.unquoted(F.col("_v")))
+    return rules_.select("origin", F.col("_g").alias("group"), "agents", ((F.col("_n") == "allow") | (path == "")).alias("allow"), path.alias("path"), "place")
+
+
 def robots_allowed(targets: DataFrame, robots: DataFrame, agent: str, url: str = "url") -> DataFrame:
     """targets with `allowed` and the longest rule that denies. robots has origin and txt, one row for each origin; origins
-    without one allow everything. The join is by origin, of which each has one row on the robots' side."""
-    def judge(links: pd.Series, texts: pd.Series) -> pd.DataFrame:
-        parsers: dict[str, RobotFileParser] = {}
-        allowed, rules_ = [], []
-        for link, txt in zip(links, texts, strict=True):
-            if txt is None:
-                allowed.append(True)
-                rules_.append("")
-                continue
-            if txt not in parsers:
-                parsers[txt] = RobotFileParser()
-                parsers[txt].parse(txt.splitlines())
-            p = parsers[txt]
-            ok = p.can_fetch(agent, link or "")
-            hit = ""
-            if not ok:
-                entries = [e for e in p.entries if e.applies_to(agent)] or [e for e in (p.default_entry,) if e]
-                path = "/" + (link or "").partition("//")[2].partition("/")[2]
-                hit = max((r.path for e in entries for r in e.rulelines if not r.allowance and r.applies_to(path)), key=len, default="")
-            allowed.append(ok)
-            rules_.append(hit)
-        return pd.DataFrame({"allowed": allowed, "rule": rules_})
-
-    judged = F.pandas_udf(judge, "allowed boolean, rule string")
-    joined = targets.withColumn("_o", urls.origin(url)).join(robots.select(F.col("origin").alias("_o"), F.col("txt").alias("_t")), "_o", "left")
-    return joined.withColumn("_j", judged(F.col(url), F.col("_t"))).select(*targets.columns, "_j.allowed", "_j.rule")
+    without one allow everything. The rules of the first group that names the agent, else of the first for all, count, and of these
+    the first that fits the path. An origin's rules are one row of the join, in the JVM; its targets, if they are very many, are split
+    by adaptive execution."""
+    me = agent.partition("/")[0].lower()
+    found = robots_rules(robots)
+    # a group that names all agents comes last, whomever else it names
+    ranked = found.withColumn("_c", F.when(F.array_contains("agents", "*"), 1).when(F.exists("agents", lambda a: F.contains(F.lit(me), a)), 0)).where("_c is not null")
+    first = ranked.groupBy("origin").agg(F.min(F.struct("_c", "group")).alias("_f"))
+    best = ranked.join(first, "origin").where("group = _f.group")
+    listed = best.groupBy(F.col("origin").alias("_o")).agg(F.array_sort(F.collect_list(F.struct("place", "allow", "path"))).alias("_r"))
+    way = urls.unquoted(F.concat(F.when(urls.path(url) == "", "/").otherwise(urls.path(url)), F.when(urls.query(url) != "", F.concat(F.lit("?"), urls.query(url))).otherwise("")))
+    joined = targets.withColumn("_p", urls.origin(url)).withColumn("_w", way).join(listed.hint("shuffle_merge"), F.col("_p") == F.col("_o"), "left")
+    fits = F.filter("_r", lambda r: F.col("_w").startswith(r["path"]))
+    judged = joined.withColumn("_fit", fits).withColumn("allowed", F.coalesce(F.get("_fit", F.lit(0))["allow"], F.lit(True)))
+    denied = F.transform(F.array_sort(F.transform(F.filter("_fit", lambda r: ~r["allow"]), lambda r: F.struct((-F.length(r["path"])).alias("n"), r["place"].alias("i"), r["path"].alias("p")))), lambda x: x["p"])
+    return judged.select(*targets.columns, "allowed", F.when(F.col("allowed"), "").otherwise(F.coalesce(F.get(denied, F.lit(0)), F.lit(""))).alias("rule"))
 
 
 def page_rows(parsed: DataFrame, url: str = "url", training: Sequence[str] = rules.TRAINING) -> DataFrame:

@@ -15,36 +15,57 @@ from gleanery.functions.scalars import as_float, filled, parts, text
 from gleanery.session import shared_folder
 
 
-def merge_runs(df: DataFrame, keys: Sequence[Column], runs: int, blank_key: Column | None = None) -> DataFrame:
+#: What the tables are merged by: columns, and the forms that are compared.
+KEYS: dict[str, tuple[Callable[[], Column], ...]] = {
+    "pages": (lambda: urls.url_key("requested_url"),),
+    "edges": (lambda: urls.url_key("from_url"), lambda: urls.url_key("to_url")),
+    "tags": (lambda: urls.url_key("page_url"), lambda: F.lower(F.trim(text("tag_value")))),
+    "nav": (lambda: urls.url_key("page_url"), lambda: urls.url_key("nav_href")),
+    "assets": (lambda: urls.url_key("referrer_page_url"), lambda: urls.url_key("asset_url"), lambda: F.col("category")),
+    "errors": (lambda: urls.url_key("url"),),
+}
+
+
+def key_names(kind: str) -> list[str]:
+    return [f"_key{i}" for i in range(len(KEYS[kind]))]
+
+
+def keyed(df: DataFrame, kind: str) -> DataFrame:
+    """df with the columns that it is merged by; as it is, if it has them, as a clustered table does."""
+    names = key_names(kind)
+    return df if names[0] in df.columns else df.withColumns(dict(zip(names, (k() for k in KEYS[kind]), strict=True)))
+
+
+def merge_runs(df: DataFrame, kind: str, runs: int) -> DataFrame:
     """The newest row of each key: of the last run, and the last within it. With one run nothing is merged, and rows with a
-    blank key stay, as they don't with more. The window keeps one row for each key and task before the shuffle."""
+    blank key stay, as they don't with more. The window keeps one row for each key and task before the shuffle; over a table
+    that is clustered by the key there is none."""
+    names = key_names(kind)
     if runs < 2:
-        return df
-    names = [f"_key{i}" for i in range(len(keys))]
-    keyed = df.withColumns(dict(zip(names, keys, strict=True)))
-    keyed = keyed.where((F.col(names[0]) != "") if blank_key is None else ~blank_key)
+        return df.drop(*names)
+    rows = keyed(df, kind).where(F.col(names[0]) != "")
     newest = F.row_number().over(Window.partitionBy(*names).orderBy(F.desc("run"), F.desc("seq")))
-    return keyed.withColumn("_n", newest).where("_n = 1").drop("_n", *names)
+    return rows.withColumn("_n", newest).where("_n = 1").drop("_n", *names)
 
 
 def merge_pages(df: DataFrame, runs: int = 2) -> DataFrame:
-    return merge_runs(df, [urls.url_key("requested_url")], runs)
+    return merge_runs(df, "pages", runs)
 
 
 def merge_edges(df: DataFrame, runs: int = 2) -> DataFrame:
-    return merge_runs(df, [urls.url_key("from_url"), urls.url_key("to_url")], runs)
+    return merge_runs(df, "edges", runs)
 
 
 def merge_tags(df: DataFrame, runs: int = 2) -> DataFrame:
-    return merge_runs(df, [urls.url_key("page_url"), F.lower(F.trim(text("tag_value")))], runs)
+    return merge_runs(df, "tags", runs)
 
 
 def merge_nav(df: DataFrame, runs: int = 2) -> DataFrame:
-    return merge_runs(df, [urls.url_key("page_url"), urls.url_key("nav_href")], runs)
+    return merge_runs(df, "nav", runs)
 
 
 def merge_assets(df: DataFrame, runs: int = 2) -> DataFrame:
-    return merge_runs(df, [urls.url_key("referrer_page_url"), urls.url_key("asset_url"), F.col("category")], runs)
+    return merge_runs(df, "assets", runs)
 
 
 def succeeded(status) -> Column:
@@ -52,11 +73,15 @@ def succeeded(status) -> Column:
     return F.coalesce((code >= 200) & (code < 400), F.lit(False))
 
 
+def without_succeeded(errors: DataFrame, pages: DataFrame) -> DataFrame:
+    """Errors but those of URLs that a page row shows to have succeeded."""
+    fine = pages.where(succeeded("http_status")).select(urls.url_key("requested_url").alias("_ok")).distinct()
+    return errors.join(fine, urls.url_key(errors["url"]) == fine["_ok"], "left_anti")
+
+
 def merge_errors(df: DataFrame, pages: DataFrame, runs: int = 2) -> DataFrame:
     """Errors of URLs that a page row shows to have succeeded go, with one run too."""
-    fine = pages.where(succeeded("http_status")).select(urls.url_key("requested_url").alias("_ok")).distinct()
-    merged = merge_runs(df, [urls.url_key("url")], runs)
-    return merged.join(fine, urls.url_key(merged["url"]) == fine["_ok"], "left_anti")
+    return without_succeeded(merge_runs(df, "errors", runs), pages)
 
 
 def filter_pages(

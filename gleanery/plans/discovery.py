@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,6 +12,7 @@ from gleanery.operators import extract
 from gleanery.operators.frames import counts, top
 from gleanery.plans.registry import Site, host, integer, near, pct, query
 from gleanery.plans.reports import SIGNALS, _tags, authors_top, mean_above_zero, schema_type_freq, share, sql_mean_above_zero
+from gleanery.sources import kept, tables
 
 _SQL_CRAWL_KEY = "regexp_replace(concat('https://', lower(regexp_extract({u}, '://([^/?#]*)', 1)), CASE WHEN regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract({u}, '^[a-z]+://[^/?#]*([^?#]*)', 1) END, CASE WHEN regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1) = '' THEN '' ELSE concat('?', array_to_string(list_sort(string_split(regexp_extract({u}, '^[^#?]*[?]([^#]*)', 1), '&')), '&')) END), '/+$', '')"
 
@@ -47,6 +48,37 @@ def start_items_resumed(s: Site) -> DataFrame:
     return start_items(pages.where("seq % 3 = 0"), s.estate.sitemap_urls.select("url", "seq"), pages.where("seq % 5 < 2"), s.estate.errors.select(urls.crawl_key("url").alias("k")))
 
 
+def kept_start_items(spark: SparkSession, seeds: DataFrame, listed: DataFrame, *inputs: object) -> DataFrame:
+    """start_items, made once for the files that both are read from and for `inputs`, what else decides them, and read again for as
+    long as these hold: a crawl that is started anew doesn't read its sitemaps again."""
+    return kept.kept(spark, "start_items", lambda: start_items(seeds, listed), kept.files_of(seeds), kept.files_of(listed), *inputs)
+
+
+@query("start_items_kept", f"{_SQL_STARTS.format(k=_SQL_CRAWL_KEY.format(u='url'), more='')} UNION ALL SELECT concat(url, ' again') AS url, source FROM ({_SQL_STARTS.format(k=_SQL_CRAWL_KEY.format(u='url'), more='').replace('i % 3 = 0', 'i % 3 = 1')})")
+def start_items_kept(s: Site) -> DataFrame:
+    """The same seeds twice, which are made once and read the second time, and other seeds, which are made anew."""
+    pages = s.table("pages").select("url", F.col("page_id").alias("seq"))
+    listed = s.estate.sitemap_urls.select("url", "seq")
+    first, again, other = (kept_start_items(s.spark, pages.where(f"seq % 3 = {n}"), listed, "seq % 3", n) for n in (0, 0, 1))
+    assert first.inputFiles() == again.inputFiles() != other.inputFiles()
+    return again.union(other.select(F.concat("url", F.lit(" again")), "source"))
+
+
+_SQL_SITEMAPS = """SELECT page_id, concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), '/sitemap-', CAST(page_id AS STRING), '.xml') AS url, CASE page_id % 5
+WHEN 0 THEN concat('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc> ', replace(url, '&', '&amp;'), ' </loc><lastmod>2024-01-0', CAST(1 + page_id % 9 AS STRING), '</lastmod></url><url><loc>https://far.example.org/', CAST(page_id AS STRING), '</loc></url></urlset>')
+WHEN 1 THEN concat('<s:sitemapindex xmlns:s="http://www.sitemaps.org/schemas/sitemap/0.9"><s:sitemap><s:loc>', replace(url, '&', '&amp;'), '.xml</s:loc></s:sitemap></s:sitemapindex>')
+WHEN 2 THEN concat('<urlset><url><loc>', replace(url, '&', '&amp;'), '</loc></url>')
+WHEN 3 THEN concat('<!-- made --><urlset><url><lastmod>2024</lastmod></url><url><priority>1</priority><loc><![CDATA[', url, ']]></loc></url></urlset>')
+ELSE 'no sitemap' END AS xml FROM pages"""
+
+
+@query("sitemap_entries", "SELECT sm.url, kind, loc, lastmod FROM (SELECT page_id, 'urlset' AS kind, url AS loc, concat('2024-01-0', CAST(1 + page_id % 9 AS VARCHAR)) AS lastmod FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'urlset', concat('https://far.example.org/', CAST(page_id AS VARCHAR)), '' FROM pages WHERE page_id % 5 = 0 UNION ALL SELECT page_id, 'index', concat(url, '.xml'), '' FROM pages WHERE page_id % 5 = 1 UNION ALL SELECT page_id, 'urlset', url, '' FROM pages WHERE page_id % 5 = 3) e JOIN sm USING (page_id)", f"sm AS ({_SQL_SITEMAPS})")
+def sitemap_entries(s: Site) -> DataFrame:
+    """Sitemaps of all kinds, made of the pages' addresses: Spark's XML parser leaves out the malformed."""
+    documents = s.spark.sql(_SQL_SITEMAPS.replace("FROM pages", "FROM {source}"), source=s.table("pages"))
+    return tables.sitemap_entries(documents)
+
+
 @query("dedup_targets", f"SELECT h AS netloc, arg_min(url, i) AS url FROM (SELECT i, url, {host('url')} AS h FROM base) GROUP BY 1")
 def dedup_targets(s: Site) -> DataFrame:
     """The first URL of each netloc."""

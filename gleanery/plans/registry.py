@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanery.operators import frames
 from gleanery.session import spread
-from gleanery.sources import estate
+from gleanery.sources import estate, kept
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,7 +24,7 @@ class Site:
 
     def __init__(self, tables: estate.Estate, runs: Sequence[str] = (), filters: dict | None = None, spark: SparkSession | None = None, folder: str = ""):
         self.estate = tables.of_runs(*runs) if runs else tables
-        self.merging = 1 if len(runs) == 1 else 2
+        self.runs, self.merging = tuple(runs), 1 if len(runs) == 1 else 2
         self.filters, self.spark, self.folder = filters or {}, spark, folder
 
     def table(self, name: str) -> DataFrame:
@@ -34,9 +34,32 @@ class Site:
         """For work that costs far more than reading."""
         return spread(self.table(name))
 
+    #: Estate tables by the kinds that they are merged as.
+    _KINDS = {"pages": "pages_raw", "edges": "edges", "tags": "tags", "nav": "nav_links", "assets": "assets", "errors": "errors"}
+
+    @cached_property
+    def _inputs(self) -> tuple[list, int]:
+        files = kept.files_of(self.table("pages"))
+        return files, sum(size for _, size, _ in files)
+
+    def clustered(self, kind: str) -> DataFrame:
+        """All runs' rows of a table, dealt and sorted by what they are merged by: made once for the files below the folder."""
+        files, size = self._inputs
+        name = self._KINDS[kind]
+        return kept.kept(self.spark, name, lambda: frames.keyed(getattr(self.estate, name), kind), files, estate.TABLES[name], estate.TABLES["base"], keys=frames.key_names(kind), size=size)
+
+    def _merged(self, kind: str) -> DataFrame:
+        """The newest rows of a table. Over a folder's files and all their runs they are made once and kept, for all reports."""
+        name = self._KINDS[kind]
+        if self.spark is None or not self.folder or self.runs:
+            return frames.merge_runs(getattr(self.estate, name), kind, self.merging)
+        files, size = self._inputs
+        made = lambda: frames.merge_runs(self.clustered(kind), kind, self.merging)
+        return kept.kept(self.spark, f"merged_{name}", made, files, self.merging, estate.TABLES[name], estate.TABLES["base"], size=size)
+
     @cached_property
     def all_pages(self) -> DataFrame:
-        return frames.merge_pages(self.estate.pages_raw, self.merging)
+        return self._merged("pages")
 
     @cached_property
     def pages(self) -> DataFrame:
@@ -48,23 +71,23 @@ class Site:
 
     @cached_property
     def edges(self) -> DataFrame:
-        return self._of_pages(frames.merge_edges(self.estate.edges, self.merging), "from_url")
+        return self._of_pages(self._merged("edges"), "from_url")
 
     @cached_property
     def tags(self) -> DataFrame:
-        return self._of_pages(frames.merge_tags(self.estate.tags, self.merging), "page_url")
+        return self._of_pages(self._merged("tags"), "page_url")
 
     @cached_property
     def nav(self) -> DataFrame:
-        return frames.merge_nav(self.estate.nav_links, self.merging)
+        return self._merged("nav")
 
     @cached_property
     def assets(self) -> DataFrame:
-        return self._of_pages(frames.merge_assets(self.estate.assets, self.merging), "referrer_page_url")
+        return self._of_pages(self._merged("assets"), "referrer_page_url")
 
     @cached_property
     def errors(self) -> DataFrame:
-        return frames.merge_errors(self.estate.errors, self.all_pages, self.merging)
+        return frames.without_succeeded(self._merged("errors"), self.all_pages)
 
 
 def report(name: str, site: Site, **given) -> DataFrame:

@@ -95,28 +95,23 @@ def robots_sitemaps(robots: DataFrame, text: str = "txt") -> DataFrame:
     return lines.withColumn("sitemap", F.trim(F.regexp_replace("line", "(?i)^\\s*sitemap:", ""))).where("sitemap <> ''").drop("line", text)
 
 
+#: What sitemaps and indexes of them hold, and where the parser puts what it can't read.
+_ENTRY = "array<struct<loc: string, lastmod: string>>"
+_SITEMAP = f"url {_ENTRY}, sitemap {_ENTRY}, _broken string"
+
+
 def sitemap_entries(sitemaps: DataFrame, url: str = "url", xml: str = "xml") -> DataFrame:
-    """url, kind (urlset or index), loc and lastmod of each entry; malformed ones have none."""
-    from xml.etree import ElementTree
-
-    import pandas as pd
-
-    def parse(batches):
-        for rows in batches:
-            out = []
-            for u, x in zip(rows[url], rows[xml], strict=True):
-                try:
-                    root = ElementTree.fromstring(x or "")
-                except ElementTree.ParseError:
-                    continue
-                bare = lambda e: e.tag.rpartition("}")[2].lower()
-                for entry in root:
-                    cells = {bare(c): (c.text or "").strip() for c in entry}
-                    if cells.get("loc"):
-                        out.append((u, "index" if bare(root) == "sitemapindex" else "urlset", cells["loc"], cells.get("lastmod", "")))
-            yield pd.DataFrame(out, columns=["url", "kind", "loc", "lastmod"])
-
-    return sitemaps.select(url, xml).mapInPandas(parse, "url string, kind string, loc string, lastmod string")
+    """url, kind (urlset or index), loc and lastmod of each entry, by Spark's XML parser; malformed documents have none, nor have
+    those whose root is another. Namespaces are passed over."""
+    document = F.trim(F.coalesce(F.col(xml), F.lit("")))
+    root = F.lower(F.regexp_extract(document, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<(?:[\w.-]+:)?([\w.-]+)", 1))
+    options = {"ignoreNamespace": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken", "ignoreSurroundingSpaces": "true"}
+    read = sitemaps.select(F.col(url).alias("url"), root.alias("_root"), document.alias("_xml")).where(F.col("_root").isin("urlset", "sitemapindex"))
+    parsed = read.select("url", "_root", F.from_xml("_xml", _SITEMAP, options).alias("_x")).where("_x is not null and _x._broken is null")
+    entries = F.concat(F.coalesce("_x.url", F.array().cast(_ENTRY)), F.coalesce("_x.sitemap", F.array().cast(_ENTRY)))
+    rows = parsed.select("url", F.when(F.col("_root") == "sitemapindex", "index").otherwise("urlset").alias("kind"), F.explode(entries).alias("e"))
+    out = rows.select("url", "kind", F.trim(F.coalesce("e.loc", F.lit(""))).alias("loc"), F.trim(F.coalesce("e.lastmod", F.lit(""))).alias("lastmod"))
+    return out.where("loc <> ''")
 
 
 def expand_sitemaps(documents: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:

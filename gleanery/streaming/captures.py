@@ -82,13 +82,13 @@ def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def ingest(source: DataFrame, target: str, checkpoint: str, by: str = "run") -> None:
+def ingest(source: DataFrame, target: str, checkpoint: str, by: str | None = "run", mode: str = "append") -> None:
     """Appends a stream of rows to Parquet below target/<by>=.../batch=N. A batch that is repeated after a failure has the same
     number, and replaces what it wrote before: every row comes once. The stream's checkpoint is where a stopped ingestion goes
     on."""
 
     def write(df: DataFrame, number: int) -> None:
         rows = df.withColumn("batch", F.lit(number))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by, "batch").parquet(target)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*([by] if by else []), "batch").parquet(target)
 
-    source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    source.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()

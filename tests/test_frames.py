@@ -163,3 +163,38 @@ def test_a_million_values_of_one_group(spark):
     found = frames.nearest_ranks(df, "v", 9, "g")
     values = sorted(x * 7919 % 1_000_003 / 10 for x in range(1_000_000))
     assert {r.g: r.p90 for r in found.collect()} == {"a": values[899_999], "b": 9.0}
+
+
+def test_clustered_runs_merge_without_a_shuffle(spark):
+    """And the merged tables are made once for all reports, and anew where the files are others."""
+    from gleanery.plans.registry import Site
+    from gleanery.sources import estate
+
+    folder = "/root/testdata/sf0.001"
+    site = Site(estate.load(spark, folder), spark=spark, folder=folder)
+    for kind, merge in (("pages", frames.merge_pages), ("edges", frames.merge_edges), ("tags", frames.merge_tags)):
+        merged = merge(site.clustered(kind))
+        assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+        plain = merge(getattr(site.estate, Site._KINDS[kind]))
+        assert merged.exceptAll(plain.select(*merged.columns)).isEmpty() and merged.count() == plain.count()
+    again = Site(estate.load(spark, folder), spark=spark, folder=folder)
+    assert site.all_pages.inputFiles() == again.all_pages.inputFiles()
+
+
+def test_kept_tables(spark, tmp_path):
+    from gleanery.sources.kept import files_of, fingerprint, kept
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+
+    one = kept(spark, "t", build, "x", 1)
+    two = kept(spark, "t", build, "x", 1)
+    three = kept(spark, "t", build, "x", 2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == sorted(map(tuple, three.collect())) and len(made) == 2
+    spark.range(3).write.parquet(f"{tmp_path}/a")
+    before = fingerprint(files_of(spark.read.parquet(f"{tmp_path}/a")))
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/a")
+    assert before != fingerprint(files_of(spark.read.parquet(f"{tmp_path}/a")))
