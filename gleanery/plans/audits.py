@@ -251,11 +251,11 @@ _TALLY = (
 
 
 @query("audit_summary", "SELECT * FROM ty", *_TALLY)
-def audit_summary(s: Site) -> DataFrame:
+def audit_summary(s: Site, as_of: int = 2025) -> DataFrame:
     """The ten audits with their findings and severities. What follows from pages alone is one aggregation over them."""
     depth = F.size(F.filter(F.split(urls.path("final_url"), "/"), lambda x: x != ""))
     size = lambda c: F.length(F.trim(c))
-    words, age, since, never = as_int("word_count"), 2025 - _dated("date_published"), 2025 - _dated("date_modified"), ~filled("date_modified")
+    words, age, since, never = as_int("word_count"), as_of - _dated("date_published"), as_of - _dated("date_modified"), ~filled("date_modified")
     stale = filled("date_published") & F.coalesce((age >= 3) & (never | (since >= 2)), F.lit(False))
     missing = as_int("img_missing_alt_count")
     tests = {

@@ -279,7 +279,10 @@ def nav_tree(s: Site, depth: int = 2) -> DataFrame:
     above = prefixes.join(groups, ["domain", "prefix"], "left_semi").groupBy("domain", "name").agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("/"), F.element_at("segs", F.col("k"))).alias("g")))).alias("x"))
     parents = F.coalesce(F.array_join(F.transform("x", lambda p: p["g"]), ">"), F.lit(""))
     inner = items.join(above, ["domain", "name"], "left").select("domain", F.lit("internal").alias("branch"), parents.alias("parents"), "name", "href", F.lit(1).cast("long").alias("size"))
-    outer = labels.where("target not in ('', domain)").withColumn("n", F.count("*").over(Window.partitionBy("domain", "target")))
+    # how many labels a target has is an aggregate, combined before the shuffle: no target's labels lie in one task
+    outside = labels.where("target not in ('', domain)")
+    sizes = outside.groupBy(F.col("domain").alias("d"), F.col("target").alias("t")).agg(F.count("*").alias("n"))
+    outer = outside.join(sizes.hint("shuffle_merge"), (F.col("domain") == F.col("d")) & (F.col("target") == F.col("t")))
     return inner.union(outer.select("domain", F.lit("external"), F.when(F.col("n") > 1, F.col("target")).otherwise(F.lit("")), "name", "href", "size"))
 
 
@@ -487,11 +490,10 @@ def items_by_domain(s: Site) -> DataFrame:
 
 
 def _listed(s: Site, mark: str, order: tuple, cap: int, **columns: Column) -> DataFrame:
-    """Items, the first in their order; none of a kind with fewer than three, which a look at three rows decides."""
+    """Items, the first in their order; none of a kind with fewer than three."""
     items = s.pages.where(filled(mark))
-    if items.limit(3).count() < 3:
-        items = items.where("false")
-    return items.select(F.col("final_url").alias("url"), "domain", *(c.alias(n) for n, c in columns.items())).orderBy(*order).limit(cap)
+    enough = items.limit(3).agg((F.count("*") >= 3).alias("_enough"))  # one row, within the plan
+    return items.join(F.broadcast(enough)).where("_enough").select(F.col("final_url").alias("url"), "domain", *(c.alias(n) for n, c in columns.items())).orderBy(*order).limit(cap)
 
 
 @query("top_rated_products", f"SELECT final_url AS url, domain, substr(title, 1, 80) AS title, {real('schema_rating')} AS rating, {integer('schema_review_count')} AS reviews FROM p WHERE trim(schema_price) <> '' AND {real('schema_rating')} > 0 AND {_SQL_ENOUGH.format(m='schema_price')} ORDER BY rating DESC, url LIMIT 10")

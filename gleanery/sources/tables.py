@@ -66,11 +66,12 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns))
 
 
-def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, most: int | None = 32_000) -> None:
-    """Cells sanitised (cut beyond `most` characters, or not at all), every one quoted; further columns are dropped."""
+def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, most: int | None = 32_000, by: str | None = None) -> None:
+    """Cells sanitised (cut beyond `most` characters, or not at all), every one quoted; further columns are dropped. With `by`, a
+    folder for each value of that column, in one pass."""
     names = columns or tuple(df.columns)
-    rows = df.select(*((sanitised(F.col(c).cast("string"), most) if c in df.columns else F.lit("")).alias(c) for c in names))
-    rows.write.mode("overwrite").options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
+    rows = df.select(*((sanitised(F.col(c).cast("string"), most) if c in df.columns else F.lit("")).alias(c) for c in names), *([F.col(by).alias("_by")] if by else []))
+    rows.write.mode("overwrite").partitionBy(*(["_by"] if by else [])).options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
 
 def append_run(df: DataFrame, path: str, run: str, by: tuple[str, ...] = ()) -> None:
