@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +10,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanery.operators.frames import looked_up
 from gleanery.session import shared_folder, ship_package, spread
 
+__all__ = ["checkpointed", "encoded", "fold", "looked_up", "map_batches", "map_slices", "sliced", "table", "text_bytes", "words"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the driver's; texts are dealt to all cores where their file isn't."""
@@ -78,16 +79,3 @@ def map_slices(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatc
                 yield function(rows)
 
     return df.mapInArrow(run, schema)
-
-
-def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, share: int = 1000) -> DataFrame:
-    """rows joined with the other columns of `table`, which has one row for each of the keys, none of them null, and in `weight` how
-    many of the rows have it. Keys of more than one in `share` rows, so fewer than that many, are broadcast and their rows stay where
-    they are; the others, none of which is hot, are shuffled."""
-    total = table.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
-    named = table.select(*(F.col(k).alias(f"_{k}") for k in keys), *(c for c in table.columns if c not in keys))
-    same = reduce(and_, (F.col(k) == F.col(f"_{k}") for k in keys))
-    hot, few = named.where(F.col(weight) * share > total), named.where(F.col(weight) * share <= total)
-    rest = rows.join(F.broadcast(hot.select(*(f"_{k}" for k in keys))), same, "left_anti")
-    both = rows.join(F.broadcast(hot), same).unionByName(rest.join(few.hint("shuffle_merge"), same))
-    return both.drop(*(f"_{k}" for k in keys))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm import simhash
-from gleanery.llm._common import checkpointed, encoded
+from gleanery.llm._common import checkpointed, encoded, looked_up
 from gleanery.llm.components import components, own
 from gleanery.llm.substring import Words, mixed, powers_to
 
@@ -256,7 +256,7 @@ def groups(docs: DataFrame, width: int = 5, held: int = HELD, most: int = MOST)
 
     rows = checkpointed(_sliced(docs.select("doc_id", "row", "text"), signed, f"doc_id long, row {ROW}, name binary, fp long, n long, keys array<long>"))
     # one row for each set, with a number of its own: what follows links these numbers
-    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("x")).select("name", "x.*")
+    firsts = rows.groupBy("name").agg(F.min(F.struct("row", "fp", "n", "keys")).alias("x"), F.count("*").alias("copies")).select("name", "copies", "x.*")
     firsts = checkpointed(firsts.withColumn("node", F.monotonically_increasing_id()))
     near = simhash.links(firsts.where("n > 0").select("fp", "node"), DISTANCE, BLOCKS)
     found = components(_stars(firsts).union(near))
@@ -270,10 +270,10 @@ def groups(docs: DataFrame, width: int = 5, held: int = HELD, most: int = MOST)
     texts = docs.select("row", "text").join(dealt.select("root", "node", "row", cells.alias("cells")), "row").dropDuplicates(["row"]).select("root", "node", "text", "cells")
     sets = _sliced(texts, with_set, "root long, node long, shingles binary, cells array<long>")
     linked = components(_links(sets.select(F.explode("cells").alias("cell"), "node", "shingles")))
-    named = firsts.select("name", "node").join(linked.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
-    named = named.select(F.concat("name", F.lit(b"")).alias("w"), F.coalesce("root", "node").alias("component"))
-    # copies by the thousand share a name: a hot key, met by one row of the other side
-    return rows.select("doc_id", "row", "name").join(named.hint("shuffle_merge"), F.col("name") == F.col("w")).select("doc_id", "row", "component")
+    named = firsts.select("name", "node", "copies").join(linked.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left")
+    named = checkpointed(named.select("name", F.coalesce("root", "node").alias("component"), "copies"))
+    # copies by the thousand share a name: a hot key, looked up by broadcast
+    return looked_up(rows.select("doc_id", "row", "name"), named, ["name"], "copies").select("doc_id", "row", "component")
 
 
 def representatives(df: DataFrame, width: int = 5) -> DataFrame:

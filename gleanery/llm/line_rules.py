@@ -110,15 +110,15 @@ def judged(df: DataFrame, host: Column, share: float = SHARE, least: int = LEAST
     """doc_id, the counts, n_removed (words of removed lines), base_failed and kept for every row of df (doc_id, text and what `host`
     reads); and host, one, two, gone: the keys of the lines to remove from each text that has some."""
     base = checkpointed(measured(df, host))
-    texts = checkpointed(base.groupBy("host", "one", "two").agg(F.first("lines").alias("lines")))
+    texts = checkpointed(base.groupBy("host", "one", "two").agg(F.first("lines").alias("lines"), F.count("*").alias("copies")))
     frequent = checkpointed(frequent_lines(texts, share, least))
-    lines = texts.select("host", "one", "two", F.explode("lines").alias("x")).select("host", "one", "two", "x.line", "x.n")
+    lines = texts.select("host", "one", "two", "copies", F.explode("lines").alias("x")).select("host", "one", "two", "copies", "x.line", "x.n")
     met = looked_up(lines, frequent, ["host", "line"], "held")
-    removed = checkpointed(met.groupBy("host", "one", "two").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("gone")))
-    # copies of a text are a hot key, met by one row of the other side
-    cut = removed.select(F.col("host").alias("h"), F.col("one").alias("x"), F.col("two").alias("y"), "n_removed").hint("shuffle_merge")
-    rows = base.drop("lines").join(cut, (F.col("host") == F.col("h")) & (F.col("one") == F.col("x")) & (F.col("two") == F.col("y")), "left")
-    gone = F.coalesce(F.col("n_removed"), F.lit(0))
+    removed = checkpointed(met.groupBy("host", "one", "two").agg(F.sum("n").alias("n_removed"), F.collect_set("line").alias("gone"), F.first("copies").alias("copies")))
+    # copies of a text are a hot key, looked up by broadcast; texts that lose nothing don't meet anything
+    cut = texts.select("host", "one", "two", "copies").join(removed.select("host", "one", "two", "n_removed"), ["host", "one", "two"], "left").fillna(0, ["n_removed"])
+    rows = looked_up(base.drop("lines"), checkpointed(cut), ["host", "one", "two"], "copies")
+    gone = F.col("n_removed")
     failed = (F.col("n_words") < FEWEST) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
     depleted = (F.col("n_words") - gone < FEWEST) | (F.col("n_words") - gone < left * F.col("n_words"))
     counts = "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
