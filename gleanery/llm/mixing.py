@@ -12,7 +12,9 @@ The tree deals the quotas to output shards: a node with so many blocks of each s
 a multivariate hypergeometric draw, down to single shards, whose quotas add up exactly. Shards then own disjoint runs of
 each source's sequence of blocks, and shuffle within themselves. Draws are seeded by the node, so that reruns agree.
 
-The driver holds the plan, a row for each source, and the sums of the blocks of `AT_ONCE` sources. The opened block is found
+What travels is the plan, a few numbers for each source: workers draw the tree's nodes anew from its seed, those above the blocks they
+have, and keep some. The driver holds the plan, the sums of the blocks of `AT_ONCE` sources, and the sizes that differ, of as many
+sources at a time as have `KINDS` of them, or of one. The opened block is found
 level by level by its documents' hashes, each level an aggregation to BLOCKS sums for each source, so that neither a hot
 source nor a long one lands in one task. A block of BLOCKS documents at most is opened at once.
 
@@ -23,7 +25,6 @@ are apart.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -44,6 +45,9 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Sources whose blocks' sums are gathered at a time.
 AT_ONCE = 2_000
+KINDS = 1_000_000
+#: Nodes of the tree that a worker keeps, in numbers.
+KEPT = 4_000_000
 #: Output shards, at least, and the words that each holds from there on.
 SHARDS = 64
 SHARD_WORDS = 20_000_000
@@ -80,8 +84,8 @@ class Fill:
 
 @dataclass
 class Plan:
-    """For each source: whole epochs, the hash below which documents are taken once more, and what fills it up; the shard
-    borders of its sequence of blocks."""
+    """For each source: whole epochs, the hash below which documents are taken once more, what fills it up, and its quota of blocks,
+    which the tree deals to the shards."""
 
     sources: list[str | None]
     sizes: list[int]
@@ -89,8 +93,12 @@ class Plan:
     epochs: list[int]
     below: list[int]
     fills: list[Fill]
-    borders: list[list[int]]
+    quotas: list[int]
     n_shards: int
+    seed: int
+
+    def __post_init__(self) -> None:
+        self.tree = Tree(self.quotas, self.n_shards, self.seed)
 
     def needs_size(self, i: int, h: int) -> bool:
         return h >= self.below[i] and bool(self.fills[i].ends)
@@ -99,8 +107,8 @@ class Plan:
         """Where each copy of a document of source i lies."""
         fill = self.fills[i]
         copies = self.epochs[i] + (h < self.below[i] or h < fill.ends.get(size, 0) or h in fill.places)
-        last = self.borders[i][-1] - 1  # a filling document goes with the last block
-        return [bisect_right(self.borders[i], min(last, e * BLOCKS + (h >> (BITS * (LEVELS - 1))))) if last >= 0 else 0 for e in range(copies)]
+        last = self.quotas[i] - 1  # a filling document goes with the last block
+        return [self.tree.shard(i, min(last, e * BLOCKS + (h >> (BITS * (LEVELS - 1))))) if last >= 0 else 0 for e in range(copies)]
 
 
 def _hash(seed: int) -> Column:
@@ -134,8 +142,7 @@ def plan(rows: DataFrame, shards: int | None, seed: int) -> Plan:
     below = [ends.get(i, 0) for i in range(len(sources))]
     fills = _fills(rows, sources, rest, below)
     quotas = [e * BLOCKS + (b >> (BITS * (LEVELS - 1))) + (b & ((1 << (BITS * (LEVELS - 1))) - 1) > 0) for e, b in zip(epochs, below, strict=True)]
-    borders = [np.cumsum(x).tolist() for x in np.array(list(deal(quotas, shards, seed)), np.int64).reshape(shards, -1).T]
-    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, borders, shards)
+    return Plan(sources, sizes, [float(t) for t in wanted], epochs, below, fills, quotas, shards, seed)
 
 
 def _border(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction]) -> dict[int, int]:
@@ -188,16 +195,25 @@ def _fills(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction]
     out = [Fill({}, frozenset()) for _ in sources]
     open_ = [i for i, r in rest.items() if r > 0]
     for at in range(0, len(open_), AT_ONCE):
-        for i, fill in _filled(rows, sources, {i: rest[i] for i in open_[at : at + AT_ONCE]}, below).items():
-            out[i] = fill
+        some = {i: rest[i] for i in open_[at : at + AT_ONCE]}
+        wanted = _frame(rows, "t string, i int, start long, most double", [(sources[i], i, below[i], float(2 * r)) for i, r in some.items()])
+        unused = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > 0) & (F.col("size") < F.col("most")))
+        # rows that share a place are a unit of so many times their size
+        units = checkpointed(unused.groupBy("i", "size", "h").count().withColumnRenamed("count", "m"))
+        differ = {r.i: r.n for r in units.groupBy("i").agg(F.approx_count_distinct(F.struct("size", "m")).alias("n")).toLocalIterator()}
+        part: list[int] = []
+        for i in [*differ, None]:
+            if part and (i is None or sum(differ[j] for j in part) + differ[i] > KINDS):
+                held = _frame(rows, "j int", [(j,) for j in part])
+                for j, fill in _filled(units.join(F.broadcast(held), F.col("i") == F.col("j"), "left_semi"), {j: rest[j] for j in part}).items():
+                    out[j] = fill
+                part = []
+            part += [i] if i is not None else []
     return out
 
 
-def _filled(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction], below: list[int]) -> dict[int, Fill]:
-    wanted = _frame(rows, "t string, i int, start long, most double", [(sources[i], i, below[i], float(2 * r)) for i, r in rest.items()])
-    unused = rows.join(F.broadcast(wanted), F.col("source").eqNullSafe(F.col("t"))).where((F.col("h") >= F.col("start")) & (F.col("size") > 0) & (F.col("size") < F.col("most")))
-    # rows that share a place are a unit of so many times their size
-    units = unused.groupBy("i", "size", "h").count().withColumnRenamed("count", "m")
+def _filled(units: DataFrame, rest: dict[int, Fraction]) -> dict[int, Fill]:
+    rows = units
     kinds: dict[int, dict[tuple[int, int], int]] = {}
     for r in units.groupBy("i", "size", "m").count().toLocalIterator():
         kinds.setdefault(r.i, {})[r["size"], r.m] = r["count"]
@@ -222,7 +238,10 @@ def _filled(rows: DataFrame, sources: list[str | None], rest: dict[int, Fraction
     mixed_sizes = {(i, size) for i, counts in kinds.items() for size, m in counts if m > 1}
     whole = F.col("m") == 1
     single = {(r.i, r["size"]): r.end for r in ranked.where(whole).groupBy("i", "size").agg(F.max("h").alias("end")).toLocalIterator()}
-    out = {i: Fill({size: end + 1 for (j, size), end in single.items() if j == i and (j, size) not in mixed_sizes}, frozenset()) for i in kinds}
+    out = {i: Fill({}, frozenset()) for i in kinds}
+    for (i, size), end in single.items():
+        if (i, size) not in mixed_sizes:
+            out[i].ends[size] = end + 1
     if named := mixed_sizes & {k[:2] for k in chosen}:
         some = _frame(rows, "i int, size long", sorted(named))
         for r in ranked.join(F.broadcast(some), ["i", "size"], "left_semi").groupBy("i").agg(F.collect_list("h").alias("h")).toLocalIterator():
@@ -241,11 +260,44 @@ def deal(quotas: list[int], shards: int, seed: int, node: int = 1) -> Iterator[n
     if shards == 1:
         yield have
         return
-    left = shards // 2
-    n = int(have.sum()) * left // shards
-    drawn = draw(have, n, np.random.default_rng([seed, node]))
-    yield from deal(drawn.tolist(), left, seed, 2 * node)
-    yield from deal((have - drawn).tolist(), shards - left, seed, 2 * node + 1)
+    drawn = halved(have, shards, seed, node)
+    yield from deal(drawn.tolist(), shards // 2, seed, 2 * node)
+    yield from deal((have - drawn).tolist(), shards - shards // 2, seed, 2 * node + 1)
+
+
+class Tree:
+    """The tree from its root's quotas and seed: which shard owns a block, found from the root down."""
+
+    def __init__(self, quotas: list[int], shards: int, seed: int):
+        self.quotas, self.shards, self.seed = np.array(quotas, np.int64), shards, seed
+        self._drawn: dict[int, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_drawn": {}}
+
+    def _left(self, node: int, have: np.ndarray, shards: int) -> np.ndarray:
+        if node not in self._drawn:
+            if (len(self._drawn) + 1) * len(have) > KEPT:
+                self._drawn.clear()
+            self._drawn[node] = halved(have, shards, self.seed, node)
+        return self._drawn[node]
+
+    def shard(self, i: int, block: int) -> int:
+        """Of block number `block` of source i's sequence."""
+        have, shards, node, first = self.quotas, self.shards, 1, 0
+        while shards > 1:
+            left, part = self._left(node, have, shards), shards // 2
+            if block < left[i]:
+                have, shards, node = left, part, 2 * node
+            else:
+                block, first = block - int(left[i]), first + part
+                have, shards, node = have - left, shards - part, 2 * node + 1
+        return first
+
+
+def halved(have: np.ndarray, shards: int, seed: int, node: int) -> np.ndarray:
+    """What a node gives to the left of its halves."""
+    return draw(have, int(have.sum()) * (shards // 2) // shards, np.random.default_rng([seed, node]))
 
 
 #: numpy draws from populations below this.

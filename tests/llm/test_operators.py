@@ -571,6 +571,37 @@ def test_deal_is_exact():
         assert np.ptp(dealt.sum(1)) <= 2 + shards // 8
 
 
+@pytest.mark.parametrize("kept", [4_000_000, 90])
+def test_the_tree_finds_what_is_dealt(monkeypatch, kept):
+    """Block by block, for many shards and many sources, whatever nodes are forgotten meanwhile."""
+    monkeypatch.setattr(mixing, "KEPT", kept)
+    rng = random.Random(2)
+    for shards, sources in ((1, 3), (64, 5), (301, 40)):
+        quotas = [rng.choice([0, 1, 7, 900, 3072]) for _ in range(sources)]
+        dealt = np.cumsum(list(mixing.deal(quotas, shards, 4)), axis=0)
+        tree = mixing.Tree(quotas, shards, 4)
+        for i, q in enumerate(quotas):
+            for block in {0, q - 1, *(rng.randrange(q) for _ in range(30))} if q else ():
+                assert tree.shard(i, block) == int(np.searchsorted(dealt[:, i], block, "right"))
+
+
+def test_many_sources_and_shards(spark, monkeypatch):
+    """Sources beyond one round's share, of which each comes near its target, with more shards than documents of any."""
+    monkeypatch.setattr(mixing, "AT_ONCE", 40)
+    monkeypatch.setattr(mixing, "KINDS", 20)
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 30)), f"s{i % 150:03}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(df, shards=500).collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        source = f"s{r.doc_id % 150:03}"
+        taken[source] += r.taken
+        target[source] = r.target
+    assert len(got) == 1500 and all(abs(taken[x] - target[x]) <= 16 for x in target)
+    assert len({s for r in got for s in r.shards}) > 300
+
+
 def test_draws_from_large_populations():
     rng = np.random.default_rng(1)
     have = np.array([1_500_000_000, 0, 700_000_000, 3])
