@@ -150,6 +150,11 @@ def top(df: DataFrame, n: int, by: str, *tie: str, per: str | None = None) -> Da
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
 
 
+def capped(df: DataFrame, n: int | None) -> DataFrame:
+    """The first n rows of an ordered frame; all, and in no order, if n is None."""
+    return df if n is None else df.limit(n)
+
+
 def counts(df: DataFrame, *by, name: str = "n") -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias(name))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import urls
 from gleanery.functions.scalars import as_float, as_int, filled, rounded, share, text
 from gleanery.operators import frames
-from gleanery.operators.frames import counts, top
+from gleanery.operators.frames import capped, counts, top
 from gleanery.plans.registry import ORACLE_SQL, Site, host, integer, near, pct, query, real
 from gleanery.sources.estate import RUNS
 from gleanery.sources.tables import FIELDS
@@ -37,8 +37,8 @@ SQL_THIN = f"th AS (SELECT * FROM (SELECT *, concat_ws('; ', CASE WHEN {integer(
 
 
 @query("audit_thin", f"SELECT final_url AS url, domain, substr(title, 1, 80) AS title, {integer('word_count')} AS words, n_issues, issues FROM th ORDER BY n_issues DESC, url LIMIT 100", SQL_THIN)
-def audit_thin(s: Site) -> DataFrame:
-    return thin(s).select(F.col("final_url").alias("url"), "domain", F.substring("title", 1, 80).alias("title"), as_int("word_count").alias("words"), "n_issues", "issues").orderBy(F.desc("n_issues"), "url").limit(100)
+def audit_thin(s: Site, cap: int | None = 100) -> DataFrame:
+    return capped(thin(s).select(F.col("final_url").alias("url"), "domain", F.substring("title", 1, 80).alias("title"), as_int("word_count").alias("words"), "n_issues", "issues").orderBy(F.desc("n_issues"), "url"), cap)
 
 
 @query("audit_thin_domains", "SELECT domain, count(*) AS n FROM th GROUP BY 1 ORDER BY n DESC, domain LIMIT 20", SQL_THIN)
@@ -79,8 +79,8 @@ def redirects(s: Site) -> DataFrame:
 
 
 @query("audit_redirects", "SELECT * FROM rd ORDER BY is_cross DESC, requested_url LIMIT 100", _SQL_REDIRECTS)
-def audit_redirects(s: Site) -> DataFrame:
-    return redirects(s).orderBy(F.desc("is_cross"), "requested_url").limit(100)
+def audit_redirects(s: Site, cap: int | None = 100) -> DataFrame:
+    return capped(redirects(s).orderBy(F.desc("is_cross"), "requested_url"), cap)
 
 
 _LENGTHS = {"missing_title": ("title", 0, 0), "short_title": ("title", 1, 29), "long_title": ("title", 61, 1 << 30), "missing_description": ("meta_description", 0, 0), "short_description": ("meta_description", 1, 69), "long_description": ("meta_description", 161, 1 << 30)}
@@ -97,14 +97,14 @@ _SQL_LENGTH_ISSUES = "concat_ws('; ', CASE WHEN length(t) = 0 THEN 'missing titl
 
 
 @query("audit_title_meta_pages", f"SELECT url, domain, title_length, description_length, issues FROM (SELECT final_url AS url, domain, CAST(length(t) AS INT) AS title_length, CAST(length(d) AS INT) AS description_length, {_SQL_LENGTH_ISSUES} AS issues FROM (SELECT *, trim(title) AS t, trim(meta_description) AS d FROM p)) WHERE issues <> '' ORDER BY url, issues LIMIT 100")
-def audit_title_meta_pages(s: Site) -> DataFrame:
+def audit_title_meta_pages(s: Site, cap: int | None = 100) -> DataFrame:
     def issue(what: str, size: Column, least: int, most: int) -> Column:
         said = F.concat(F.lit(f" {what} ("), size.cast("string"), F.lit(" chars)"))
         return F.when(size == 0, F.lit(f"missing {what}")).when(size < least, F.concat(F.lit("short"), said)).when(size > most, F.concat(F.lit("long"), said))
 
     t, d = F.length(F.trim("title")), F.length(F.trim("meta_description"))
     rows = s.pages.select(F.col("final_url").alias("url"), "domain", t.alias("title_length"), d.alias("description_length"), F.concat_ws("; ", issue("title", t, 30, 60), issue("description", d, 70, 160)).alias("issues"))
-    return rows.where("issues <> ''").orderBy("url", "issues").limit(100)
+    return capped(rows.where("issues <> ''").orderBy("url", "issues"), cap)
 
 
 _SQL_ORPHANS = "op AS (SELECT final_url AS url, domain, starts_with(referrer_url, 'sitemap:') AS from_sitemap FROM p WHERE trim(final_url) <> '' AND final_url NOT IN (SELECT to_url FROM ed))"
@@ -165,9 +165,9 @@ def audit_images_summary(s: Site) -> DataFrame:
 
 
 @query("audit_image_pages", f"SELECT final_url AS url, domain, {integer('img_count')} AS images, {integer('img_missing_alt_count')} AS missing, {pct(integer('img_missing_alt_count'), integer('img_count'))} AS pct_missing FROM p WHERE {integer('img_missing_alt_count')} > 0 ORDER BY missing DESC, url LIMIT 100")
-def audit_image_pages(s: Site) -> DataFrame:
+def audit_image_pages(s: Site, cap: int | None = 100) -> DataFrame:
     rows = s.pages.select(F.col("final_url").alias("url"), "domain", as_int("img_count").alias("images"), as_int("img_missing_alt_count").alias("missing")).where("missing > 0")
-    return rows.withColumn("pct_missing", share(F.col("missing"), F.col("images"))).orderBy(F.desc("missing"), "url").limit(100)
+    return capped(rows.withColumn("pct_missing", share(F.col("missing"), F.col("images"))).orderBy(F.desc("missing"), "url"), cap)
 
 
 _SQL_SEGMENTS = "len(list_filter(string_split(regexp_extract(final_url, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1), '/'), lambda x: x <> ''))"
@@ -182,9 +182,9 @@ def audit_urls(s: Site) -> DataFrame:
 
 
 @query("audit_deep_urls", f"SELECT final_url AS url, domain, CAST({_SQL_SEGMENTS} AS INT) AS depth FROM p WHERE {_SQL_SEGMENTS} >= 5 ORDER BY depth DESC, url LIMIT 50")
-def audit_deep_urls(s: Site, least: int = 5) -> DataFrame:
+def audit_deep_urls(s: Site, least: int = 5, cap: int | None = 50) -> DataFrame:
     depth = F.size(F.filter(F.split(urls.path("final_url"), "/"), lambda x: x != ""))
-    return s.pages.select(F.col("final_url").alias("url"), "domain", depth.alias("depth")).where(F.col("depth") >= least).orderBy(F.desc("depth"), "url").limit(50)
+    return capped(s.pages.select(F.col("final_url").alias("url"), "domain", depth.alias("depth")).where(F.col("depth") >= least).orderBy(F.desc("depth"), "url"), cap)
 
 
 @query("url_parameters", "SELECT k AS param, count(*) AS n FROM (SELECT unnest(list_distinct(list_transform(list_filter(string_split(regexp_extract(final_url, '^[^#?]*[?]([^#]*)', 1), '&'), lambda x: regexp_matches(x, '^[^=]+=.')), lambda x: split_part(x, '=', 1)))) AS k FROM p) GROUP BY 1 ORDER BY n DESC, param LIMIT 20")

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from gleanery.functions import rules, urls
 from gleanery.functions.scalars import as_float, as_int, filled, norm_date, parts, rounded, share
 from gleanery.operators import frames
-from gleanery.operators.frames import counts, exploded, top
+from gleanery.operators.frames import capped, counts, exploded, top
 from gleanery.plans.registry import Site, host, integer, near, pct, query, real
 from gleanery.plans.registry import norm_date as sql_date
 from gleanery.plans.registry import parts as sql_parts
@@ -861,8 +861,8 @@ def noindex_pages(s: Site, cap: int | None = 500) -> DataFrame:
 
 
 @query("robots_blocked", f"SELECT {host('url')} AS domain, url, message FROM er WHERE error_type = 'robots_disallowed' ORDER BY domain, url LIMIT 500")
-def robots_blocked(s: Site) -> DataFrame:
-    return s.errors.where(F.col("error_type") == "robots_disallowed").select(urls.host("url").alias("domain"), "url", "message").orderBy("domain", "url").limit(500)
+def robots_blocked(s: Site, cap: int | None = 500) -> DataFrame:
+    return capped(s.errors.where(F.col("error_type") == "robots_disallowed").select(urls.host("url").alias("domain"), "url", "message").orderBy("domain", "url"), cap)
 
 
 @query(
