@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm._common import checkpointed, encoded, looked_up, map_batches
-from gleanery.llm.components import components, own
+from gleanery.llm.components import components
 
 #: Shingles whose bits are counted at a time.
 RUN = 16_384
@@ -180,10 +180,9 @@ def near_duplicates(df: DataFrame, width: int = 4, distance: int = 4, blocks: in
     # min() passes over nulls, so a null id names a component only where there is no other
     firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(firsts.select("fp", F.col("fp").alias("node")), distance, blocks))
-    least = firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
-    # fingerprints without links keep their own first; the others take their component's
-    least = least.select(own(F.col("root")).alias("w"), "least")
-    linked = roots.join(least.hint("shuffle_merge"), F.col("root") == F.col("w")).select(F.col("node").alias("fp"), "least")
+    least = checkpointed(firsts.join(roots, firsts["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"), F.count("*").alias("nodes")))
+    # fingerprints without links keep their own first; the others take their component's, of which a large one is a hot key
+    linked = looked_up(roots, least, ["root"], "nodes").select(F.col("node").alias("fp"), "least")
     # read back from files, it is dealt anew for the last join, which adaptive execution can then split
     component = checkpointed(firsts.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), "n"))
     # copies by the thousand share a fingerprint: a hot key, looked up by broadcast
