@@ -100,44 +100,60 @@ def resolved(link: Column, base: Column) -> Column:
     """A reference against a base, as RFC 3986 has it, but as browsers and crawlers read it: tabs and line ends within are dropped,
     and empty segments between those of a relative path and its base go. A scheme that knows no relative references is left as it
     is. A host with a stray bracket gives a blank."""
-    given, base = text(link), text(base)
-    link, root = (F.regexp_replace(F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "") for x in (given, base))
+    clean = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\r\n]", "")
     part = lambda x, i: F.regexp_extract(x, _PARTS, i)
-    kind, own = F.lower(part(link, 1)), F.lower(part(root, 1))
-    place, whole_way, asked = part(link, 2), part(link, 3), part(link, 4)
-    tail = F.regexp_extract(link, "(#.*)$", 1)
+
+    def read(x: Column) -> Column:
+        """The parts of both, each found once."""
+        return F.struct(
+            x["given"].alias("given"), x["base"].alias("base"), F.lower(part(x["link"], 1)).alias("kind"), F.lower(part(x["root"], 1)).alias("own"),
+            part(x["link"], 2).alias("place"), part(x["link"], 3).alias("way"), part(x["link"], 4).alias("asked"), F.regexp_extract(x["link"], "(#.*)$", 1).alias("tail"),
+            part(x["root"], 2).alias("at"), part(x["root"], 3).alias("path"), part(x["root"], 4).alias("query"),
+        )
+
+    both = _bound(F.struct(text(link).alias("given"), text(base).alias("base"), clean(text(link)).alias("link"), clean(text(base)).alias("root")), read)
+    return _bound(both, _resolved)
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with the value computed, and standing in the plan, once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _merged(way: Column, path: Column) -> Column:
+    """A reference's path laid over its base's: without dots, and of both together without empty segments between the first and
+    the last."""
+    above = F.regexp_replace(path, "[^/]*$", "")
+    laid = F.regexp_replace(F.concat(F.when(above.startswith("/"), "").otherwise("/"), above, way), "/{2,}(?!$)", "/")
+    laid = F.when(laid.endswith("//"), F.regexp_replace(laid, "/+$", "/")).otherwise(laid)
+    joined = F.when(way.startswith("/"), way).otherwise(laid)
+    dots = lambda x: F.when(x.rlike(r"(^|/)[.][.]?(/|$)"), F.array_join(_bound(F.split(x, "/"), _without_dots), "/")).otherwise(x)
+    return _bound(_bound(joined, dots), lambda x: F.when(x == "", F.lit("/")).otherwise(x))
+
+
+def _resolved(x: Column) -> Column:
     # the last segment's parameters are no part of its name
-    way, parameters = F.regexp_replace(whole_way, ";[^/]*$", ""), F.regexp_extract(whole_way, "(;[^/]*)$", 1)
-    above = F.regexp_replace(part(root, 3), "[^/]*$", "")
-    # of both together all empty segments between the first and the last go
-    merged = F.when(way.startswith("/"), way).otherwise(F.concat(F.when(above.startswith("/"), above).otherwise(F.concat(F.lit("/"), above)), way))
-    merged = F.when(way.startswith("/"), merged).otherwise(F.regexp_replace(merged, "/{2,}(?!$)", "/"))
-    merged = F.when(way.startswith("/") | ~merged.endswith("//"), merged).otherwise(F.regexp_replace(merged, "/+$", "/"))
-    dotted = merged.rlike(r"(^|/)[.][.]?(/|$)")
-    merged = F.when(dotted, F.array_join(_without_dots(F.split(merged, "/")), "/")).otherwise(merged)
-
-    def whole(at: Column, path: Column, asked: Column) -> Column:
-        path = F.when((path != "") & ~path.startswith("/") & (at != ""), F.concat(F.lit("/"), path)).otherwise(path)
-        query = F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(F.lit(""))
-        return F.concat(own, F.lit(":"), F.when((at != "") | (own == "file"), F.concat(F.lit("//"), at)).otherwise(F.lit("")), path, query, tail)
-
-    stray = F.concat(place, F.lit(" "), part(root, 2)).rlike(r"\[[^\]]*( |$)|^[^\[]*\]| [^\[]*\]")
-    return (
-        F.when(base == "", given)
-        .when(given == "", base)
-        .when(stray, F.lit(""))
-        .when(((kind != "") & (kind != own)) | ~own.isin(*RELATIVE), given)
-        .when(place != "", whole(place, whole_way, asked))
-        .when(whole_way == "", whole(part(root, 2), part(root, 3), F.when(asked != "", asked).otherwise(part(root, 4))))
-        .otherwise(whole(part(root, 2), F.concat(F.when(merged == "", F.lit("/")).otherwise(merged), parameters), asked))
-    )
+    merged = F.concat(_merged(F.regexp_replace(x["way"], ";[^/]*$", ""), x["path"]), F.regexp_extract(x["way"], "(;[^/]*)$", 1))
+    here = x["place"] == ""
+    path = F.when(~here, x["way"]).when(x["way"] == "", x["path"]).otherwise(merged)
+    asked = F.when(here & (x["way"] == "") & (x["asked"] == ""), x["query"]).otherwise(x["asked"])
+    made = _bound(F.struct(F.when(here, x["at"]).otherwise(x["place"]).alias("at"), path.alias("path"), asked.alias("asked")), lambda y: _composed(x["own"], y, x["tail"]))
+    stray = F.concat(x["place"], F.lit(" "), x["at"]).rlike(r"\[[^\]]*( |$)|^[^\[]*\]| [^\[]*\]")
+    foreign = ((x["kind"] != "") & (x["kind"] != x["own"])) | ~x["own"].isin(*RELATIVE)
+    return F.when(x["base"] == "", x["given"]).when(x["given"] == "", x["base"]).when(stray, F.lit("")).when(foreign, x["given"]).otherwise(made)
+
+
+def _composed(kind: Column, y: Column, tail: Column) -> Column:
+    root = F.when((y["path"] != "") & ~y["path"].startswith("/") & (y["at"] != ""), F.lit("/")).otherwise(F.lit(""))
+    mark = F.when(y["asked"] != "", F.lit("?")).otherwise(F.lit(""))
+    slashes = F.when((y["at"] != "") | (kind == "file"), F.lit("//")).otherwise(F.lit(""))
+    return F.concat(kind, F.lit(":"), slashes, y["at"], root, y["path"], mark, y["asked"], tail)
 
 
 def link_norm(link: Column, base: Column) -> Column:
     """A link resolved against its page, without fragment and final slash; one that is all slashes keeps them."""
     bare = F.regexp_replace(resolved(link, base), "#.*$", "")
-    short = F.regexp_replace(bare, "/+$", "")
-    return F.when(short == "", bare).otherwise(short)
+    return _bound(bare, lambda x: F.when(F.regexp_replace(x, "/+$", "") == "", x).otherwise(F.regexp_replace(x, "/+$", "")))
 
 
 # Extensions that are no pages, and their categories.

@@ -8,6 +8,7 @@ another only the outer's first part counts, where `html.Page`, which builds a tr
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from html.entities import name2codepoint
 
@@ -22,6 +23,7 @@ UNSEEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
 ANCHOR = rf"(?is)<a(?=[\s>/])({_INSIDE})>(.*?)(?=</a\s*>|<a[\s>]|\z)"
 NAV = rf"(?is)<nav(?=[\s>/]){_INSIDE}>(.*?)(?=</nav\s*>|\z)"
 ROLE = rf"""(?is)<([a-z][a-z0-9]*+)(?=\s[^>]*?(?<=\s)role\s*=\s*["']?navigation["'\s>/]){_INSIDE}>(.*?)(?=</\1\s*>|\z)"""
+_NAMES = json.dumps({name: chr(code) for name, code in name2codepoint.items()})
 _ENTITY = r"&#?[A-Za-z0-9]+;?|[^&]+|&"
 
 
@@ -32,7 +34,7 @@ def attribute(inside: Column, name: str) -> Column:
 
 
 def unescaped(x: Column) -> Column:
-    names = F.create_map(*(F.lit(v) for name, code in name2codepoint.items() for v in (name, chr(code))))
+    names = F.from_json(F.lit(_NAMES), "map<string,string>")  # a constant, made once by the optimiser
 
     def read(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "^&#([0-9]+)", 1)
@@ -43,7 +45,10 @@ def unescaped(x: Column) -> Column:
         named = F.try_element_at(names, F.regexp_extract(piece, "^&([A-Za-z0-9]+)", 1))
         return F.when(piece.startswith("&"), F.coalesce(F.when(sane, of_code), F.when(code.isNotNull(), F.lit("�")), named, piece)).otherwise(piece)
 
-    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(0)), read), "")).otherwise(x)
+    def whole(x: Column) -> Column:
+        return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(x, F.lit(_ENTITY), F.lit(0)), read), "")).otherwise(x)
+
+    return F.transform(F.array(x), whole)[0]  # so that x stands in the plan once
 
 
 def plain(fragment: Column) -> Column:
