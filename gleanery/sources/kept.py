@@ -9,8 +9,10 @@ no shuffle.
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,11 +37,24 @@ def fingerprint(*parts: object) -> str:
     return hashlib.sha256("\0".join(map(repr, parts)).encode()).hexdigest()[:32]
 
 
+@cache
+def _code() -> str:
+    """Of this package but its training-data operators: tables that other code has made aren't this code's."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    digest = hashlib.sha256()
+    for folder, below, names in os.walk(root):
+        below[:] = sorted(b for b in below if b != "llm")
+        for name in sorted(n for n in names if n.endswith(".py")):
+            with open(os.path.join(folder, name), "rb") as f:
+                digest.update(f.read())
+    return digest.hexdigest()
+
+
 def kept(spark: SparkSession, name: str, build: Callable[[], DataFrame], *inputs: object, keys: Sequence[str] = (), size: int = 0) -> DataFrame:
     """The table that build() gives, made now or before. `inputs` is what it depends on, as values that print the same when they are
     the same. With keys it is clustered by them; `size`, bytes of the inputs, says into how many buckets."""
     buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES)) if keys else 0
-    table = f"kept_{name}_{fingerprint(inputs, tuple(keys), buckets, spark.version)}"
+    table = f"kept_{name}_{fingerprint(inputs, tuple(keys), buckets, spark.version, _code())}"
     if keys and spark.catalog.tableExists(table):
         return spark.table(table)
     path = f"{shared_folder(spark).rstrip('/')}/kept/{table}"

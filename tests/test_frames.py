@@ -184,15 +184,15 @@ def test_clustered_runs_merge_without_a_shuffle(spark):
 def test_kept_tables(spark, tmp_path):
     from gleanery.sources.kept import files_of, fingerprint, kept
 
-    made = []
+    made, own = [], str(tmp_path)
 
     def build():
         made.append(1)
         return spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
 
-    one = kept(spark, "t", build, "x", 1)
-    two = kept(spark, "t", build, "x", 1)
-    three = kept(spark, "t", build, "x", 2)
+    one = kept(spark, "t", build, own, 1)
+    two = kept(spark, "t", build, own, 1)
+    three = kept(spark, "t", build, own, 2)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) == sorted(map(tuple, three.collect())) and len(made) == 2
     spark.range(3).write.parquet(f"{tmp_path}/a")
     before = fingerprint(files_of(spark.read.parquet(f"{tmp_path}/a")))
