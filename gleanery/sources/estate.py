@@ -174,11 +174,13 @@ class Estate:
 def load(spark: SparkSession, sf_dir: str) -> Estate:
     ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    # the ring's length joined as one row: as a subquery it stood within the join's key, and so within what rows are dealt and sorted by
+    ring = TABLES | {"edges": TABLES["edges"].replace("FROM base a JOIN base b ON b.i = (a.i * 7 + 3) % " + _RING, "FROM base a CROSS JOIN (SELECT count(*) AS ring FROM base) JOIN base b ON b.i = (a.i * 7 + 3) % ring")}
     out = {}
     for name in NAMES:
         needed = [t for t in ("base", "doubled") if t in TABLES[name]]
         if "doubled" in needed:
             needed = ["base", "doubled"]
         clause = ", ".join(f"{t} AS ({TABLES[t].replace('FROM pages', 'FROM {source}') if t == 'base' else TABLES[t]})" for t in needed)
-        out[name] = spark.sql(f"WITH {clause} {TABLES[name]}", source=pages)
+        out[name] = spark.sql(f"WITH {clause} {ring[name]}", source=pages)
     return Estate(**out)
