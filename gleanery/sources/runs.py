@@ -145,12 +145,16 @@ class Folder:
         given = {c: F.coalesce(F.col(f"`{c}`"), F.lit("")) if c in header else F.lit("") for c in names}
         if table == "assets":
             given["category"] = F.regexp_extract(file, r"/assets_([^/]*)\.csv", 1)
-        # by file, then by place in it: unlike within a run, and rising within a file
-        place = F.pmod(F.xxhash64(file), F.lit(1 << 20)) * (1 << 42) + F.col("_metadata.file_block_start") + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
+        # by part file, in the order in which they were written, then by place in it: unlike within a run, but for assets of one category
+        part = F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).try_cast("long")
+        further = F.coalesce(F.regexp_extract(file, r"-c(\d+)[^/]*$", 1).try_cast("long"), F.lit(0))
+        category = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.regexp_extract(file, r"/assets_([^/]*)\.csv", 1))
+        number = F.pmod(F.coalesce(part, F.when(file.endswith(".csv") & ~F.contains(file, F.lit(".csv/")), 0).otherwise(F.xxhash64(file))), F.lit(1 << 20))
+        place = number * (1 << 43) + F.pmod(further, F.lit(32)) * (1 << 38) + category * (1 << 34) + F.col("_metadata.file_block_start") + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))
         return df.select(*(c.alias(n) for n, c in given.items()), F.regexp_extract(file, r"/(run_[^/]*)/", 1).alias("run"), place.alias("seq"))
 
     def write_run(self, run: str, frames: Mapping[str, DataFrame], wanted: Sequence[str] = (), name: str = "") -> None:
-        """The tables of a run as CSVs: pages, assets, errors and phone numbers always, of OPTIONAL those that are wanted. Assets
+        """The tables of a run as CSVs, in the order of seq where they have it, as the later of a run's rows is the newer: pages, assets, errors and phone numbers always, of OPTIONAL those that are wanted. Assets
         go to one file for each category; an unknown one is `other`. Part files are written by the executors; a run that is
         written again replaces what it wrote."""
         for table, df in frames.items():

@@ -68,8 +68,11 @@ def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...] | None = N
 
 def write_csv(df: DataFrame, path: str, columns: tuple[str, ...] | None = None, most: int | None = 32_000, by: str | None = None) -> None:
     """Cells sanitised (cut beyond `most` characters, or not at all), every one quoted; further columns are dropped. With `by`, a
-    folder for each value of that column, in one pass."""
+    folder for each value of that column, in one pass. Rows with a seq that isn't a column of the file are written in its order, from
+    one part file to the next."""
     names = columns or tuple(df.columns)
+    if "seq" in df.columns and "seq" not in names:
+        df = df.repartitionByRange("seq").sortWithinPartitions(*([by] if by else []), "seq")
     rows = df.select(*((sanitised(F.col(c).cast("string"), most) if c in df.columns else F.lit("")).alias(c) for c in names), *([F.col(by).alias("_by")] if by else []))
     rows.write.mode("overwrite").partitionBy(*(["_by"] if by else [])).options(header="true", quoteAll="true", quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false").csv(path)
 
