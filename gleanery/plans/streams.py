@@ -122,13 +122,15 @@ def visited_from_state(s: Site) -> DataFrame:
 
 def _runs(s: Site) -> tuple[DataFrame, DataFrame]:
     """Two runs of the pages: the second lacks some, has others anew, and some of another content; times are a day apart, and some of
-    the second's rows are late."""
+    the second's rows are late. A run takes half a day, however many pages it has, so that none of its rows is later than watermarks
+    allow for."""
     i = F.col("page_id")
     rows = s.table("pages").select("page_id", "url", F.sha2("html", 256).alias("hash"))
-    start = F.timestamp_seconds(F.lit(1_704_067_200) + i)
+    second = 1_704_067_200 + i % 43_200
+    start = F.timestamp_seconds(second)
     before = rows.where(i % 11 != 4).select(F.concat("url", F.lit("#"), i.cast("string")).alias("key"), "hash", start.alias("at"), i.alias("n"))
     changed = F.when(i % 5 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash"))
-    later = F.timestamp_seconds(F.lit(1_704_067_200 + 86_400) + i - F.when(i % 9 == 0, 3_600).otherwise(0))
+    later = F.timestamp_seconds(second + 86_400 - F.when(i % 9 == 0, 3_600).otherwise(0))
     return before, rows.where(i % 7 != 3).select(F.concat("url", F.lit("#"), i.cast("string")).alias("key"), changed.alias("hash"), later.alias("at"), i.alias("n"))
 
 
