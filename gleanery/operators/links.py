@@ -42,7 +42,7 @@ def unescaped(x: Column) -> Column:
         code = F.when(digits != "", digits.try_cast("long")).when(hexadecimal != "", F.conv(hexadecimal, 16, 10).try_cast("long"))
         sane = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         of_code = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        named = F.try_element_at(names, F.regexp_extract(piece, "^&([A-Za-z0-9]+)", 1))
+        named = F.try_element_at(names, F.regexp_extract(piece, "^&([A-Za-z0-9]+);", 1))
         return F.when(piece.startswith("&"), F.coalesce(F.when(sane, of_code), F.when(code.isNotNull(), F.lit("�")), named, piece)).otherwise(piece)
 
     def whole(x: Column) -> Column:
