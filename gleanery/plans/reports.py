@@ -952,9 +952,9 @@ def quality_radar(s: Site, least: int = 10, most: int = 40, as_of: str = "2025-0
         mean_above_zero("extraction_coverage_pct").alias("coverage"),
         mean_above_zero("extraction_coverage_core_pct").alias("core"),
     )
-    rows = top(rows.where(F.col("n") >= least), most, "n", "domain")
-    greatest = rows.agg(F.max("words").alias("w"), F.max("links").alias("l"))
-    rows = rows.join(F.broadcast(greatest)).join(counts(s.errors, urls.host("url").alias("domain"), name="errors"), "domain", "left").join(freshness(s).select("domain", "latest"), "domain", "left")
+    rows = rows.where(F.col("n") >= least)
+    greatest = rows.agg(F.max("words").alias("w"), F.max("links").alias("l"))  # of all of them, not of the biggest only
+    rows = top(rows, most, "n", "domain").join(F.broadcast(greatest)).join(counts(s.errors, urls.host("url").alias("domain"), name="errors"), "domain", "left").join(freshness(s).select("domain", "latest"), "domain", "left")
     unit = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
     above = lambda x: F.when(x > 0, x).otherwise(F.lit(1.0))
     days = F.coalesce(F.date_diff(F.lit(as_of).cast("date"), F.col("latest").cast("date")), F.lit(730))
