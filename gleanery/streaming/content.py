@@ -9,9 +9,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,7 +27,8 @@ STATE = "first"
 
 
 class _FirstWins(StatefulProcessor):
-    """For each hash the first row's name and place, kept for `days` days after it came, or for ever."""
+    """For each hash the first row's name and place, kept for `days` days after it came, or for ever. State is asked once for a hash and
+    batch, and told once of a new one: each call goes to the JVM and back, and most hashes have one row."""
 
     def __init__(self, days: float | None):
         self.days = days
@@ -37,14 +37,15 @@ class _FirstWins(StatefulProcessor):
         ttl = None if self.days is None else int(self.days * 86_400_000)
         self.first = handle.getValueState(STATE, "name string, place long", ttl)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch.sort_values(["place", "name"], kind="stable").reset_index(drop=True)
-            taken = self.first.exists()
-            if not taken:
-                self.first.update((str(batch["name"][0]), int(batch["place"][0])))
-            first = self.first.get()
-            yield pd.DataFrame({"name": batch["name"], "hash": key[0], "outcome": [ACCEPTED if not taken and i == 0 else DUPLICATE for i in range(len(batch))], "first": str(first[0])})
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        came = sorted((row.place, row.name) for row in rows)
+        first, outcome = self.first.get(), DUPLICATE
+        if first is None:
+            first, outcome = (came[0][1], came[0][0]), ACCEPTED
+            self.first.update(first)
+        for _, name in came:
+            yield Row(name=name, hash=key[0], outcome=outcome, first=first[0])
+            outcome = DUPLICATE
 
     def close(self) -> None:
         pass
@@ -53,15 +54,15 @@ class _FirstWins(StatefulProcessor):
 def first_wins(df: DataFrame, name: str, hash_: str, place: str, days: float | None = None) -> DataFrame:
     """name, hash, outcome (accepted, or content_duplicate where an earlier row has the hash) and first (that row's name) of every row,
     as two outputs in one. In a stream the first is the one that came first, of those of one batch the one of the least place; a hash
-    is forgotten after `days` days, where that is given. Names are texts; null hashes are a hash of their own. Rows of one hash and
-    batch go through one task's Arrow batches in the order of their place, and none is held longer than its batch."""
-    rows = df.select(F.coalesce(F.col(hash_), F.lit("")).alias("hash"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"), F.col(place).cast("long").alias("place"))
+    is forgotten after `days` days, where that is given. Names are texts; null hashes are a hash of their own. Names
+    and places of one hash's rows of one batch are held and sorted by its task, as any of them may be the first; nulls are places before all others."""
+    rows = df.select(F.coalesce(F.col(hash_), F.lit("")).alias("hash"), F.coalesce(F.col(name).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(place).cast("long"), F.lit(-(1 << 63))).alias("place"))
     if not df.isStreaming:
         least = rows.groupBy("hash").agg(F.min(F.struct("place", "name")).alias("_f"))
         met = rows.join(least.select(F.col("hash").alias("_h"), "_f").hint("shuffle_merge"), F.col("hash") == F.col("_h"))
         return met.select(F.col("name").alias("name"), "hash", F.when(F.struct("place", "name") == F.col("_f"), ACCEPTED).otherwise(DUPLICATE).alias("outcome"), F.col("_f.name").alias("first"))
     df.sparkSession.conf.set(PROVIDER, ROCKSDB)
-    return rows.groupBy("hash").transformWithStateInPandas(_FirstWins(days), "name string, hash string, outcome string, first string", "Append", "None" if days is None else "ProcessingTime")
+    return rows.groupBy("hash").transformWithState(_FirstWins(days), "name string, hash string, outcome string, first string", "Append", "None" if days is None else "ProcessingTime")
 
 
 def changes(before: DataFrame, now: DataFrame, key: str, hash_: str, time: str, within: str = "3 days", late: str = "1 day") -> DataFrame:
