@@ -104,7 +104,7 @@ def audit_title_meta_pages(s: Site, cap: int | None = 100) -> DataFrame:
 
     t, d = F.length(F.trim("title")), F.length(F.trim("meta_description"))
     rows = s.pages.select(F.col("final_url").alias("url"), "domain", t.alias("title_length"), d.alias("description_length"), F.concat_ws("; ", issue("title", t, 30, 60), issue("description", d, 70, 160)).alias("issues"))
-    return capped(rows.where("issues <> ''").orderBy("url", "issues"), cap)
+    return capped(rows.where("issues <> ''").orderBy("url", "issues", "domain", "title_length", "description_length"), cap)
 
 
 _SQL_ORPHANS = "op AS (SELECT final_url AS url, domain, starts_with(referrer_url, 'sitemap:') AS from_sitemap FROM p WHERE trim(final_url) <> '' AND final_url NOT IN (SELECT to_url FROM ed))"
@@ -167,7 +167,7 @@ def audit_images_summary(s: Site) -> DataFrame:
 @query("audit_image_pages", f"SELECT final_url AS url, domain, {integer('img_count')} AS images, {integer('img_missing_alt_count')} AS missing, {pct(integer('img_missing_alt_count'), integer('img_count'))} AS pct_missing FROM p WHERE {integer('img_missing_alt_count')} > 0 ORDER BY missing DESC, url LIMIT 100")
 def audit_image_pages(s: Site, cap: int | None = 100) -> DataFrame:
     rows = s.pages.select(F.col("final_url").alias("url"), "domain", as_int("img_count").alias("images"), as_int("img_missing_alt_count").alias("missing")).where("missing > 0")
-    return capped(rows.withColumn("pct_missing", share(F.col("missing"), F.col("images"))).orderBy(F.desc("missing"), "url"), cap)
+    return capped(rows.withColumn("pct_missing", share(F.col("missing"), F.col("images"))).orderBy(F.desc("missing"), "url", "domain", "images"), cap)
 
 
 _SQL_SEGMENTS = "len(list_filter(string_split(regexp_extract(final_url, '^(?:[a-z]+://[^/?#]*)?([^?#]*)', 1), '/'), lambda x: x <> ''))"

@@ -490,16 +490,16 @@ def items_by_domain(s: Site) -> DataFrame:
 
 
 def _listed(s: Site, mark: str, order: tuple, cap: int, **columns: Column) -> DataFrame:
-    """Items, the first in their order; none of a kind with fewer than three."""
+    """Items, the first in their order, ties by all columns; none of a kind with fewer than three."""
     items = s.pages.where(filled(mark))
     enough = items.limit(3).agg((F.count("*") >= 3).alias("_enough"))  # one row, within the plan
-    return items.join(F.broadcast(enough)).where("_enough").select(F.col("final_url").alias("url"), "domain", *(c.alias(n) for n, c in columns.items())).orderBy(*order).limit(cap)
+    return items.join(F.broadcast(enough)).where("_enough").select(F.col("final_url").alias("url"), "domain", *(c.alias(n) for n, c in columns.items())).orderBy(*dict.fromkeys((*order, "url", "domain", *columns))).limit(cap)
 
 
 @query("top_rated_products", f"SELECT final_url AS url, domain, substr(title, 1, 80) AS title, {real('schema_rating')} AS rating, {integer('schema_review_count')} AS reviews FROM p WHERE trim(schema_price) <> '' AND {real('schema_rating')} > 0 AND {_SQL_ENOUGH.format(m='schema_price')} ORDER BY rating DESC, url LIMIT 10")
 def top_rated_products(s: Site) -> DataFrame:
     rows = _listed(s, "schema_price", ("url",), 1 << 30, title=F.substring("title", 1, 80), rating=as_float("schema_rating"), reviews=as_int("schema_review_count"))
-    return rows.where("rating > 0").orderBy(F.desc("rating"), "url").limit(10)
+    return rows.where("rating > 0").orderBy(F.desc("rating"), "url", "domain", "title", "reviews").limit(10)
 
 
 @query("events_by_date", f"SELECT final_url AS url, domain, trim(schema_event_date) AS day, schema_event_location AS location FROM p WHERE trim(schema_event_date) <> '' AND {_SQL_ENOUGH.format(m='schema_event_date')} ORDER BY day, url LIMIT 50")
