@@ -174,8 +174,10 @@ class Estate:
 def load(spark: SparkSession, sf_dir: str) -> Estate:
     ship_package(spark)
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    # the ring's length joined as one row: as a subquery it stood within the join's key, and so within what rows are dealt and sorted by
-    ring = TABLES | {"edges": TABLES["edges"].replace("FROM base a JOIN base b ON b.i = (a.i * 7 + 3) % " + _RING, "FROM base a CROSS JOIN (SELECT count(*) AS ring FROM base) JOIN base b ON b.i = (a.i * 7 + 3) % ring")}
+    # the ring's length is a joined row: as a subquery it stood within the join's key, and so within what rows are dealt and sorted by.
+    # The next page is a column of its own: with all three in one join, a condition on both URLs let Spark pair all pages with all first
+    following = "FROM (SELECT /*+ BROADCAST(r) */ base.*, (i * 7 + 3) % ring AS following FROM base CROSS JOIN (SELECT count(*) AS ring FROM base) r) a JOIN base b ON b.i = a.following"
+    ring = TABLES | {"edges": TABLES["edges"].replace("FROM base a JOIN base b ON b.i = (a.i * 7 + 3) % " + _RING, following)}
     out = {}
     for name in NAMES:
         needed = [t for t in ("base", "doubled") if t in TABLES[name]]

@@ -5,3 +5,16 @@ def test_links_are_dealt_by_columns_not_by_subqueries(spark):
     """The ring's length stands in a join's key: it is a joined row, since a subquery there stands within exchanges and sorts too."""
     plan = estate.load(spark, "/root/testdata/sf0.001").edges._jdf.queryExecution().executedPlan().toString()
     assert "ubquery" not in plan and "ring" in plan
+
+
+def test_links_between_unlike_urls_pair_no_pages_but_by_keys(spark):
+    """A condition on both ends of a link, as frontier_bfs has one, makes no product of all pages with all."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = estate.load(spark, "/root/testdata/sf0.001").edges.where("from_url <> to_url")
+        plan = links._jdf.queryExecution().executedPlan().toString()
+        nested = [line for line in plan.splitlines() if "CartesianProduct" in line or "NestedLoopJoin" in line]
+        assert all("Cross" in line and "url" not in line for line in nested) and "CartesianProduct" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
